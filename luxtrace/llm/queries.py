@@ -1,6 +1,9 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from luxtrace.llm.bpe import op1_byte_bpe
+from luxtrace.llm.language import op3_language_id
+from luxtrace.llm.media import op5_media_columns
+from luxtrace.llm.token_files import op7_token_files
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_language_id, op5_media_columns, op7_token_files)}
 ORACLES: dict[str, str] = {}
