@@ -33,8 +33,10 @@ CHECKSUM_FLAG = 0x80
 
 LEVEL = 3
 #: Chunks of text kept with their ids in each Python worker, and documents encoded at a time.
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 150_000
 CHUNK_CHARS = 64
+#: ASCII signs that are one piece of their own after a word; the apostrophe has rules of its own.
+STOPS = '.,;:!?"*#$%&()[]{}<>/|@^~_=+-\\`'
 AT_A_TIME = 64
 #: The most bytes that a reader takes from a file at once, if no frame is larger.
 READ_BYTES = 4 << 20
@@ -44,7 +46,8 @@ NULL_ID = -(1 << 63)
 class WordEncoder:
     """Encodes with the tokenizers library; chunks between blanks are encoded once and kept while there is room.
 
-    The vocabulary's rules drop white space and never look across it, so a text's ids are those of its chunks.
+    The vocabulary's rules fold case, drop white space, never look across it and part letters from other signs, so a
+    text's ids are those of its chunks, and those of a word with stops after it are the word's and the stops'.
     """
 
     def __init__(self, path: str):
@@ -53,32 +56,71 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.dtype).itemsize
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # of words
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunked = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        chunked = [_folded((t or "").replace("\n", " ")).split(" ") for t in texts]
         if len(self.kept) > CHUNKS_KEPT:
-            self.kept = {"": b""}
+            self.kept, self.older = {"": b""}, self.kept  # what is met again moves on, the rest goes
         known = self.kept
-        new = list({c for chunks in chunked for c in chunks if c not in known})
-        here = known
+        new = set().union(*chunked).difference(known)
+        older = self.older
+        again = [c for c in new if c in older]
+        known.update((c, older[c]) for c in again)
+        new.difference_update(again)
         if new:
-            ids = [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            known.update((c, i) for c, i in zip(new, ids, strict=True) if len(c) <= CHUNK_CHARS)
-            long = {c: i for c, i in zip(new, ids, strict=True) if len(c) > CHUNK_CHARS}
-            if long:
-                here = _Either(long, known)
-        return [b"".join(map(here.__getitem__, chunks)) for chunks in chunked]
-
-
-class _Either(dict):
-    def __init__(self, first: dict, other: dict):
-        super().__init__(first)
-        self.other = other
-
-    def __missing__(self, key):
-        return self.other[key]
+            self._learn(new)
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
+        for c in new:
+            if len(c) > CHUNK_CHARS:
+                del known[c]
+        return out
+
+    def _learn(self, chunks: set[str]) -> None:
+        known = self.kept
+        stopped = [(c, w) for c in chunks if c[-1] in STOPS and (w := c.rstrip(STOPS)).isalpha() and max(w) < "\u0100"]
+        words = {w for _, w in stopped}.difference(known)
+        words.update(c for c in chunks if c.isalpha() and max(c) < "\u0100")
+        others = chunks.difference(words, (c for c, _ in stopped))
+        others |= {c[len(w) :] for c, w in stopped}.difference(known)
+        self._learn_words(list(words))
+        if others:
+            some = list(others)
+            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[c] = np.array(e.ids, self.dtype).tobytes()
+        for c, w in stopped:
+            known[c] = known[w] + known[c[len(w) :]]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters alone have one end each, so many are encoded as one text."""
+        known, step = self.kept, self.width
+        lines = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * step).tolist()
+            if len(ends) != len(line):
+                for w, one in zip(line, self.tokenizer.encode_batch_fast(line, add_special_tokens=False), strict=True):
+                    known[w] = np.array(one.ids, self.dtype).tobytes()
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(line, ends, strict=True):
+                known[w] = raw[at:end]
+                at = end
+
+
+def _folded(text: str) -> str:
+    """Lower case if that is the same sign by sign; else the text itself, and the tokenizer folds it."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 @lru_cache(maxsize=2)
@@ -204,9 +246,10 @@ def _groups(it: Iterable[tuple], n: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
+def read_token_files(manifest: DataFrame, of: Callable[[bytes], object] = bytes, column: str = "ids binary") -> DataFrame:
     """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32 bits) of each document in the files, read back.
 
+    ``of`` and ``column`` give what is made of the ids, and its name and type, where the ids themselves aren't needed.
     The manifest has one row for each file, so the starts of the files are summed on the driver.
     """
     spark = manifest.sparkSession
@@ -219,10 +262,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def rows(it: Iterable[tuple]) -> Iterator[tuple]:
         for _, file, start in it:
             for key, ids in SeekableReader(file):
-                yield key, start, len(ids), ids.astype("<u4").tobytes()
+                yield key, start, len(ids), of(ids.astype("<u4").tobytes())
                 start += len(ids)
 
-    return map_rows(given, rows, "doc_id long, start long, n_tokens long, ids binary")
+    return map_rows(given, rows, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def read_documents(file: str, wanted: set[int]) -> dict[int, list[int]]:
@@ -235,8 +278,4 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
     files = write_token_files(read_table(spark, sf_dir, "documents"), folder)
 
-    def crc(it: Iterable[tuple]) -> Iterator[tuple]:
-        for key, start, n, ids in it:
-            yield key, start, n, zlib.crc32(ids)
-
-    return map_rows(read_token_files(files), crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(files, zlib.crc32, "ids_crc32 long")
