@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,6 +45,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``done``, and let Spark drop shuffle files that no live plan refers to."""
+    for df in done:
+        for f in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
