@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,20 @@ def map_rows(df: DataFrame, rows: Callable[[Iterable[tuple]], Iterable[tuple]],
     return df.mapInArrow(run, out)
 
 
+def map_columns(df: DataFrame, columns_of: Callable[[tuple], Iterable[tuple]], schema: str) -> DataFrame:
+    """``columns_of`` takes a row and yields tuples of numpy arrays of equal length, which become rows of the result."""
+    out = df.sparkSession.createDataFrame([], schema).schema
+    arrow = _arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [p for r in zip(*(c.to_pylist() for c in b.columns), strict=True) for p in columns_of(r)]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=f.type) for c, f in zip(zip(*parts, strict=True), arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, out)
+
+
 def _arrow_schema(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

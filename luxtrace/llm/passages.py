@@ -1,7 +1,7 @@
 """Removal of repeated passages (operator 9) by prefix-free parsing.
 
 Triggers of a rolling hash cut each text into phrases. A window (a string of ``LENGTH`` bytes) belongs to the first trigger
-in it; windows that start 64 bytes or less apart before one trigger share a *core*, the bytes that all of them cover. Equal
+in it; windows that start at most 128 bytes apart before one trigger share a *core*, the bytes that all of them cover. Equal
 windows have equal cores, so only cores found twice matter (the parse). Their distinct neighbourhoods form the dictionary,
 with counts. A neighbourhood found twice repeats with all its windows. Among different neighbourhoods of one core, the
 suffixes of the dictionary are sorted, and equal neighbours in that order are repeated windows. Cores with very many
@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from luxtrace.llm.common import bounded_batches, columns, cut, map_rows, read_table, release
+from luxtrace.llm.common import bounded_batches, columns, cut, map_columns, map_rows, read_table, release
 
 LENGTH = 400
 #: Bytes below the rolling hash; one of ``1 << TRIGGER_BITS`` positions is a trigger; starts that share a core.
-ROLL, TRIGGER_BITS, BAND = 16, 6, 64
+ROLL, TRIGGER_BITS, BAND = 16, 6, 128
 #: Cores with more neighbourhoods are resolved by hashes of their windows.
 LARGE_GROUP = 512
 NULL_ID = -(1 << 63)
@@ -53,8 +53,8 @@ def triggers(raw: bytes) -> np.ndarray:
     return np.flatnonzero(h >> np.uint64(64 - TRIGGER_BITS) == 0)
 
 
-def neighbourhoods(raw: bytes) -> Iterator[tuple[int, int, int, int, int]]:
-    """``(core hash, neighbourhood hash, start, end, trigger - start)`` for all windows of a text, in groups."""
+def neighbourhoods(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(core hash, neighbourhood hash, start, end, trigger - start)`` for all windows of a text, in groups; as arrays."""
     last = len(raw) - LENGTH
     if last < 0:
         return
@@ -64,26 +64,38 @@ def neighbourhoods(raw: bytes) -> Iterator[tuple[int, int, int, int, int]]:
     least = np.maximum(at - last, 0)
     for first in range(0, LENGTH - ROLL + 1, BAND):
         low, high = np.maximum(least, first), np.minimum(reach, first + BAND - 1)
-        for t, lo, hi in zip(*(a[low <= high].tolist() for a in (at, low, high)), strict=True):
-            start, end = t - hi, t - lo + LENGTH
-            core = raw[t - first : t - first - BAND + 1 + LENGTH]
-            yield _xxh(core, first), _xxh(raw[start:end], hi), start, end, hi
-    for a, b in zip(np.concatenate([[-1], at]).tolist(), np.append(at, len(raw)).tolist(), strict=True):
-        for i in range(a + 1, min(b - LENGTH + ROLL - 1, last) + 1 if b < len(raw) else last + 1):
-            window = raw[i : i + LENGTH]
-            yield _xxh(window, 1001), _xxh(window, 1002), i, i + LENGTH, _NO_TRIGGER
+        t, lo, hi = (a[low <= high] for a in (at, low, high))
+        if len(t):
+            start, end, core = t - hi, t - lo + LENGTH, t - first
+            size = LENGTH - BAND + 1
+            cores = [_xxh(raw[i : i + size], first) for i in core.tolist()]
+            around = [_xxh(raw[i:j], k) for i, j, k in zip(start.tolist(), end.tolist(), hi.tolist(), strict=True)]
+            yield np.array(cores, np.uint64), np.array(around, np.uint64), start, end, hi
+    alone = [
+        np.arange(a + 1, (min(b - LENGTH + ROLL - 1, last) if b < len(raw) else last) + 1)
+        for a, b in zip([-1, *at.tolist()], [*at.tolist(), len(raw)], strict=True)
+        if min(b, len(raw)) - a > LENGTH - ROLL
+    ]
+    start = np.concatenate(alone) if alone else np.zeros(0, np.int64)
+    if len(start):
+        hashes = [np.array([_xxh(raw[i : i + LENGTH], seed) for i in start.tolist()], np.uint64) for seed in (1001, 1002)]
+        yield *hashes, start, start + LENGTH, np.full(len(start), _NO_TRIGGER)
 
 
-def _place(start: int, end: int, trigger: int, version: int) -> int:
-    return version << 49 | start << 18 | end - start << 9 | trigger
+# A neighbourhood's place in one integer: version of the text (13 bits), start (31), length (10), trigger - start (9).
+_V, _S, _E = 50, 19, 9
+_START = "(shiftright(p, 19) & 2147483647)"
 
 
-def _unplace(p: int) -> tuple[int, int, int]:
-    start = p >> 18 & (1 << 31) - 1
-    return start, start + (p >> 9 & 511), p & 511
+def _place(start, end, trigger, version):
+    return version << _V | start << _S | end - start << _E | trigger
 
 
-_VERSION = "pmod(xxhash64(t), 16384)"  # of a text, so that rows of equal id and different text are told apart
+def _start(p: int) -> int:
+    return p >> _S & (1 << 31) - 1
+
+
+_VERSION = "pmod(xxhash64(t), 8192)"  # of a text, so that rows of equal id and different text are told apart
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,12 +107,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def parse(keyed: DataFrame) -> DataFrame:
     """``k, h, d, p``: each neighbourhood of each text with its core."""
 
-    def rows(it: Iterable[tuple]) -> Iterator[tuple]:
-        for d, v, text in it:
-            for k, h, start, end, trigger in neighbourhoods(text.encode("utf-8", "surrogatepass")):
-                yield _signed(k), _signed(h), d, _place(start, end, trigger, v)
+    def arrays(row: tuple) -> Iterator[tuple]:
+        d, v, text = row
+        for k, h, start, end, trigger in neighbourhoods(text.encode("utf-8", "surrogatepass")):
+            yield k.view(np.int64), h.view(np.int64), np.full(len(k), d), _place(start, end, trigger, v)
 
-    return map_rows(keyed, rows, "k long, h long, d long, p long")
+    return map_columns(keyed, arrays, "k long, h long, d long, p long")
 
 
 def _equal_windows(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
@@ -124,8 +136,8 @@ def _equal_windows(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
                 j, first = owner[i]
                 _, c, d, p, _ = group[j]
                 if c == 1:
-                    start = (p >> 18 & (1 << 31) - 1) + suffixes[i] - first
-                    yield d, p >> 49, start, start + LENGTH
+                    start = _start(p) + suffixes[i] - first
+                    yield d, p >> _V, start, start + LENGTH
 
     for i in order:
         window = dictionary[suffixes[i] : suffixes[i] + LENGTH]
@@ -141,30 +153,27 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     parsed = cut(parse(keyed), "parse")
-    twice = parsed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")).where("n > 1").select("k", (F.col("h0") != F.col("h1")).alias("several"))
-    found = cut(parsed.join(twice, "k"), "repeated-cores")
+    twice = parsed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    found = cut(parsed.join(twice, "k", "left_semi"), "repeated-cores")
     release(spark, parsed)
-    several = found.where("several")
-    classes = cut(several.groupBy("k", "h").agg(F.count(F.lit(1)).alias("c"), F.first("d").alias("d"), F.first("p").alias("p")), "dictionary")
-    whole = several.join(classes.where("c > 1").select("k", "h"), ["k", "h"], "left_semi").select("d", "p").union(found.where("NOT several").select("d", "p"))
-    whole = whole.selectExpr("d", "shiftright(p, 49) AS v", "shiftright(p, 18) & 2147483647 AS s", "(shiftright(p, 18) & 2147483647) + (shiftright(p, 9) & 511) AS e")
-
-    wanted = classes.selectExpr("d", "shiftright(p, 49) AS v", "struct(k, c, p) AS w").groupBy("d", "v").agg(F.collect_list("w").alias("w"))  # of one text
+    several = found.groupBy("k").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).select("k", (F.col("h0") != F.col("h1")).alias("several"))
+    found = found.join(several, "k")
+    counted = found.where("several").groupBy("k", "h").agg(F.count(F.lit(1)).alias("c"), F.first("d").alias("d"), F.first("p").alias("p"))
+    classes = cut(counted, "dictionary")
+    whole = found.join(classes.where("c > 1").select("k", "h", F.lit(True).alias("more")), ["k", "h"], "left").where("more OR NOT several")
+    whole = whole.selectExpr("d", f"shiftright(p, {_V}) AS v", f"{_START} AS s", f"{_START} + (shiftright(p, {_E}) & 1023) AS e")
+
+    wanted = classes.selectExpr("d", f"shiftright(p, {_V}) AS v", "struct(k, c, p) AS w").groupBy("d", "v").agg(F.collect_list("w").alias("w"))  # of one text
     fetched = keyed.join(wanted.hint("shuffle_hash"), ["d", "v"]).select("d", "t", "w")
 
     def cut_out(it: Iterable[tuple]) -> Iterator[tuple]:
-        last = None
         for d, text, ws in it:
-            if (d, text) == last:  # repeated rows
-                continue
-            last = d, text
             raw = text.encode("utf-8", "surrogatepass")
             for w in ws:
-                start, end, _ = _unplace(w["p"])
-                yield w["k"], w["c"], d, w["p"], raw[start:end]
+                p = w["p"]
+                yield w["k"], w["c"], d, p, raw[_start(p) : _start(p) + (p >> _E & 1023)]
 
-    schema = "k long, c long, d long, p long, bytes binary"
-    regions = cut(map_rows(fetched, cut_out, schema).dropDuplicates(["k", "d", "p"]), "neighbourhoods")
+    regions = cut(map_rows(fetched, cut_out, "k long, c long, d long, p long, bytes binary"), "neighbourhoods")
     release(spark)
     large = regions.groupBy("k").count().where(F.col("count") > LARGE_GROUP).select("k")
 
@@ -177,10 +186,10 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def windows(it: Iterable[tuple]) -> Iterator[tuple]:
         for _, c, d, p, region in it:
-            start = p >> 18 & (1 << 31) - 1
+            start = _start(p)
             for j in range(len(region) - LENGTH + 1):
                 window = region[j : j + LENGTH]
-                yield _signed(_xxh(window, 1)), _signed(_xxh(window, 2)), c, d, p >> 49, start + j
+                yield _signed(_xxh(window, 1)), _signed(_xxh(window, 2)), c, d, p >> _V, start + j
 
     hashed = map_rows(regions.join(large, "k", "left_semi"), windows, "a long, b long, c long, d long, v long, s long")
     more = hashed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
