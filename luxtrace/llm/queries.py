@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from luxtrace.llm.bpe import op1_byte_bpe
+from luxtrace.llm.decontaminate import op4_decontaminate
 from luxtrace.llm.language import op3_language_id
 from luxtrace.llm.line_dedup import OP10_SQL, op10_line_dedup
 from luxtrace.llm.media import op5_media_columns
@@ -8,5 +9,5 @@ from luxtrace.llm.near_dedup import op8_order_minhash
 from luxtrace.llm.passages import op9_repeated_passages
 from luxtrace.llm.token_files import op7_token_files
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_language_id, op5_media_columns, op7_token_files, op8_order_minhash, op9_repeated_passages, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_language_id, op4_decontaminate, op5_media_columns, op7_token_files, op8_order_minhash, op9_repeated_passages, op10_line_dedup)}
 ORACLES: dict[str, str] = {"op10_line_dedup": OP10_SQL}
