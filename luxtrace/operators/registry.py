@@ -44,7 +44,7 @@ def body_calls(calls: DataFrame) -> DataFrame:
 
     ``derived_id`` is the id that follows from the commitment.
     """
-    own = calls.where(F.col("function").isin("registerBody", "revokeBody", "transferBody")).select("epoch", "body_id", "call_id", "sender", "function", "to_address", _missing(F.col("commitment")).alias("empty"), (F.col("derived_id") <=> F.col("body_id")).alias("derived"))
+    own = calls.where(F.col("function").isin("registerBody", "revokeBody", "transferBody")).select("epoch", "body_id", "call_id", "sender", "function", "to_address", _missing(F.col("commitment")).alias("empty"), F.col("derived_id").eqNullSafe(F.col("body_id")).alias("derived"))
     ordered = own.repartition("epoch", "body_id").sortWithinPartitions("epoch", "body_id", "call_id")
 
     def fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

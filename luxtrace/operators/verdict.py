@@ -74,7 +74,7 @@ def split_competing(verdict: DataFrame) -> DataFrame:
     earlier = F.filter("competing", lambda m: m["earlier"])
     return verdict.select(
         "probe_id", F.size(earlier).alias("n_earlier"), (F.size("competing") - F.size(earlier)).alias("n_later"),
-        F.element_at(F.array_sort(F.transform(earlier, lambda m: F.struct(m["registered_at"].alias("registered_at"), m["image_id"].alias("image_id")))), 1)["image_id"].alias("first_earlier"),
+        F.get(F.array_sort(F.transform(earlier, lambda m: F.struct(m["registered_at"].alias("registered_at"), m["image_id"].alias("image_id")))), F.lit(0))["image_id"].alias("first_earlier"),
     )
 
 
