@@ -129,8 +129,6 @@ def inclusion_proof(levels: list[list[bytes]], leaf: bytes) -> list[bytes]:
 
 
 def verify_proof(leaf: bytes, proof: list[bytes], root: bytes) -> bool:
-    if not any(root):
-        return False
     for other in proof:
         leaf = keccak(min(leaf, other) + max(leaf, other))
     return leaf == root
@@ -177,6 +175,6 @@ def verify_inclusion(proofs: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(included=[bool(r) and x is not None and p is not None and verify_proof(bytes(x), [bytes(q) for q in p], bytes(r)) for x, p, r in zip(b["leaf"], b["proof"], b["root"], strict=True)])
+            yield b.assign(included=[r is not None and any(bytes(r)) and x is not None and p is not None and verify_proof(bytes(x), [bytes(q) for q in p], bytes(r)) for x, p, r in zip(b["leaf"], b["proof"], b["root"], strict=True)])
 
     return proofs.mapInPandas(check, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in proofs.schema) + ", included boolean")

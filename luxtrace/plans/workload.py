@@ -356,10 +356,10 @@ def catalogue_sync(spark, d):
     return catalogue.sync(c, bodies, chain, 5000).select("image_hash", "pce", "body_name")
 
 
-@query("SELECT c_custkey::varchar AS body_id FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus <> 'P')")
+@query("SELECT c_custkey::varchar AS body_id FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT' AND o.o_orderstatus = 'F')")
 def needs_attention(spark, d):
     enrolled = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("body_id"))
-    on_chain = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("body_id"), (F.col("o_orderstatus") == "P").alias("revoked"))
+    on_chain = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("body_id"), (~((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))).alias("revoked"))
     return catalogue.needs_attention(enrolled, on_chain)
 
 
