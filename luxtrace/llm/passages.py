@@ -156,11 +156,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     twice = parsed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     found = cut(parsed.join(twice, "k", "left_semi"), "repeated-cores")
     release(spark, parsed)
-    several = found.groupBy("k").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).select("k", (F.col("h0") != F.col("h1")).alias("several"))
-    found = found.join(several, "k")
-    counted = found.where("several").groupBy("k", "h").agg(F.count(F.lit(1)).alias("c"), F.first("d").alias("d"), F.first("p").alias("p"))
-    classes = cut(counted, "dictionary")
-    whole = found.join(classes.where("c > 1").select("k", "h", F.lit(True).alias("more")), ["k", "h"], "left").where("more OR NOT several")
+    counted = cut(found.groupBy("k", "h").agg(F.count(F.lit(1)).alias("c"), F.first("d").alias("d"), F.first("p").alias("p")), "dictionary")
+    classes = counted.join(counted.groupBy("k").count().where("count > 1").select("k"), "k", "left_semi")
+    whole = found.join(counted.where("c > 1").select("k", "h"), ["k", "h"], "left_semi")
     whole = whole.selectExpr("d", f"shiftright(p, {_V}) AS v", f"{_START} AS s", f"{_START} + (shiftright(p, {_E}) & 1023) AS e")
 
     wanted = classes.selectExpr("d", f"shiftright(p, {_V}) AS v", "struct(k, c, p) AS w").groupBy("d", "v").agg(F.collect_list("w").alias("w"))  # of one text
