@@ -92,6 +92,17 @@ def map_rows(df: DataFrame, rows: Callable[[Iterable[tuple]], Iterable[tuple]],
     return df.mapInArrow(run, out)
 
 
+def keep_rows(df: DataFrame, keeper: Callable[[], Callable[[tuple], bool]]) -> DataFrame:
+    """The rows of ``df`` for which the function that ``keeper`` makes (once a task) is true; columns of any name."""
+    names = df.columns
+    plain = df.toDF(*[f"c{k}" for k in range(len(names))])
+
+    def rows(it: Iterable[tuple]) -> Iterator[tuple]:
+        return filter(keeper(), it)
+
+    return map_rows(plain, rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)).toDF(*names)
+
+
 def map_columns(df: DataFrame, columns_of: Callable[[tuple], Iterable[tuple]], schema: str) -> DataFrame:
     """``columns_of`` takes a row and yields tuples of numpy arrays of equal length, which become rows of the result."""
     out = df.sparkSession.createDataFrame([], schema).schema

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from luxtrace.llm.common import bounded_batches, columns, map_rows, read_table
+from luxtrace.llm.common import bounded_batches, columns, keep_rows, map_rows, read_table
 
 #: Template tokens in a window, how many must be words, and the share of an item's windows that makes a leak.
 WINDOW, WORDS, LEAST = 5, 3, 0.8
@@ -229,17 +229,14 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = LEAST) -
     spark = docs.sparkSession
     bounded_batches(spark)
     at = docs.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for block in _blocks(benchmark, "item_id", "text"):
         shared = spark.sparkContext.broadcast(block)
 
-        def rows(it: Iterable[tuple], shared=shared) -> Iterator[tuple]:
+        def keeper(shared=shared):
             probe = _prober(shared, least)
-            for row in it:
-                if next(iter(probe(row[at])), None) is None:
-                    yield row
+            return lambda row: next(iter(probe(row[at])), None) is None
 
-        docs = map_rows(docs, rows, schema)
+        docs = keep_rows(docs, keeper)
     return docs
 
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from luxtrace.llm.common import bounded_batches, columns, map_rows, read_table
+from luxtrace.llm.common import bounded_batches, columns, keep_rows, map_rows, read_table
 
 #: Ranks compared, longest n-grams, documents a language that profiles are made of at most, characters counted at a time.
 RANKS = 300
@@ -175,16 +175,13 @@ def learned_on_documents(docs: DataFrame) -> Profiles:
 def keep_identified(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose text is in some learned language; the others are rejected. No column changes."""
     bounded_batches(docs.sparkSession)
-    schema = docs.schema
+    at = docs.columns.index("text")
 
-    def rows(it: Iterable[tuple]) -> Iterator[tuple]:
-        for row in it:
-            lang, score = profiles.predict(row[at])
-            if lang != UNKNOWN and score >= least:
-                yield row
+    def known(row: tuple) -> bool:
+        lang, score = profiles.predict(row[at])
+        return lang != UNKNOWN and score >= least
 
-    at = docs.columns.index("text")
-    return map_rows(docs, rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
+    return keep_rows(docs, lambda: known)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
