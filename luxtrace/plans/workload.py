@@ -65,9 +65,9 @@ WITH raw AS (
   FROM first_image i LEFT JOIN first_image p ON p.epoch = i.epoch AND p.image_hash = i.parent_hash AND p.event_id < i.event_id
 ), com AS (
   SELECT event_id, sec, epoch, u, t, k, row_number() OVER (ORDER BY event_id) - 1 AS commit_index,
-    CASE WHEN t = 'view' THEN 'genesis:' || substr(image_hash, 3) ELSE 'ipfs:' || k::varchar END AS asset_cid, CASE WHEN t = 'view' THEN image_hash END AS image,
+    CASE WHEN t IN ('view', 'purchase') THEN 'genesis:' || substr(image_hash, 3) ELSE 'ipfs:' || k::varchar END AS asset_cid, CASE WHEN t IN ('view', 'purchase') THEN image_hash END AS image,
     '0x' || sha256(event_id::varchar) AS tx_hash
-  FROM ev WHERE kind = 'Commit'
+  FROM ev WHERE kind IN ('Commit', 'ImageRegistered')
 ), as_of AS (
   SELECT i.*, (SELECT arg_max(CASE WHEN e.kind = 'BodyRegistered' THEN e.own ELSE e.dest END, e.event_id) FROM ev e
      WHERE e.epoch = i.epoch AND e.body_id = i.body_id AND e.kind IN ('BodyRegistered', 'BodyTransferred') AND e.event_id < i.event_id) AS owner_then,
@@ -80,7 +80,7 @@ WITH raw AS (
 # --- P1: the fold
 
 
-@query(EV + "SELECT event_id AS block_number, kind, epoch FROM ev")
+@query(EV + "SELECT event_id AS block_number, kind, epoch FROM ev UNION ALL SELECT event_id, 'Commit', epoch FROM ev WHERE kind = 'ImageRegistered'")
 def registry_epoch(spark, d):
     return folded(spark, d).select("block_number", "kind", "epoch")
 
@@ -156,11 +156,11 @@ def image_record(spark, d):
     f = folded(spark, d)
     at = event_fold.owner_as_of(f, event_fold.images_current(f))
     now = event_fold.bodies_current(f).select("body_id", F.col("owner").alias("owner_now"), "revoked")
-    commits = f.where("kind = 'Commit'").withColumn("image", words.image_of_content_id("asset_cid")).where("image IS NOT NULL").groupBy("image").agg(F.min_by("tx_hash", "pos").alias("__tx"), F.min("pos").alias("__pos"))
+    commits = f.where("kind = 'Commit'").withColumn("image", words.image_of_content_id("asset_cid")).where("image IS NOT NULL").groupBy("image").agg(F.min_by("tx_hash", "pos").alias("__tx"))
     out = at.join(now, "body_id", "left").join(commits, F.col("image_hash") == F.col("image"), "left")
     return out.select(
         "image_hash", "body_id", F.coalesce("owner_then", "owner_now").alias("owner"), F.coalesce("revoked", F.lit(False)).alias("body_revoked"), "registered_at", "pce", labels.level_name("level").alias("level"), "parent",
-        F.when(F.col("__pos") == F.col("pos"), F.col("__tx")).alias("tx_hash"), (F.col("pce") >= 100).alias("passes"),
+        F.when(F.col("__tx") == F.col("tx_hash"), F.col("__tx")).alias("tx_hash"), (F.col("pce") >= 100).alias("passes"),
     )
 
 
@@ -259,7 +259,7 @@ def replay_calls(spark, d):
 def generated_calls(spark: SparkSession, d: str) -> DataFrame:
     from luxtrace.operators.registry import CALLS
 
-    log = generated_log(spark, d)
+    log = generated_log(spark, d).where("log_index = 0")  # registrations make their commits themselves
     name = {"BodyRegistered": "registerBody", "BodyRevoked": "revokeBody", "BodyTransferred": "transferBody", "ImageRegistered": "registerImage", "SessionCommitted": "commitSession", "Commit": "commit", "RegistryReset": "resetAll", "Attested": "attest", "Challenged": "challenge"}
     function = F.create_map(*[F.lit(x) for kv in name.items() for x in kv])[F.col("kind")]
     sender = F.coalesce(F.col("owner"), F.col("by_address"), F.col("recorder"), F.when(F.col("kind") == "RegistryReset", F.lit("0x" + "0" * 40)), F.concat(F.lit("0x"), F.right("body_id", F.lit(40))), F.lit("0x" + "0" * 40))

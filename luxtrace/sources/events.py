@@ -42,4 +42,9 @@ def generated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "subject": F.when(of("Attested", "Challenged"), subject), "by_address": F.when(of("Attested", "Challenged"), word(u, 40)), "attest_kind": F.when(of("Attested"), word(k % 3)),
     }
     types = {f.name: f.dataType for f in EVENTS}
-    return made.select(*[columns.get(n, F.lit(None)).cast(d).alias(n) for n, d in types.items()])
+    log = made.select(*[columns.get(n, F.lit(None)).cast(d).alias(n) for n, d in types.items()])
+    # A registration emits a commit of the image in the same transaction.
+    own = log.where("kind = 'ImageRegistered'")
+    commit = {"kind": F.lit("Commit"), "log_index": F.lit(1), "recorder": F.concat(F.lit("0x"), F.right("body_id", F.lit(40))), "asset_cid": content_id("image_hash")}
+    shared = ("block_number", "tx_hash", "block_timestamp")
+    return log.union(own.select(*[commit.get(n, F.col(n) if n in shared else F.lit(None)).cast(d).alias(n) for n, d in types.items()]))
