@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from luxtrace.schema import CID_PREFIX, DESKTOP_SOFTWARE, RAW_SUFFIXES, ZERO_WORD
+from luxtrace.schema import CID_PREFIX, DESKTOP_SOFTWARE, MAIN_CHAINS, RAW_SUFFIXES, TEST_CHAINS, ZERO_WORD
 
 
 def _c(c: Column | str) -> Column:
@@ -129,3 +129,13 @@ def is_camera_jpeg(make: Column | str, software: Column | str) -> Column:
     """A maker's name and no sign of a desktop program: the camera wrote the file itself."""
     edited = reduce(lambda a, b: a | b, [F.lower(F.coalesce(_c(software), F.lit(""))).contains(s) for s in DESKTOP_SOFTWARE])
     return (F.coalesce(_c(make), F.lit("")) != "") & ~edited
+
+
+def may_test(chain_id: Column | str) -> Column:
+    """Whether a registry on this chain may be one that can be reset; unknown chains may not."""
+    return F.coalesce(_c(chain_id).isin(*TEST_CHAINS) & ~_c(chain_id).isin(*MAIN_CHAINS), F.lit(False))
+
+
+def may_reset(test_mode: Column | str, registry: Column | str, typed: Column | str) -> Column:
+    """A reset takes a test registry and its address typed out."""
+    return F.coalesce(_c(test_mode) & (F.lower(F.trim(_c(typed))) == F.lower(_c(registry))), F.lit(False))

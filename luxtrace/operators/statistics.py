@@ -146,3 +146,8 @@ def inject(sample: Column | str, k: Column | str, alpha: Column | float, levels:
 def pixel_of_mosaic(value: Column | str, black: Column | str, white: Column | str) -> Column:
     """A raw sample over its black level as a share of the range, within 0 and 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (_c(value) - _c(black)) / (_c(white) - _c(black))))
+
+
+def corpus_table(df: DataFrame, label: str, value: str) -> DataFrame:
+    """Number, mean, least and largest value of each label."""
+    return df.groupBy(label).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("largest"))

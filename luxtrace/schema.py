@@ -26,6 +26,9 @@ DESKTOP_SOFTWARE = ("adobe", "photoshop", "lightroom", "acd", "capture one", "da
 LEVELS_REPORT = ("unedited RAW", "adjusted", "generative edit")
 LEVELS_RECORD = ("unedited raw", "adjusted", "generative edit")
 
+# Chains on which a registry may be reset, and chains on which none may.
+TEST_CHAINS, MAIN_CHAINS = (11155111, 84532, 17000, 31337, 1337), (1, 8453)
+
 ZERO_WORD = "0x" + "0" * 64
 
 #: One row for each registry event; payload columns that a kind lacks are null.

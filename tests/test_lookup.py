@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from test_registry import event, fold
 
 from luxtrace.functions import signing
@@ -80,7 +79,17 @@ def test_evaluation(spark):
     assert 0.9 < whole < 1 and part < 0.5
     field = evaluation.mosaic_field(k, [[0, 1], [3, 2]], (128, 128))
     assert np.array_equal(field[1::2, 1::2], k[2])
-    pixels = [(f, r, c, float(np.sin(r * 7 + c) + f), float(np.sin(r * 7 + c))) for f in (0, 1) for r in range(9) for c in range(8)]
-    blocks = evaluation.block_table(spark.createDataFrame(pixels, "frame_id int, row int, col int, w double, e double"), 4)
-    assert blocks.count() == 8 and blocks.where("frame_id = 0").agg(F.min("corr")).first()[0] == pytest.approx(1.0)
-    assert evaluation.triangle_pairs(blocks).count() == 1
+    r = np.random.default_rng(3)
+    i, w = r.uniform(0.2, 0.8, (2, 9, 8)), r.normal(size=(2, 9, 8))
+    kk = r.normal(size=(9, 8))
+    rows = [(f, y, x, float(i[f, y, x]), float(w[f, y, x]), float(kk[y, x])) for f in (0, 1) for y in range(9) for x in range(8)]
+    pairs = spark.createDataFrame([(0, 1)], "a int, b int")
+    got = evaluation.triangle_pairs(spark.createDataFrame(rows, "frame_id int, row int, col int, i double, w double, k double"), pairs, 4).first()
+    cut = lambda a: [a[y : y + 4, x : x + 4].ravel() for y in (0, 4) for x in (0, 4)]
+    corr = lambda a, b: float(np.corrcoef(a.ravel(), b.ravel())[0, 1])
+    att = [[np.linalg.norm(v) / (np.sqrt((u**2).mean()) * np.linalg.norm(q)) * corr(v, u * q) for u, v, q in zip(cut(i[f]), cut(w[f]), cut(kk), strict=True)] for f in (0, 1)]
+    top = sum(p * q * (u * v).mean() for p, q, u, v in zip(*att, cut(i[0]), cut(i[1]), strict=True))
+    bottom = np.prod([sum(p * u.mean() for p, u in zip(att[f], cut(i[f]), strict=True)) for f in (0, 1)])
+    assert got["observed"] == pytest.approx(corr(w[0], w[1])) and got["predicted"] == pytest.approx(corr(w[0], kk) * corr(w[1], kk) * top * 4 / bottom)
+    assert evaluation.synthetic_carrier((20, 30)).shape == (20, 30, 3)
+    assert len(np.unique(evaluation.degrade(k[0], bits=1))) == 2 and np.count_nonzero(evaluation.degrade(k[0], crop=0.5)) <= 32 * 32
