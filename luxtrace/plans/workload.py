@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from luxtrace.functions import hashing, labels, words
 from luxtrace.operators import catalogue, event_fold, similarity, statistics, verdict
+from luxtrace.schema import BODY_TAG, CID_PREFIX, PIXEL_TAG, RECORD_TAG, SESSION_TAG
 from luxtrace.sources.events import generated_log, word
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,7 +66,7 @@ WITH raw AS (
   FROM first_image i LEFT JOIN first_image p ON p.epoch = i.epoch AND p.image_hash = i.parent_hash AND p.event_id < i.event_id
 ), com AS (
   SELECT event_id, sec, epoch, u, t, k, row_number() OVER (ORDER BY event_id) - 1 AS commit_index,
-    CASE WHEN t IN ('view', 'purchase') THEN 'genesis:' || substr(image_hash, 3) ELSE 'ipfs:' || k::varchar END AS asset_cid, CASE WHEN t IN ('view', 'purchase') THEN image_hash END AS image,
+    CASE WHEN t IN ('view', 'purchase') THEN '{CID_PREFIX}' || substr(image_hash, 3) ELSE 'ipfs:' || k::varchar END AS asset_cid, CASE WHEN t IN ('view', 'purchase') THEN image_hash END AS image,
     '0x' || sha256(event_id::varchar) AS tx_hash
   FROM ev WHERE kind IN ('Commit', 'ImageRegistered')
 ), as_of AS (
@@ -372,7 +373,7 @@ def serials_disagree(spark, d):
 # --- hashes
 
 
-@query("SELECT doc_id, sha256(unhex('67656e657369732d706978656c732d7631') || unhex(lpad(printf('%x', strlen(text)), 8, '0')) || unhex('0000000100000003') || encode(text)) AS image_hash FROM documents")
+@query(f"SELECT doc_id, sha256(unhex('{PIXEL_TAG.hex()}') || unhex(lpad(printf('%x', strlen(text)), 8, '0')) || unhex('0000000100000003') || encode(text)) AS image_hash FROM documents")
 def pixel_identity(spark, d):
     """Content hash of rasters: here each text's bytes as one column of pixels."""
     t = F.encode("text", "UTF-8")
@@ -385,13 +386,13 @@ def exact_duplicates(spark, d):
     return table(spark, d, "documents").select("doc_id", h).groupBy("content").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("SELECT doc_id, 'genesis:' || sha256(text) AS cid, '0x' || sha256(text) AS image FROM documents")
+@query(f"SELECT doc_id, '{CID_PREFIX}' || sha256(text) AS cid, '0x' || sha256(text) AS image FROM documents")
 def asset_cid(spark, d):
     cid = words.content_id(F.sha2(F.col("text").cast("binary"), 256))
     return table(spark, d, "documents").select("doc_id", cid.alias("cid"), words.image_of_content_id(cid).alias("image"))
 
 
-_REC = "unhex('67656e657369732d7265636f72642d7631') || unhex(sha256(text)) || unhex(lpad(printf('%x', doc_id), 16, '0')) || unhex(sha256(source)) || unhex(lpad(printf('%x', doc_id % 3), 2, '0')) || unhex(repeat('00', 32)) || unhex(sha256(lang)) || unhex(lpad(printf('%x', n_chars), 8, '0')) || unhex(lpad(printf('%x', 1757000000 + doc_id), 16, '0'))"
+_REC = f"unhex('{RECORD_TAG.hex()}') || unhex(sha256(text)) || unhex(lpad(printf('%x', doc_id), 16, '0')) || unhex(sha256(source)) || unhex(lpad(printf('%x', doc_id % 3), 2, '0')) || unhex(repeat('00', 32)) || unhex(sha256(lang)) || unhex(lpad(printf('%x', n_chars), 8, '0')) || unhex(lpad(printf('%x', 1757000000 + doc_id), 16, '0'))"
 
 
 @query(f"SELECT doc_id, sha256({_REC}) AS digest, octet_length({_REC}) AS n_bytes FROM documents")
@@ -413,19 +414,19 @@ def metadata_hmacs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.lower(F.hex(mac)).alias("mac"))
 
 
-@query(f"SELECT doc_id, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || unhex('67656e657369732d626f64792d7631') || {_LEN('source')} || {_LEN('lang')} || {_LEN('doc_id::varchar')} || {_LEN(chr(39) * 2)} || unhex('00000020') || unhex(sha256(text))))) AS mac FROM documents")
+@query(f"SELECT doc_id, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || unhex('{BODY_TAG.hex()}') || {_LEN('source')} || {_LEN('lang')} || {_LEN('doc_id::varchar')} || {_LEN(chr(39) * 2)} || unhex('00000020') || unhex(sha256(text))))) AS mac FROM documents")
 def body_commitments(spark, d):
     mac = hashing.body_commitment(_HMAC_KEY, F.col("source"), F.col("lang"), F.col("doc_id"), F.lit(None).cast("string"), F.concat(F.lit("0x"), F.sha2(F.col("text").cast("binary"), 256)))
     return table(spark, d, "documents").select("doc_id", F.lower(F.hex(mac)).alias("mac"))
 
 
-@query("SELECT source, sha256(unhex('67656e657369732d73657373696f6e') || unhex(sha256(source))) AS session_id FROM documents GROUP BY source")
+@query(f"SELECT source, sha256(unhex('{SESSION_TAG.hex()}') || unhex(sha256(source))) AS session_id FROM documents GROUP BY source")
 def session_ids(spark, d):
     s = table(spark, d, "documents").select("source").distinct()
     return s.select("source", F.lower(F.hex(hashing.session_id(hashing.sha256(F.col("source").cast("binary"))))).alias("session_id"))
 
 
-@query("""SELECT doc_id, '{"body_id":"' || sha256(source) || '","image_hash":"' || sha256(text) || '","metadata_hmac":"' || sha256(lang) || '","modification_level":' || (doc_id % 3) || ',"parent_image_hash":"' || repeat('0', 64) || '","pce_score":' || n_chars || ',"perceptual_hash":"' || lpad(lower(printf('%x', doc_id)), 16, '0') || '","registered_at":' || (1757000000 + doc_id) || ',"version":"genesis-record-v1"}' AS data FROM documents""")
+@query("""SELECT doc_id, '{"body_id":"' || sha256(source) || '","image_hash":"' || sha256(text) || '","metadata_hmac":"' || sha256(lang) || '","modification_level":' || (doc_id % 3) || ',"parent_image_hash":"' || repeat('0', 64) || '","pce_score":' || n_chars || ',"perceptual_hash":"' || lpad(lower(printf('%x', doc_id)), 16, '0') || '","registered_at":' || (1757000000 + doc_id) || ',"version":"@TAG@"}' AS data FROM documents""".replace("@TAG@", RECORD_TAG.decode()))
 def commit_data(spark, d):
     h = lambda c: hashing.sha256(F.col(c).cast("binary"))
     data = hashing.commit_data(h("image"), words.big_endian("doc_id", 8), h("source"), F.col("doc_id") % 3, F.unhex(F.lit("00" * 32)), h("lang"), F.col("n_chars"), F.col("doc_id") + 1757000000)

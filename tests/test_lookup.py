@@ -10,6 +10,7 @@ from luxtrace.operators import lookup, sessions
 from luxtrace.operators.event_fold import bodies_current, images_current
 from luxtrace.operators.raster import evaluation
 from luxtrace.operators.raster import kernels as K
+from luxtrace.schema import CID_PREFIX
 
 H = lambda k: "0x" + f"{k:064x}"
 OWNER = "0x" + "a" * 40
@@ -19,7 +20,7 @@ OWNER = "0x" + "a" * 40
 def log(spark):
     e = [
         event(1, "BodyRegistered", body_id=H(1), owner=OWNER, body_commitment=H(77)), event(2, "ImageRegistered", body_id=H(1), image_hash=H(10), perceptual_hash=H(5), level=0, pce=150),
-        event(2, "Commit", asset_cid="genesis:" + H(10)[2:]) | {"log_index": 1, "tx_hash": "0x" + f"{2:064x}"}, event(3, "ImageRegistered", body_id=H(1), image_hash=H(11), parent_hash=H(10), perceptual_hash=H(5), level=1, pce=120), event(4, "BodyTransferred", body_id=H(1), to_address="0x" + "b" * 40),
+        event(2, "Commit", asset_cid=CID_PREFIX + H(10)[2:]) | {"log_index": 1, "tx_hash": "0x" + f"{2:064x}"}, event(3, "ImageRegistered", body_id=H(1), image_hash=H(11), parent_hash=H(10), perceptual_hash=H(5), level=1, pce=120), event(4, "BodyTransferred", body_id=H(1), to_address="0x" + "b" * 40),
     ]
     return fold(spark, e).cache()
 

@@ -4,7 +4,7 @@ import random
 
 from luxtrace.operators import event_fold
 from luxtrace.operators.registry import CALLS, ZERO_ADDRESS, replay
-from luxtrace.schema import EVENTS, ZERO_WORD
+from luxtrace.schema import CID_PREFIX, EVENTS, ZERO_WORD
 
 ADMIN = "0x" + "ad" * 20
 
@@ -87,9 +87,9 @@ def fold(spark, events):
 def test_resets_transfers_and_parents(spark):
     e = [
         event(1, "BodyTransferred", body_id="b", to_address="x"), event(2, "BodyRegistered", body_id="b", owner="a", body_commitment=ZERO_WORD), event(3, "ImageRegistered", body_id="b", image_hash="child", parent_hash="parent"),
-        event(4, "ImageRegistered", body_id="b", image_hash="parent"), event(5, "Commit", asset_cid="genesis:" + "ab" * 32), event(6, "RegistryReset"), event(7, "BodyRevoked", body_id="b"),
+        event(4, "ImageRegistered", body_id="b", image_hash="parent"), event(5, "Commit", asset_cid=CID_PREFIX + "ab" * 32), event(6, "RegistryReset"), event(7, "BodyRevoked", body_id="b"),
         event(8, "BodyRegistered", body_id="b", owner="c", body_commitment="0x" + "1" * 64), event(9, "BodyTransferred", body_id="b", to_address="d"), event(10, "BodyRevoked", body_id="b"), event(11, "ImageRegistered", body_id="b", image_hash="parent"),
-        event(12, "ImageRegistered", body_id="b", image_hash="child", parent_hash="parent"), event(13, "Commit", asset_cid="genesis:short"),
+        event(12, "ImageRegistered", body_id="b", image_hash="child", parent_hash="parent"), event(13, "Commit", asset_cid=CID_PREFIX + "short"),
     ]
     f = fold(spark, e).cache()
     b = {r["epoch"]: r for r in event_fold.bodies(f).collect()}
