@@ -33,11 +33,11 @@ CHECKSUM_FLAG = 0x80
 
 LEVEL = 3
 #: Chunks of text kept with their ids in each Python worker, and documents encoded at a time.
-CHUNKS_KEPT = 150_000
+CHUNKS_KEPT = 400_000
 CHUNK_CHARS = 64
 #: ASCII signs that are one piece of their own after a word; the apostrophe has rules of its own.
 STOPS = '.,;:!?"*#$%&()[]{}<>/|@^~_=+-\\`'
-AT_A_TIME = 64
+AT_A_TIME = 256
 #: The most bytes that a reader takes from a file at once, if no frame is larger.
 READ_BYTES = 4 << 20
 NULL_ID = -(1 << 63)
