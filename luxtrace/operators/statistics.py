@@ -75,16 +75,15 @@ def likelihood_ratio(samples: DataFrame, values: DataFrame, least: int = LEAST_S
     over buckets, so no pair of sample and value is made.
     """
     n = samples.agg(F.count_if("genuine").alias("ng"), F.count_if(~F.col("genuine")).alias("nf"))
-    s = samples.select(F.lit(None).cast("long").alias("value_id"), F.abs(F.col("x").cast("double")).alias("m"), F.col("genuine").cast("int").alias("g"), (~F.col("genuine")).cast("int").alias("f"), F.lit(None).cast("double").alias("value"))
-    v = values.select(F.col("value_id").cast("long"), F.abs(F.col("value").cast("double")).alias("m"), F.lit(0).alias("g"), F.lit(0).alias("f"), F.col("value").cast("double").alias("value"))
+    asked = values.select(F.col("value_id").cast("long").alias("value_id"), F.col("value").cast("double").alias("value")).withColumn("m", F.abs("value"))
+    s = samples.select(F.abs(F.col("x").cast("double")).alias("m"), F.col("genuine").cast("int").alias("g"), (~F.col("genuine")).cast("int").alias("f"))
     # One row for each extremity, so that equal ones count together.
-    by_m = s.union(v).groupBy("m").agg(F.sum("g").alias("g"), F.sum("f").alias("f"), F.collect_list(F.when(F.col("value_id").isNotNull(), F.struct("value_id", "value"))).alias("vs"))
-    order = by_m.withColumn("__pos", -F.col("m"))
-    total = running_sum(running_sum(order, "__pos", F.col("g"), "cg"), "__pos", F.col("f"), "cf")
-    out = total.where(F.size("vs") > 0).crossJoin(F.broadcast(n)).select(F.explode("vs").alias("v"), "cg", "cf", "ng", "nf")  # n is one row
+    by_m = s.union(asked.select("m", F.lit(0), F.lit(0))).groupBy("m").agg(F.sum("g").alias("g"), F.sum("f").alias("f")).withColumn("__pos", -F.col("m"))
+    total = running_sum(running_sum(by_m, "__pos", F.col("g"), "cg"), "__pos", F.col("f"), "cf").select("m", "cg", "cf")
+    out = asked.join(total, "m").crossJoin(F.broadcast(n))  # n is one row
     enough = F.least("ng", "nf") >= least
     ratio = ((F.col("cg") + 1) / (F.col("ng") + 2)) / ((F.col("cf") + 1) / (F.col("nf") + 2))
-    return out.select("v.value_id", "v.value", enough.alias("sufficient"), F.when(enough, ratio).alias("ratio"))
+    return out.select("value_id", "value", enough.alias("sufficient"), F.when(enough, ratio).alias("ratio"))
 
 
 def pooled_triangle(df: DataFrame, key: str, d: str) -> DataFrame:
