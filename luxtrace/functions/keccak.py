@@ -141,14 +141,18 @@ CHUNK = 1 << 14
 def merkle_roots(frames: DataFrame, session: str = "session_id", leaf: str = "leaf") -> DataFrame:
     """``session, merkle_root, frame_count``, of whatever many frames a session has.
 
-    Leaves get their rank within the session; runs of ``CHUNK`` ranks, a power of two, become subtrees in parallel, and the
-    level above them is small. Equal to one tree over all leaves, since a run below it is a whole subtree, and the last,
-    shorter run goes up by itself as an odd node does.
+    Leaves get their rank within the session (by their first two bytes, then within those, so that a large session is shared
+    out); runs of ``CHUNK`` ranks, a power of two, become subtrees in parallel, and the level above them is small. Equal to
+    one tree over all leaves, since a run below it is a whole subtree, and the last, shorter run goes up as an odd node does.
     """
     from pyspark.sql import Window
 
     ordered = frames.where(F.col(leaf).isNotNull()).select(F.col(session).alias("s"), F.col(leaf).alias("l"))
-    ranked = ordered.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("l")) - 1).withColumn("c", F.floor(F.col("r") / CHUNK))
+    ordered = ordered.withColumn("b", F.conv(F.hex(F.substring("l", 1, 2)), 16, 10).cast("int"))
+    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows a session
+    sizes = ordered.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n")).select("s", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("s", "b").orderBy("l")) - 1
+    ranked = ordered.join(sizes, ["s", "b"]).withColumn("c", F.floor((F.col("base") + within) / CHUNK)).select("s", "l", "c")
 
     def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted(map(bytes, pdf["l"]))
