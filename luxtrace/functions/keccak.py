@@ -148,7 +148,7 @@ def merkle_roots(frames: DataFrame, session: str = "session_id", leaf: str = "le
     from pyspark.sql import Window
 
     ordered = frames.where(F.col(leaf).isNotNull()).select(F.col(session).alias("s"), F.col(leaf).alias("l"))
-    ordered = ordered.withColumn("b", F.conv(F.hex(F.substring("l", 1, 2)), 16, 10).cast("int"))
+    ordered = ordered.withColumn("b", F.conv(F.rpad(F.hex(F.substring("l", 1, 2)), 4, "0"), 16, 10).cast("int"))
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows a session
     sizes = ordered.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n")).select("s", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = F.row_number().over(Window.partitionBy("s", "b").orderBy("l")) - 1
