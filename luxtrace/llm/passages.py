@@ -153,9 +153,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     parsed = cut(parse(keyed), "parse")
-    twice = parsed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    # Written first, so that the join below has two plain shuffles and Spark can split a core that very many texts have.
+    twice = cut(parsed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"), "cores")
+    release(spark)
     found = cut(parsed.join(twice, "k", "left_semi"), "repeated-cores")
-    release(spark, parsed)
+    release(spark, parsed, twice)
     counted = cut(found.groupBy("k", "h").agg(F.count(F.lit(1)).alias("c"), F.first("d").alias("d"), F.first("p").alias("p")), "dictionary")
     classes = counted.join(counted.groupBy("k").count().where("count > 1").select("k"), "k", "left_semi")
     whole = found.join(counted.where("c > 1").select("k", "h"), ["k", "h"], "left_semi")
