@@ -22,8 +22,9 @@ def positioned(events: DataFrame) -> DataFrame:
 
 
 def with_epoch(events: DataFrame) -> DataFrame:
-    """Positioned events with the number of resets before each (``epoch``); a reset itself still has the old one."""
-    return running_sum(events, "pos", F.col("kind") == "RegistryReset", "epoch", inclusive=False)
+    """Positioned events with the number of resets before each (``epoch``) and at all (``last_epoch``); a reset itself still has
+    the old epoch."""
+    return running_sum(events, "pos", F.col("kind") == "RegistryReset", "epoch", inclusive=False, total="last_epoch")
 
 
 def current_epoch(events: DataFrame) -> DataFrame:
@@ -32,8 +33,9 @@ def current_epoch(events: DataFrame) -> DataFrame:
     return events.agg(n.alias("epoch"), (n > 0).alias("resettable"))
 
 
-def _current(df: DataFrame, events: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(current_epoch(events).select("epoch")), "epoch")  # one row
+def of_last_epoch(folded: DataFrame) -> DataFrame:
+    """The events of the current epoch; a fold over them alone gives the current tables."""
+    return folded.where(F.col("epoch") == F.col("last_epoch"))
 
 
 def bodies(folded: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def bodies(folded: DataFrame) -> DataFrame:
 
 
 def bodies_current(folded: DataFrame) -> DataFrame:
-    return _current(bodies(folded), folded)
+    return bodies(of_last_epoch(folded))
 
 
 def images(folded: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def images(folded: DataFrame) -> DataFrame:
 
 
 def images_current(folded: DataFrame) -> DataFrame:
-    return _current(images(folded), folded)
+    return images(of_last_epoch(folded))
 
 
 def sessions(folded: DataFrame) -> DataFrame:

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def running_sum(df: DataFrame, pos: str, value: Column, name: str, *, inclusive: bool = True, ranges: int = RANGES) -> DataFrame:
+def running_sum(df: DataFrame, pos: str, value: Column, name: str, *, inclusive: bool = True, total: str | None = None, ranges: int = RANGES) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows up to (or before) each row in order of ``pos``.
 
     ``pos`` is a unique number. The order is cut at approximate quantiles; each range is summed on its own and the few sums
-    are added up in order, so no task holds more than a range.
+    are added up in order, so no task holds more than a range. With ``total``, each row gets the sum over all rows as well.
     """
     cuts = sorted(set(df.approxQuantile(pos, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
     spread = df.withColumn("__v", value.cast("long")).withColumn("__r", _range_of(F.col(pos), cuts))
     before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range at most
-    sums = spread.groupBy("__r").agg(F.sum("__v").alias("__s")).select("__r", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
+    whole = [F.sum("__s").over(Window.partitionBy(F.lit(0))).alias(total)] if total else []
+    sums = spread.groupBy("__r").agg(F.sum("__v").alias("__s")).select("__r", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"), *whole)
     within = Window.partitionBy("__r").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     own = F.coalesce(F.sum("__v").over(within), F.lit(0))
     return spread.withColumn("__own", own).join(F.broadcast(sums), "__r").withColumn(name, F.col("__base") + F.col("__own")).drop("__v", "__r", "__own", "__base")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from luxtrace.operators.event_fold import bodies, positioned
+from luxtrace.operators.event_fold import bodies_current, positioned, with_epoch
 from luxtrace.schema import EVENTS
 
 
@@ -36,8 +36,5 @@ def stream_bodies(spark: SparkSession, source: str, state: str, checkpoint: str,
 
 def bodies_from_state(spark: SparkSession, state: str) -> DataFrame:
     """The current bodies after the batches so far, by the batch fold over the partial states."""
-    from luxtrace.operators.event_fold import _current, with_epoch
-
     rows = spark.read.option("basePath", state).parquet(state).drop("batch").dropDuplicates(["block_number", "log_index"])
-    folded = with_epoch(positioned(rows))
-    return _current(bodies(folded), folded)
+    return bodies_current(with_epoch(positioned(rows)))
