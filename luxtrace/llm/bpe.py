@@ -9,6 +9,7 @@ alone, so it is memoised; a position that was left once is never tried again. Ti
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -16,13 +17,12 @@ import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from luxtrace.llm.common import bounded_batches, columns, map_rows, read_table, tokenizer_path
 
 #: Pieces kept with their ids, and pairs kept with their verdict, in each Python worker.
-PIECES_KEPT = 400_000
-PAIRS_KEPT = 1_000_000
+PIECES_KEPT = 150_000
+PAIRS_KEPT = 300_000
 #: Longer pieces are encoded each time.
 PIECE_CHARS = 64
 
@@ -201,11 +201,22 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
     return map_rows(columns(encoded, *keep, "ids"), rows, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", decoded binary")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Encode, decode and describe each document: one row for each row of ``docs``."""
-    encoded = encode_documents(docs).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    decoded = decode_documents(encoded, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Encode, decode the ids again and describe both: one row for each row of ``docs``.
+
+    One pass, so that ids and decoded bytes need not leave the worker.
+    """
+    bounded_batches(docs.sparkSession)
+    given = default_vocabulary()
+    path, pattern = path or given[0], pattern or given[1]
+
+    def rows(it: Iterable[tuple]) -> Iterator[tuple]:
+        codec = load_codec(path, pattern)
+        for key, text in it:
+            ids = codec.encode(text)
+            yield key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+
+    return map_rows(columns(docs, "doc_id", "text"), rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ WINDOW, WORDS, LEAST = 5, 3, 0.8
 #: Most characters and items of the benchmark in one block, about.
 BLOCK_CHARS, BLOCK_ITEMS = 16 << 20, 20_000
 #: Words kept with their token in each Python worker.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 
 UNITS = frozenset(
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g gram grams kg kilogram kilograms lb lbs pound pounds ounce ounces ton tons "
