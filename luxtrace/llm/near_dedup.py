@@ -1,18 +1,20 @@
 """Near-duplicate documents (operator 8): order MinHash candidates, verified by banded alignment.
 
-Every text is a sequence of five-word shingles, each labelled with the number of times it came before. Each of several
-orders of the labelled shingles keeps the least few and lists them as they stand in the text, so a sketch notices moved
-text as edit distance does. Texts that share a sketch in one order are candidates, and a candidate pair is a link if a
-banded alignment of the words finds a similarity of 0.8 or more (1 - edits / words of the longer text). Classes are the
-connected parts of the links. Equal texts are one vertex.
+Every text is a sequence of five-word shingles, each labelled with the number of times it came before. Texts that share the
+least shingle in one of several orders are candidates, and a candidate pair is a link if a banded alignment of the words finds
+a similarity of 0.8 or more (1 - edits / words of the longer text). A pair of that similarity shares so many shingles wherever
+its edits stand that some order finds it but for a few in a thousand; short texts, where that doesn't hold, share the least
+words too. Classes are the connected parts of the links. Equal texts are one vertex.
 
 Small buckets give all pairs. In a large one every text is compared with the bucket's first; what fails there meets again
-in the longer sketch of the same order; what fails again is compared with all others of that bucket. Pairs whose lengths
-differ too much for the similarity asked for, and pairs that other links have already joined, are not aligned.
+in the longer sketch of the same order, the least few shingles as they stand in the text. These two steps only save work:
+then all pairs of the large bucket meet whose texts aren't in one part yet. Pairs whose lengths or words differ too much for
+the similarity asked for, and pairs that other links have already joined, are not aligned.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -23,10 +25,15 @@ from pyspark.sql import functions as F
 
 from luxtrace.llm.common import bounded_batches, columns, cut, map_rows, read_table, release
 
-#: Words in a shingle, least similarity, orders, shingles in a sketch and in the longer one, members of a small bucket.
-SHINGLE, LEAST = 5, 0.8
-ORDERS, SHORT, LONG = 24, 2, 8
-SMALL = 4
+#: Words in a shingle if no other number is given, and in one of a sketch; least similarity.
+SHINGLE, RUN, LEAST = 5, 5, 0.8
+#: Orders, shingles in a sketch and in the longer one; words in the same two of texts of at most BAG words.
+ORDERS, SHORT, LONG = 24, 1, 2
+BAG, SHORT_WORDS, LONG_WORDS = 0, 2, 3
+#: Members of a small bucket; members of a large one in a part of it, and most such parts; bits in the parity of words.
+SMALL = 12
+SALT, MOST_SALT = 32768, 64
+PARITY = 512
 #: Columns aligned before the match masks are made anew; shingles ordered at a time.
 BLOCK, AT_A_TIME = 1024, 1 << 16
 NULL_ID = -(1 << 63)
@@ -70,11 +77,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     return _mixed((sums[end] - sums[start]) * down[start])
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of runs of five words; a shorter text is one shingle."""
+def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of runs of ``size`` words; a shorter text is one shingle."""
     if not len(words):
         return words
-    k = min(SHINGLE, len(words))
+    k = min(size, len(words))
     n = len(words) - k + 1
     out = np.zeros(n, _U)
     for i in range(k):
@@ -97,25 +104,34 @@ _SEEDS = _mixed(np.arange(1, ORDERS + 1, dtype=_U) * _U(_BASE))
 
 
 def sketches(words: np.ndarray) -> tuple[list[int], list[int]]:
-    """For each order the hash of the short and of the long sketch; empty lists without words."""
+    """For each order the hash of the short and of the long sketch, of short texts also those of words; empty lists without words."""
     if not len(words):
         return [], []
-    marks = labelled(shingles(words))
-    n = len(marks)
-    most = min(LONG, n)
     short, long = [], []
-    for j, seed in enumerate(_SEEDS):
-        values = (marks ^ seed) * _U(0xD6E8FEB86659FD93)
-        values ^= values >> _U(32)
-        values *= _U(0xD6E8FEB86659FD93)
-        least = np.argpartition(values, most - 1)[:most] if n > most else np.arange(n)
-        least = least[np.argsort(values[least])]
-        for out, size in ((short, SHORT), (long, LONG)):
-            in_text = marks[np.sort(least[:size])].tobytes()
-            out.append(int.from_bytes(xxhash.xxh3_64_digest(in_text, j), "big", signed=True))
+    kinds = [(labelled(shingles(words, RUN)), SHORT, LONG, 0)]
+    if len(words) <= BAG:
+        kinds.append((labelled(words), SHORT_WORDS, LONG_WORDS, ORDERS))
+    for marks, few, more, first in kinds:
+        n = len(marks)
+        most = min(more, n)
+        for j, seed in enumerate(_SEEDS, first):
+            values = (marks ^ seed) * _U(0xD6E8FEB86659FD93)
+            values ^= values >> _U(32)
+            values *= _U(0xD6E8FEB86659FD93)
+            least = np.argpartition(values, most - 1)[:most] if n > most else np.arange(n)
+            least = least[np.argsort(values[least])]
+            # the least words count as a set, the longer sketches as they stand in the text
+            for out, of in ((short, np.sort(marks[least[:few]])), (long, marks[np.sort(least)])):
+                out.append(int.from_bytes(xxhash.xxh3_64_digest(of.tobytes(), j), "big", signed=True))
     return short, long
 
 
+def parity(words: np.ndarray) -> list[int]:
+    """Whether an odd number of words falls into each of PARITY classes, as bits: an edit changes two of them at most."""
+    odd = (np.bincount((words % _U(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two sequences if it is at most ``most``, by alignment in a band around the diagonal.
 
@@ -185,29 +201,36 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float | No
 
 
 def sketch_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``d, n, f1, f2, short, long``: number and fingerprint of the words, and sketches, of each row."""
+    """``d, n, f1, f2, short, long, odd``: number and fingerprint of the words, sketches and parity of each row."""
 
     def rows(it: Iterable[tuple]) -> Iterator[tuple]:
         for d, text in it:
             words = word_hashes(text)
             f = xxhash.xxh3_128_digest(words.tobytes())
-            yield (NULL_ID if d is None else d, len(words), int.from_bytes(f[:8], "big", signed=True), int.from_bytes(f[8:], "big", signed=True), *sketches(words))
+            yield (NULL_ID if d is None else d, len(words), int.from_bytes(f[:8], "big", signed=True), int.from_bytes(f[8:], "big", signed=True), *sketches(words), parity(words))
 
-    return map_rows(_given(docs, id_col, text_col), rows, "d long, n long, f1 long, f2 long, short array<long>, long array<long>")
+    return map_rows(_given(docs, id_col, text_col), rows, "d long, n long, f1 long, f2 long, short array<long>, long array<long>, odd array<long>")
 
 
 def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return columns(docs, id_col, text_col).toDF("i", "t").select(F.col("i").cast("long").alias("d"), "t")
 
 
-def _pairs(buckets: DataFrame, key: str, least: float, *, whole: bool = False) -> DataFrame:
+def _near(a: str, b: str, least: float) -> F.Column:
+    return F.least(a, b) >= F.greatest(a, b) * least - 1e-9
+
+
+def _members(buckets: DataFrame) -> DataFrame:
+    """The rows ``key, d, n, longer`` of buckets of two texts or more, with ``size`` and the first text, ``lead, lead_n``."""
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("lead"), F.min_by("n", "d").alias("lead_n")).where("size > 1")
+    return cut(buckets.join(sizes, "key"), "members")
+
+
+def _pairs(members: DataFrame, least: float) -> DataFrame:
     """``x, y`` (x below y, each once): all pairs of small buckets, pairs with the first member of large ones.
 
-    ``buckets`` has ``key, d, n``; pairs whose numbers of words differ too much are left out. With ``whole`` the large ones
-    give all pairs too, by a join that is dealt out by bucket.
+    Pairs whose numbers of words differ too much are left out.
     """
-    sizes = buckets.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("lead"), F.min_by("n", "d").alias("lead_n")).where("size > 1")
-    members = buckets.join(sizes, key)
 
     def all_pairs(it: Iterable[tuple]) -> Iterator[tuple]:
         for (ds,) in it:
@@ -215,15 +238,50 @@ def _pairs(buckets: DataFrame, key: str, least: float, *, whole: bool = False) -
                 if x < y and min(n, m) >= least * max(n, m) - 1e-9:
                     yield x, y
 
-    small = members.where(F.col("size") <= SMALL).groupBy(key).agg(F.collect_set(F.struct("d", "n")).alias("ds"))  # SMALL members at most
+    small = members.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_set(F.struct("d", "n")).alias("ds"))  # SMALL members at most
     few = map_rows(small.select("ds"), all_pairs, "x long, y long")
-    large = members.where(F.col("size") > SMALL)
-    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * least - 1e-9
-    if whole:
-        many = large.select(key, F.col("d").alias("x"), F.col("n").alias("nx")).join(large.select(key, F.col("d").alias("y"), F.col("n").alias("ny")), key).where(F.col("x") < F.col("y")).where(near("nx", "ny"))
-    else:
-        many = large.where("lead < d").where(near("n", "lead_n")).select(F.col("lead").alias("x"), F.col("d").alias("y"))
-    return few.union(many.select("x", "y")).distinct()
+    many = members.where(F.col("size") > SMALL).where("lead < d").where(_near("n", "lead_n", least)).select(F.col("lead").alias("x"), F.col("d").alias("y"))
+    return few.union(many).distinct()
+
+
+def _words_may_agree(least: float) -> F.Column:
+    """Of columns ``nx, ny, x0, y0, x1, ...``: false only where the parities of words rule the similarity out."""
+    unlike = F.expr(" + ".join(f"bit_count(x{k} ^ y{k})" for k in range(PARITY // 64)))
+    return unlike <= 2 * F.floor(F.greatest("nx", "ny") * (1 - least) + 1e-9)
+
+
+def _odds(sketched: DataFrame, side: str) -> list[F.Column]:
+    return [F.col("d").alias(side), F.col("n").alias(f"n{side}"), *(F.col("odd")[k].alias(f"{side}{k}") for k in range(PARITY // 64))]
+
+
+def _alike(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` whose words may agree well enough."""
+    both = pairs.join(sketched.select(*_odds(sketched, "x")), "x").join(sketched.select(*_odds(sketched, "y")), "y")
+    return both.where(_words_may_agree(least)).select("x", "y").distinct()
+
+
+def _rest(members: DataFrame, sketched: DataFrame, labels: DataFrame | None, least: float) -> DataFrame:
+    """``x, y``: all pairs of large buckets that are in different parts and whose lengths and words may agree.
+
+    Both sides are dealt out by bucket, by length (the longer text's class of lengths is the shorter one's or the next) and, where a
+    bucket is very large, by a hash of the shorter text; only pairs that pass leave the join.
+    """
+    large = members.where(F.col("size") > SMALL).select("key", "d", "n", "size")
+    part = F.col("d")
+    if labels is not None:
+        large = large.join(labels.toDF("d", "label"), "d", "left")
+        part = F.coalesce("label", "d")
+    large = cut(large.select("key", "d", "n", "size", part.alias("part")), "large")
+    mixed = large.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    width = max(-math.log(least), 0.01) * 1.0001
+    length = F.floor(F.log("n") / width)
+    salts = F.least(F.ceil(F.col("size") / SALT), F.lit(MOST_SALT)).cast("int")
+    found = large.join(mixed, "key").join(sketched.select("d", "odd"), "d")
+    short = found.select("key", length.alias("length"), F.pmod(F.xxhash64("d"), salts).cast("int").alias("salt"), F.col("part").alias("part_x"), *_odds(found, "x"))
+    long = found.select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).select("*", F.explode(F.array(length - 1, length)).alias("length"))
+    long = long.select("key", "length", "salt", F.col("part").alias("part_y"), *_odds(found, "y"))
+    both = short.join(long, ["key", "length", "salt"]).where("part_x != part_y AND (nx < ny OR nx = ny AND x < y)").where(_near("nx", "ny", least)).where(_words_may_agree(least))
+    return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None, x: str, y: str) -> DataFrame:
@@ -261,23 +319,23 @@ def verify(docs: DataFrame, pairs: DataFrame, *, least: float = LEAST, id_col: s
 
 def classes_of(docs: DataFrame, sketched: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
     """``v, label`` of texts with links, the connected parts of all verified links; ``sketched`` has a row for each text."""
-    zipped = sketched.where(F.size("short") > 0).select("d", "n", F.posexplode(F.arrays_zip("short", "long")).alias("j", "s"))
+    zipped = sketched.where(F.size("short") > 0).select("d", "n", F.explode(F.arrays_zip("short", "long")).alias("s"))
     buckets = zipped.select("d", "n", F.col("s.short").alias("key"), F.xxhash64("s.short", "s.long").alias("longer"))
     labels = None
+    members = again = _members(buckets)
     for step in ("short", "long", "whole"):
-        candidates = cut(_pairs(buckets.select("key", "d", "n"), "key", least, whole=step == "whole"), "pairs")
+        candidates = cut(_rest(members, sketched, labels, least) if step == "whole" else _alike(_pairs(again, least), sketched, least), "pairs")
         first = candidates.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")  # joins most copies at once
         for todo in (first, candidates):
             todo = cut(_apart(todo, labels, "x", "y"), "todo")
             if not todo.isEmpty():
                 labels = _joined(labels, verify(docs, todo, least=least, id_col=id_col, text_col=text_col).select("x", "y"))
-        if step != "whole":
-            sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("lead")).where(F.col("size") > SMALL).drop("size")
-            rest = _apart(buckets.join(sizes, "key").where("lead < d"), labels, "lead", "d")
-            again = rest.select(F.col("longer" if step == "short" else "key").alias("key"), "d", "n").distinct()
-            buckets = cut(again.withColumn("longer", F.col("key")), "rest")
-            if buckets.isEmpty():
-                break
+        if step == "short":
+            release(docs.sparkSession, candidates, todo)
+            failed = _apart(members.where(F.col("size") > SMALL).where("lead < d"), labels, "lead", "d")
+            again = _members(failed.select(F.col("longer").alias("key"), "d", "n").distinct())
+        elif step == "long":
+            release(docs.sparkSession, candidates, todo, again)
     return labels
 
 

@@ -483,3 +483,28 @@ def test_pipeline(spark, tmp_path, sf_dir):
             break
         assert docs.columns == columns and all(after[i] == before[i] for i in after if name not in ("line_dedup",))
     assert len(cp.STAGES) == 5
+
+
+def test_links_among_texts_that_differ_from_the_first_of_a_large_bucket(spark):
+    """All that two near texts share stands in many longer texts of smaller ids too."""
+    r = random.Random(9)
+    fresh = lambda n: [r.choice(WORDS) + str(r.randint(0, 10**6)) for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        shared = fresh(80)
+        texts += [shared + fresh(60) for _ in range(40)] + [shared + fresh(20) for _ in range(2)]
+    texts = [" ".join(t) for t in texts]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(make(spark, texts)).collect()}
+    assert got == plain_classes(texts, list(range(len(texts)))) and sum(k != v for k, v in got.items()) == 6
+
+
+def test_parity_never_rules_out_a_link():
+    r = random.Random(2)
+    for _ in range(500):
+        a = [r.randint(0, 10**9) for _ in range(r.randint(1, 200))]
+        b, n = list(a), r.randint(0, 30)
+        for _ in range(n):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 1)] = [r.randint(0, 10**9)] * r.randint(0, 1)
+        bits = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) % 2**64).bit_count() for x, y in zip(*(near_dedup.parity(np.array(t, np.uint64)) for t in (a, b)), strict=True))
+        assert bits <= 2 * n
