@@ -1,6 +1,6 @@
 """Near-duplicate documents (operator 8): order MinHash candidates, verified by banded alignment.
 
-Every text is a sequence of five-word shingles, each labelled with the number of times it came before. Texts that share the
+Every text is a sequence of three-word shingles, each labelled with the number of times it came before. Texts that share the
 least shingle in one of several orders are candidates, and a candidate pair is a link if a banded alignment of the words finds
 a similarity of 0.8 or more (1 - edits / words of the longer text). A pair of that similarity shares so many shingles wherever
 its edits stand that some order finds it but for a few in a thousand; short texts, where that doesn't hold, share the least
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from luxtrace.llm.common import bounded_batches, columns, cut, map_rows, read_table, release
 
 #: Words in a shingle if no other number is given, and in one of a sketch; least similarity.
-SHINGLE, RUN, LEAST = 5, 5, 0.8
+SHINGLE, RUN, LEAST = 5, 3, 0.8
 #: Orders, shingles in a sketch and in the longer one; words in the same two of texts of at most BAG words.
 ORDERS, SHORT, LONG = 24, 1, 2
-BAG, SHORT_WORDS, LONG_WORDS = 0, 2, 3
+BAG, SHORT_WORDS, LONG_WORDS = 20, 2, 3
 #: Members of a small bucket; members of a large one in a part of it, and most such parts; bits in the parity of words.
 SMALL = 12
 SALT, MOST_SALT = 32768, 64

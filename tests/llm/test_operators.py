@@ -498,6 +498,18 @@ def test_links_among_texts_that_differ_from_the_first_of_a_large_bucket(spark):
     assert got == plain_classes(texts, list(range(len(texts)))) and sum(k != v for k, v in got.items()) == 6
 
 
+@pytest.mark.parametrize(("words", "apart"), [(5, False), (9, False), (12, False), (20, False), (100, False), (300, False), (20, True), (100, True)])
+def test_share_of_least_similar_pairs_that_meet(words, apart):
+    """Pairs of similarity 0.80 share a sketch wherever the edits stand, also if no run of five words is left."""
+    r, met, n = np.random.default_rng(words), 0, 200
+    for _ in range(n):
+        a = r.integers(0, 2**63, words).astype(np.uint64)
+        b, most = a.copy(), int(0.2 * words + 1e-9)
+        b[np.arange(most) * 5 + 4 if apart else r.choice(words, most, replace=False)] = r.integers(0, 2**63, most).astype(np.uint64)
+        met += bool(set(near_dedup.sketches(a)[0]) & set(near_dedup.sketches(b)[0]))
+    assert met >= 0.98 * n, met
+
+
 def test_parity_never_rules_out_a_link():
     r = random.Random(2)
     for _ in range(500):
