@@ -3,7 +3,8 @@
 Words become template tokens: numbers, units after numbers and names turn into typed placeholders, other words lose case and
 outer punctuation. A document leaks a benchmark item if at least 0.8 of the item's windows of five template tokens are found
 in one stretch of it with slots that agree: one value of the item stands for one value of the document, throughout and both
-ways. So questions whose numbers or names were changed are found, and texts that share a frame by chance are not.
+ways. So questions whose numbers or names were changed are found, and texts that share a frame by chance are not. A capitalised
+word at the start of a sentence may be a name or not: windows take both readings.
 
 The benchmark is the query set: it is taken in blocks of bounded size, each a hash table that all documents probe.
 """
@@ -73,15 +74,20 @@ class Templates:
         return (NAME if named else own) | own << _BITS | ends | (_MAY_UNIT if low in UNITS else 0)
 
     def tokens(self, words: list[str]) -> np.ndarray:
+        return self.read(words)[0]
+
+    def read(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens, with starts of sentences as words, and which of these starts may be names."""
         packed = np.fromiter(map(self.kept.__getitem__, words), np.int64, len(words))
         if not len(packed):
-            return packed
+            return packed, packed > 0
         starts = np.concatenate([[True], packed[:-1] & _ENDS != 0])
         after_number = np.concatenate([[False], packed[:-1] & _IS_NUM != 0])
         mask = (1 << _BITS) - 1
         out = np.where(starts, packed >> _BITS & mask, packed & mask)
-        out[after_number & (packed & _MAY_UNIT != 0)] = UNIT
-        return out
+        units = after_number & (packed & _MAY_UNIT != 0)
+        out[units] = UNIT
+        return out, starts & (packed & mask == NAME) & ~units
 
 
 class _Words(dict):
@@ -97,17 +103,36 @@ class _Words(dict):
 
 def windows(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(places, hashes)`` of the windows of known tokens in which enough are words."""
+    return readings(tokens, np.zeros(len(tokens), bool))[:2]
+
+
+def readings(tokens: np.ndarray, may_name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(places, hashes, named)`` of the windows, one for each choice of names (bits of ``named``) among words that may be some.
+
+    Such a word counts as a word in either reading, so all readings of a place are windows or none, if their tokens are known.
+    """
     n = len(tokens) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    known = np.concatenate([[0], np.cumsum(tokens > 0)])
-    words = np.concatenate([[0], np.cumsum(tokens >= _FIRST_WORD)])
-    at = np.flatnonzero((known[WINDOW:] - known[:-WINDOW] == WINDOW) & (words[WINDOW:] - words[:-WINDOW] >= WORDS))
-    h = np.zeros(len(at), np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    words = np.concatenate([[0], np.cumsum((tokens >= _FIRST_WORD) | may_name)])
+    enough = np.flatnonzero(words[WINDOW:] - words[:-WINDOW] >= WORDS)
+    bits = np.zeros(len(enough), np.int64)
     for k in range(WINDOW):
-        h = (h ^ tokens[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return at, h
+        bits |= may_name[enough + k].astype(np.int64) << k
+    found = []
+    for named in range(1 << WINDOW):
+        at = enough[bits & named == named]
+        known, h = np.ones(len(at), bool), np.zeros(len(at), np.uint64)
+        for k in range(WINDOW) if len(at) else ():
+            t = np.full(len(at), NAME, tokens.dtype) if named >> k & 1 else tokens[at + k]
+            known &= t > 0
+            h = (h ^ t.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        found.append((at[known], h[known], np.full(int(known.sum()), named)))
+        if not named and not bits.any():
+            break
+    at, hashes, named = (np.concatenate(x) for x in zip(*found, strict=True))
+    return at, hashes, named
 
 
 class Benchmark:
@@ -116,15 +141,15 @@ class Benchmark:
     def __init__(self, items: list[tuple[int | None, str]]):
         templates = Templates(None)
         self.items: list[tuple[int | None, list[str], np.ndarray, int]] = []
-        table: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        table: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item_id, text in items:
             words = (text or "").split()
-            tokens = templates.tokens(words)
-            at, hashes = windows(tokens)
+            tokens, may_name = templates.read(words)
+            at, hashes, named = readings(tokens, may_name)
             if len(at):
-                for i, h in zip(at.tolist(), hashes.tolist(), strict=True):
-                    table[h].append((len(self.items), i))
-                self.items.append((item_id, words, tokens, len(at)))
+                for i, h, m in zip(at.tolist(), hashes.tolist(), named.tolist(), strict=True):
+                    table[h].append((len(self.items), i, m))
+                self.items.append((item_id, words, tokens, len(np.unique(at))))
         self.vocabulary = templates.vocabulary
         self.table = dict(table)
         self.hashes = np.array(sorted(table), np.uint64)
@@ -134,27 +159,29 @@ class Benchmark:
         words = (text or "").split()
         if not len(self.hashes):
             return
-        tokens = templates.tokens(words)
-        at, hashes = windows(tokens)
+        at, hashes, _ = readings(*templates.read(words))
         where = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         hit = self.hashes[where] == hashes
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for j, h in zip(at[hit].tolist(), hashes[hit].tolist(), strict=True):
-            for item, i in self.table[h]:
-                found[item].append((j, i))
+            for item, i, m in self.table[h]:
+                found[item].append((j, i, m))
         for item, pairs in found.items():
             item_id, item_words, item_tokens, n = self.items[item]
-            if len({i for _, i in pairs}) < least * n - 1e-9:
+            if len({i for _, i, _ in pairs}) < least * n - 1e-9:
                 continue
             best = max((self._agreeing(stretch, item_words, item_tokens, words) for stretch in _stretches(pairs, len(item_words))), default=(0, False))
             if best[0] >= least * n - 1e-9:
                 yield item_id, best[0] / n, best[0], best[1]
 
     @staticmethod
-    def _agreeing(pairs: list[tuple[int, int]], item_words: list[str], item_tokens: np.ndarray, words: list[str]) -> tuple[int, bool]:
+    def _agreeing(pairs: list[tuple[int, int, int]], item_words: list[str], item_tokens: np.ndarray, words: list[str]) -> tuple[int, bool]:
         """Windows of the item whose slots follow the commonest value for value, both ways; and whether a value differs."""
         kinds = item_tokens.tolist()
-        slots = [(i, [(kinds[i + k], item_words[i + k].strip(_OUTER).lower(), words[j + k].strip(_OUTER).lower()) for k in range(WINDOW) if kinds[i + k] < _FIRST_WORD]) for j, i in pairs]
+        slots = []
+        for j, i, named in pairs:
+            read = [NAME if named >> k & 1 else kinds[i + k] for k in range(WINDOW)]
+            slots.append((i, [(read[k], item_words[i + k].strip(_OUTER).lower(), words[j + k].strip(_OUTER).lower()) for k in range(WINDOW) if read[k] < _FIRST_WORD]))
         there: dict[tuple, Counter] = defaultdict(Counter)
         back: dict[tuple, Counter] = defaultdict(Counter)
         for _, values in slots:
@@ -171,9 +198,9 @@ class Benchmark:
         return len(good), changed
 
 
-def _stretches(pairs: list[tuple[int, int]], size: int) -> Iterator[list[tuple[int, int]]]:
+def _stretches(pairs: list[tuple[int, int, int]], size: int) -> Iterator[list[tuple[int, int, int]]]:
     """Matches in order of their place, parted where more than the item's length is between two."""
-    held: list[tuple[int, int]] = []
+    held: list[tuple[int, int, int]] = []
     for p in sorted(pairs):
         if held and p[0] - held[-1][0] > size:
             yield held

@@ -185,6 +185,14 @@ def test_slots_must_agree():
     assert not probe("Then " + item.replace("Ann", "Joe").replace("Tom", "Joe"))
 
 
+def test_names_at_the_start_of_a_sentence(spark):
+    item = "Tom has 12 apples. Tom gives 5 of them to Anna. Tom walks 3 miles home. How many apples does Tom have left?"
+    texts = [item, item.replace("Tom", "Bob"), "Well then: " + item.replace("Tom", "Zoe").replace("12", "40"), item.replace("Tom gives", "Max gives").replace("Tom walks", "Kim walks").replace("does Tom", "does Lea")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["coverage"], r["changed"]) for r in decontaminate.find_leaks(make(spark, texts), items).collect()}
+    assert got == {0: (1.0, False), 1: (1.0, True), 2: (1.0, True)}
+
+
 def test_leaks_against_plain_search(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     flat = lambda t: " ".join(t.lower().split())
