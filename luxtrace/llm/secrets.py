@@ -24,7 +24,7 @@ from luxtrace.llm.common import bounded_batches, columns, map_rows, read_table
 TREES, DEPTH, LEAST_SCORE, SAMPLE, NEAR = 25, 8, 0.5, 5_000, 48
 
 _LONG = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/=_-]{16,}+")
-_NAMED = re.compile(r"""(?i)(?:key|token|secret|passw(?:or)?d|pwd|credential)["']?\s{0,3}(?:[:=]|=>|:=)\s{0,3}["']?([^\s"'<>,;]{6,256})""")
+_NAMED = re.compile(r"""(?i)(?:key|token|secret|passw(?:or)?d|pwd|credential)["']?\s{0,3}(?:[:=]|=>|:=)\s{0,3}["']?([^\s"'<>,;]{6,}+)""")
 # Words of code, paths and plain text; longer runs of letters made of them are no secrets.
 _DICTIONARY = (
     "access account action address admin alpha api app array asset auth author back base beta block body book branch build button cache call change check child "
@@ -148,13 +148,15 @@ class Forest:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans that may be secrets, in order; where two overlap, the earlier and longer one."""
+    """Spans that may be secrets, in order; those that overlap are one."""
     spans = [m.span() for m in _LONG.finditer(text)]
     spans += [m.span(1) for m in _NAMED.finditer(text)]
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
         if not out or s >= out[-1][1]:
             out.append((s, e))
+        elif e > out[-1][1]:
+            out[-1] = (out[-1][0], e)
     return out
 
 

@@ -239,6 +239,14 @@ def test_media_formats(spark):
 # --- 6
 
 
+def test_long_secrets_are_whole():
+    r = random.Random(4)
+    part = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH0123456789_-") for _ in range(n))
+    token = ".".join((part(40), part(500), part(60)))
+    assert secrets.candidates(f"token: {token} end") == [(7, 7 + len(token))]
+    assert secrets.candidates(f"1{part(30)}key={part(20)}!{part(30)}1 end") == [(0, 87)]
+
+
 def test_secrets(spark):
     key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
     texts = [*EDGES, f'my token = "{key}" end', f"commit {key} sha1", "see docs/path/to/file_name_2024.html now", "password: hunter2!x9Q", "card 4111111111111111"]
