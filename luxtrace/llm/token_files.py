@@ -8,7 +8,9 @@ zstandard readers get the whole stream, and a reader of single documents decompr
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,16 +40,24 @@ CHUNK_CHARS = 64
 #: ASCII signs that are one piece of their own after a word; the apostrophe has rules of its own.
 STOPS = '.,;:!?"*#$%&()[]{}<>/|@^~_=+-\\`'
 AT_A_TIME = 256
+#: The rules under which a text's ids are those of its chunks.
+FOLDS = [(("type", "NFC"),), (("content", " "), ("pattern", "{'Regex': '\\\\s+'}"), ("type", "Replace")), (("type", "Lowercase"),)]
+SPLITS = [
+    (("behavior", "Removed"), ("invert", "True"), ("pattern", str({"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})), ("type", "Split")),
+    (("add_prefix_space", "False"), ("trim_offsets", "True"), ("type", "ByteLevel"), ("use_regex", "False")),
+]
 #: The most bytes that a reader takes from a file at once, if no frame is larger.
 READ_BYTES = 4 << 20
 NULL_ID = -(1 << 63)
 
 
 class WordEncoder:
-    """Encodes with the tokenizers library; chunks between blanks are encoded once and kept while there is room.
+    """Encodes as the tokenizers library does; chunks between blanks are encoded once and kept while there is room.
 
     The vocabulary's rules fold case, drop white space, never look across it and part letters from other signs, so a
-    text's ids are those of its chunks, and those of a word with stops after it are the word's and the stops'.
+    text's ids are those of its chunks, and those of a word with stops after it are the word's and the stops'. A file of
+    other rules (``SPLITS``, ``FOLDS``) has its texts encoded whole. Special tokens that stand in a text are found first, as the
+    library does; what is between them is encoded for itself.
     """
 
     def __init__(self, path: str):
@@ -55,19 +65,42 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        rules = json.loads(self.tokenizer.to_str())
+        added = rules["added_tokens"]
+        plain = all(t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in added)
+        self.by_chunks = plain and _kinds(rules["normalizer"]) == FOLDS and _kinds(rules["pre_tokenizer"]) == SPLITS
+        self.special = {t["content"]: t["id"] for t in added}
+        self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
+        self.tokenizer.encode_special_tokens = self.by_chunks
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
         self.width = np.dtype(self.dtype).itemsize
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # of words
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.kept: dict[str, bytes] = {"": b""}
+        self.kept: dict[str, bytes] = self._first()
         self.older: dict[str, bytes] = {}
 
+    def _first(self) -> dict[str, bytes]:
+        """The empty chunk, and special tokens after a blank, which no other chunk has."""
+        return {"": b""} | {f" {t}": np.array([i], self.dtype).tobytes() for t, i in self.special.items()}
+
+    def _chunks(self, text: str) -> list[str]:
+        if self.specials is None or not (found := self.specials.search(text)):
+            return _folded(text.replace("\n", " ")).split(" ")
+        out, at = [], 0
+        while found:
+            out += _folded(text[at : found.start()].replace("\n", " ")).split(" ")
+            out.append(f" {found[0]}")
+            at = found.end()
+            found = self.specials.search(text, at)
+        return out + _folded(text[at:].replace("\n", " ")).split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunked = [_folded((t or "").replace("\n", " ")).split(" ") for t in texts]
+        if not self.by_chunks:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        chunked = [self._chunks(t or "") for t in texts]
         if len(self.kept) > CHUNKS_KEPT:
-            self.kept, self.older = {"": b""}, self.kept  # what is met again moves on, the rest goes
+            self.kept, self.older = self._first(), self.kept  # what is met again moves on, the rest goes
         known = self.kept
         new = set().union(*chunked).difference(known)
         older = self.older
@@ -114,6 +147,12 @@ class WordEncoder:
                 at = end
 
 
+def _kinds(rule: dict | None) -> list[tuple]:
+    """The parts of a normaliser or splitter with all that they are told, as plain values."""
+    parts = (rule or {}).get("normalizers") or (rule or {}).get("pretokenizers") or ([rule] if rule else [])
+    return [tuple(sorted((k, str(v)) for k, v in p.items())) for p in parts]
+
+
 def _folded(text: str) -> str:
     """Lower case if that is the same sign by sign; else the text itself, and the tokenizer folds it."""
     try:
@@ -275,7 +314,7 @@ def read_documents(file: str, wanted: set[int]) -> dict[int, list[int]]:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of each row of ``documents``, from the files; nulls, ties and repeats as in :func:`write_token_files`."""
     folder = shared_dir(spark, "token-files")
     files = write_token_files(read_table(spark, sf_dir, "documents"), folder)
-
     return read_token_files(files, zlib.crc32, "ids_crc32 long")
