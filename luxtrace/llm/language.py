@@ -111,7 +111,7 @@ class Profiles:
         return out.sum(axis=1) / (self.most * len(own))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = self.distances(text) if text else None
+        found = self.distances(text) if text and any(map(str.isalpha, text)) else None  # a mark alone is no letter
         if found is None or not len(found):
             return UNKNOWN, 0.0
         best = int(np.argmin(found))
@@ -173,7 +173,11 @@ def learned_on_documents(docs: DataFrame) -> Profiles:
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text is in some learned language; the others are rejected. No column changes."""
+    """The rows of ``docs`` whose text is in some learned language; the others are rejected. No column changes.
+
+    Null and empty texts, and those without a letter, go. Each row is judged alone, so repeated rows stay or go together;
+    columns may have any name; an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -185,6 +189,10 @@ def keep_identified(docs: DataFrame, profiles: Profiles, least: float = LEAST_SC
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of each row of ``documents``, by profiles of the rows that are not held out.
+
+    Null texts and texts without a letter are ``und`` with score 0; repeated rows give equal rows; a null id is not held out.
+    """
     docs = columns(read_table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     found = identify(docs, learned_on_documents(docs))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
