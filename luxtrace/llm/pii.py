@@ -75,11 +75,13 @@ def joined(spans: Iterable[tuple[str, int, int]]) -> str:
 
 
 # --- the field
-#: Tokens in a span, signs around an anchor, and in one stretch at most (longer ones are cut between tokens).
-MOST_TOKENS, AROUND, STRETCH = 24, 48, 1024
+#: Tokens in a span, signs around an anchor.
+MOST_TOKENS, AROUND = 24, 48
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
-_ANCHOR = re.compile(r"(?<![0-9])[0-9]|@|\b[Dd][Oo][Tt]\b|\[dot\]|\(dot\)")
-_GATE = re.compile(r"[0-9](?:[^0-9\n]{0,3}[0-9]){6}|@|\b[Dd][Oo][Tt]\b")
+_SAID_AT = r"[\[({<]\s{0,3}[Aa][Tt]\s{0,3}[\])}>]|(?<=\w)\s{1,3}[Aa][Tt]\s{1,3}[\w-]{1,64}\.[A-Za-z]"
+_ANCHOR = re.compile(rf"(?<![0-9])[0-9]|@|\b[Dd][Oo][Tt]\b|{_SAID_AT}")
+#: What every candidate has: seven digits near each other, four short groups with dots between, or a sign or word of an address.
+_GATE = re.compile(rf"[0-9](?:[^0-9\n]{{0,3}}[0-9]){{6}}|[0-9]{{1,3}}(?:\s?(?:\.|\[\.\]|\(\.\))\s?[0-9]{{1,3}}){{3}}|@|\b[Dd][Oo][Tt]\b|{_SAID_AT}")
 _CUES = {
     "phone": frozenset("phone tel telephone call mobile cell fax telefon tél teléfono móvil whatsapp sms number dial".split()),
     "email": frozenset("email mail e contact write address correo courriel".split()),
@@ -124,28 +126,38 @@ def features(text: str, start: int, end: int, cue: frozenset[str]) -> list[int]:
 N_FEATURES = 40
 
 
+def _candidates(text: str, ends: list[int], i: int) -> Iterator[tuple[int, list[int]]]:
+    """``(j, features)`` of the segments from token ``i`` up to token ``j`` that may be a span; ``ends`` are the tokens' ends."""
+    a = ends[i]
+    if not (text[a].isalnum() or text[a] in "+(") or i and text[a].isdigit() and text[a - 1].isalpha():
+        return
+    cue = None
+    for j in range(i + 1, min(i + MOST_TOKENS, len(ends) - 1) + 1):
+        b = ends[j]
+        if not text[b - 1].isalnum() or "\n" in text[ends[j - 1] : b]:
+            continue
+        span = text[a:b]
+        n = sum(c.isdigit() for c in span)
+        mail = _ADDRESS.fullmatch(span) is not None
+        if mail or n >= 7 and sum(c.isalpha() for c in span) <= 9 or _DOTTED.fullmatch(span):
+            if cue is None:
+                cue = frozenset(w.lower() for w in re.findall(r"[^\W\d_]+", text[max(0, a - 32) : a])[-3:])
+            yield j, features(text, a, b, cue)
+
+
 class Stretch:
     """The tokens of a stretch and the candidate segments that end at each, with their features."""
 
     def __init__(self, text: str, start: int, end: int):
-        self.ends = [start, *(m.end() for m in _TOKEN.finditer(text, start, end))]
+        self.ends = _token_ends(text, start, end)
         self.spans: list[list[tuple[int, list[int]]]] = [[] for _ in self.ends]
-        cues = []
-        for i in range(len(self.ends) - 1):
-            cues.append(frozenset(w.lower() for w in re.findall(r"[^\W\d_]+", text[max(0, self.ends[i] - 32) : self.ends[i]])[-3:]))
         for i in range(len(self.ends) - 1):
-            a = self.ends[i]
-            if not (text[a].isalnum() or text[a] in "+(") or i and text[a].isdigit() and text[a - 1].isalpha():
-                continue
-            for j in range(i + 1, min(i + MOST_TOKENS, len(self.ends) - 1) + 1):
-                b = self.ends[j]
-                if not text[b - 1].isalnum() or "\n" in text[self.ends[j - 1] : b]:
-                    continue
-                span = text[a:b]
-                n = sum(c.isdigit() for c in span)
-                mail = _ADDRESS.fullmatch(span) is not None
-                if mail or n >= 7 and sum(c.isalpha() for c in span) <= 9 or _DOTTED.fullmatch(span):
-                    self.spans[j].append((i, features(text, a, b, cues[i])))
+            for j, found in _candidates(text, self.ends, i):
+                self.spans[j].append((i, found))
+
+
+def _token_ends(text: str, start: int, end: int) -> list[int]:
+    return [start, *(m.end() for m in _TOKEN.finditer(text, start, end))]
 
 
 class SpanField:
@@ -159,30 +171,41 @@ class SpanField:
         return [[(i, f, self.weights[:, f].sum(axis=1)) for i, f in at] for at in stretch.spans]
 
     def best(self, text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-        """The spans of the best segmentation; at a tie, the fewest spans."""
-        stretch = Stretch(text, start, end)
-        n, size = len(stretch.ends) - 1, len(KINDS) + 1
-        if not any(stretch.spans):
-            return []
+        """The spans of the best segmentation; at a tie, the fewest spans.
+
+        Candidates are made as the tokens come and live no longer than the longest span, so memory is a few numbers a token.
+        """
+        ends = _token_ends(text, start, end)
+        n, size = len(ends) - 1, len(KINDS) + 1
         top = np.full((n + 1, size), -np.inf)
         top[0, 0] = 0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        scores = self._scores(stretch)
-        for j in range(1, n + 1):
-            came = top[j - 1] + self.next[:, 0]
-            k = int(np.argmax(came))
-            top[j, 0], back[j, 0] = came[k], (j - 1, k)
-            for i, _, s in scores[j]:
-                came = top[i][:, None] + self.next[:, 1:] + s[None, :]
-                for kind in range(1, size):
-                    k = int(np.argmax(came[:, kind - 1]))
-                    if came[k, kind - 1] > top[j, kind]:
-                        top[j, kind], back[j, kind] = came[k, kind - 1], (i, k)
+        came_from = np.zeros((n + 1, size, 2), np.int32)
+        waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
+        plain = True
+        for j in range(n + 1):
+            if j and plain and j not in waiting:  # no span so far
+                top[j, 0], came_from[j, 0] = top[j - 1, 0] + self.next[0, 0], (j - 1, 0)
+            elif j:
+                plain = False
+                came = top[j - 1] + self.next[:, 0]
+                k = int(np.argmax(came))
+                top[j, 0], came_from[j, 0] = came[k], (j - 1, k)
+                for i, s in waiting.pop(j, ()):
+                    came = top[i][:, None] + self.next[:, 1:] + s[None, :]
+                    for kind in range(1, size):
+                        k = int(np.argmax(came[:, kind - 1]))
+                        if came[k, kind - 1] > top[j, kind]:
+                            top[j, kind], came_from[j, kind] = came[k, kind - 1], (i, k)
+            if j < n:
+                for e, found in _candidates(text, ends, j):
+                    waiting.setdefault(e, []).append((j, self.weights[:, found].sum(axis=1)))
+        if plain:
+            return []
         out, j, kind = [], n, int(np.argmax(top[n]))
         while j > 0:
-            i, before = back[j, kind]
+            i, before = came_from[j, kind].tolist()
             if kind:
-                out.append((KINDS[kind - 1], stretch.ends[i], stretch.ends[j]))
+                out.append((KINDS[kind - 1], ends[i], ends[j]))
             j, kind = i, before
         return out[::-1]
 
@@ -315,12 +338,11 @@ def _stretches(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[in
             start -= 1
         while end < len(text) and (k == len(taken) or end < taken[k][0]) and text[end - 1].isalnum() and text[end].isalnum() and end - a < 2 * AROUND:
             end += 1
-        if last and start <= last[1] and end - last[0] <= STRETCH:
+        if last and start <= last[1]:
             last = (last[0], max(last[1], end))
         else:
             if last:
                 yield last
-                start = max(start, last[1])
             last = (start, end) if start < end else None
     if last:
         yield last
@@ -354,6 +376,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by kind, hash of the base spans and all spans of each row of ``documents``; null and empty texts have none."""
     found = find_pii(read_table(spark, sf_dir, "documents"))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
