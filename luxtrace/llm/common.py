@@ -46,12 +46,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *done: DataFrame) -> None:
-    """Delete what ``cut`` wrote for ``done``, and let Spark drop shuffle files that no live plan refers to."""
+def drop(*done: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``done``; an empty table has no file to find its folder by and stays."""
     for df in done:
+        spark = df.sparkSession
         for f in df.inputFiles()[:1]:
             folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """``drop``, and let Spark delete shuffle files that no live plan refers to."""
+    drop(*done)
     gc.collect()
     spark._jvm.System.gc()
 

@@ -1,41 +1,41 @@
 """Near-duplicate documents (operator 8): order MinHash candidates, verified by banded alignment.
 
-Every text is a sequence of three-word shingles, each labelled with the number of times it came before. Texts that share the
-least shingle in one of several orders are candidates, and a candidate pair is a link if a banded alignment of the words finds
-a similarity of 0.8 or more (1 - edits / words of the longer text). A pair of that similarity shares so many shingles wherever
-its edits stand that some order finds it but for a few in a thousand; short texts, where that doesn't hold, share the least
-words too. Classes are the connected parts of the links. Equal texts are one vertex.
-
-Small buckets give all pairs. In a large one every text is compared with the bucket's first; what fails there meets again
-in the longer sketch of the same order, the least few shingles as they stand in the text. These two steps only save work:
-then all pairs of the large bucket meet whose texts aren't in one part yet. Pairs whose lengths or words differ too much for
-the similarity asked for, and pairs that other links have already joined, are not aligned.
+Every text is a sequence of five-word shingles, each labelled with the number of times it came before. An order MinHash sketch
+is the two least shingles in one of many orders, as they stand in the text. Texts that share a sketch are candidates, and a
+candidate pair is a link if a banded alignment of the words finds a similarity of 0.8 or more (1 - edits / words of the longer
+text). Half of the orders take five adjacent words, half take five with a gap, some of which outlive edits at any regular
+distance. Short texts, where few shingles outlive an edit, also share sketches of their three least words. Classes are the
+connected parts of the links. Equal texts are one vertex.
+
+In a bucket (the texts that share a sketch) every text is compared with the first, which joins most copies at once. Then each
+text that isn't in the first one's part meets all others of the bucket that are in another part than its own, so no pair of a
+bucket stays unseen. Pairs whose lengths or words differ too much for the similarity asked for, and pairs that other
+links have joined already, are not aligned.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from luxtrace.llm.common import bounded_batches, columns, cut, map_rows, read_table, release
+from luxtrace.llm.common import bounded_batches, columns, cut, drop, map_rows, read_table, release
 
-#: Words in a shingle if no other number is given, and in one of a sketch; least similarity.
-SHINGLE, RUN, LEAST = 5, 3, 0.8
-#: Orders, shingles in a sketch and in the longer one; words in the same two of texts of at most BAG words.
-ORDERS, SHORT, LONG = 24, 1, 2
-BAG, SHORT_WORDS, LONG_WORDS = 20, 2, 3
-#: Members of a small bucket; members of a large one in a part of it, and most such parts; bits in the parity of words.
-SMALL = 12
+#: Least similarity; places of a shingle's words, adjacent and with a gap; orders of each kind and shingles in a sketch.
+LEAST = 0.8
+ADJACENT, SPACED = (0, 1, 2, 3, 4), (0, 1, 2, 5, 6)
+ORDERS, SAMPLED = 72, 2
+#: Texts of at most BAG words have sketches of their least words too: orders and words in a sketch.
+BAG, WORD_ORDERS, WORD_SAMPLED = 40, 32, 3
+#: Members of a large bucket in a part of it, and most such parts; bits in the parity of words.
 SALT, MOST_SALT = 32768, 64
 PARITY = 512
 #: Columns aligned before the match masks are made anew; shingles ordered at a time.
-BLOCK, AT_A_TIME = 1024, 1 << 16
+BLOCK, AT_A_TIME = 1024, 1 << 12
 NULL_ID = -(1 << 63)
 
 _U = np.uint64
@@ -77,20 +77,24 @@ def word_hashes(text: str | None) -> np.ndarray:
     return _mixed((sums[end] - sums[start]) * down[start])
 
 
-def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of runs of ``size`` words; a shorter text is one shingle."""
+def shingles(words: np.ndarray, places: tuple[int, ...] = ADJACENT) -> np.ndarray:
+    """Hashes of the words at ``places`` from each word on; a text too short for them is one shingle."""
     if not len(words):
         return words
-    k = min(size, len(words))
-    n = len(words) - k + 1
+    if len(words) <= places[-1]:
+        places = tuple(range(min(len(words), len(places))))
+    n = len(words) - places[-1]
     out = np.zeros(n, _U)
-    for i in range(k):
+    for i in places:
         out = out * _U(0x100000001B3 | 1) + words[i : i + n]
     return _mixed(out)
 
 
 def labelled(found: np.ndarray) -> np.ndarray:
     """Each shingle's hash with the number of equal ones before it."""
+    ordered = np.sort(found)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return _mixed(found + _mixed(np.ones(1, _U)))
     order = np.argsort(found, kind="stable")
     ordered = found[order]
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -100,30 +104,46 @@ def labelled(found: np.ndarray) -> np.ndarray:
     return _mixed(found + _mixed(seen + _U(1)))
 
 
-_SEEDS = _mixed(np.arange(1, ORDERS + 1, dtype=_U) * _U(_BASE))
-
-
-def sketches(words: np.ndarray) -> tuple[list[int], list[int]]:
-    """For each order the hash of the short and of the long sketch, of short texts also those of words; empty lists without words."""
+#: An order compares the products of marks and its factor, modulo 2**64.
+_FACTORS = _mixed(np.arange(1, 2 * ORDERS + WORD_ORDERS + 1, dtype=_U) * _U(_BASE)) | _U(1)
+_TOP = _U((1 << 64) - 1)
+
+
+def sampled(marks: np.ndarray, factors: np.ndarray, few: int) -> np.ndarray:
+    """A row for each order: the places of its ``few`` least marks, ascending as in the text."""
+    rows, places = np.arange(len(factors)), None
+    for first in range(0, len(marks), AT_A_TIME):
+        values = np.multiply.outer(factors, marks[first : first + AT_A_TIME])
+        found = []
+        for _ in range(min(few, values.shape[1])):
+            at = values.argmin(axis=1)
+            values[rows, at] = _TOP
+            found.append(at + first)
+        found = np.stack(found, axis=1)
+        if places is not None:
+            found = np.concatenate([places, found], axis=1)
+            least = np.argsort(marks[found] * factors[:, None], axis=1, kind="stable")[:, :few]
+            found = np.take_along_axis(found, least, axis=1)
+        places = found
+    return np.sort(places, axis=1)
+
+
+def sketches(words: np.ndarray) -> np.ndarray:
+    """The hash of each order's sketch; none without words."""
     if not len(words):
-        return [], []
-    short, long = [], []
-    kinds = [(labelled(shingles(words, RUN)), SHORT, LONG, 0)]
+        return np.zeros(0, np.int64)
+    kinds = [(shingles(words), ORDERS, SAMPLED), (shingles(words, SPACED), ORDERS, SAMPLED)]
     if len(words) <= BAG:
-        kinds.append((labelled(words), SHORT_WORDS, LONG_WORDS, ORDERS))
-    for marks, few, more, first in kinds:
-        n = len(marks)
-        most = min(more, n)
-        for j, seed in enumerate(_SEEDS, first):
-            values = (marks ^ seed) * _U(0xD6E8FEB86659FD93)
-            values ^= values >> _U(32)
-            values *= _U(0xD6E8FEB86659FD93)
-            least = np.argpartition(values, most - 1)[:most] if n > most else np.arange(n)
-            least = least[np.argsort(values[least])]
-            # the least words count as a set, the longer sketches as they stand in the text
-            for out, of in ((short, np.sort(marks[least[:few]])), (long, marks[np.sort(least)])):
-                out.append(int.from_bytes(xxhash.xxh3_64_digest(of.tobytes(), j), "big", signed=True))
-    return short, long
+        kinds.append((words, WORD_ORDERS, WORD_SAMPLED))
+    out, first = [], 0
+    for found, orders, few in kinds:
+        factors, marks = _FACTORS[first : first + orders], labelled(found)
+        keys = np.zeros(orders, _U)
+        for at in sampled(marks, factors, few).T:
+            keys = _mixed(keys + marks[at]) * _U(0x9FB21C651E98DF25)
+        out.append(keys ^ factors)
+        first += orders
+    return np.concatenate(out).view(np.int64)
 
 
 def parity(words: np.ndarray) -> list[int]:
@@ -200,48 +220,56 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float | No
     return None if found is None else 1 - found / longest
 
 
+def fingerprint(words: np.ndarray) -> tuple[int, int]:
+    """128 bits of all words, as two signed integers."""
+    f = xxhash.xxh3_128_digest(words.tobytes())
+    return int.from_bytes(f[:8], "big", signed=True), int.from_bytes(f[8:], "big", signed=True)
+
+
 def sketch_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``d, n, f1, f2, short, long, odd``: number and fingerprint of the words, sketches and parity of each row."""
+    """``d, n, f1, f2, keys, odd``: number and fingerprint of the words, sketches and parity of each row."""
 
     def rows(it: Iterable[tuple]) -> Iterator[tuple]:
         for d, text in it:
             words = word_hashes(text)
-            f = xxhash.xxh3_128_digest(words.tobytes())
-            yield (NULL_ID if d is None else d, len(words), int.from_bytes(f[:8], "big", signed=True), int.from_bytes(f[8:], "big", signed=True), *sketches(words), parity(words))
+            yield (NULL_ID if d is None else d, len(words), *fingerprint(words), sketches(words).tolist(), parity(words))
 
-    return map_rows(_given(docs, id_col, text_col), rows, "d long, n long, f1 long, f2 long, short array<long>, long array<long>, odd array<long>")
+    return map_rows(_given(docs, id_col, text_col), rows, "d long, n long, f1 long, f2 long, keys array<long>, odd array<long>")
 
 
 def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return columns(docs, id_col, text_col).toDF("i", "t").select(F.col("i").cast("long").alias("d"), "t")
+    return columns(docs, id_col, text_col).toDF("i", "t").select(F.coalesce(F.col("i").cast("long"), F.lit(NULL_ID)).alias("d"), "t")
 
 
-def _near(a: str, b: str, least: float) -> F.Column:
-    return F.least(a, b) >= F.greatest(a, b) * least - 1e-9
+def distinct_texts(sketched: DataFrame) -> DataFrame:
+    """``f1, f2, d, v``: the smallest id of each text and its vertex, which is that id but where texts share one."""
+    texts = cut(sketched.groupBy("f1", "f2").agg(F.min("d").alias("d")), "firsts")  # the joins can then split a text of many copies
+    first = texts.groupBy("d").agg(F.min(F.struct("f1", "f2")).alias("first"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    shared = cut(first.select(F.col("d").alias("d0"), F.col("first.f1").alias("g1"), F.col("first.f2").alias("g2")), "shared-ids")
+    if shared.isEmpty():
+        return texts.withColumn("v", F.col("d"))
+    own = F.when(F.col("d0").isNull() | (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), F.col("d")).otherwise(F.xxhash64("d", "f1", "f2"))
+    return cut(texts.join(shared, F.col("d") == F.col("d0"), "left").select("f1", "f2", "d", own.alias("v")), "vertices")
 
 
-def _members(buckets: DataFrame) -> DataFrame:
-    """The rows ``key, d, n, longer`` of buckets of two texts or more, with ``size`` and the first text, ``lead, lead_n``."""
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("lead"), F.min_by("n", "d").alias("lead_n")).where("size > 1")
-    return cut(buckets.join(sizes, "key"), "members")
-
+def _near(a: str, b: str, least: float) -> F.Column:
+    return F.least(a, b) >= F.greatest(a, b) * least - 1e-9
 
-def _pairs(members: DataFrame, least: float) -> DataFrame:
-    """``x, y`` (x below y, each once): all pairs of small buckets, pairs with the first member of large ones.
 
-    Pairs whose numbers of words differ too much are left out.
-    """
+def _members(texts: DataFrame) -> DataFrame:
+    """``key, v, size, lead``: the buckets of two texts or more, with their size and the first text."""
+    buckets = texts.select("v", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = cut(buckets.join(sizes, "key"), "buckets")  # few rows of many, so the first text is looked for afterwards
+    release(texts.sparkSession)
+    out = cut(shared.join(shared.groupBy("key").agg(F.min("v").alias("lead")), "key"), "members")
+    drop(shared)
+    return out
 
-    def all_pairs(it: Iterable[tuple]) -> Iterator[tuple]:
-        for (ds,) in it:
-            for (x, n), (y, m) in combinations(sorted((d["d"], d["n"]) for d in ds), 2):
-                if x < y and min(n, m) >= least * max(n, m) - 1e-9:
-                    yield x, y
 
-    small = members.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_set(F.struct("d", "n")).alias("ds"))  # SMALL members at most
-    few = map_rows(small.select("ds"), all_pairs, "x long, y long")
-    many = members.where(F.col("size") > SMALL).where("lead < d").where(_near("n", "lead_n", least)).select(F.col("lead").alias("x"), F.col("d").alias("y"))
-    return few.union(many).distinct()
+def _stars(members: DataFrame) -> DataFrame:
+    """``x, y`` (x below y, each once): the first member of each bucket with the others."""
+    return members.where("lead < v").select(F.col("lead").alias("x"), F.col("v").alias("y")).distinct()
 
 
 def _words_may_agree(least: float) -> F.Column:
@@ -250,38 +278,39 @@ def _words_may_agree(least: float) -> F.Column:
     return unlike <= 2 * F.floor(F.greatest("nx", "ny") * (1 - least) + 1e-9)
 
 
-def _odds(sketched: DataFrame, side: str) -> list[F.Column]:
-    return [F.col("d").alias(side), F.col("n").alias(f"n{side}"), *(F.col("odd")[k].alias(f"{side}{k}") for k in range(PARITY // 64))]
+def _odds(side: str) -> list[F.Column]:
+    return [F.col("v").alias(side), F.col("n").alias(f"n{side}"), *(F.col("odd")[k].alias(f"{side}{k}") for k in range(PARITY // 64))]
 
 
-def _alike(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` whose words may agree well enough."""
-    both = pairs.join(sketched.select(*_odds(sketched, "x")), "x").join(sketched.select(*_odds(sketched, "y")), "y")
-    return both.where(_words_may_agree(least)).select("x", "y").distinct()
+def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` whose lengths and words may agree well enough."""
+    both = pairs.join(texts.select(*_odds("x")), "x").join(texts.select(*_odds("y")), "y")
+    return both.where(_near("nx", "ny", least)).where(_words_may_agree(least)).select("x", "y")
 
 
-def _rest(members: DataFrame, sketched: DataFrame, labels: DataFrame | None, least: float) -> DataFrame:
-    """``x, y``: all pairs of large buckets that are in different parts and whose lengths and words may agree.
+def _rest(members: DataFrame, texts: DataFrame, labels: DataFrame | None, least: float) -> DataFrame:
+    """``x, y``: the pairs of buckets that are in different parts and whose lengths and words may agree.
 
-    Both sides are dealt out by bucket, by length (the longer text's class of lengths is the shorter one's or the next) and, where a
-    bucket is very large, by a hash of the shorter text; only pairs that pass leave the join.
+    Texts outside the first one's part meet the bucket's others. Both sides are dealt out by bucket, by length (classes of
+    similar texts differ by one at most) and, where a bucket is very large, by a hash; only pairs that pass leave the join.
     """
-    large = members.where(F.col("size") > SMALL).select("key", "d", "n", "size")
-    part = F.col("d")
+    part, lead_part = F.col("v"), F.col("lead")
     if labels is not None:
-        large = large.join(labels.toDF("d", "label"), "d", "left")
-        part = F.coalesce("label", "d")
-    large = cut(large.select("key", "d", "n", "size", part.alias("part")), "large")
-    mixed = large.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+        members = members.join(labels.toDF("v", "label"), "v", "left").join(labels.toDF("lead", "lead_label"), "lead", "left")
+        part, lead_part = F.coalesce("label", "v"), F.coalesce("lead_label", "lead")
+    parts = cut(members.select("key", "v", "size", part.alias("part"), (part == lead_part).alias("led")), "parts")
+    mixed = parts.where("NOT led").select("key").distinct()
     width = max(-math.log(least), 0.01) * 1.0001
     length = F.floor(F.log("n") / width)
     salts = F.least(F.ceil(F.col("size") / SALT), F.lit(MOST_SALT)).cast("int")
-    found = large.join(mixed, "key").join(sketched.select("d", "odd"), "d")
-    short = found.select("key", length.alias("length"), F.pmod(F.xxhash64("d"), salts).cast("int").alias("salt"), F.col("part").alias("part_x"), *_odds(found, "x"))
-    long = found.select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).select("*", F.explode(F.array(length - 1, length)).alias("length"))
-    long = long.select("key", "length", "salt", F.col("part").alias("part_y"), *_odds(found, "y"))
-    both = short.join(long, ["key", "length", "salt"]).where("part_x != part_y AND (nx < ny OR nx = ny AND x < y)").where(_near("nx", "ny", least)).where(_words_may_agree(least))
-    return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    found = parts.join(mixed, "key", "left_semi").join(texts.select("v", "n", "odd"), "v")
+    few = found.where("NOT led").select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).select("*", F.explode(F.array(length - 1, length, length + 1)).alias("length"))
+    few = few.select("key", "length", "salt", F.col("part").alias("part_x"), *_odds("x"))
+    all_ = found.select("key", length.alias("length"), F.pmod(F.xxhash64("v"), salts).cast("int").alias("salt"), F.col("part").alias("part_y"), "led", *_odds("y"))
+    both = few.join(all_, ["key", "length", "salt"]).where("part_x != part_y AND (led OR x < y)").where(_near("nx", "ny", least)).where(_words_may_agree(least))
+    out = cut(both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    drop(parts)
+    return out
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None, x: str, y: str) -> DataFrame:
@@ -293,16 +322,26 @@ def _apart(pairs: DataFrame, labels: DataFrame | None, x: str, y: str) -> DataFr
     return pairs.where(F.col(f"__{x}") != F.col(f"__{y}")).drop(f"__{x}", f"__{y}")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ``pairs`` (``x, y``) whose texts are similar enough, with ``similarity``."""
-    given = _given(docs, id_col, text_col).select(F.coalesce("d", F.lit(NULL_ID)).alias("d"), "t")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("d")).distinct()
+def words_of(docs: DataFrame, texts: DataFrame, pairs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``v, w``: the words of the texts in ``pairs``, as hashes of 32 bits, written to the shared folder.
+
+    Each text is found once: by its smallest id and, as rows of one id can differ, its fingerprint.
+    """
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("v")).distinct()
+    wanted = texts.select("v", "d", "f1", "f2").join(ids, "v", "left_semi")
 
     def hashed(it: Iterable[tuple]) -> Iterator[tuple]:
-        for d, text in it:
-            yield d, word_hashes(text).astype(np.uint32).tobytes()
+        for v, f1, f2, text in it:
+            words = word_hashes(text)
+            if fingerprint(words) == (f1, f2):
+                yield v, words.astype(np.uint32).tobytes()
+
+    joined = _given(docs, id_col, text_col).join(wanted.hint("shuffle_hash"), "d").select("v", "f1", "f2", "t")
+    return cut(map_rows(joined, hashed, "v long, w binary"), "words")
+
 
-    words = cut(map_rows(given.join(ids.hint("shuffle_hash"), "d", "left_semi"), hashed, "d long, w binary"), "words")
+def verify(words: DataFrame, pairs: DataFrame, *, least: float = LEAST) -> DataFrame:
+    """The ``pairs`` (``x, y``) whose texts are similar enough, with ``similarity``."""
     left, right = words.toDF("x", "wx"), words.toDF("y", "wy")
 
     def compared(it: Iterable[tuple]) -> Iterator[tuple]:
@@ -312,30 +351,31 @@ def verify(docs: DataFrame, pairs: DataFrame, *, least: float = LEAST, id_col: s
                 yield x, y, found
 
     both = pairs.join(left, "x").join(right, "y").select("x", "y", "wx", "wy")
-    out = cut(map_rows(both, compared, "x long, y long, similarity double"), "links")
-    release(docs.sparkSession, words)
-    return out
+    return cut(map_rows(both, compared, "x long, y long, similarity double"), "links")
+
 
+def classes_of(docs: DataFrame, texts: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """``v, label`` of texts with links, the connected parts of all verified links.
 
-def classes_of(docs: DataFrame, sketched: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """``v, label`` of texts with links, the connected parts of all verified links; ``sketched`` has a row for each text."""
-    zipped = sketched.where(F.size("short") > 0).select("d", "n", F.explode(F.arrays_zip("short", "long")).alias("s"))
-    buckets = zipped.select("d", "n", F.col("s.short").alias("key"), F.xxhash64("s.short", "s.long").alias("longer"))
-    labels = None
-    members = again = _members(buckets)
-    for step in ("short", "long", "whole"):
-        candidates = cut(_rest(members, sketched, labels, least) if step == "whole" else _alike(_pairs(again, least), sketched, least), "pairs")
+    ``texts`` has a row ``v, d, n, f1, f2, keys, odd`` for each different text; its row in ``docs`` is found by id and fingerprint.
+    """
+    spark, labels = docs.sparkSession, None
+    members = _members(texts)
+    release(spark)
+    for step in ("stars", "rest"):
+        candidates = cut(_alike(_stars(members), texts, least), "pairs") if step == "stars" else _rest(members, texts, labels, least)
+        words = None
         first = candidates.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")  # joins most copies at once
         for todo in (first, candidates):
             todo = cut(_apart(todo, labels, "x", "y"), "todo")
             if not todo.isEmpty():
-                labels = _joined(labels, verify(docs, todo, least=least, id_col=id_col, text_col=text_col).select("x", "y"))
-        if step == "short":
-            release(docs.sparkSession, candidates, todo)
-            failed = _apart(members.where(F.col("size") > SMALL).where("lead < d"), labels, "lead", "d")
-            again = _members(failed.select(F.col("longer").alias("key"), "d", "n").distinct())
-        elif step == "long":
-            release(docs.sparkSession, candidates, todo, again)
+                words = words_of(docs, texts, candidates, id_col=id_col, text_col=text_col) if words is None else words
+                links = verify(words, todo, least=least)
+                labels = _joined(labels, links.select("x", "y"))
+                drop(links)
+            drop(todo)
+        release(spark, candidates, *([words] if words else []))
+    drop(members)
     return labels
 
 
@@ -370,7 +410,7 @@ def components(edges: DataFrame) -> DataFrame | None:
         new = taken.join(jump, "got", "left").select("v", "old", F.least("got", F.coalesce("further", "got")).alias("label"))
         new = cut(new, "labels")
         done = new.where("old != label").isEmpty()
-        release(spark, labels)
+        drop(labels)
         labels = new.select("v", "label")
         if done:
             return labels
@@ -379,32 +419,62 @@ def components(edges: DataFrame) -> DataFrame | None:
 def near_duplicates(docs: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, class_id``, one row for each row of ``docs``: the smallest id among its near-duplicates, itself included.
 
-    Texts with the same words are alike whatever their length; null, empty and blank texts have the same (no) words. Rows of
-    equal id are one document; a null id is below all others and stays null. Other columns are ignored.
+    Texts with the same words are alike whatever their length; null, empty and blank texts have the same (no) words. A null id
+    is below all others and stays null. Rows of one id and different texts are judged each by its own text. Repeated rows are
+    copies; an empty table gives none. Other columns, of any name, are ignored.
     """
-    bounded_batches(docs.sparkSession)
+    return _classified(docs, least, id_col, text_col).select(F.nullif("d", F.lit(NULL_ID)).alias(id_col), F.nullif("class_id", F.lit(NULL_ID)).alias("class_id"))
+
+
+def _classified(docs: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
+    """``d, f1, f2, class_id`` and ``kept``, which is true for the first text of the smallest id of each class."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     sketched = cut(sketch_documents(docs, id_col=id_col, text_col=text_col), "sketches")
-    first = cut(sketched.groupBy("f1", "f2").agg(F.min("d").alias("rep")), "firsts")  # the join can then split a text of many copies
-    members = cut(sketched.select("d", "f1", "f2").join(first, ["f1", "f2"]).select("d", "rep"), "members")
-    reps = members.select(F.col("rep").alias("d")).distinct()
-    labels = classes_of(docs, sketched.join(reps, "d", "left_semi"), least=least, id_col=id_col, text_col=text_col)
-    release(docs.sparkSession, sketched)
-    if labels is None:
-        named = members.select("d", F.col("rep").alias("class_id"))
-    else:
-        named = members.join(labels.toDF("rep", "label"), "rep", "left").select("d", F.coalesce("label", "rep").alias("class_id"))
-    null = F.lit(NULL_ID)
-    return named.select(F.nullif("d", null).alias(id_col), F.nullif("class_id", null).alias("class_id"))
+    vertices = distinct_texts(sketched)
+    members = cut(sketched.select("d", "f1", "f2").join(vertices.select("f1", "f2", "v"), ["f1", "f2"]), "members")
+    texts = sketched.join(vertices, ["f1", "f2", "d"]).select("v", "d", "n", "f1", "f2", "keys", "odd")
+    texts = cut(texts.dropDuplicates(["f1", "f2", "d"]), "texts")
+    release(spark, sketched)
+    labels = classes_of(docs, texts, least=least, id_col=id_col, text_col=text_col)
+    of = vertices.withColumn("label", F.col("v"))
+    if labels is not None:
+        of = vertices.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    of = cut(of.select("v", "d", "label"), "labels-of-texts")
+    least_of = cut(of.groupBy("label").agg(F.min(F.struct("d", "v")).alias("first")), "classes")
+    named = of.join(least_of, "label").select("v", F.col("first.d").alias("class_id"), (F.col("v") == F.col("first.v")).alias("first"))
+    named = cut(named, "named")
+    drop(texts, of, least_of)
+    return members.join(named, "v").select("d", "f1", "f2", "class_id", (F.col("first") & (F.col("d") == F.col("class_id"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` of the smallest id of each class, once; no column changes."""
-    first = near_duplicates(docs, least=least).where("doc_id <=> class_id").select("doc_id").distinct()
-    first = cut(first, "kept")
-    null = F.lit(NULL_ID)
-    joined = docs.join(first.select(F.coalesce("doc_id", null).alias("__kept")).hint("shuffle_hash"), F.coalesce("doc_id", null) == F.col("__kept"), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each class of near-duplicates, that of the smallest id; no column changes.
+
+    Null, empty and blank texts are one class. Of different texts under one id (or under a null id, which is below all others)
+    in one class the one of the smallest vertex stays; those of different classes all stay. Of repeated rows with equal id and
+    words one stays, the least by its text and then by its other columns. Columns may have any name; an empty table stays empty.
+    """
+    rows = _classified(docs, least, "doc_id", "text").where("kept").groupBy("d", "f1", "f2").count()
+    kept = cut(rows.toDF("d0", "f1", "f2", "rows"), "kept")  # the columns of docs are c0, c1, ... below, whatever their names
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    d, t = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    found = plain.join(kept.hint("shuffle_hash"), F.coalesce(F.col(d).cast("long"), F.lit(NULL_ID)) == F.col("d0")).select(*plain.columns, "f1", "f2")
+    at = names.index("text")
+
+    def same(it: Iterable[tuple]) -> Iterator[tuple]:
+        for row in it:
+            if fingerprint(word_hashes(row[at])) == row[-2:]:
+                yield row
+
+    out = map_rows(found, same, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema))
+    if not kept.where("rows > 1").isEmpty():
+        order = F.struct(t, F.to_json(F.struct(*plain.columns)))
+        out = out.groupBy(d, "f1", "f2").agg(F.min_by(F.struct(*plain.columns), order).alias("row")).select("row.*")
+    return out.select(*plain.columns).toDF(*names)
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, class_id`` of each row of ``documents``; nulls, empty texts and repeated rows as in :func:`near_duplicates`."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
