@@ -4,8 +4,9 @@ Triggers of a rolling hash cut each text into phrases. A window (a string of ``L
 in it; windows that start at most 128 bytes apart before one trigger share a *core*, the bytes that all of them cover. Equal
 windows have equal cores, so only cores found twice matter (the parse). Their distinct neighbourhoods form the dictionary,
 with counts. A neighbourhood found twice repeats with all its windows. Among different neighbourhoods of one core, the
-suffixes of the dictionary are sorted, and equal neighbours in that order are repeated windows. Cores with very many
-neighbourhoods hash their windows instead, so that no group meets in one task.
+suffixes of the dictionary are sorted, and equal neighbours in that order are repeated windows. A core with more
+neighbourhoods than one task should sort is split first: its windows are dealt to narrower ranges before the trigger, whose
+cores are longer, until the groups are small or a core is a whole window.
 
 A window without any trigger is a neighbourhood of its own.
 """
@@ -21,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from luxtrace.llm.common import bounded_batches, columns, cut, map_columns, map_rows, read_table, release
+from luxtrace.llm.common import bounded_batches, columns, cut, drop, map_columns, map_rows, read_table, release
 
 LENGTH = 400
 #: Bytes below the rolling hash; one of ``1 << TRIGGER_BITS`` positions is a trigger; starts that share a core.
 ROLL, TRIGGER_BITS, BAND = 16, 6, 128
-#: Cores with more neighbourhoods are resolved by hashes of their windows.
-LARGE_GROUP = 512
+#: Neighbourhoods that are sorted together at most; cores with more are split by ``SPLIT`` narrower ranges of starts.
+GROUP, SPLIT = 512, 4
 NULL_ID = -(1 << 63)
 _NO_TRIGGER = 511
 
@@ -82,41 +83,45 @@ def neighbourhoods(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         yield *hashes, start, start + LENGTH, np.full(len(start), _NO_TRIGGER)
 
 
-# A neighbourhood's place in one integer: version of the text (13 bits), start (31), length (10), trigger - start (9).
-_V, _S, _E = 50, 19, 9
-_START = "(shiftright(p, 19) & 2147483647)"
+# A neighbourhood's place in one integer: start (44 bits), length (10), trigger - start (9).
+_S, _E = 19, 9
+_START = f"shiftright(p, {_S})"
+_END = f"{_START} + (shiftright(p, {_E}) & 1023)"
 
 
-def _place(start, end, trigger, version):
-    return version << _V | start << _S | end - start << _E | trigger
+def _place(start, end, trigger):
+    return start << _S | end - start << _E | trigger
 
 
 def _start(p: int) -> int:
-    return p >> _S & (1 << 31) - 1
-
-
-_VERSION = "pmod(xxhash64(t), 8192)"  # of a text, so that rows of equal id and different text are told apart
+    return p >> _S
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``d, v, t``: id (null: below all), version and text (null: empty)."""
-    given = columns(docs, id_col, text_col).toDF("i", "x")
-    return given.select(F.coalesce(F.col("i").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce("x", F.lit("")).alias("t")).withColumn("v", F.expr(_VERSION)).select("d", "v", "t")
+    """``i, v, t``: id, a number for each row's id and text, and text (null: empty).
+
+    The number is the id (null: below all) unless some id has several texts; then it is a hash of both.
+    """
+    given = columns(docs, id_col, text_col).toDF("i", "x").select(F.col("i").cast("long").alias("i"), F.coalesce("x", F.lit("")).alias("t"))
+    key = F.coalesce("i", F.lit(NULL_ID))
+    texts = given.select(key.alias("k"), F.xxhash64("t").alias("h")).groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    shared = not texts.where("low < high").isEmpty()
+    return given.select("i", (F.xxhash64("i", "t", F.length("t")) if shared else key).alias("v"), "t")
 
 
 def parse(keyed: DataFrame) -> DataFrame:
-    """``k, h, d, p``: each neighbourhood of each text with its core."""
+    """``k, h, v, p``: each neighbourhood of each text with its core."""
 
     def arrays(row: tuple) -> Iterator[tuple]:
-        d, v, text = row
+        v, text = row
         for k, h, start, end, trigger in neighbourhoods(text.encode("utf-8", "surrogatepass")):
-            yield k.view(np.int64), h.view(np.int64), np.full(len(k), d), _place(start, end, trigger, v)
+            yield k.view(np.int64), h.view(np.int64), np.full(len(k), v), _place(start, end, trigger)
 
-    return map_columns(keyed, arrays, "k long, h long, d long, p long")
+    return map_columns(keyed.select("v", "t"), arrays, "k long, h long, v long, p long")
 
 
-def _equal_windows(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-    """``(d, v, start, end)`` of the windows of single neighbourhoods that are found in another one of the group.
+def _equal_windows(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
+    """``(v, start, end)`` of the windows of single neighbourhoods that are found in another one of the group.
 
     The suffixes of the concatenated neighbourhoods that are long enough are sorted by their first ``LENGTH`` bytes.
     """
@@ -130,14 +135,14 @@ def _equal_windows(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
     order = sorted(range(len(suffixes)), key=lambda i: dictionary[suffixes[i] : suffixes[i] + LENGTH])
     last, held = None, []
 
-    def told() -> Iterator[tuple[int, int, int, int]]:
+    def told() -> Iterator[tuple[int, int, int]]:
         if len(held) > 1:
             for i in held:
                 j, first = owner[i]
-                _, c, d, p, _ = group[j]
+                _, c, v, p, _ = group[j]
                 if c == 1:
                     start = _start(p) + suffixes[i] - first
-                    yield d, p >> _V, start, start + LENGTH
+                    yield v, start, start + LENGTH
 
     for i in order:
         window = dictionary[suffixes[i] : suffixes[i] + LENGTH]
@@ -148,53 +153,88 @@ def _equal_windows(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
     yield from told()
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``d, v, s, e``: spans of bytes (they may overlap) that cover exactly the windows found more than once."""
-    spark = docs.sparkSession
-    keyed = _keyed(docs, id_col, text_col)
+def _split(regions: DataFrame, width: int) -> DataFrame:
+    """``k, h, c, v, p, bytes``: the neighbourhoods cut into those of ranges of ``width`` starts, with longer cores."""
+
+    def narrower(it: Iterable[tuple]) -> Iterator[tuple]:
+        for _, c, v, p, region in it:
+            high = p & 511
+            low = high - (len(region) - LENGTH)
+            for first in range(low // width * width, high + 1, width):
+                lo, hi = max(low, first), min(high, first + width - 1)
+                # counted from the first byte of the region, which is ``high`` before the trigger
+                part = region[high - hi : high - lo + LENGTH]
+                core = region[high - first : high - first + LENGTH - width + 1] if width > 1 else part
+                yield _signed(_xxh(core, first << 9 | width)), _signed(_xxh(part, hi)), c, v, _place(_start(p) + high - hi, _start(p) + high - lo + LENGTH, hi), part
+
+    return map_rows(regions, narrower, "k long, h long, c long, v long, p long, bytes binary")
+
+
+def _several(of: DataFrame) -> DataFrame:
+    """``k, n``: the cores of several different neighbourhoods and how many."""
+    return of.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def repeated_spans(keyed: DataFrame) -> DataFrame:
+    """``v, s, e``: spans of bytes (they may overlap) that cover exactly the windows found more than once; of ``v, t``."""
+    spark = keyed.sparkSession
     parsed = cut(parse(keyed), "parse")
     # Written first, so that the join below has two plain shuffles and Spark can split a core that very many texts have.
     twice = cut(parsed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"), "cores")
     release(spark)
     found = cut(parsed.join(twice, "k", "left_semi"), "repeated-cores")
     release(spark, parsed, twice)
-    counted = cut(found.groupBy("k", "h").agg(F.count(F.lit(1)).alias("c"), F.first("d").alias("d"), F.first("p").alias("p")), "dictionary")
-    classes = counted.join(counted.groupBy("k").count().where("count > 1").select("k"), "k", "left_semi")
-    whole = found.join(counted.where("c > 1").select("k", "h"), ["k", "h"], "left_semi")
-    whole = whole.selectExpr("d", f"shiftright(p, {_V}) AS v", f"{_START} AS s", f"{_START} + (shiftright(p, {_E}) & 1023) AS e")
+    counted = cut(found.groupBy("k", "h").agg(F.count(F.lit(1)).alias("c"), F.first("v").alias("v"), F.first("p").alias("p")), "dictionary")
+    more = cut(counted.where("c > 1").select("k", "h"), "repeated")
+    whole = found.join(more, ["k", "h"], "left_semi").selectExpr("v", f"{_START} AS s", f"{_END} AS e")
+    spans = [cut(whole, "spans")]
+    release(spark, found, more)
 
-    wanted = classes.selectExpr("d", f"shiftright(p, {_V}) AS v", "struct(k, c, p) AS w").groupBy("d", "v").agg(F.collect_list("w").alias("w"))  # of one text
-    fetched = keyed.join(wanted.hint("shuffle_hash"), ["d", "v"]).select("d", "t", "w")
+    classes = counted.join(_several(counted).select("k"), "k", "left_semi")
+    wanted = classes.selectExpr("v", "struct(k, c, p) AS w").groupBy("v").agg(F.collect_list("w").alias("w"))  # of one text
+    fetched = keyed.join(wanted.hint("shuffle_hash"), "v").select("v", "t", "w")
 
     def cut_out(it: Iterable[tuple]) -> Iterator[tuple]:
-        for d, text, ws in it:
-            raw = text.encode("utf-8", "surrogatepass")
+        for v, text, ws in it:
+            raw, got = text.encode("utf-8", "surrogatepass"), set()
             for w in ws:
                 p = w["p"]
-                yield w["k"], w["c"], d, p, raw[_start(p) : _start(p) + (p >> _E & 1023)]
+                if p not in got:
+                    got.add(p)
+                    yield w["k"], w["c"], v, p, raw[_start(p) : _start(p) + (p >> _E & 1023)]
 
-    regions = cut(map_rows(fetched, cut_out, "k long, c long, d long, p long, bytes binary"), "neighbourhoods")
-    release(spark)
-    large = regions.groupBy("k").count().where(F.col("count") > LARGE_GROUP).select("k")
+    regions = cut(map_rows(fetched, cut_out, "k long, c long, v long, p long, bytes binary"), "neighbourhoods")
+    release(spark, counted)
 
     def by_suffixes(it: Iterable[tuple]) -> Iterator[tuple]:
         for _, group in groupby(it, key=lambda r: r[0]):
-            yield from _merged(_equal_windows(list(group)))
-
-    small = regions.join(large, "k", "left_anti").repartition("k").sortWithinPartitions("k", "d", "p")
-    sorted_out = map_rows(small, by_suffixes, "d long, v long, s long, e long")
-
-    def windows(it: Iterable[tuple]) -> Iterator[tuple]:
-        for _, c, d, p, region in it:
-            start = _start(p)
-            for j in range(len(region) - LENGTH + 1):
-                window = region[j : j + LENGTH]
-                yield _signed(_xxh(window, 1)), _signed(_xxh(window, 2)), c, d, p >> _V, start + j
-
-    hashed = map_rows(regions.join(large, "k", "left_semi"), windows, "a long, b long, c long, d long, v long, s long")
-    more = hashed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    hashed_out = hashed.where("c = 1").join(more, ["a", "b"], "left_semi").selectExpr("d", "v", "s", f"s + {LENGTH} AS e")
-    return whole.union(sorted_out).union(hashed_out)
+            yield from (x[1:] for x in _merged((0, *w) for w in _equal_windows(list(group))))
+
+    width = BAND
+    while True:
+        sizes = cut(_several(regions), "sizes")
+        small = regions.join(sizes.where(F.col("n") <= GROUP).select("k"), "k", "left_semi")
+        small = small.repartition("k").sortWithinPartitions("k", "v", "p")
+        spans.append(cut(map_rows(small, by_suffixes, "v long, s long, e long"), "spans"))
+        large = sizes.where(F.col("n") > GROUP).select("k")
+        if width == 1 or large.isEmpty():
+            break
+        width = max(1, width // SPLIT)
+        parts = cut(_split(regions.join(large, "k", "left_semi"), width), "parts")
+        same = cut(parts.groupBy("k", "h").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.min(F.struct("v", "p")).alias("first")), "same")
+        # a part found twice repeats with all its windows; one of its places stands for it from here on
+        repeated = parts.where("c = 1").join(same.where("c > 1").select("k", "h"), ["k", "h"], "left_semi")
+        spans.append(cut(repeated.selectExpr("v", f"{_START} AS s", f"{_END} AS e"), "spans"))
+        several = _several(same).select("k")
+        kept = parts.drop("c").join(same.select("k", "h", "c", F.col("first.v").alias("v"), F.col("first.p").alias("p")), ["k", "h", "v", "p"]).join(several, "k", "left_semi")
+        drop(regions, sizes)
+        regions = cut(kept.select("k", "c", "v", "p", "bytes"), "neighbourhoods")
+        release(spark, parts, same)
+    drop(regions, sizes)
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.union(more)
+    return out
 
 
 def _merged(spans: Iterable[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
@@ -214,28 +254,31 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """``id, n_bytes, n_removed, n_spans, kept``: each text as UTF-8 without the bytes that a repeated window covers.
 
     Overlaps count, within a document as well; strings are judged on the input. Null counts as empty; texts below
-    ``LENGTH`` bytes stay whole; repeated rows are copies of each other; other columns are ignored.
+    ``LENGTH`` bytes stay whole; repeated rows are copies of each other, and so are equal texts of any ids; rows of one id
+    (or without one) that have different texts are documents of their own; an empty table gives none; other columns, of any
+    name, are ignored.
     """
     bounded_batches(docs.sparkSession)
-    spans = cut(repeated_spans(docs, id_col=id_col, text_col=text_col), "spans")
+    keyed = _keyed(docs, id_col, text_col)
+    spans = repeated_spans(keyed)
     release(docs.sparkSession)
-    by_text = spans.groupBy("d", "v").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # of one text
-    given = _keyed(docs, id_col, text_col)
+    by_text = spans.groupBy("v").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # of one text
 
     def rows(it: Iterable[tuple]) -> Iterator[tuple]:
-        for d, text, spans in it:
+        for key, text, spans in it:
             raw = text.encode("utf-8", "surrogatepass")
             runs = [(s, e) for _, _, s, e in _merged((0, 0, x["s"], x["e"]) for x in spans or ())]
             ends = [0, *(e for _, e in runs)]
             starts = [*(s for s, _ in runs), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(ends, starts, strict=True))
-            yield (None if d == NULL_ID else d), len(raw), len(raw) - len(kept), len(runs), kept
+            yield key, len(raw), len(raw) - len(kept), len(runs), kept
 
-    joined = given.join(by_text.hint("shuffle_hash"), ["d", "v"], "left").select("d", "t", "spans")
+    joined = keyed.join(by_text.hint("shuffle_hash"), "v", "left").select("i", "t", "spans")
     return map_rows(joined, rows, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, removed bytes and spans, and hash of the rest of each row of ``documents``; edge cases as in :func:`remove_repeats`."""
     out = remove_repeats(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
