@@ -4,28 +4,31 @@ Words become template tokens: numbers, units after numbers and names turn into t
 outer punctuation. A document leaks a benchmark item if at least 0.8 of the item's windows of five template tokens are found
 in one stretch of it with slots that agree: one value of the item stands for one value of the document, throughout and both
 ways. So questions whose numbers or names were changed are found, and texts that share a frame by chance are not. A capitalised
-word at the start of a sentence may be a name or not: windows take both readings.
+word at the start of a sentence may be a name or not: windows take both readings. An item without windows (below five words, or
+nearly all slots) is leaked by a text that has its whole template.
 
-The benchmark is the query set: it is taken in blocks of bounded size, each a hash table that all documents probe.
+Windows of both sides meet in joins of their hashes. A bit map of fixed size tells the documents' tasks which windows no item
+has, so that few rows leave them. First a text meets an item in the rarest of the item's windows, so many of them that a leak
+must have one; then all windows of the pairs so found are compared. Equal texts are one.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from luxtrace.llm.common import bounded_batches, columns, keep_rows, map_rows, read_table
+from luxtrace.llm.common import bounded_batches, columns, cut, drop, map_rows, read_table
 
 #: Template tokens in a window, how many must be words, and the share of an item's windows that makes a leak.
 WINDOW, WORDS, LEAST = 5, 3, 0.8
-#: Most characters and items of the benchmark in one block, about.
-BLOCK_CHARS, BLOCK_ITEMS = 16 << 20, 20_000
+#: The bit map of window hashes has ``1 << FILTER_BITS`` bits (4 MB), made in pieces of ``1 << PIECE_BITS``.
+FILTER_BITS, PIECE_BITS = 25, 15
 #: Words kept with their token in each Python worker.
 WORDS_KEPT = 100_000
 
@@ -43,38 +46,33 @@ _NUMBER_UNIT = re.compile(r"[+-]?[$€£]?\d[\d.,]*([^\W\d_]+)")
 _OUTER = "\"'“”‘’«»()[]{}<>.,;:!?*#%&$…-–—_/\\|"
 NUM, NAME, UNIT = 1, 2, 3
 _FIRST_WORD = 4
-# Of a packed word: the token in and at the start of a sentence, then flags.
-_ENDS, _IS_NUM, _MAY_UNIT, _BITS = 1 << 50, 1 << 51, 1 << 52, 25
+# Of a packed word: its own token, then flags.
+_OWN = (1 << 56) - 1
+_ENDS, _IS_NUM, _MAY_UNIT, _NAMED = (1 << k for k in range(56, 60))
+_WHOLE = 0x5BD1E995
+
+
+def _word(bare: str) -> int:
+    return max(xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass")) & _OWN, _FIRST_WORD)
+
+
+def pack(word: str) -> int:
+    ends = _ENDS if word.rstrip("\"'”’»)]")[-1:] in (".", "!", "?", ":") else 0
+    bare = word.strip(_OUTER)
+    low = bare.lower()
+    if not bare:
+        return _word(word) | ends
+    if _NUMBER.fullmatch(bare) or low in NUMBER_WORDS or (m := _NUMBER_UNIT.fullmatch(bare)) and m[1].lower() in UNITS:
+        return NUM | ends | _IS_NUM
+    named = bare[0].isupper() and len(bare) > 1 and not bare.isupper()
+    return _word(low) | ends | (_NAMED if named else 0) | (_MAY_UNIT if low in UNITS else 0)
 
 
 class Templates:
-    """Template tokens of words, as numbers: placeholders, words of a vocabulary, and 0 for any other word."""
-
-    def __init__(self, vocabulary: dict[str, int] | None):
-        self.vocabulary = {} if vocabulary is None else vocabulary
-        self.open = vocabulary is None  # new words get a number
-        self.kept = _Words(self)
-
-    def word(self, bare: str) -> int:
-        if self.open:
-            return self.vocabulary.setdefault(bare, len(self.vocabulary) + _FIRST_WORD)
-        return self.vocabulary.get(bare, 0)
-
-    def pack(self, word: str) -> int:
-        ends = _ENDS if word.rstrip("\"'”’»)]")[-1:] in (".", "!", "?", ":") else 0
-        bare = word.strip(_OUTER)
-        low = bare.lower()
-        if not bare:
-            own = self.word(word)
-            return own | own << _BITS | ends
-        if _NUMBER.fullmatch(bare) or low in NUMBER_WORDS or (m := _NUMBER_UNIT.fullmatch(bare)) and m[1].lower() in UNITS:
-            return NUM | NUM << _BITS | ends | _IS_NUM
-        own = self.word(low)
-        named = bare[0].isupper() and len(bare) > 1 and not bare.isupper()
-        return (NAME if named else own) | own << _BITS | ends | (_MAY_UNIT if low in UNITS else 0)
-
-    def tokens(self, words: list[str]) -> np.ndarray:
-        return self.read(words)[0]
+    """Template tokens of words, as numbers: placeholders, and hashes of other words."""
+
+    def __init__(self):
+        self.kept = _Words()
 
     def read(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens, with starts of sentences as words, and which of these starts may be names."""
@@ -82,34 +80,30 @@ class Templates:
         if not len(packed):
             return packed, packed > 0
         starts = np.concatenate([[True], packed[:-1] & _ENDS != 0])
-        after_number = np.concatenate([[False], packed[:-1] & _IS_NUM != 0])
-        mask = (1 << _BITS) - 1
-        out = np.where(starts, packed >> _BITS & mask, packed & mask)
-        units = after_number & (packed & _MAY_UNIT != 0)
+        named = packed & _NAMED != 0
+        units = np.concatenate([[False], packed[:-1] & _IS_NUM != 0]) & (packed & _MAY_UNIT != 0)
+        out = np.where(named & ~starts, NAME, packed & _OWN)
         out[units] = UNIT
-        return out, starts & (packed & mask == NAME) & ~units
+        return out, starts & named & ~units
 
 
 class _Words(dict):
-    def __init__(self, templates: Templates):
-        self.templates = templates
-
     def __missing__(self, word: str) -> int:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        packed = self[word] = self.templates.pack(word)
+        packed = self[word] = pack(word)
         return packed
 
 
-def windows(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(places, hashes)`` of the windows of known tokens in which enough are words."""
-    return readings(tokens, np.zeros(len(tokens), bool))[:2]
+def _mix(h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    h = (h ^ tokens.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
 
 
 def readings(tokens: np.ndarray, may_name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(places, hashes, named)`` of the windows, one for each choice of names (bits of ``named``) among words that may be some.
 
-    Such a word counts as a word in either reading, so all readings of a place are windows or none, if their tokens are known.
+    A window has WORDS words at least; such a word counts as a word in either reading.
     """
     n = len(tokens) - WINDOW + 1
     if n <= 0:
@@ -121,86 +115,144 @@ def readings(tokens: np.ndarray, may_name: np.ndarray) -> tuple[np.ndarray, np.n
         bits |= may_name[enough + k].astype(np.int64) << k
     found = []
     for named in range(1 << WINDOW):
-        at = enough[bits & named == named]
-        known, h = np.ones(len(at), bool), np.zeros(len(at), np.uint64)
-        for k in range(WINDOW) if len(at) else ():
-            t = np.full(len(at), NAME, tokens.dtype) if named >> k & 1 else tokens[at + k]
-            known &= t > 0
-            h = (h ^ t.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        found.append((at[known], h[known], np.full(int(known.sum()), named)))
+        at = enough[bits & named == named] if named else enough
+        if len(at):
+            h = np.zeros(len(at), np.uint64)
+            for k in range(WINDOW):
+                h = _mix(h, np.full(len(at), NAME, tokens.dtype) if named >> k & 1 else tokens[at + k])
+            found.append((at, h, np.full(len(at), named)))
         if not named and not bits.any():
             break
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at, hashes, named = (np.concatenate(x) for x in zip(*found, strict=True))
     return at, hashes, named
 
 
-class Benchmark:
-    """A hash table from windows to the items that have them."""
+def whole(tokens: np.ndarray) -> np.uint64:
+    """The hash of a text's whole template."""
+    places = np.arange(len(tokens), dtype=np.uint64)
+    return np.bitwise_xor.reduce(_mix(_mix(places + np.uint64(_WHOLE), tokens), places))
+
+
+def _signed(h: np.ndarray) -> list[int]:
+    return h.astype(np.uint64).view(np.int64).tolist()
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """``h, item, i, named, n`` of items ``item, text``: their windows with place, reading and number of places.
+
+    An item without windows has its whole template at place -1 instead; an item without words has no row.
+    """
+
+    def rows(it: Iterable[tuple]) -> Iterator[tuple]:
+        templates = Templates()
+        for item, text in it:
+            tokens, may_name = templates.read(text.split())
+            at, hashes, named = readings(tokens, may_name)
+            n = len(np.unique(at))
+            if n:
+                yield from ((h, item, i, m, n) for h, i, m in zip(_signed(hashes), at.tolist(), named.tolist(), strict=True))
+            elif len(tokens):
+                yield _signed(whole(tokens)[None])[0], item, -1, 0, 1
+
+    return map_rows(items.select("item", "text"), rows, "h long, item long, i int, named int, n int")
+
+
+def bit_map(windows: DataFrame) -> np.ndarray:
+    """One bit for each value of the hashes' upper FILTER_BITS bits, made on the executors; its size is fixed."""
+    place = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    bits = windows.select(F.shiftright(place, PIECE_BITS).cast("int").alias("piece"), place.bitwiseAND((1 << PIECE_BITS) - 1).cast("int").alias("bit")).distinct()
+
+    def pieces(it: Iterable[tuple]) -> Iterator[tuple]:
+        for piece, found in it:
+            own = np.zeros(1 << PIECE_BITS, bool)
+            own[found] = True
+            yield piece, np.packbits(own).tobytes()
+
+    out = np.zeros((1 << (FILTER_BITS - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
+    grouped = bits.groupBy("piece").agg(F.collect_list("bit").alias("found"))  # 1 << PIECE_BITS at most
+    for piece, own in map_rows(grouped, pieces, "piece int, own binary").collect():  # 1 << (FILTER_BITS - PIECE_BITS) rows
+        out[piece] = np.frombuffer(own, np.uint8)
+    return out.ravel()
+
+
+def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
 
-    def __init__(self, items: list[tuple[int | None, str]]):
-        templates = Templates(None)
-        self.items: list[tuple[int | None, list[str], np.ndarray, int]] = []
-        table: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for item_id, text in items:
+
+def _keyed(docs: DataFrame, text_col: str) -> list[F.Column]:
+    """128 bits of a text."""
+    return [F.xxhash64(F.col(text_col)).alias("a"), F.xxhash64(F.lit("second"), F.col(text_col)).alias("b")]
+
+
+def document_windows(docs: DataFrame, bits, text_col: str) -> DataFrame:
+    """``a, b, h, j, w``: the windows of each text that may be some item's, with their place and words; each once."""
+
+    def rows(it: Iterable[tuple]) -> Iterator[tuple]:
+        templates, known = Templates(), bits.value
+        for a, b, text in it:
             words = (text or "").split()
             tokens, may_name = templates.read(words)
-            at, hashes, named = readings(tokens, may_name)
-            if len(at):
-                for i, h, m in zip(at.tolist(), hashes.tolist(), named.tolist(), strict=True):
-                    table[h].append((len(self.items), i, m))
-                self.items.append((item_id, words, tokens, len(np.unique(at))))
-        self.vocabulary = templates.vocabulary
-        self.table = dict(table)
-        self.hashes = np.array(sorted(table), np.uint64)
-
-    def probe(self, templates: Templates, text: str | None, least: float) -> Iterator[tuple[int | None, float, int, bool]]:
-        """``(item, coverage, matched windows, changed)`` of each item that the text leaks."""
-        words = (text or "").split()
-        if not len(self.hashes):
-            return
-        at, hashes, _ = readings(*templates.read(words))
-        where = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[where] == hashes
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for j, h in zip(at[hit].tolist(), hashes[hit].tolist(), strict=True):
-            for item, i, m in self.table[h]:
-                found[item].append((j, i, m))
-        for item, pairs in found.items():
-            item_id, item_words, item_tokens, n = self.items[item]
-            if len({i for _, i, _ in pairs}) < least * n - 1e-9:
-                continue
-            best = max((self._agreeing(stretch, item_words, item_tokens, words) for stretch in _stretches(pairs, len(item_words))), default=(0, False))
-            if best[0] >= least * n - 1e-9:
-                yield item_id, best[0] / n, best[0], best[1]
-
-    @staticmethod
-    def _agreeing(pairs: list[tuple[int, int, int]], item_words: list[str], item_tokens: np.ndarray, words: list[str]) -> tuple[int, bool]:
-        """Windows of the item whose slots follow the commonest value for value, both ways; and whether a value differs."""
-        kinds = item_tokens.tolist()
-        slots = []
-        for j, i, named in pairs:
-            read = [NAME if named >> k & 1 else kinds[i + k] for k in range(WINDOW)]
-            slots.append((i, [(read[k], item_words[i + k].strip(_OUTER).lower(), words[j + k].strip(_OUTER).lower()) for k in range(WINDOW) if read[k] < _FIRST_WORD]))
-        there: dict[tuple, Counter] = defaultdict(Counter)
-        back: dict[tuple, Counter] = defaultdict(Counter)
-        for _, values in slots:
-            for kind, a, b in values:
-                there[kind, a][b] += 1
-                back[kind, b][a] += 1
-        one = {k: max(c, key=lambda b: (c[b], b)) for k, c in there.items()}
-        other = {k: max(c, key=lambda a: (c[a], a)) for k, c in back.items()}
-        good, changed = set(), False
-        for i, values in slots:
-            if all(one[kind, a] == b and other[kind, b] == a for kind, a, b in values):
-                good.add(i)
-                changed |= any(a != b for _, a, b in values)
-        return len(good), changed
-
-
-def _stretches(pairs: list[tuple[int, int, int]], size: int) -> Iterator[list[tuple[int, int, int]]]:
+            at, hashes, _ = readings(tokens, may_name)
+            hit = _in_map(known, hashes)
+            yield from ((a, b, h, j, " ".join(words[j : j + WINDOW])) for h, j in zip(_signed(hashes[hit]), at[hit].tolist(), strict=True))
+            if words and _in_map(known, h := whole(tokens)[None])[0]:
+                yield a, b, _signed(h)[0], -1, " ".join(words)
+
+    given = columns(docs, text_col).toDF("t").select(*_keyed(docs, "t"), "t")
+    found = map_rows(given, rows, "a long, b long, h long, j int, w string")
+    return found.dropDuplicates(["a", "b", "h", "j"])
+
+
+def _bare(word: str) -> str:
+    return word.strip(_OUTER).lower() or word
+
+
+def agreeing(pairs: list[tuple[int, int, int, str]], item_words: list[str], tokens: list[int]) -> tuple[int, bool]:
+    """Windows of the item whose slots follow the commonest value for value, both ways; and whether a value differs.
+
+    A pair is ``(j, i, named, words)``; what isn't a slot must be the same word.
+    """
+    slots = []
+    for _, i, named, words in pairs:
+        mine = item_words[i : i + WINDOW] if i >= 0 else item_words
+        read = [NAME if named >> k & 1 else t for k, t in enumerate(tokens[i : i + WINDOW] if i >= 0 else tokens)]
+        theirs = words.split(" ")
+        if len(theirs) == len(mine) and all(t < _FIRST_WORD or _bare(a) == _bare(b) for t, a, b in zip(read, mine, theirs, strict=True)):
+            slots.append((i, [(t, _bare(a), _bare(b)) for t, a, b in zip(read, mine, theirs, strict=True) if t < _FIRST_WORD]))
+    there: dict[tuple, Counter] = defaultdict(Counter)
+    back: dict[tuple, Counter] = defaultdict(Counter)
+    for _, values in slots:
+        for kind, a, b in values:
+            there[kind, a][b] += 1
+            back[kind, b][a] += 1
+    one = {k: max(c, key=lambda b: (c[b], b)) for k, c in there.items()}
+    other = {k: max(c, key=lambda a: (c[a], a)) for k, c in back.items()}
+    good, changed = set(), False
+    for i, values in slots:
+        if all(one[kind, a] == b and other[kind, b] == a for kind, a, b in values):
+            good.add(i)
+            changed |= any(a != b for _, a, b in values)
+    return len(good), changed
+
+
+def judged(pairs: list[tuple[int, int, int, str]], text: str, n: int, least: float, templates: Templates) -> tuple[float, int, bool] | None:
+    """``(coverage, matched windows, changed)`` of the best stretch, or None if it is no leak."""
+    words = text.split()
+    tokens = templates.read(words)[0].tolist()
+    best = max((agreeing(stretch, words, tokens) for stretch in _stretches(pairs, len(words))), default=(0, False))
+    if best[0] < least * n - 1e-9:
+        return None
+    if pairs[0][1] < 0 and best[1] and max(tokens) < _FIRST_WORD:  # nothing but slots: other values are another text
+        return None
+    return best[0] / n, best[0], best[1]
+
+
+def _stretches(pairs: list[tuple[int, int, int, str]], size: int) -> Iterator[list[tuple[int, int, int, str]]]:
     """Matches in order of their place, parted where more than the item's length is between two."""
-    held: list[tuple[int, int, int]] = []
+    held: list[tuple[int, int, int, str]] = []
     for p in sorted(pairs):
         if held and p[0] - held[-1][0] > size:
             yield held
@@ -210,62 +262,74 @@ def _stretches(pairs: list[tuple[int, int, int]], size: int) -> Iterator[list[tu
         yield held
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Benchmark]:
-    """The benchmark in blocks that the driver and each worker can hold, whatever its size."""
-    given = columns(benchmark, item_col, text_col).toDF("i", "t").where("t IS NOT NULL")
-    size = given.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("chars")).first()
-    n = max(1, math.ceil((size["chars"] or 0) / BLOCK_CHARS), math.ceil(size["n"] / BLOCK_ITEMS))
-    for k in range(n):
-        rows = given.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
-        yield Benchmark(sorted(((r["i"], r["t"]) for r in rows), key=lambda r: (r[0] is not None, r)))
+def leaking_texts(docs: DataFrame, items: DataFrame, *, least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """``a, b, item, coverage, n_windows, changed``: each different text (by 128 bits) of ``docs`` with each item that it leaks.
+
+    ``items`` has columns ``item`` (a number of its own for each) and ``text`` (not null).
+    """
+    spark = docs.sparkSession
+    windows = cut(item_windows(items), "item-windows")
+    bits = spark.sparkContext.broadcast(bit_map(windows))
+    hits = cut(document_windows(docs, bits, text_col), "windows")
+    bits.unpersist()
+    # of n places a leak has least * n, so it has one of any n - least * n + 1 places: the rarest are joined
+    spread = windows.groupBy("h").agg(F.count_distinct("item").alias("items"))
+    places = windows.join(spread, "h").groupBy("item", "i").agg(F.max("items").alias("items"), F.first("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("items", "i"))
+    rare = places.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("item", "i")
+    asked = cut(windows.join(rare, ["item", "i"]).select("h", "item").distinct(), "rare-windows")
+    pairs = cut(hits.select("a", "b", "h").join(asked, "h").select("a", "b", "item").distinct(), "pairs")
+    met = pairs.join(windows, "item").join(hits, ["a", "b", "h"])
+    grouped = met.groupBy("a", "b", "item", "n").agg(F.collect_list(F.struct("j", "i", "named", "w")).alias("pairs"), F.count_distinct("i").alias("seen"))  # of one text
+    enough = grouped.where(F.col("seen") >= F.col("n") * least - 1e-9).join(items.select("item", F.col("text").alias("of")), "item")
+
+    def rows(it: Iterable[tuple]) -> Iterator[tuple]:
+        templates = Templates()
+        for a, b, item, n, found, of in it:
+            got = judged([(p["j"], p["i"], p["named"], p["w"]) for p in found], of, n, least, templates)
+            if got:
+                yield (a, b, item, *got)
+
+    out = cut(map_rows(enough.select("a", "b", "item", "n", "pairs", "of"), rows, "a long, b long, item long, coverage double, n_windows long, changed boolean"), "leaks")
+    drop(windows, hits, asked, pairs)
+    return out
 
 
-def _prober(shared, least: float):
-    """A function of a text, for use in one task."""
-    benchmark = shared.value
-    templates = Templates(benchmark.vocabulary)
-    return lambda text: benchmark.probe(templates, text, least)
+def _numbered(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """``item, id, text``: the items with text, each row with a number, written to the shared folder."""
+    given = columns(benchmark, item_col, text_col).toDF("id", "text").where("text IS NOT NULL")
+    return cut(given.select(F.monotonically_increasing_id().alias("item"), "id", "text"), "items")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, coverage, n_windows, changed``: one row for each document and item that it leaks.
 
-    ``changed`` tells that some slot has another value than the item. Null and empty texts leak nothing; items without a
-    window (below five words, or nearly all slots) are never found; repeated rows of either table give rows of their own.
+    ``changed`` tells that some slot has another value than the item. Null and empty texts leak nothing, null and empty items
+    are leaked by nothing; an item without windows (below five words, or nearly all slots) is leaked by texts of its whole
+    template. Repeated rows of either table give rows of their own, null ids stay null, empty tables give none, and other
+    columns, of any name, are ignored.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
-    out = None
-    for block in _blocks(benchmark, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
-
-        def rows(it: Iterable[tuple], shared=shared) -> Iterator[tuple]:
-            probe = _prober(shared, least)
-            for key, text in it:
-                for found in probe(text):
-                    yield (key, *found)
-
-        part = map_rows(columns(docs, id_col, text_col), rows, f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, coverage double, n_windows long, changed boolean")
-        out = part if out is None else out.union(part)
-    return out
+    bounded_batches(docs.sparkSession)
+    items = _numbered(benchmark, item_col, item_text_col)
+    leaks = leaking_texts(docs, items, least=least, text_col=text_col).join(items.select("item", "id"), "item")
+    given = columns(docs, id_col, text_col).toDF("i", "t").select("i", *_keyed(docs, "t"))
+    return given.join(leaks, ["a", "b"]).select(F.col("i").alias(id_col), F.col("id").alias(item_col), "coverage", "n_windows", "changed")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` that leak no item; no column changes."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    at = docs.columns.index("text")
-    for block in _blocks(benchmark, "item_id", "text"):
-        shared = spark.sparkContext.broadcast(block)
+    """The rows of ``docs`` that leak no item; no column changes.
 
-        def keeper(shared=shared):
-            probe = _prober(shared, least)
-            return lambda row: next(iter(probe(row[at])), None) is None
-
-        docs = keep_rows(docs, keeper)
-    return docs
+    Null and empty texts stay; equal texts stay or go together; with an empty benchmark all stay; columns may have any name.
+    """
+    bounded_batches(docs.sparkSession)
+    leaks = leaking_texts(docs, _numbered(benchmark, "item_id", "text"), least=least)
+    texts = cut(leaks.select("a", "b").distinct(), "leaking-texts")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    a, b = _keyed(plain, f"c{names.index('text')}")
+    return plain.join(texts, (a == texts["a"]) & (b == texts["b"]), "left_anti").toDF(*names)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``documents`` with each item of ``benchmark`` that it leaks; edge cases as in :func:`find_leaks`."""
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
