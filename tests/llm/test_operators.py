@@ -79,6 +79,32 @@ def test_pii_base_and_added(spark):
     assert pii.find_pii(empty(spark)).count() == 0
 
 
+def test_pii_spans_need_no_seven_digits():
+    field = pii.trained()
+    kinds = lambda t: [k for k, _, _ in pii.all_spans(t, field)[1]]
+    assert kinds("host 8[.]8[.]8[.]8 is down") == ["ip"] and kinds("server 10[.]0[.]0[.]1 or so") == ["ip"]
+    assert kinds("write to john [at] example.com soon") == ["email"]
+    assert kinds("they looked at the sky and at that time") == []
+
+
+def test_pii_spans_wherever_they_stand_in_digits():
+    """A number among very many others is found at any offset."""
+    field, lost = pii.trained(), 0
+    for k in range(60):
+        text = "v1 " * (330 + k) + "please call (415) 555-2671 now " + "v2 " * 400
+        at = text.index("(415)")
+        lost += ("phone", at, at + 14) not in pii.all_spans(text, field)[1]
+    assert not lost
+
+
+def test_pii_recall_through_the_whole_operator(spark):
+    samples = pii.training_samples(300, seed=5)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(samples)], "doc_id long, text string")
+    got = {r["doc_id"]: {tuple(s) for s in r["spans"]} for r in pii.find_pii(docs).collect()}
+    want = [(i, *s) for i, (_, spans) in enumerate(samples) for s in spans]
+    assert sum(tuple(w[1:]) in got[w[0]] for w in want) / len(want) > 0.95
+
+
 def test_pii_field_is_accurate_on_new_samples():
     field, good, want, got = pii.trained(), 0, 0, 0
     for text, spans in pii.training_samples(200, seed=77):
@@ -131,6 +157,8 @@ def test_language(spark, sf_dir):
     got = {r["doc_id"]: r for r in language.identify(make(spark, EDGES), profiles).collect()}
     assert {got[k]["lang_pred"] for k in (0, 1, 2, 3)} == {"und"} and got[0]["score"] == 0
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    marks = ["\u0301\u0301", "12 \u0301 34", "a\u0301"]
+    assert [r["lang_pred"] == "und" for r in language.identify(make(spark, marks), profiles).orderBy("doc_id").collect()] == [True, True, False]
     kept = language.keep_identified(make(spark, EDGES + ["this and that of the in with for on are from ing", "12345 67 !!"]), profiles)
     ids = {r["doc_id"] for r in kept.collect()}
     assert 10 in ids and not ids & {0, 1, 2, 3, 11}
@@ -169,20 +197,20 @@ def test_decontamination(spark):
     kept = {r["doc_id"] for r in decontaminate.drop_leaks(make(spark, texts), items).collect()}
     assert kept == set(range(len(texts))) - {10, 11, 14}
     assert decontaminate.find_leaks(empty(spark), items).count() == 0 and decontaminate.find_leaks(make(spark, texts), items.limit(0)).count() == 0
-    old, decontaminate.BLOCK_ITEMS = decontaminate.BLOCK_ITEMS, 1
-    try:
-        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(make(spark, texts), items).collect()} == set(got)
-    finally:
-        decontaminate.BLOCK_ITEMS = old
 
 
-def test_slots_must_agree():
+def test_slots_must_agree(spark):
     item = "Ann gives Tom apples, then Ann gives Tom pears, then Ann gives Tom plums, then Ann gives Tom figs."
-    b = decontaminate.Benchmark([(1, "Then " + item)])
-    probe = lambda t: list(b.probe(decontaminate.Templates(b.vocabulary), t, 0.8))
-    assert probe("Then " + item.replace("Ann", "Eve").replace("Tom", "Joe"))
-    assert not probe("Then Ann gives Tom apples, then Eve gives Joe pears, then Kim gives Lee plums, then Max gives Ian figs.")
-    assert not probe("Then " + item.replace("Ann", "Joe").replace("Tom", "Joe"))
+    texts = ["Then " + item.replace("Ann", "Eve").replace("Tom", "Joe"), "Then Ann gives Tom apples, then Eve gives Joe pears, then Kim gives Lee plums, then Max gives Ian figs.", "Then " + item.replace("Ann", "Joe").replace("Tom", "Joe")]
+    items = spark.createDataFrame([(1, "Then " + item)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.find_leaks(make(spark, texts), items).collect()] == [0]
+
+
+def test_items_without_windows(spark):
+    texts = ["What is 7 + 8?", "what is 3 + 9?", "Say: what is 7 + 8?", "12 13", "14 15", "who is 7 + 8?", None, ""]
+    items = spark.createDataFrame([(1, "What is 7 + 8?"), (2, "12 13"), (3, "?"), (4, ""), (None, "who is 1 + 2?")], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["changed"]) for r in decontaminate.find_leaks(make(spark, texts), items).collect()), key=str)
+    assert got == [(0, 1, False), (1, 1, True), (2, 1, False), (3, 2, False), (5, None, True)]
 
 
 def test_names_at_the_start_of_a_sentence(spark):
@@ -269,10 +297,10 @@ def test_token_files(spark):
 
     r = random.Random(4)
     texts = EDGES + ["".join(r.choice("aabCDEthe  \n\t'sÉéßİΣσ0123 日本́—_-=.,*!<|endoftext|>\x85\xa0") for _ in range(r.randint(0, 60))) for _ in range(300)]
+    texts += ["hello <|endoftext|> world", "<|ENDOFTEXT|>a<|startoftext|>\u0301b<|endoftext|><|endoftext|>", "x <|endoftext|", *("".join(r.choice(["<|endoftext|>", "<|startoftext|>", " ", "Ab.", "'s", "é", "<|", "\n"]) for _ in range(8)) for _ in range(60))]
     folder = shared_dir(spark, "files")
     manifest = token_files.write_token_files(make(spark, texts), folder)
     library = Tokenizer.from_file(token_files.tokenizer_path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     rows = {x["doc_id"]: x for x in token_files.read_token_files(manifest).collect()}
     start = 0
     for i, t in enumerate(texts):
@@ -291,6 +319,22 @@ def test_token_files(spark):
     assert [x["doc_id"] for x in token_files.read_token_files(token_files.write_token_files(odd, folder)).orderBy("start").collect()] == [None, 5, 5, 5]
 
 
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path("word_bpe_49k.json")
+    assert token_files.WordEncoder(path).by_chunks
+    rules = json.load(open(path, encoding="utf-8"))
+    rules["normalizer"] = {"type": "Replace", "pattern": {"String": " "}, "content": ""}
+    (tmp_path / "other.json").write_text(json.dumps(rules), encoding="utf-8")
+    own = token_files.WordEncoder(str(tmp_path / "other.json"))
+    texts = ["ab cd <|endoftext|> ef", "", None]
+    want = [Tokenizer.from_file(str(tmp_path / "other.json")).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not own.by_chunks and [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == want
+
+
 def test_damaged_token_file(tmp_path):
     out = open(tmp_path / "f", "wb")
     w = token_files.SeekableWriter(out, "<u2")
@@ -343,7 +387,7 @@ def test_near_duplicates(spark, monkeypatch):
     assert got == plain_classes(texts, ids)
     kept = near_dedup.keep_one(make(spark, texts, ids))
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(got.values())) and kept.columns[-1] == "a.b"
-    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    monkeypatch.setattr(near_dedup, "SALT", 3)
     assert {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(make(spark, texts, ids)).collect()} == got
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None)], "doc_id long, text string")
@@ -389,10 +433,10 @@ def test_components(spark):
 # --- 9
 
 
-@pytest.mark.parametrize("large", [512, 1])
-def test_passages(spark, monkeypatch, large):
+@pytest.mark.parametrize("most", [512, 5, 1])
+def test_passages(spark, monkeypatch, most):
     r = random.Random(6)
-    monkeypatch.setattr(passages, "LARGE_GROUP", large)
+    monkeypatch.setattr(passages, "GROUP", most)
     text = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
     a, b, c = text(150), text(90), text(200)
     texts = [None, "", "short", a + b, text(40) + b + text(30), a[100:700] + "é" + c, c[:399], c[:400], c[3:500] + text(20) + c[3:500], "ab" * 900, "x" * 401, "x" * 1500, "y" * 399, a + b, text(300), *(text(12) + b + text(12) for _ in range(12))]
@@ -408,6 +452,30 @@ def test_repeated_rows_of_passages(spark):
     assert sorted(got, key=str) == [(1, 600, 600), (1, 600, 600), (None, 0, 0), (None, 200, 0)]
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    r = random.Random(61)
+    text = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    shared = text(130)[:500]
+    texts = [text(200)[:700] + shared, shared + text(80), text(150), text(150), shared[:450]]
+    rows = spark.createDataFrame([(1, texts[0]), (1, texts[2]), (2, texts[1]), (None, texts[3]), (None, texts[4])], "doc_id long, text string")
+    got = {(x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(x["kept"]).hexdigest()) for x in passages.remove_repeats(rows).collect()}
+    assert got == set(passages.brute_force(texts))
+
+
+def test_hot_cores_with_many_neighbourhoods(spark, monkeypatch):
+    """Many near copies, each with an edit of its own: no step makes a row for each window."""
+    r = random.Random(62)
+    monkeypatch.setattr(passages, "GROUP", 20)
+    base = " ".join(r.choice(WORDS) for _ in range(260)).split()
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        w[r.randrange(len(w))] = str(r.randint(0, 99999))
+        texts.append(" ".join(w))
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(x["kept"]).hexdigest()) for x in passages.remove_repeats(make(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == passages.brute_force(texts)
+
+
 # --- 10
 
 
@@ -522,7 +590,7 @@ def test_share_of_least_similar_pairs_that_meet(words, apart):
         a = r.integers(0, 2**63, words).astype(np.uint64)
         b, most = a.copy(), int(0.2 * words + 1e-9)
         b[np.arange(most) * 5 + 4 if apart else r.choice(words, most, replace=False)] = r.integers(0, 2**63, most).astype(np.uint64)
-        met += bool(set(near_dedup.sketches(a)[0]) & set(near_dedup.sketches(b)[0]))
+        met += bool(set(near_dedup.sketches(a).tolist()) & set(near_dedup.sketches(b).tolist()))
     assert met >= 0.98 * n, met
 
 
