@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import types as T
 
-# Every hash, commitment and signature that exists was made with these tags, so they cannot differ.
-RECORD_TAG = b"genesis-record-v1"
-PIXEL_TAG = b"genesis-pixels-v1"
-FINGERPRINT_TAG = b"genesis-prnu-k-v1"
-BODY_TAG = b"genesis-body-v1"
-SESSION_TAG = b"genesis-session"
-CID_PREFIX = "genesis:"
+#: Hashes, commitments and content ids are bound to a namespace, that of the registry whose records are read: set
+#: ``LUXTRACE_NAMESPACE`` on the driver and the executors to the registry's own.
+NAMESPACE = os.environ.get("LUXTRACE_NAMESPACE", "luxtrace")
+RECORD_TAG, PIXEL_TAG, FINGERPRINT_TAG, BODY_TAG, SESSION_TAG = (f"{NAMESPACE}-{kind}".encode() for kind in ("record-v1", "pixels-v1", "prnu-k-v1", "body-v1", "session"))
+CID_PREFIX = f"{NAMESPACE}:"
 # Thresholds and widths that decide results.
 PCE_THRESHOLD = 100.0
 SATURATION_LEVEL = 0.99

@@ -1,16 +1,21 @@
 """Kernels against published values, and operators against kernels."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from luxtrace.functions.hashing import phash
 from luxtrace.operators.raster import frames
+from luxtrace.operators.raster import evaluation
 from luxtrace.operators.raster import kernels as K
+from luxtrace.schema import NAMESPACE
 
 PATTERN = [[0, 1], [3, 2]]
 
 
+# Rasters, and sensors with exposures, for which published hashes and scores exist; other data have other scores.
 def synthetic(h, w, seed):
     rng = np.random.default_rng(seed)
     y, x = np.mgrid[0:h, 0:w].astype(np.float64)
@@ -19,13 +24,24 @@ def synthetic(h, w, seed):
     return np.clip(base + rng.normal(0, 18, base.shape), 0, 255).astype(np.uint8)
 
 
-BODY = {c: K.synthetic_sensor((96, 128), 700 + c) for c in range(4)}
+def fixed_sensor(shape, seed):
+    k = np.random.default_rng(seed).normal(0.0, 0.02, size=shape).astype(np.float32)
+    return k - k.mean()
+
+
+def fixed_exposure(sensor, seed):
+    h, w = sensor.shape
+    scene = np.linspace(0.45, 0.55, h, dtype=np.float32)[:, None] * np.linspace(0.98, 1.02, w, dtype=np.float32)[None, :]
+    return np.clip(scene * (1.0 + sensor) + np.random.default_rng(seed).normal(0.0, 0.01, size=sensor.shape).astype(np.float32), 0.0, 1.0).astype(np.float32)
+
+
+BODY = {c: fixed_sensor((96, 128), 700 + c) for c in range(4)}
 
 
 def delivered(seed=7000):
     rgb = np.zeros((192, 256, 3), np.float32)
     for c, (i, j) in {0: (0, 0), 1: (0, 1), 2: (1, 1), 3: (1, 0)}.items():
-        rgb[i::2, j::2, {0: 0, 1: 1, 2: 2, 3: 1}[c]] = K.synthetic_exposure(BODY[c], seed + c)
+        rgb[i::2, j::2, {0: 0, 1: 1, 2: 2, 3: 1}[c]] = fixed_exposure(BODY[c], seed + c)
     for band in range(3):
         p = rgb[:, :, band]
         p[p == 0] = float(np.mean(p[p > 0]))
@@ -44,7 +60,10 @@ def test_perceptual_hashes(spark, case, h, w, want):
 
 
 def test_commitment():
-    assert K.commitment({0: np.arange(12, dtype=np.float32).reshape(3, 4) / 100}).hex().startswith("efccc13a")
+    """Tag, number, dimensions and samples, under the namespace that is set."""
+    p = np.arange(12, dtype=np.float32).reshape(3, 4) / 100
+    parts = [NAMESPACE.encode() + b"-prnu-k-v1", (0).to_bytes(4, "big"), (2).to_bytes(4, "big"), (3).to_bytes(8, "big"), (4).to_bytes(8, "big"), p.astype("<f4").tobytes()]
+    assert K.commitment({0: p}) == hashlib.sha256(b"".join(parts)).digest()
 
 
 @pytest.mark.parametrize(("make", "want", "path"), [
@@ -132,3 +151,26 @@ def test_mosaics(spark):
 def test_ssim():
     a = synthetic(40, 40, 1)[..., 0]
     assert K.ssim(a, a) == pytest.approx(1.0) and K.ssim(a, 255 - a) < 0.1
+
+
+def test_degraded_patterns():
+    k = np.random.default_rng(3).normal(size=(10, 13)).astype(np.float32)
+    small = evaluation.block_means(k, 4)
+    assert small[:4, :4] == pytest.approx(k[:4, :4].mean()) and np.array_equal(small[8:], k[8:]) and np.array_equal(small[:, 12:], k[:, 12:])
+    inner = evaluation.only_centre(k, 0.5)
+    assert np.array_equal(inner[2:7, 3:9], k[2:7, 3:9]) and np.count_nonzero(inner) == 30
+    q = evaluation.quantised(k, 2)
+    assert len(np.unique(q)) <= 4 and 0 not in q and np.abs(q - k).max() <= np.abs(k).max() / 4 + 1e-6
+    assert not evaluation.quantised(np.zeros((2, 2)), 3).any()
+
+
+def test_whitening_against_plain_windows():
+    k = K.zero_mean(np.random.default_rng(4).normal(size=(24, 18)) + np.sin(np.arange(18)) * 2)
+    assert np.abs(k.mean(axis=0)).max() < 1e-6 and np.abs(k.mean(axis=1)).max() < 1e-6
+    waves = np.fft.fft2(k)
+    power, level, want = np.abs(waves) ** 2 / k.size, float(k.var()), np.zeros(k.shape)
+    for i in range(24):
+        for j in range(18):
+            means = [power[max(0, i - r) : i + r + 1, max(0, j - r) : j + r + 1].sum() / (2 * r + 1) ** 2 for r in (1, 2, 3, 4)]
+            want[i, j] = np.sqrt(max(min(means) - level, 0))
+    assert np.allclose(K.whiten(k), np.fft.ifft2(waves * want / np.maximum(np.sqrt(power), 1e-30)).real, atol=1e-5)
