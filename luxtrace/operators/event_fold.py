@@ -102,10 +102,35 @@ def challenges(folded: DataFrame) -> DataFrame:
 
 
 def owner_as_of(folded: DataFrame, at: DataFrame) -> DataFrame:
-    """``at`` (``epoch, body_id, pos``) with the body's owner just before each position, and whether it was revoked by then."""
-    e = folded.where(F.col("kind").isin("BodyRegistered", "BodyTransferred")).select("epoch", "body_id", "pos", F.coalesce("to_address", "owner").alias("__owner"))
+    """``at`` (``epoch, body_id, pos``) with the body's owner just before each position, and whether it was revoked by then.
+
+    As in ``bodies``, what happens before a body's first registration has no effect.
+    """
+    first = folded.where(F.col("kind") == "BodyRegistered").groupBy("epoch", "body_id").agg(F.min("pos").alias("__first"))
+    since = folded.where(F.col("kind").isin("BodyRegistered", "BodyTransferred", "BodyRevoked")).join(first, ["epoch", "body_id"]).where("pos >= __first")
+    e = since.where("kind != 'BodyRevoked'").select("epoch", "body_id", "pos", F.coalesce("to_address", "owner").alias("__owner"))
     keyed = lambda df: df.withColumn("__key", F.concat_ws("|", F.col("epoch").cast("string"), "body_id"))
     out = as_of(keyed(at), keyed(e).select("__key", F.col("pos").alias("__pos"), "__owner"), "__key", "pos", change_pos="__pos", values={"__owner": "owner_then"})
-    revoked = folded.where(F.col("kind") == "BodyRevoked").groupBy("epoch", "body_id").agg(F.min("pos").alias("__revoked"))
+    revoked = since.where("kind = 'BodyRevoked'").groupBy("epoch", "body_id").agg(F.min("pos").alias("__revoked"))
     out = out.join(revoked, ["epoch", "body_id"], "left")
     return out.withColumn("revoked_then", F.coalesce(F.col("__revoked") < F.col("pos"), F.lit(False))).drop("__key", "__revoked")
+
+
+def earliest_commits(folded: DataFrame) -> DataFrame:
+    """``image, tx_hash, block_number`` of the first commit that names each image."""
+    e = folded.where(F.col("kind") == "Commit").select("pos", "tx_hash", "block_number", image_of_content_id("asset_cid").alias("image")).where("image IS NOT NULL")
+    return e.groupBy("image").agg(F.min_by("tx_hash", "pos").alias("tx_hash"), F.min("block_number").alias("block_number"))
+
+
+def registration_checks(folded: DataFrame) -> DataFrame:
+    """``block_number, error`` of each registration of an image in a trusted log: the checks in their order."""
+    calls = folded.where("kind = 'ImageRegistered'").select("epoch", "body_id", "image_hash", "level", "pos", "block_number")
+    b = bodies(folded).select("epoch", "body_id", "registered_pos")
+    revoked = folded.where("kind = 'BodyRevoked'").select("epoch", "body_id", F.col("pos").alias("__r")).join(b, ["epoch", "body_id"]).where("__r > registered_pos").groupBy("epoch", "body_id").agg(F.min("__r").alias("revoked_pos"))
+    first = calls.groupBy("epoch", "image_hash").agg(F.min("pos").alias("first_pos"))
+    out = calls.join(b, ["epoch", "body_id"], "left").join(revoked, ["epoch", "body_id"], "left").join(first, ["epoch", "image_hash"])
+    error = (
+        F.when(F.col("registered_pos").isNull() | (F.col("registered_pos") > F.col("pos")), "unknown body").when(F.col("revoked_pos") < F.col("pos"), "body revoked")
+        .when(F.col("first_pos") < F.col("pos"), "image already registered").when(F.col("level") > 2, "modification level out of range")
+    )
+    return out.select("block_number", error.alias("error"))

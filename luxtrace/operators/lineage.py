@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from luxtrace.shared import cut
+
 
-def roots(nodes: DataFrame, edges: DataFrame, cut=lambda df: df) -> DataFrame:
+def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, root, depth`` for ``nodes`` (``node``) and ``edges`` (``node, parent``, at most one parent each, no cycle).
 
-    Every round follows each pointer's own pointer, so a chain of n takes log2(n) rounds.
+    Every round follows each pointer's own pointer, so a chain of n takes log2(n) rounds. A round is written to the shared
+    folder, so plans don't grow; nodes that point at a root are done and leave the rounds.
     """
-    at = nodes.join(edges, "node", "left").select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"))
-    at = cut(at)
-    while True:
-        further = at.select(F.col("node").alias("__n"), F.col("up").alias("__up"), F.col("depth").alias("__d"))
-        new = cut(at.join(further, F.col("up") == F.col("__n")).select("node", F.col("__up").alias("up"), (F.col("depth") + F.col("__d")).alias("depth")))
-        moved = new.agg(F.sum("depth")).first()[0] != at.agg(F.sum("depth")).first()[0]
-        at = new
-        if not moved:
-            return at.select("node", F.col("up").alias("root"), "depth")
+    up = F.coalesce("parent", "node").alias("up")
+    at = cut(nodes.join(edges, "node", "left").select("node", up, F.col("parent").isNotNull().cast("long").alias("depth")))
+    done, left, pointers = [at.where("depth = 0")], at.where("depth > 0"), at
+    while not left.isEmpty():
+        further = pointers.select(F.col("node").alias("__n"), F.col("up").alias("__up"), F.col("depth").alias("__d"))
+        moved = cut(left.join(further, F.col("up") == F.col("__n")).select("node", F.col("__up").alias("up"), (F.col("depth") + F.col("__d")).alias("depth"), (F.col("__d") == 0).alias("__done")))
+        pointers = reduce(DataFrame.unionByName, done, moved.drop("__done"))
+        done.append(moved.where("__done").drop("__done"))
+        left = moved.where("NOT __done").drop("__done")
+    return reduce(DataFrame.unionByName, done).select("node", F.col("up").alias("root"), "depth")

@@ -30,18 +30,43 @@ def images_like(images: DataFrame, perceptual_hash: str, limit: int = 10) -> Dat
 
 def body(bodies: DataFrame, key: str) -> DataFrame:
     """A body by id, else by commitment (the smallest id, if several)."""
-    ranked = bodies.where(_equal("body_id", key) | _equal("body_commitment", key)).withColumn("__by", F.when(_equal("body_id", key), 0).otherwise(1))
-    return ranked.orderBy("__by", "body_id").limit(1).drop("__by")
+    found = bodies_by_key(bodies, bodies.sparkSession.createDataFrame([(key,)], "key string"))
+    return bodies.join(found.select("body_id"), "body_id", "left_semi")
+
+
+def bodies_by_key(bodies: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key, body_id, found_by`` of each ``key``: by id, else by commitment (the smallest id, if several), else none."""
+    by_id = bodies.select(F.lower("body_id").alias("__k"), F.col("body_id").alias("__id"))
+    by_commitment = bodies.where("body_commitment IS NOT NULL").groupBy(F.lower("body_commitment").alias("__c")).agg(F.min("body_id").alias("__of"))
+    out = keys.select("key").join(by_id, F.lower("key") == F.col("__k"), "left").join(by_commitment, F.lower("key") == F.col("__c"), "left")
+    return out.select("key", F.coalesce("__id", "__of").alias("body_id"), F.when(F.col("__id").isNotNull(), "id").when(F.col("__of").isNotNull(), "commitment").otherwise("none").alias("found_by"))
+
+
+def with_images(bodies: DataFrame, images: DataFrame) -> DataFrame:
+    """Each body with its number of images and the first NESTED of them by time of registration."""
+    kept = ["registered_at", "image_hash", "level", "pce"]
+    nested = images.join(bodies.select("body_id"), "body_id", "left_semi").groupBy("body_id").agg(F.count(F.lit(1)).alias("n_images"), F.slice(F.array_sort(F.collect_list(F.struct(*kept))), 1, NESTED).alias("images"))
+    return bodies.join(nested, "body_id", "left").withColumn("n_images", F.coalesce("n_images", F.lit(0)))
 
 
 def bodies_of(bodies: DataFrame, images: DataFrame, owner: str) -> DataFrame:
     """An owner's bodies by time of registration, each with its images in that order."""
     if not _is_address(owner):
         raise ValueError("not an address")
-    own = bodies.where(F.lower("owner") == owner.lower())
-    kept = ["registered_at", "image_hash", "level", "pce"]
-    nested = images.join(own.select("body_id"), "body_id", "left_semi").groupBy("body_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(*kept))), 1, NESTED).alias("images"))
-    return own.join(nested, "body_id", "left").orderBy("registered_at", "body_id")
+    return with_images(bodies.where(F.lower("owner") == owner.lower()), images).orderBy("registered_at", "body_id")
+
+
+def nested_images(images: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Each image with its body's owner, its parent and what was made from it (hash and level, in order of hash)."""
+    made = images.where("parent IS NOT NULL").groupBy(F.col("parent").alias("__p")).agg(F.array_sort(F.collect_list(F.struct("image_hash", "level"))).alias("derivatives"))
+    out = images.join(bodies.select("body_id", "owner"), "body_id", "left").join(made, F.col("image_hash") == F.col("__p"), "left")
+    return out.select("image_hash", "level", "owner", "parent", F.coalesce("derivatives", F.array().cast("array<struct<image_hash:string,level:int>>")).alias("derivatives"))
+
+
+def body_health(bodies: DataFrame, images: DataFrame) -> DataFrame:
+    """``body_id, revoked, n_images, first_at, max_pce`` of each body."""
+    n = images.groupBy("body_id").agg(F.count(F.lit(1)).alias("n_images"), F.min("registered_at").alias("first_at"), F.max("pce").alias("max_pce"))
+    return bodies.join(n, "body_id", "left").select("body_id", "revoked", F.coalesce("n_images", F.lit(0)).alias("n_images"), "first_at", "max_pce")
 
 
 def _is_address(value: str) -> bool:
@@ -56,8 +81,10 @@ def index_scan(images: DataFrame, limit: int | None = SCANNED) -> DataFrame:
     return two if limit is None else two.orderBy("image_hash").limit(limit)
 
 
-def images_of(images: DataFrame, body_ids: DataFrame, limit: int = SCANNED) -> DataFrame:
-    return images.join(body_ids.select(F.lower("body_id").alias("body_id")).distinct(), "body_id", "left_semi").orderBy("image_hash").limit(limit)
+def images_of(images: DataFrame, body_ids: DataFrame, limit: int | None = SCANNED) -> DataFrame:
+    """The images of some bodies: as in the read API the first ``limit`` by hash, or all for None."""
+    of = images.join(body_ids.select(F.lower("body_id").alias("body_id")).distinct(), "body_id", "left_semi")
+    return of if limit is None else of.orderBy("image_hash").limit(limit)
 
 
 def indexed_block(folded: DataFrame) -> DataFrame:
@@ -65,10 +92,10 @@ def indexed_block(folded: DataFrame) -> DataFrame:
     return folded.agg(F.max("block_number").alias("indexed_block"))
 
 
-def status(folded: DataFrame) -> DataFrame:
-    """One row of counts that tell whether the index is alive."""
-    n = lambda df, name, most: df.limit(most).agg(F.count(F.lit(1)).alias(name))
-    parts = [event_fold.current_epoch(folded), indexed_block(folded), n(event_fold.bodies_current(folded), "n_bodies", SCANNED), n(event_fold.images_current(folded), "n_images", SCANNED)]
+def status(folded: DataFrame, most: int | None = SCANNED) -> DataFrame:
+    """One row of counts that tell whether the index is alive; as in the read API counts end at ``most``, None counts all."""
+    n = lambda df, name: (df if most is None else df.limit(most)).agg(F.count(F.lit(1)).alias(name))
+    parts = [event_fold.current_epoch(folded), indexed_block(folded), n(event_fold.bodies_current(folded), "n_bodies"), n(event_fold.images_current(folded), "n_images")]
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)  # one row each
@@ -98,7 +125,7 @@ def record_view(folded: DataFrame, requests: DataFrame, *, chain_id: int, regist
     images, bodies = event_fold.images_current(folded), event_fold.bodies_current(folded)
     then = event_fold.owner_as_of(folded, images).select("image_hash", "body_id", "owner_then", "pce", "level", "registered_at", "parent", F.col("tx_hash").alias("__own_tx"))
     now = bodies.select("body_id", F.col("owner").alias("__now"), "revoked")
-    first = event_fold.commits(folded).where("image IS NOT NULL").groupBy("image").agg(F.min_by("tx_hash", "pos").alias("tx_hash"))
+    first = event_fold.earliest_commits(folded).select("image", "tx_hash")
     out = requests.select("image_hash").join(then, "image_hash", "left").join(now, "body_id", "left").join(first, F.col("image_hash") == F.col("image"), "left")
     out = out.crossJoin(F.broadcast(event_fold.current_epoch(folded).select(F.col("resettable").alias("test_mode"))))  # one row
     found = F.col("registered_at").isNotNull()

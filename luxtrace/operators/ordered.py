@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the order is cut into; sums over ranges are at most so many rows.
-RANGES = 64
+#: Rows of a range that the order is cut into, about, and most ranges.
+ROWS, MOST = 1 << 20, 4096
 
 
-def running_sum(df: DataFrame, pos: str, value: Column, name: str, *, inclusive: bool = True, total: str | None = None, ranges: int = RANGES) -> DataFrame:
+def running_sum(df: DataFrame, pos: str, value: Column, name: str, *, inclusive: bool = True, total: str | None = None, ranges: int | None = None) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows up to (or before) each row in order of ``pos``.
 
-    ``pos`` is a unique number. The order is cut at approximate quantiles; each range is summed on its own and the few sums
-    are added up in order, so no task holds more than a range. With ``total``, each row gets the sum over all rows as well.
+    ``pos`` is a unique number. The order is cut at approximate quantiles into as many ranges as the rows need (they are
+    counted); each range is summed on its own and the few sums are added up in order, so no task holds more than a range. With
+    ``total``, each row gets the sum over all rows as well.
     """
+    if ranges is None:
+        ranges = min(MOST, -(-df.select(pos).count() // ROWS))
     cuts = sorted(set(df.approxQuantile(pos, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
     spread = df.withColumn("__v", value.cast("long")).withColumn("__r", _range_of(F.col(pos), cuts))
     before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range at most

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from luxtrace.operators.ordered import as_of, running_sum
 from luxtrace.schema import ZERO_WORD
+from luxtrace.shared import cut
 
 ZERO_ADDRESS = "0x" + "0" * 40
 
@@ -78,11 +79,11 @@ def body_calls(calls: DataFrame) -> DataFrame:
     return ordered.mapInPandas(fold, "call_id long, epoch long, body_id string, error string, owner string, revoked boolean")
 
 
-def image_calls(calls: DataFrame, folded_bodies: DataFrame, cut=lambda df: df) -> DataFrame:
+def image_calls(calls: DataFrame, folded_bodies: DataFrame) -> DataFrame:
     """``call_id, error`` of registerImage calls.
 
     ``folded_bodies`` is what ``body_calls`` gives. Rounds end when no position changes; there are as many as the longest
-    chain of edits. ``cut`` ends the lineage of a round, for long chains.
+    chain of edits. Each is written to the shared folder, so none is computed twice.
     """
     key = F.concat_ws("|", F.col("epoch").cast("string"), F.col("body_id"))
     own = calls.where(F.col("function") == "registerImage").withColumn("__key", key)
@@ -123,9 +124,9 @@ def other_calls(calls: DataFrame, *, admin: str | None) -> DataFrame:
     return out.select("call_id", error.alias("error"))
 
 
-def replay(calls: DataFrame, *, admin: str | None = None, cut=lambda df: df) -> DataFrame:
+def replay(calls: DataFrame, *, admin: str | None = None) -> DataFrame:
     """``call_id, accepted, error`` for every call."""
     timed = cut(with_epochs(calls, admin=admin))
     folded = cut(body_calls(timed))
-    out = folded.select("call_id", "error").union(image_calls(timed, folded, cut)).union(other_calls(timed, admin=admin))
+    out = folded.select("call_id", "error").union(image_calls(timed, folded)).union(other_calls(timed, admin=admin))
     return out.select("call_id", F.col("error").isNull().alias("accepted"), "error")

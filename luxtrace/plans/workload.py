@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from luxtrace.functions import hashing, labels, words
-from luxtrace.operators import catalogue, event_fold, similarity, statistics, verdict
+from luxtrace.operators import catalogue, event_fold, lookup, similarity, statistics, verdict
 from luxtrace.schema import BODY_TAG, CID_PREFIX, PIXEL_TAG, RECORD_TAG, SESSION_TAG
 from luxtrace.sources.events import generated_log, word
 
+#: A registry's address in queries that make links.
+REGISTRY = "0x" + "5" * 40
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -70,9 +73,9 @@ WITH raw AS (
     '0x' || sha256(event_id::varchar) AS tx_hash
   FROM ev WHERE kind IN ('Commit', 'ImageRegistered')
 ), as_of AS (
-  SELECT i.*, (SELECT arg_max(CASE WHEN e.kind = 'BodyRegistered' THEN e.own ELSE e.dest END, e.event_id) FROM ev e
-     WHERE e.epoch = i.epoch AND e.body_id = i.body_id AND e.kind IN ('BodyRegistered', 'BodyTransferred') AND e.event_id < i.event_id) AS owner_then,
-    EXISTS (SELECT 1 FROM ev e WHERE e.epoch = i.epoch AND e.body_id = i.body_id AND e.kind = 'BodyRevoked' AND e.event_id < i.event_id) AS revoked_then
+  SELECT i.*, (SELECT arg_max(CASE WHEN e.kind = 'BodyRegistered' THEN e.own ELSE e.dest END, e.event_id) FROM ev e JOIN reg r ON r.epoch = e.epoch AND r.body_id = e.body_id
+     WHERE e.epoch = i.epoch AND e.body_id = i.body_id AND e.kind IN ('BodyRegistered', 'BodyTransferred') AND e.event_id >= r.reg_at AND e.event_id < i.event_id) AS owner_then,
+    EXISTS (SELECT 1 FROM ev e JOIN reg r ON r.epoch = e.epoch AND r.body_id = e.body_id WHERE e.epoch = i.epoch AND e.body_id = i.body_id AND e.kind = 'BodyRevoked' AND e.event_id >= r.reg_at AND e.event_id < i.event_id) AS revoked_then
   FROM image i
 ), early AS (SELECT image, arg_min(tx_hash, event_id) AS tx_hash, min(event_id) AS commit_event FROM com WHERE image IS NOT NULL GROUP BY image)
 """
@@ -109,20 +112,20 @@ def bodies_all_epochs(spark, d):
 @query(EV + f"SELECT {_BODY} FROM body JOIN cur USING (epoch)")
 def streaming_fold(spark, d):
     """The same fold with the log arriving as a stream of files."""
-    from luxtrace.streaming.fold import bodies_from_state, stream_bodies
+    from luxtrace.streaming.fold import bodies_from_state
 
-    base = _shared(spark, "stream")
-    generated_log(spark, d).repartitionByRange(4, "block_number").write.parquet(f"{base}/log")
-    stream_bodies(spark, f"{base}/log", f"{base}/state", f"{base}/checkpoint", files_per_batch=1).awaitTermination()
-    return bodies_from_state(spark, f"{base}/state").select(*_BODY.split(", "))
+    return bodies_from_state(spark, _streamed(spark, d)).select(*_BODY.split(", "))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
+def _streamed(spark: SparkSession, d: str) -> str:
+    """The state after the log came as a stream of four files."""
+    from luxtrace.shared import shared_dir
+    from luxtrace.streaming.fold import stream_registry
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = shared_dir(spark, "stream")
+    generated_log(spark, d).repartitionByRange(4, "block_number").write.parquet(f"{base}/log")
+    stream_registry(spark, f"{base}/log", f"{base}/state", f"{base}/checkpoint", files_per_batch=1).awaitTermination()
+    return f"{base}/state"
 
 
 _IMAGE = "image_hash, body_id, registered_at, level, pce, parent"
@@ -133,12 +136,25 @@ def images_current(spark, d):
     return event_fold.images_current(folded(spark, d)).select(*_IMAGE.split(", "))
 
 
+@query(EV + f"SELECT {_IMAGE} FROM image JOIN cur USING (epoch)")
+def streaming_images(spark, d):
+    from luxtrace.streaming.fold import images_from_state
+
+    return images_from_state(spark, _streamed(spark, d)).select(*_IMAGE.split(", "))
+
+
+@query(EV + f"SELECT epoch, {_W('k')} AS session_id, arg_min({_W('u + 1')}, event_id) AS merkle_root, arg_min(k::bigint, event_id) AS frame_count, arg_min(sec, event_id) AS committed_at FROM ev JOIN cur USING (epoch) WHERE kind = 'SessionCommitted' GROUP BY epoch, k")
+def streaming_sessions(spark, d):
+    from luxtrace.streaming.fold import sessions_from_state
+
+    return sessions_from_state(spark, _streamed(spark, d))
+
+
 @query(EV + "SELECT b.owner, b.body_id, b.registered_at, count(i.image_hash) AS n_images, coalesce(string_agg(i.image_hash, ',' ORDER BY i.registered_at, i.image_hash), '') AS images FROM body b JOIN cur USING (epoch) LEFT JOIN image i ON i.epoch = b.epoch AND i.body_id = b.body_id GROUP BY ALL")
 def bodies_by_owner(spark, d):
     f = folded(spark, d)
-    nested = event_fold.images_current(f).groupBy("body_id").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("registered_at", "image_hash"))), 1, 1000).alias("i"))
-    out = event_fold.bodies_current(f).join(nested, "body_id", "left")
-    return out.select("owner", "body_id", "registered_at", F.coalesce("n", F.lit(0)).alias("n_images"), F.coalesce(F.array_join(F.col("i.image_hash"), ","), F.lit("")).alias("images"))
+    out = lookup.with_images(event_fold.bodies_current(f), event_fold.images_current(f))
+    return out.select("owner", "body_id", "registered_at", "n_images", F.coalesce(F.array_join(F.col("images.image_hash"), ","), F.lit("")).alias("images"))
 
 
 @query(EV + "SELECT image_hash, body_id, owner_then, revoked_then FROM as_of JOIN cur USING (epoch)")
@@ -155,14 +171,8 @@ def image_record(spark, d):
     """The public record of each registered image: owner at that time, level in words, and the transaction if the earliest
     commit of its content id is the registration's own."""
     f = folded(spark, d)
-    at = event_fold.owner_as_of(f, event_fold.images_current(f))
-    now = event_fold.bodies_current(f).select("body_id", F.col("owner").alias("owner_now"), "revoked")
-    commits = f.where("kind = 'Commit'").withColumn("image", words.image_of_content_id("asset_cid")).where("image IS NOT NULL").groupBy("image").agg(F.min_by("tx_hash", "pos").alias("__tx"))
-    out = at.join(now, "body_id", "left").join(commits, F.col("image_hash") == F.col("image"), "left")
-    return out.select(
-        "image_hash", "body_id", F.coalesce("owner_then", "owner_now").alias("owner"), F.coalesce("revoked", F.lit(False)).alias("body_revoked"), "registered_at", "pce", labels.level_name("level").alias("level"), "parent",
-        F.when(F.col("__tx") == F.col("tx_hash"), F.col("__tx")).alias("tx_hash"), (F.col("pce") >= 100).alias("passes"),
-    )
+    out = lookup.record_view(f, event_fold.images_current(f).select("image_hash"), chain_id=8453, registry=REGISTRY)
+    return out.select("image_hash", "body_id", "owner", F.coalesce("revoked", F.lit(False)).alias("body_revoked"), "registered_at", "pce", "level", "parent", "tx_hash", (F.col("pce") >= 100).alias("passes"))
 
 
 @query(EV + "SELECT event_id AS block_number, epoch, commit_index, asset_cid, image FROM com")
@@ -177,8 +187,7 @@ def commits_per_cid(spark, d):
 
 @query(EV + "SELECT image, tx_hash, commit_event AS block_number FROM early")
 def earliest_commit(spark, d):
-    c = event_fold.commits(folded(spark, d)).where("image IS NOT NULL")
-    return c.groupBy("image").agg(F.min_by(words.transaction_of("id"), "pos").alias("tx_hash"), F.min("block_number").alias("block_number"))
+    return event_fold.earliest_commits(folded(spark, d))
 
 
 @query(EV + f"SELECT {_IMG('k % 20')} AS subject, epoch, count(*) AS n, min(sec) AS first_at, count(DISTINCT own) AS n_by FROM ev WHERE kind = 'Attested' GROUP BY ALL")
@@ -201,9 +210,8 @@ FROM image i JOIN cur USING (epoch) LEFT JOIN body b ON b.epoch = i.epoch AND b.
 def image_nested(spark, d):
     """Each image with its body, its parent and what was made from it."""
     f = folded(spark, d)
-    i, b = event_fold.images_current(f), event_fold.bodies_current(f).select("body_id", "owner")
-    made = i.where("parent IS NOT NULL").groupBy(F.col("parent").alias("__p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_hash", "level"))), lambda x: F.concat_ws(":", x["image_hash"], x["level"].cast("string"))), ",").alias("derivatives"))
-    return i.join(b, "body_id", "left").join(made, F.col("image_hash") == F.col("__p"), "left").select("image_hash", "level", "owner", "parent", F.coalesce("derivatives", F.lit("")).alias("derivatives"))
+    out = lookup.nested_images(event_fold.images_current(f), event_fold.bodies_current(f))
+    return out.withColumn("derivatives", F.array_join(F.transform("derivatives", lambda x: F.concat_ws(":", x["image_hash"], x["level"].cast("string"))), ","))
 
 
 @query(EV + f"""SELECT q.probe, coalesce(b1.body_id, b2.body_id) AS body_id, CASE WHEN b1.body_id IS NOT NULL THEN 'id' WHEN b2.body_id IS NOT NULL THEN 'commitment' ELSE 'none' END AS found_by
@@ -216,17 +224,13 @@ def body_lookup(spark, d):
     e = table(spark, d, "events").select(F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"), "event_type")
     used = e.where(~((F.col("event_type") == "error") & (F.col("k") >= 30) & (F.col("k") < 99)))
     probes = used.select(word(F.col("k")).alias("probe")).distinct()
-    by_id = b.select(F.col("body_id").alias("probe"), F.col("body_id").alias("b1"))
-    by_commitment = b.where("body_commitment IS NOT NULL").groupBy(F.col("body_commitment").alias("probe")).agg(F.min("body_id").alias("b2"))
-    out = probes.join(by_id, "probe", "left").join(by_commitment, "probe", "left")
-    return out.select("probe", F.coalesce("b1", "b2").alias("body_id"), F.when(F.col("b1").isNotNull(), "id").when(F.col("b2").isNotNull(), "commitment").otherwise("none").alias("found_by"))
+    return lookup.bodies_by_key(b, probes.select(F.col("probe").alias("key"))).withColumnRenamed("key", "probe")
 
 
 @query(EV + "SELECT b.body_id, b.revoked, count(i.image_hash) AS n_images, min(i.registered_at) AS first_at, max(i.pce) AS max_pce FROM body b JOIN cur USING (epoch) LEFT JOIN image i ON i.epoch = b.epoch AND i.body_id = b.body_id GROUP BY ALL")
 def index_health(spark, d):
     f = folded(spark, d)
-    n = event_fold.images_current(f).groupBy("body_id").agg(F.count(F.lit(1)).alias("n_images"), F.min("registered_at").alias("first_at"), F.max("pce").alias("max_pce"))
-    return event_fold.bodies_current(f).join(n, "body_id", "left").select("body_id", "revoked", F.coalesce("n_images", F.lit(0)).alias("n_images"), "first_at", "max_pce")
+    return lookup.body_health(event_fold.bodies_current(f), event_fold.images_current(f))
 
 
 @query(EV + """SELECT e.event_id AS call_id, CASE WHEN r.reg_at IS NULL OR r.reg_at > e.event_id THEN 'unknown body'
@@ -236,17 +240,7 @@ def index_health(spark, d):
 FROM ev e LEFT JOIN reg r ON r.epoch = e.epoch AND r.body_id = e.body_id WHERE e.kind = 'ImageRegistered'""")
 def register_image_checks(spark, d):
     """The checks of a registration in their order, against a trusted log."""
-    f = folded(spark, d)
-    calls = f.where("kind = 'ImageRegistered'").select("epoch", "body_id", "image_hash", "level", "pos", "block_number")
-    b = event_fold.bodies(f).select("epoch", "body_id", "registered_pos")
-    revoked = f.where("kind = 'BodyRevoked'").select("epoch", "body_id", F.col("pos").alias("rpos")).join(b, ["epoch", "body_id"]).where("rpos > registered_pos").groupBy("epoch", "body_id").agg(F.min("rpos").alias("revoked_pos"))
-    first = calls.groupBy("epoch", "image_hash").agg(F.min("pos").alias("first_pos"))
-    out = calls.join(b, ["epoch", "body_id"], "left").join(revoked, ["epoch", "body_id"], "left").join(first, ["epoch", "image_hash"])
-    error = (
-        F.when(F.col("registered_pos").isNull() | (F.col("registered_pos") > F.col("pos")), "unknown body").when(F.col("revoked_pos") < F.col("pos"), "body revoked")
-        .when(F.col("first_pos") < F.col("pos"), "image already registered").when(F.col("level") > 2, "modification level out of range")
-    )
-    return out.select(F.col("block_number").alias("call_id"), error.alias("error"))
+    return event_fold.registration_checks(folded(spark, d)).withColumnRenamed("block_number", "call_id")
 
 
 @query()
@@ -664,3 +658,199 @@ def merkle_roots(spark, d):
 
     frames = table(spark, d, "documents").select("source", hashing.sha256(F.col("text").cast("binary")).alias("leaf"))
     return roots(frames, "source").select("source", F.lower(F.hex("merkle_root")).alias("merkle_root"), "frame_count", F.lower(F.hex(hashing.session_id("merkle_root"))).alias("session_id"))
+
+
+# --- the read API, text and small rules
+
+
+@query(EV + "SELECT cur.epoch AS epoch, cur.epoch > 0 AS resettable, (SELECT max(event_id) FROM ev) AS indexed_block, (SELECT count(*) FROM body b WHERE b.epoch = cur.epoch) AS n_bodies, (SELECT count(*) FROM image i WHERE i.epoch = cur.epoch) AS n_images FROM cur")
+def index_status(spark, d):
+    return lookup.status(folded(spark, d), most=None)
+
+
+@query(EV + ", own AS (SELECT image.* FROM image JOIN cur USING (epoch)) SELECT image_hash, body_id, level FROM own WHERE image_hash = (SELECT min(image_hash) FROM own)")
+def image_point(spark, d):
+    """One image by its hash, in capitals."""
+    images = event_fold.images_current(folded(spark, d))
+    key = images.agg(F.min("image_hash")).first()[0] or ""
+    return lookup.image(images, key.upper()).select("image_hash", "body_id", "level")
+
+
+@query("SELECT sha256(text) AS image_hash, source AS perceptual_hash FROM documents WHERE source = 'src3' ORDER BY 1 LIMIT 10")
+def images_like(spark, d):
+    """Ten images of one perceptual hash."""
+    rows = table(spark, d, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("image_hash"), F.col("source").alias("perceptual_hash"))
+    return lookup.images_like(rows, "SRC3")
+
+
+@query(EV + "SELECT image_hash FROM image JOIN cur USING (epoch) ORDER BY image_hash LIMIT 1000")
+def index_scan(spark, d):
+    """The first thousand rows that a near search reads."""
+    return lookup.index_scan(event_fold.images_current(folded(spark, d))).select("image_hash")
+
+
+@query(EV + "SELECT i.image_hash, i.body_id FROM image i JOIN cur USING (epoch) JOIN body b ON b.epoch = i.epoch AND b.body_id = i.body_id WHERE b.revoked")
+def images_of_revoked(spark, d):
+    f = folded(spark, d)
+    return lookup.images_of(event_fold.images_current(f), event_fold.bodies_current(f).where("revoked"), None).select("image_hash", "body_id")
+
+
+@query(EV + "SELECT image_hash, CASE WHEN level % 2 = 0 THEN '0x' || sha256(event_id::varchar) ELSE '0x0' END AS tx_hash, level % 2 = 0 AS confirmed FROM image JOIN cur USING (epoch)")
+def registration_transactions(spark, d):
+    """Claims that a transaction registered an image, half of them false."""
+    f = folded(spark, d)
+    claims = event_fold.images_current(f).select("image_hash", F.when(F.col("level") % 2 == 0, F.col("tx_hash")).otherwise("0x0").alias("tx_hash"))
+    return lookup.registration_transactions(f, claims)
+
+
+_LEVEL_REPORT = "CASE {0} WHEN 0 THEN 'unedited RAW' WHEN 1 THEN 'adjusted' WHEN 2 THEN 'generative edit' ELSE ({0})::varchar END"
+_ISO = "strftime(to_timestamp({0}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z')"
+
+
+@query(EV + f"""SELECT i.image_hash, 'Image ' || i.image_hash || chr(10) || 'Registered ' || {_ISO.format('i.registered_at')} || ' by ' || coalesce(b.owner, 'an unknown owner') || chr(10) || 'Modification: ' || {_LEVEL_REPORT.format('i.level')} || chr(10)
+  || 'Score: ' || i.pce || ' against a threshold of 100' || CASE WHEN b.revoked THEN chr(10) || 'The camera was revoked later; the record stands.' ELSE '' END AS said,
+  'Image ' || i.image_hash || chr(10) || coalesce('Made from ' || i.parent, 'No parent is recorded.') || chr(10) || coalesce('Derived: ' || (SELECT string_agg(c.image_hash, ', ' ORDER BY c.image_hash) FROM image c WHERE c.epoch = i.epoch AND c.parent = i.image_hash), 'Nothing derived from it is recorded.') AS lineage
+FROM image i JOIN cur USING (epoch) LEFT JOIN body b ON b.epoch = i.epoch AND b.body_id = i.body_id""")
+def image_texts(spark, d):
+    """Each image in words, and its lineage."""
+    f = folded(spark, d)
+    images, b = event_fold.images_current(f), event_fold.bodies_current(f)
+    nested = lookup.nested_images(images, b).select("image_hash", "parent", "owner", F.col("derivatives.image_hash").alias("children"))
+    out = images.select("image_hash", "body_id", "level", "pce", "registered_at").join(nested, "image_hash").join(b.select("body_id", "revoked"), "body_id", "left")
+    return out.select("image_hash", labels.describe_image("image_hash", "level", "pce", "registered_at", "owner", "revoked").alias("said"), labels.describe_lineage("image_hash", "parent", "children").alias("lineage"))
+
+
+@query(EV + "SELECT b.body_id, 'Camera ' || b.body_id || chr(10) || 'Owner ' || b.owner || chr(10) || count(i.image_hash) || ' registered images' || CASE WHEN b.revoked THEN chr(10) || 'Revoked.' ELSE '' END AS said FROM body b JOIN cur USING (epoch) LEFT JOIN image i ON i.epoch = b.epoch AND i.body_id = b.body_id GROUP BY b.body_id, b.owner, b.revoked")
+def body_texts(spark, d):
+    f = folded(spark, d)
+    out = lookup.with_images(event_fold.bodies_current(f), event_fold.images_current(f))
+    return out.select("body_id", labels.describe_body("body_id", "owner", "n_images", "revoked").alias("said"))
+
+
+@query(EV + """, asked AS (SELECT image_hash FROM image JOIN cur USING (epoch) UNION ALL SELECT '0x' || sha256('none' || u::varchar) FROM (SELECT DISTINCT u FROM raw) UNION ALL SELECT 'bad ' || u::varchar FROM (SELECT DISTINCT u FROM raw))
+SELECT q.image_hash, CASE WHEN q.image_hash LIKE 'bad%' THEN 400 WHEN i.image_hash IS NULL THEN 404 ELSE 200 END AS status, i.image_hash IS NOT NULL AS registered, cur.epoch > 0 AS test_mode,
+  i.image_hash IS NOT NULL AND cur.epoch = 0 AND t.commit_event = i.event_id AS cacheable, CASE WHEN i.image_hash IS NOT NULL THEN 'https://page.example/?hash=' || q.image_hash END AS verify_url
+FROM asked q CROSS JOIN cur LEFT JOIN image i ON i.epoch = cur.epoch AND i.image_hash = q.image_hash LEFT JOIN early t ON t.image = i.image_hash""")
+def read_api(spark, d):
+    """Answers to good, unknown and malformed requests."""
+    f = folded(spark, d)
+    users = table(spark, d, "events").select(F.col("user_id").cast("string").alias("u")).distinct()
+    unknown = users.select(F.concat(F.lit("0x"), F.sha2(F.concat(F.lit("none"), "u").cast("binary"), 256)).alias("image_hash"))
+    asked = event_fold.images_current(f).select("image_hash").union(unknown).union(users.select(F.concat(F.lit("bad "), "u")))
+    out = lookup.record_view(f, asked, chain_id=8453, registry=REGISTRY.upper().replace("0X", "0x"), page="https://page.example/", page_chain=8453, page_registry=REGISTRY)
+    return out.select("image_hash", "status", "registered", "test_mode", F.coalesce("cacheable", F.lit(False)).alias("cacheable"), "verify_url")
+
+
+@query(EV + """, c AS (SELECT e.event_id AS call_id, CASE WHEN r.reg_at IS NULL OR r.reg_at > e.event_id THEN 'This camera is not registered.'
+  WHEN EXISTS (SELECT 1 FROM ev v WHERE v.kind = 'BodyRevoked' AND v.epoch = e.epoch AND v.body_id = e.body_id AND v.event_id < e.event_id AND v.event_id > r.reg_at) THEN 'This camera was revoked.'
+  WHEN EXISTS (SELECT 1 FROM first_image i WHERE i.epoch = e.epoch AND i.image_hash = e.image_hash AND i.event_id < e.event_id) THEN 'This photograph is already registered.'
+  WHEN e.k % 4 > 2 THEN 'execution reverted: modification level out of range' END AS message
+FROM ev e LEFT JOIN reg r ON r.epoch = e.epoch AND r.body_id = e.body_id WHERE e.kind = 'ImageRegistered') SELECT * FROM c WHERE message IS NOT NULL""")
+def call_messages(spark, d):
+    """What a user reads when a registration is refused."""
+    failed = event_fold.registration_checks(folded(spark, d)).where("error IS NOT NULL")
+    return failed.select(F.col("block_number").alias("call_id"), labels.call_message(F.concat(F.lit("execution reverted: "), "error")).alias("message"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'https://page.example/?hash=' || o_orderkey END AS link FROM orders")
+def verify_links(spark, d):
+    """Only the one registry on the one chain that the page reads has links."""
+    chain, registry = F.when(F.col("o_custkey") % 3 == 0, 8453).otherwise(84532), F.when(F.col("o_orderkey") % 2 == 0, "0x" + "A" * 40).otherwise("0x" + "B" * 40)
+    return table(spark, d, "orders").select("o_orderkey", labels.verify_link(chain, registry, F.col("o_orderkey").cast("string"), page="https://page.example/", chain=8453, address="0x" + "a" * 40).alias("link"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN round((p_size % 22) / 21.0, 9) END AS share FROM part")
+def progress_shares(spark, d):
+    label = F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("Searching — "), (F.col("p_size") % 22).cast("string"), F.lit(" of 21"))).otherwise(F.lit("Searching"))
+    return table(spark, d, "part").select("p_partkey", F.round(labels.progress_share(label), 9).alias("share"))
+
+
+@query("""WITH f AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '.CR3' WHEN 1 THEN '.jpg' ELSE '.png' END AS ending, p_size % 4 IN (0, 1) AS starts, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Maker' END AS make, CASE p_partkey % 5 WHEN 0 THEN 'Adobe Something' WHEN 1 THEN 'Firmware 1' END AS software, p_retailprice - 1200 AS detail FROM part)
+SELECT p_partkey, CASE WHEN ending = '.CR3' THEN 'refused' WHEN starts THEN 'jpeg' ELSE 'lossless' END AS decoder, coalesce(make, '') <> '' AND coalesce(software, '') NOT LIKE 'Adobe%' AS camera_jpeg,
+  CASE WHEN detail < 200 THEN 'too soft to measure' WHEN ending = '.CR3' THEN NULL WHEN coalesce(make, '') <> '' AND coalesce(software, '') NOT LIKE 'Adobe%' THEN 'written by the camera, which removes the fingerprint' END AS reason FROM f""")
+def file_kinds(spark, d):
+    """Which decoder a file goes to, whether the camera wrote it as it is, and why it can't be measured."""
+    size, key = F.col("p_size") % 4, F.col("p_partkey")
+    p = table(spark, d, "part").select(
+        "p_partkey", F.concat("p_name", F.when(size == 0, ".CR3").when(size == 1, ".jpg").otherwise(".png")).alias("name"), F.unhex(F.when(size < 2, "FFD8FFE0").otherwise("89504E47")).alias("content"),
+        F.when(key % 3 == 0, "").when(key % 3 == 1, "Maker").alias("make"), F.when(key % 5 == 0, "Adobe Something").when(key % 5 == 1, "Firmware 1").alias("software"), (F.col("p_retailprice") - 1200).alias("detail"),
+    )
+    camera = words.is_camera_jpeg("make", "software")
+    return p.select("p_partkey", words.decoder_for("name", "content").alias("decoder"), camera.alias("camera_jpeg"), labels.diagnosis("detail", words.is_raw("name"), camera).alias("reason"))
+
+
+@query("""SELECT n_nationkey, n_nationkey % 6 IN (2, 3) AS may_test, n_nationkey % 6 IN (2, 3) AND n_nationkey % 4 = 0 AS may_reset, lower(hex('lux'::blob)) || '03' || '00' || repeat('8021', 8) AS suffix FROM nation""")
+def chain_rules(spark, d):
+    """Chains on which a registry may be one for tests, and resets that were typed out."""
+    k = F.col("n_nationkey")
+    chain = F.when(k % 6 == 0, 1).when(k % 6 == 1, 8453).when(k % 6 == 2, 11155111).when(k % 6 == 3, 31337).when(k % 6 == 4, 99)
+    test = words.may_test(chain)
+    typed = F.when(k % 4 == 0, F.lit(f"  {REGISTRY.upper()} ")).when(k % 4 == 1, F.lit("yes"))
+    return table(spark, d, "nation").select("n_nationkey", test.alias("may_test"), words.may_reset(test, F.lit(REGISTRY), typed).alias("may_reset"), F.lit(words.builder_suffix("lux")).alias("suffix"))
+
+
+@query("""SELECT c_custkey, '0x' || lpad(lower(printf('%x', c_custkey)), 64, '0') AS word, CASE c_custkey % 3 WHEN 0 THEN lpad(lower(printf('%x', c_custkey)), 8, '0') WHEN 1 THEN lower(hex(('key ' || c_custkey)::blob)) END AS key FROM customer""")
+def words_and_keys(spark, d):
+    """Bytes as words, and keys given as hex, as text or not at all."""
+    c, n = table(spark, d, "customer"), F.col("c_custkey")
+    given = F.when(n % 3 == 0, F.concat(F.lit("0x"), F.lpad(F.hex(n), 8, "0"))).when(n % 3 == 1, F.concat(F.lit("  key "), n.cast("string"), F.lit(" "))).otherwise(F.lit("  "))
+    return c.select("c_custkey", words.pad_word(words.big_endian("c_custkey", 4)).alias("word"), F.lower(F.hex(words.hmac_key(given))).alias("key"))
+
+
+@query("SELECT n_regionkey = 0 AND false OR bool_and(n_nationkey % 4 <> 0) AS ready, string_agg(n_name, ',' ORDER BY n_name) FILTER (WHERE n_nationkey % 4 = 0) AS missing FROM nation GROUP BY n_regionkey = 0 AND false")
+def ready_gate(spark, d):
+    checks = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 4 != 0, True).alias("go"))
+    return catalogue.ready(checks).select("ready", F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 9) AS mean, min(l_quantity) AS least, max(l_quantity) AS largest FROM lineitem GROUP BY 1")
+def corpus_tables(spark, d):
+    return statistics.corpus_table(table(spark, d, "lineitem"), "l_returnflag", "l_quantity").withColumn("mean", F.round("mean", 9))
+
+
+@query(CAT + "SELECT image_hash, CASE WHEN o_orderkey % 4 = 0 THEN 'caption ' || o_orderkey ELSE description END AS description FROM cat")
+def captions(spark, d):
+    c = _catalogue(spark, d)
+    return catalogue.describe(c, _captions(c)).select("image_hash", "description")
+
+
+@query(CAT + "SELECT image_hash, true AS found FROM cat WHERE o_orderkey % 4 = 0 UNION ALL SELECT 'none' || substr(image_hash, 5), false FROM cat WHERE o_orderkey % 4 = 0")
+def captions_known(spark, d):
+    c = _catalogue(spark, d)
+    return catalogue.known(c, _captions(c))
+
+
+def _captions(c: DataFrame) -> DataFrame:
+    """Captions of every fourth photograph, and of as many that don't exist."""
+    key = F.conv(F.substring("image_hash", 3, 64), 16, 10).cast("long")
+    own = c.where(key % 4 == 0).select("image_hash", F.concat(F.lit("caption "), key.cast("string")).alias("description"))
+    return own.union(own.select(F.concat(F.lit("none"), F.substring("image_hash", 5, 64)), "description"))
+
+
+@query("SELECT count(*) AS removed FROM orders")
+def catalogue_clear(spark, d):
+    return catalogue.clear(_catalogue(spark, d))[1]
+
+
+@query(CAT + "SELECT image_hash, file_name FROM cat ORDER BY registered_at DESC NULLS LAST, image_hash LIMIT 6")
+def recent_six(spark, d):
+    return catalogue.listing(_catalogue(spark, d), 6).select("image_hash", "file_name")
+
+
+@query("SELECT o_orderkey, c_name AS body_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0")
+def local_names(spark, d):
+    """Names of the local enrolment for ids that differ in case and 0x."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("0X"), F.hex("o_custkey")).alias("body_id"))
+    local = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.lower(F.hex("c_custkey")).alias("body_id"), F.col("c_name").alias("name"))
+    return verdict.with_body_names(rows, local).select("o_orderkey", "body_name")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'camera is not registered' WHEN o_orderkey % 5 = 0 THEN 'already registered' WHEN o_orderkey % 7 = 0 THEN 'no score' WHEN round_even(o_totalprice / 1000, 0) < 100 THEN 'score below the threshold' END AS refused FROM orders""")
+def session_frames(spark, d):
+    """Frames of an import, judged by the rounded score."""
+    from luxtrace.operators import sessions as imports
+
+    o = table(spark, d, "orders")
+    key = hashing.sha256(F.col("o_orderkey").cast("string").cast("binary"))
+    frames = o.select(F.col("o_orderpriority").alias("session"), F.col("o_orderkey").alias("frame_id"), key.alias("image_hash"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") / 1000).alias("pce"), F.when(F.col("o_custkey") % 4 != 0, True).alias("body_registered"))
+    return imports.judged(frames, o.where("o_orderkey % 5 = 0").select(key.alias("image_hash"))).select(F.col("frame_id").alias("o_orderkey"), "refused")

@@ -1,9 +1,10 @@
-"""The registry fold over a stream of event files.
+"""The registry fold over a stream of event files, with a state that is bounded by the entities.
 
-Each batch is reduced by entity to a small partial state (first registration, last owner, last revocation); partial states of
-all batches are merged by the same aggregate, which is associative, so a replayed batch overwrites its own file and changes
-nothing. Resets need a batch's place in the global order, so the partial state is kept by reset count within the stream, which
-comes from the resets seen so far.
+The state is a small log: of each body of the current epoch the first registration, the last change of owner and the last
+revocation, of each image and session the first event, and the resets. Folding is taking the least or the largest position by
+entity, so events may come late or twice. Each batch makes a new version of the state from the one before, so a batch that is
+replayed writes the same version again. Only a reset that comes after later events were folded needs more than the state: then
+it is made anew from the whole log.
 """
 
 from __future__ import annotations
@@ -11,30 +12,87 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from luxtrace.operators.event_fold import bodies_current, positioned, with_epoch
+from luxtrace.operators.event_fold import bodies_current, images_current, positioned, sessions, with_epoch
 from luxtrace.schema import EVENTS
+from luxtrace.sources.events import read_events
 
+_FIRST = ("registered", "image", "session", "reset")
 
-def body_parts(events: DataFrame) -> DataFrame:
-    """Partial state of bodies in one batch: rows of the log that can still matter, in the log's own shape.
 
-    Of each body: registrations, and the transfers and revocations; of the log: resets.
-    """
-    return events.where(F.col("kind").isin("BodyRegistered", "BodyTransferred", "BodyRevoked", "RegistryReset")).select("block_number", "log_index", "block_timestamp", "kind", "body_id", "owner", "to_address", "body_commitment")
+def reduced(events: DataFrame) -> DataFrame:
+    """The events (in the log's shape) that still matter to the current tables; ``reduced`` of parts is ``reduced`` of all."""
+    rows = positioned(events.select(*[f.name for f in EVENTS]))
+    last = rows.agg(F.max(F.when(F.col("kind") == "RegistryReset", F.col("pos"))).alias("__reset"))  # one row
+    live = rows.crossJoin(F.broadcast(last)).where("kind = 'RegistryReset' OR __reset IS NULL OR pos > __reset").drop("__reset")
+    kind = F.col("kind")
+    role = (
+        F.when(kind == "BodyRegistered", F.array(F.lit("registered"), F.lit("owner"))).when(kind == "BodyTransferred", F.array(F.lit("owner"))).when(kind == "BodyRevoked", F.array(F.lit("revoked")))
+        .when(kind == "ImageRegistered", F.array(F.lit("image"))).when(kind == "SessionCommitted", F.array(F.lit("session"))).when(kind == "RegistryReset", F.array(F.lit("reset")))
+    )
+    entity = F.when(kind == "ImageRegistered", F.col("image_hash")).when(kind == "SessionCommitted", F.col("session_id")).when(kind == "RegistryReset", F.col("pos").cast("string")).otherwise(F.col("body_id"))
+    of = live.select("*", F.explode(role).alias("__role"), entity.alias("__entity"))
+    order = F.when(F.col("__role").isin(*_FIRST), -F.col("pos")).otherwise(F.col("pos"))
+    one = of.groupBy("__role", "__entity").agg(F.max_by(F.struct(*[f.name for f in EVENTS]), order).alias("e"))
+    return one.select("e.*").dropDuplicates(["block_number", "log_index"])
 
 
-def stream_bodies(spark: SparkSession, source: str, state: str, checkpoint: str, *, files_per_batch: int = 4, available_now: bool = True):
-    """Follow a folder of Parquet event files; returns the query. ``state`` then holds one folder for each batch."""
-    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+def _versions(spark: SparkSession, state: str) -> list[int]:
+    """The numbers of the whole versions of a state, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(state)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and system.exists(path(f"{state}/{n}/_SUCCESS")))
+
+
+def _version(spark: SparkSession, state: str, n: int) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(f"{state}/v{n}")
+
+
+def _comes_late(old: DataFrame, batch: DataFrame) -> bool:
+    """Whether a reset of the batch is new and below an event that is folded already."""
+    resets = positioned(batch).where("kind = 'RegistryReset'").join(positioned(old).where("kind = 'RegistryReset'").select("pos"), "pos", "left_anti")
+    return not resets.join(F.broadcast(positioned(old).agg(F.max("pos").alias("__last"))), F.col("pos") < F.col("__last"), "left_semi").isEmpty()
+
+
+def fold_batch(spark: SparkSession, source: str, state: str, batch: DataFrame, n: int) -> None:
+    """Version ``n`` of the state; versions that no replay needs any more are deleted."""
+    before = [v for v in _versions(spark, state) if v < n]
+    if not before:
+        new = batch
+    elif _comes_late(old := _version(spark, state, before[-1]), batch):
+        new = read_events(spark, source)
+    else:
+        new = old.unionByName(batch.select(*[f.name for f in EVENTS]))
+    reduced(new).write.mode("overwrite").parquet(f"{state}/v{n}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for v in before[:-1]:
+        path(state).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(f"{state}/v{v}"), True)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        body_parts(batch).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
-    writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+def stream_registry(spark: SparkSession, source: str, state: str, checkpoint: str, *, files_per_batch: int = 4, available_now: bool = True):
+    """Follow a folder of Parquet event files; returns the query. ``state`` holds the last two versions."""
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    writer = events.writeStream.foreachBatch(lambda batch, n: fold_batch(spark, source, state, batch, n)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime="3 seconds").start()
 
 
+def current_log(spark: SparkSession, state: str) -> DataFrame:
+    """The last version of the state as a folded log; without a version, an empty one."""
+    found = _versions(spark, state)
+    rows = _version(spark, state, found[-1]) if found else spark.createDataFrame([], EVENTS)
+    return with_epoch(positioned(rows))
+
+
 def bodies_from_state(spark: SparkSession, state: str) -> DataFrame:
-    """The current bodies after the batches so far, by the batch fold over the partial states."""
-    rows = spark.read.option("basePath", state).parquet(state).drop("batch").dropDuplicates(["block_number", "log_index"])
-    return bodies_current(with_epoch(positioned(rows)))
+    """The current bodies after the batches so far."""
+    return bodies_current(current_log(spark, state))
+
+
+def images_from_state(spark: SparkSession, state: str) -> DataFrame:
+    return images_current(current_log(spark, state))
+
+
+def sessions_from_state(spark: SparkSession, state: str) -> DataFrame:
+    log = current_log(spark, state)
+    return sessions(log.where(F.col("epoch") == F.col("last_epoch")))

@@ -106,6 +106,16 @@ def test_resets_transfers_and_parents(spark):
     assert then == {"parent": ("d", True), "child": ("d", True)}
 
 
+def test_nothing_counts_before_the_first_registration(spark):
+    e = [
+        event(1, "BodyTransferred", body_id="b", to_address="x"), event(2, "BodyRevoked", body_id="b"), event(3, "BodyRegistered", body_id="b", owner="a"), event(4, "ImageRegistered", body_id="b", image_hash="i"),
+        event(5, "ImageRegistered", body_id="c", image_hash="j"), event(6, "BodyRegistered", body_id="c", owner="d"), event(7, "BodyRevoked", body_id="b"), event(8, "ImageRegistered", body_id="b", image_hash="k"),
+    ]
+    f = fold(spark, e)
+    then = {r["image_hash"]: (r["owner_then"], r["revoked_then"]) for r in event_fold.owner_as_of(f, event_fold.images_current(f)).collect()}
+    assert then == {"i": ("a", False), "j": (None, False), "k": ("a", True)}
+
+
 def test_empty_log(spark):
     f = fold(spark, [])
     assert event_fold.bodies_current(f).count() == event_fold.images_current(f).count() == event_fold.commits(f).count() == 0

@@ -102,16 +102,40 @@ def test_likelihood_needs_samples(spark):
     assert all(r["ratio"] is None for r in statistics.likelihood_ratio(many.limit(80), values).collect())
 
 
-def test_stream_equals_batch(spark, tmp_path, sf_dir):
+def test_chain_takes_few_rounds(spark):
+    n = 200
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node long")
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, n)], "node long, parent long")
+    out = lineage.roots(nodes, edges)
+    assert {(r["node"], r["root"], r["depth"]) for r in out.collect()} == {(i, 0, i) for i in range(n)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") < 15
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_stream_equals_batch(spark, tmp_path, sf_dir, late):
+    """In order, and with files that come in another order than their blocks, resets among them; then a batch again."""
+    import os
+
     from luxtrace.operators import event_fold
     from luxtrace.sources.events import generated_log
-    from luxtrace.streaming.fold import bodies_from_state, stream_bodies
+    from luxtrace.streaming import fold
 
     log = generated_log(spark, sf_dir)
-    log.repartitionByRange(3, "block_number").write.parquet(str(tmp_path / "log"))
-    stream_bodies(spark, str(tmp_path / "log"), str(tmp_path / "state"), str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
-    want = event_fold.bodies_current(event_fold.with_epoch(event_fold.positioned(log)))
-    assert sorted(map(tuple, bodies_from_state(spark, str(tmp_path / "state")).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    log.repartitionByRange(4, "block_number").write.parquet(str(tmp_path / "log"))
+    files = sorted((tmp_path / "log").glob("*.parquet"))
+    for k, f in enumerate(files):
+        os.utime(f, (1_700_000_000 + (-k if late else k),) * 2)
+    state = str(tmp_path / "state")
+    fold.stream_registry(spark, str(tmp_path / "log"), state, str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
+    fold.fold_batch(spark, str(tmp_path / "log"), state, spark.read.parquet(str(files[-1])), len(files) - 1)
+    folded = event_fold.with_epoch(event_fold.positioned(log))
+    plain = lambda df, like: sorted((tuple(map(str, r)) for r in df.select(like.columns).collect()))
+    for got, want in ((fold.bodies_from_state(spark, state), event_fold.bodies_current(folded)), (fold.images_from_state(spark, state), event_fold.images_current(folded)), (fold.sessions_from_state(spark, state), event_fold.sessions(event_fold.of_last_epoch(folded)))):
+        assert plain(got, want) == plain(want, want)
+    rows = fold.current_log(spark, state).count()
+    assert rows <= 3 * want.count() + 3 * event_fold.bodies_current(folded).count() + 3 * log.where("kind = 'BodyTransferred' OR kind = 'BodyRevoked'").select("body_id").distinct().count() + event_fold.images_current(folded).count() + log.where("kind = 'RegistryReset'").count()
+    assert len(list((tmp_path / "state").glob("v*"))) <= 2
+    assert fold.bodies_from_state(spark, str(tmp_path / "none")).count() == 0
 
 
 def png(rgb):
