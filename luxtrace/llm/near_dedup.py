@@ -147,8 +147,13 @@ def sketches(words: np.ndarray) -> np.ndarray:
 
 
 def parity(words: np.ndarray) -> list[int]:
-    """Whether an odd number of words falls into each of PARITY classes, as bits: an edit changes two of them at most."""
-    odd = (np.bincount((words % _U(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+    """Whether an odd number of words, each labelled with those like it before, falls into each of PARITY classes, as bits.
+
+    An edit takes one word from the bag of words and puts one into it at most, so it changes two bits at most; words that come
+    often don't cancel out.
+    """
+    marks = labelled(words) if len(words) else words
+    odd = (np.bincount((marks % _U(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64).tolist()
 
 
