@@ -7,8 +7,8 @@ ways. So questions whose numbers or names were changed are found, and texts that
 word at the start of a sentence may be a name or not: windows take both readings. An item without windows (below five words, or
 nearly all slots) is leaked by a text that has its whole template.
 
-Windows of both sides meet in joins of their hashes. A bit map of fixed size tells the documents' tasks which windows no item
-has, so that few rows leave them. First a text meets an item in the rarest of the item's windows, so many of them that a leak
+Windows of both sides meet in joins of their hashes. Bit maps of fixed size tell the documents' tasks which words and windows
+no item has, so that few rows leave them. First a text meets an item in the rarest of the item's windows, so many of them that a leak
 must have one; then all windows of the pairs so found are compared. Equal texts are one.
 """
 
@@ -27,7 +27,7 @@ from luxtrace.llm.common import bounded_batches, columns, cut, drop, map_rows, r
 
 #: Template tokens in a window, how many must be words, and the share of an item's windows that makes a leak.
 WINDOW, WORDS, LEAST = 5, 3, 0.8
-#: The bit map of window hashes has ``1 << FILTER_BITS`` bits (4 MB), made in pieces of ``1 << PIECE_BITS``.
+#: The bit maps of windows and of words have ``1 << FILTER_BITS`` bits (4 MB) each, made in pieces of ``1 << PIECE_BITS``.
 FILTER_BITS, PIECE_BITS = 25, 15
 #: Words kept with their token in each Python worker.
 WORDS_KEPT = 100_000
@@ -69,10 +69,13 @@ def pack(word: str) -> int:
 
 
 class Templates:
-    """Template tokens of words, as numbers: placeholders, and hashes of other words."""
+    """Template tokens of words, as numbers: placeholders, hashes of other words, and 0 for words that no item has.
 
-    def __init__(self):
-        self.kept = _Words()
+    ``known`` is a bit map of the items' words; without it all words are known.
+    """
+
+    def __init__(self, known: np.ndarray | None = None):
+        self.kept = _Words(known)
 
     def read(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens, with starts of sentences as words, and which of these starts may be names."""
@@ -88,10 +91,17 @@ class Templates:
 
 
 class _Words(dict):
+    def __init__(self, known: np.ndarray | None):
+        self.known = known
+
     def __missing__(self, word: str) -> int:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        packed = self[word] = pack(word)
+        packed = pack(word)
+        own = packed & _OWN
+        if self.known is not None and own >= _FIRST_WORD and not _in_map(self.known, np.array([own << 8], np.uint64))[0]:
+            packed -= own
+        self[word] = packed
         return packed
 
 
@@ -103,13 +113,14 @@ def _mix(h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 def readings(tokens: np.ndarray, may_name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(places, hashes, named)`` of the windows, one for each choice of names (bits of ``named``) among words that may be some.
 
-    A window has WORDS words at least; such a word counts as a word in either reading.
+    A window has WORDS words at least; such a word counts as a word in either reading. Windows with unknown words are left out.
     """
     n = len(tokens) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     words = np.concatenate([[0], np.cumsum((tokens >= _FIRST_WORD) | may_name)])
-    enough = np.flatnonzero(words[WINDOW:] - words[:-WINDOW] >= WORDS)
+    unknown = np.concatenate([[0], np.cumsum((tokens == 0) & ~may_name)])
+    enough = np.flatnonzero((words[WINDOW:] - words[:-WINDOW] >= WORDS) & (unknown[WINDOW:] == unknown[:-WINDOW]))
     bits = np.zeros(len(enough), np.int64)
     for k in range(WINDOW):
         bits |= may_name[enough + k].astype(np.int64) << k
@@ -117,10 +128,11 @@ def readings(tokens: np.ndarray, may_name: np.ndarray) -> tuple[np.ndarray, np.n
     for named in range(1 << WINDOW):
         at = enough[bits & named == named] if named else enough
         if len(at):
-            h = np.zeros(len(at), np.uint64)
+            h, known = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
             for k in range(WINDOW):
-                h = _mix(h, np.full(len(at), NAME, tokens.dtype) if named >> k & 1 else tokens[at + k])
-            found.append((at, h, np.full(len(at), named)))
+                t = np.full(len(at), NAME, tokens.dtype) if named >> k & 1 else tokens[at + k]
+                h, known = _mix(h, t), known & (t > 0)
+            found.append((at[known], h[known], np.full(int(known.sum()), named)))
         if not named and not bits.any():
             break
     if not found:
@@ -159,6 +171,17 @@ def item_windows(items: DataFrame) -> DataFrame:
     return map_rows(items.select("item", "text"), rows, "h long, item long, i int, named int, n int")
 
 
+def item_words(items: DataFrame) -> DataFrame:
+    """``h``: the tokens of the items' words, as the upper bits of a hash."""
+
+    def rows(it: Iterable[tuple]) -> Iterator[tuple]:
+        for (text,) in it:
+            own = {pack(w) & _OWN for w in text.split()}
+            yield from ((h,) for h in _signed(np.array(sorted(x for x in own if x >= _FIRST_WORD), np.uint64) << np.uint64(8)))
+
+    return map_rows(items.select("text"), rows, "h long")
+
+
 def bit_map(windows: DataFrame) -> np.ndarray:
     """One bit for each value of the hashes' upper FILTER_BITS bits, made on the executors; its size is fixed."""
     place = F.shiftrightunsigned("h", 64 - FILTER_BITS)
@@ -191,14 +214,15 @@ def document_windows(docs: DataFrame, bits, text_col: str) -> DataFrame:
     """``a, b, h, j, w``: the windows of each text that may be some item's, with their place and words; each once."""
 
     def rows(it: Iterable[tuple]) -> Iterator[tuple]:
-        templates, known = Templates(), bits.value
+        known, words_known = bits.value
+        templates = Templates(words_known)
         for a, b, text in it:
             words = (text or "").split()
             tokens, may_name = templates.read(words)
             at, hashes, _ = readings(tokens, may_name)
             hit = _in_map(known, hashes)
             yield from ((a, b, h, j, " ".join(words[j : j + WINDOW])) for h, j in zip(_signed(hashes[hit]), at[hit].tolist(), strict=True))
-            if words and _in_map(known, h := whole(tokens)[None])[0]:
+            if words and tokens.all() and _in_map(known, h := whole(tokens)[None])[0]:
                 yield a, b, _signed(h)[0], -1, " ".join(words)
 
     given = columns(docs, text_col).toDF("t").select(*_keyed(docs, "t"), "t")
@@ -269,7 +293,7 @@ def leaking_texts(docs: DataFrame, items: DataFrame, *, least: float = LEAST, te
     """
     spark = docs.sparkSession
     windows = cut(item_windows(items), "item-windows")
-    bits = spark.sparkContext.broadcast(bit_map(windows))
+    bits = spark.sparkContext.broadcast((bit_map(windows), bit_map(item_words(items))))
     hits = cut(document_windows(docs, bits, text_col), "windows")
     bits.unpersist()
     # of n places a leak has least * n, so it has one of any n - least * n + 1 places: the rarest are joined
