@@ -204,7 +204,8 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Encode, decode the ids again and describe both: one row for each row of ``docs``.
 
-    One pass, so that ids and decoded bytes need not leave the worker.
+    One pass, so that ids and decoded bytes need not leave the worker. Null counts as empty, which has no ids; each row is
+    described by itself, so repeated rows give equal rows; an empty table gives none; other columns, of any name, are ignored.
     """
     bounded_batches(docs.sparkSession)
     given = default_vocabulary()
@@ -220,4 +221,5 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and hash of the ids of each row of ``documents`` and hash of what they decode to; edge cases as in :func:`digest`."""
     return digest(read_table(spark, sf_dir, "documents"))

@@ -107,12 +107,12 @@ def repeated_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, id_col: s
     return gone.groupBy("d").agg(F.collect_list("h1").alias("gone"))  # a document's own lines
 
 
-def drop_repeated_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with two more columns, ``n_lines`` and ``n_dropped``, and without repeated lines in ``text_col``.
+def drop_repeated_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
+    """``docs`` without repeated lines in ``text_col``; if ``counted`` with two more columns at the end, ``n_lines`` and ``n_dropped``.
 
     A line goes if its key has at least ``least_chars`` code points and a document of smaller id holds it too; null counts
     as an id below all others. Null and empty texts are one empty line and become empty; rows of equal id count as one
-    document; other columns are kept as they are.
+    document; other columns, of any name, are kept as they are; an empty table stays empty.
     """
     bounded_batches(docs.sparkSession)
     lost = repeated_lines(docs, least_chars=least_chars, id_col=id_col, text_col=text_col)
@@ -130,13 +130,15 @@ def drop_repeated_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, id_c
                 out = set(gone)
                 kept = [x for x in lines if len(k := line_key(x)) < least_chars or _hash(k)[0] not in out]
             row[at] = "\n".join(kept)
-            yield (*row, len(lines), len(lines) - len(kept))
+            yield (*row, len(lines), len(lines) - len(kept)) if counted else tuple(row)
 
-    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)) + ", n_lines long, n_dropped long"
-    return map_rows(joined, rows, schema).toDF(*names, "n_lines", "n_dropped")
+    more = ["n_lines", "n_dropped"] if counted else []
+    schema = ", ".join([f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)] + [f"{m} long" for m in more])
+    return map_rows(joined, rows, schema).toDF(*names, *more)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and hash of the rest of each row of ``documents``; edge cases as in :func:`drop_repeated_lines`."""
     docs = columns(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     out = drop_repeated_lines(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
