@@ -10,28 +10,28 @@ from luxtrace.llm.common import cut, read_table
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter or in no learnt language go. Profiles come from the rows given, but for the held-out third."""
+    """Texts without a letter or in no learnt language go, null and empty ones too. Profiles come from the rows given, but for the held-out third."""
     return language.keep_identified(docs, language.learned_on_documents(docs))
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go but for the first document that holds them; ``n_chars`` follows the text."""
-    out = line_dedup.drop_repeated_lines(docs).drop("n_lines", "n_dropped")
+    out = line_dedup.drop_repeated_lines(docs, counted=False)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of the smallest id stays."""
+    """Of each class of near-duplicates the document of the smallest id stays; texts without words are one class."""
     return near_dedup.keep_one(docs)
 
 
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or one with other numbers and names, go."""
+    """Documents that hold a benchmark item, or one with other numbers and names, go; null and empty texts stay."""
     return decontaminate.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and the digest of what they decode to."""
+    """Ids of each text, and the digest of what they decode to; a null text has no ids."""
     return bpe.digest(docs)
 
 
