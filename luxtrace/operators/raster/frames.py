@@ -6,11 +6,14 @@ Planes have ``h int, w int, data array<float>`` (row by row). A fingerprint is a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from luxtrace.operators.raster import kernels as K
 from luxtrace.schema import SATURATION_LEVEL
@@ -27,24 +30,51 @@ def pixels_of(row) -> np.ndarray:
     return np.frombuffer(row.data, np.uint8).reshape(row.h, row.w, 3)
 
 
-def _few_rows(df: DataFrame, rows: int = 8) -> DataFrame:
-    """Planes are large, so batches of them are short."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+#: Samples (or bytes) of result rows that are held before they leave a task, about. Input comes in batches of Spark's byte limit.
+HELD = 4 << 20
 
 
-def _map(df: DataFrame, fn: Callable[[tuple], dict | list[dict] | None], schema: str) -> DataFrame:
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
+def _values(column: pa.Array) -> list:
+    """An Arrow column as Python values, lists of numbers as numpy arrays without a copy."""
+    kind = column.type
+    if not pa.types.is_list(kind) or not (pa.types.is_list(kind.value_type) or pa.types.is_primitive(kind.value_type)):
+        return column.to_pylist()
+    inner = _values(column.values) if pa.types.is_list(kind.value_type) else column.values.to_numpy(zero_copy_only=False)
+    ends = column.offsets.to_numpy()
+    return [inner[i:j] if ok else None for i, j, ok in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_list(kind) and pa.types.is_primitive(kind.value_type):
+        dtype = kind.value_type.to_pandas_dtype()
+        values = [None if v is None else np.ascontiguousarray(v, dtype) for v in values]
+    return pa.array(values, type=kind)
+
+
+def _map(df: DataFrame, fn: Callable[[SimpleNamespace], dict | list[dict] | None], schema: str) -> DataFrame:
+    """``fn`` of each row, in Arrow batches: it gets arrays as numpy and gives a dictionary, several or none."""
+    out = df.sparkSession.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_column([g.get(f.name) for g in held], f.type) for f in arrow], schema=arrow)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                got = fn(r)
-                if got:
-                    many = got if isinstance(got, list) else [got]
-                    yield pd.DataFrame({n: pd.Series([g.get(n) for g in many], dtype=object) for n in names})
+            for row in zip(*map(_values, b.columns), strict=True):
+                got = fn(SimpleNamespace(**dict(zip(b.schema.names, row, strict=True))))
+                for g in got if isinstance(got, list) else [got] if got else []:
+                    held.append(g)
+                    size += 64 + sum(len(v) for v in g.values() if hasattr(v, "__len__"))
+                    if size >= HELD:
+                        yield batch()
+                        held, size = [], 0
+        if held:
+            yield batch()
 
-    return _few_rows(df).mapInPandas(run, schema)
+    return df.mapInArrow(run, out)
 
 
 def split_mosaics(mosaics: DataFrame, crop: int | None = None) -> DataFrame:
@@ -87,33 +117,40 @@ def saturation(planes: DataFrame, key: str = "frame_id") -> DataFrame:
     return planes.groupBy(key).agg(F.max(share).alias("saturated"))
 
 
+def uneven_planes(frames: DataFrame) -> DataFrame:
+    """``body_id, plane, sizes``: planes whose frames differ in size, of which no fingerprint can be made."""
+    return frames.groupBy("body_id", "plane").agg(F.countDistinct("h", "w").alias("sizes")).where("sizes > 1")
+
+
 def estimate_fingerprints(frames: DataFrame) -> DataFrame:
     """``body_id, plane, h, w, data``: maximum-likelihood fingerprints from ``body_id, frame_id, plane, h, w, data``, cleaned up.
 
     Each task adds up residual × sample and sample² of the frames it has, so what is shuffled is one pair of sums for each
     task, body and plane, in chunks, whatever the number of frames. Planes whose frames differ in size are
-    left out.
+    left out; ``uneven_planes`` tells which.
     """
-    sizes = frames.groupBy("body_id", "plane").agg(F.countDistinct("h", "w").alias("n")).where("n > 1")
+    kind = dict(frames.dtypes)["body_id"]
+    parts = to_arrow_schema(frames.sparkSession.createDataFrame([], f"body_id {kind}, plane int, h int, w int, chunk int, top array<double>, bottom array<double>").schema)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list[np.ndarray]] = {}
 
-        def rows(key: tuple) -> pd.DataFrame:
+        def rows(key: tuple) -> Iterator[pa.RecordBatch]:
             top, bottom = (x.ravel() for x in sums.pop(key))
-            cuts = range(0, top.size, CHUNK)
-            return pd.DataFrame([(*key, i // CHUNK, top[i : i + CHUNK], bottom[i : i + CHUNK]) for i in cuts], columns=["body_id", "plane", "h", "w", "chunk", "top", "bottom"])
+            for i in range(0, top.size, CHUNK):
+                values = (*key, i // CHUNK, top[i : i + CHUNK], bottom[i : i + CHUNK])
+                yield pa.RecordBatch.from_arrays([_column([v], f.type) for v, f in zip(values, parts, strict=True)], schema=parts)
 
         for b in batches:
-            for r in b.itertuples(index=False):
-                key, p = (r.body_id, r.plane, r.h, r.w), plane_of(r)
+            for body, plane, h, w, data in zip(*map(_values, b.columns), strict=True):
+                key, p = (body, plane, h, w), np.asarray(data, np.float32).reshape(h, w)
                 if key not in sums and len(sums) >= 8:  # memory holds a few planes
-                    yield rows(next(iter(sums)))
+                    yield from rows(next(iter(sums)))
                 top, bottom = sums.setdefault(key, [np.zeros(p.shape), np.zeros(p.shape)])
                 top += K.noise_residual(p) * p
                 bottom += p.astype(np.float64) ** 2
         for key in list(sums):
-            yield rows(key)
+            yield from rows(key)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
@@ -121,10 +158,9 @@ def estimate_fingerprints(frames: DataFrame) -> DataFrame:
         k = (top / np.maximum(bottom, np.finfo(np.float64).eps)).astype(np.float32)
         return pd.DataFrame({"body_id": [first.body_id], "plane": [first["plane"]], "h": [first["h"]], "w": [first["w"]], "chunk": [first["chunk"]], "data": [k]})
 
-    kind = dict(frames.dtypes)["body_id"]
-    own = frames.join(sizes, ["body_id", "plane"], "left_anti")
-    parts = _few_rows(own.select("body_id", "plane", "h", "w", "data")).mapInPandas(partial, f"body_id {kind}, plane int, h int, w int, chunk int, top array<double>, bottom array<double>")
-    chunks = parts.groupBy("body_id", "plane", "h", "w", "chunk").applyInPandas(total, f"body_id {kind}, plane int, h int, w int, chunk int, data array<float>")
+    own = frames.join(uneven_planes(frames), ["body_id", "plane"], "left_anti")
+    summed = own.select("body_id", "plane", "h", "w", "data").mapInArrow(partial, f"body_id {kind}, plane int, h int, w int, chunk int, top array<double>, bottom array<double>")
+    chunks = summed.groupBy("body_id", "plane", "h", "w", "chunk").applyInPandas(total, f"body_id {kind}, plane int, h int, w int, chunk int, data array<float>")
     whole = chunks.groupBy("body_id", "plane", "h", "w").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "data"))), lambda x: x["data"])).alias("data"))  # one plane
     clean = lambda r: {"body_id": r.body_id, "plane": r.plane, "h": r.h, "w": r.w, "data": K.postprocess(plane_of(r)).ravel()}
     return _map(whole, clean, f"body_id {kind}, plane int, h int, w int, data array<float>")
@@ -163,31 +199,73 @@ def _unpacked(row, prefix: str) -> dict[int, np.ndarray]:
 _RESULT = "image_id string, body_id string, pce double, path string, orientation string, scale double, stripped boolean, error string"
 
 
-def score_planes(planes: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """Score of each frame's planes (``image_id, plane, h, w, data``) against each body, on the mosaic.
+#: Fingerprints that a task holds at once, about.
+BODIES = 8
+
+
+def _against_bodies(images: DataFrame, columns: list[str], fingerprints: DataFrame, score: Callable[[SimpleNamespace, dict[int, np.ndarray]], dict]) -> DataFrame:
+    """``score`` of each image with each body's planes.
 
-    Every image meets every enrolled body, which is what the question asks; a row holds one image and one body.
+    Every image meets every enrolled body, which is what the question asks. Bodies are dealt to blocks of about BODIES, images
+    are copied to each block, and a block is dealt to tasks by image if there are more tasks than blocks. A task reads a block's
+    bodies first and then its images one by one, so a fingerprint is loaded once a task and no pair of rasters is a row.
     """
-    pairs = packed(planes, "image_id", "i").crossJoin(packed(fingerprints, "body_id", "k"))
+    spark = images.sparkSession
+    bodies = packed(fingerprints, "body_id", "k").withColumn("body_id", F.col("body_id").cast("string"))
+    n = fingerprints.select("body_id").distinct().count()
+    blocks = max(1, -(-n // BODIES))
+    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    of = F.sequence(F.lit(0), F.lit(slices - 1))
+    held = bodies.select(F.pmod(F.xxhash64("body_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(of).alias("slice"), F.lit(0).alias("turn"), F.struct(*bodies.columns).alias("body"), F.lit(None).alias("image"))
+    given = images.select(F.col("image_id").cast("string").alias("image_id"), *columns)
+    asked = given.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("image_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("turn"), F.lit(None).alias("body"), F.struct(*given.columns).alias("image"))
+    both = held.withColumn("image", F.col("image").cast(asked.schema["image"].dataType)).unionByName(asked.withColumn("body", F.col("body").cast(held.schema["body"].dataType)))
+    dealt = both.repartition(blocks * slices, "block", "slice").sortWithinPartitions("block", "slice", "turn")
+    out = spark.createDataFrame([], _RESULT).schema
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine = None, []
+        for b in batches:
+            body, image = (dict(zip((f.name for f in b.schema.field(c).type), map(_values, b.column(c).flatten()), strict=True)) for c in ("body", "image"))
+            found = []
+            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in ("block", "slice", "turn")), strict=True)):
+                if key[:2] != at:
+                    at, mine = key[:2], []
+                if key[2] == 0:
+                    one = SimpleNamespace(**{c: v[i] for c, v in body.items()})
+                    mine.append((one.body_id, {c: np.array(p) for c, p in _unpacked(one, "k").items()}))
+                    continue
+                probe = SimpleNamespace(**{c: v[i] for c, v in image.items()})
+                for body_id, planes in mine:
+                    found.append({"image_id": probe.image_id, "body_id": body_id} | score(probe, planes))
+            if found:
+                yield pa.RecordBatch.from_arrays([_column([g.get(f.name) for g in found], f.type) for f in arrow], schema=arrow)
+
+    return dealt.mapInArrow(run, out)
 
-    def one(r):
+
+def score_planes(planes: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """Score of each frame's planes (``image_id, plane, h, w, data``) against each body, on the mosaic."""
+
+    def one(r: SimpleNamespace, k: dict[int, np.ndarray]) -> dict:
         try:
-            return {"image_id": str(r.image_id), "body_id": str(r.body_id), "pce": K.score(_unpacked(r, "i"), _unpacked(r, "k")), "path": "aligned", "orientation": "0 deg"}
+            return {"pce": K.score(_unpacked(r, "i"), k), "path": "aligned", "orientation": "0 deg"}
         except ValueError as e:
-            return {"image_id": str(r.image_id), "body_id": str(r.body_id), "error": str(e)}
+            return {"error": str(e)}
 
-    return _map(pairs, one, _RESULT)
+    images = packed(planes, "image_id", "i")
+    return _against_bodies(images, [c for c in images.columns if c != "image_id"], fingerprints, one)
 
 
 def score_images(images: DataFrame, fingerprints: DataFrame, pattern: list[list[int]]) -> DataFrame:
     """Score of each delivered image (``image_id, h, w, data binary``) against each body, by the first way that fits."""
-    pairs = images.select("image_id", "h", "w", "data").crossJoin(packed(fingerprints, "body_id", "k"))
 
-    def one(r):
-        got = K.score_image(pixels_of(r), _unpacked(r, "k"), pattern)
-        return {"image_id": str(r.image_id), "body_id": str(r.body_id), "pce": got["pce"], "path": got["path"], "orientation": got["orientation"], "scale": got.get("scale"), "stripped": got.get("stripped", False), "error": None}
+    def one(r: SimpleNamespace, k: dict[int, np.ndarray]) -> dict:
+        got = K.score_image(pixels_of(r), k, pattern)
+        return {"pce": got["pce"], "path": got["path"], "orientation": got["orientation"], "scale": got.get("scale"), "stripped": got.get("stripped", False)}
 
-    return _map(pairs, one, _RESULT)
+    return _against_bodies(images, ["h", "w", "data"], fingerprints, one)
 
 
 def search_attempts(probes: DataFrame, *, exhaustive: bool = False) -> DataFrame:

@@ -40,3 +40,39 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() and "owner" in df.columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_residual_energy_against_the_kernel(spark, sf_dir):
+    import numpy as np
+
+    from luxtrace.operators.raster.kernels import noise_residual
+
+    rows = {str(r["vec_id"]): np.array(r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = workload.QUERIES["dwt_residual_energy"](spark, sf_dir).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert len(got) == len(rows)
+    for r in got:
+        plane = np.tile((rows[r["frame_id"]] * 0.5 + 0.5).astype(np.float32), (64, 1))
+        assert r["energy"] == pytest.approx(float((noise_residual(plane).astype(float) ** 2).sum()), abs=2e-9)
+
+
+def test_scores_of_all_pairs_against_the_kernels(spark, sf_dir):
+    """The query gives each pair once; values are compared on planes whose peaks don't tie, more bodies than a block holds."""
+    import numpy as np
+
+    from luxtrace.operators.raster import frames
+    from luxtrace.operators.raster import kernels as K
+
+    df = workload.QUERIES["pce_scores"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    pairs = [(r["image_id"], r["body_id"]) for r in df.collect()]
+    assert len(pairs) == len(set(pairs)) == 2 * n
+    bodies = {f"b{k}": {0: K.synthetic_sensor((32, 40), k), 1: K.synthetic_sensor((32, 40), 100 + k)} for k in range(2 * frames.BODIES + 3)}
+    images = {f"i{k}": {c: K.synthetic_exposure(p, 7 + k) for c, p in bodies[f"b{k}"].items()} for k in range(5)}
+    rows = lambda of: [(name, c, *p.shape, p.ravel().tolist()) for name, planes in of.items() for c, p in planes.items()]
+    given = [spark.createDataFrame(rows(of), f"{key} string, plane int, h int, w int, data array<float>").repartition(3) for of, key in ((images, "image_id"), (bodies, "body_id"))]
+    got = {(r["image_id"], r["body_id"]): r["pce"] for r in frames.score_planes(*given).collect()}
+    assert got == {(i, b): pytest.approx(K.score(p, k), rel=1e-6) for i, p in images.items() for b, k in bodies.items()}
