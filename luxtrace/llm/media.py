@@ -161,7 +161,11 @@ def payload_of(text: str | None) -> bytes:
 
 
 def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_bytes, media``: each text as a grey map, losslessly."""
+    """``id, n_bytes, media``: each text as a grey map, losslessly.
+
+    Null counts as empty, which is stored as one row of zeros; equal texts give equal media; an empty table gives none; other
+    columns, of any name, are ignored.
+    """
     bounded_batches(docs.sparkSession)
 
     def rows(it: Iterable[tuple]) -> Iterator[tuple]:
@@ -192,7 +196,7 @@ def media_tiles(media: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), media_
 
 
 def describe_stored(stored: DataFrame) -> DataFrame:
-    """The digest of stored texts: what the decoder gives back of each, and its features."""
+    """The digest of stored texts: what the decoder gives back of each, and its features. Each row is described by itself."""
 
     def rows(it: Iterable[tuple]) -> Iterator[tuple]:
         for key, n_bytes, data in it:
@@ -207,4 +211,5 @@ def describe_stored(stored: DataFrame) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, hashes and features of each row of ``documents`` stored as an image and read back; edge cases as in :func:`store_texts`."""
     return describe_stored(store_texts(read_table(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("long")))

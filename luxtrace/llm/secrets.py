@@ -230,6 +230,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, *, least: float = LEAST_
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates, secrets and their spans in each row of ``documents``; null and empty texts have none."""
     found = scan(read_table(spark, sf_dir, "documents"))
     secrets = F.filter("findings", lambda x: x["is_secret"])
     spans = F.array_join(F.transform(secrets, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
