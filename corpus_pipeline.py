@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from luxtrace.llm import bpe, decontaminate, language, line_dedup, near_dedup
-from luxtrace.llm.common import cut, read_table
+from luxtrace.llm.common import cut, drop, read_table
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +44,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            drop(before)
     return docs
