@@ -49,7 +49,10 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; where its files make fewer partitions than there are cores, its rows are dealt to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
