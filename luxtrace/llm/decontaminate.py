@@ -30,7 +30,7 @@ WINDOW, WORDS, LEAST = 5, 3, 0.8
 #: The bit maps of windows and of words have ``1 << FILTER_BITS`` bits (4 MB) each, made in pieces of ``1 << PIECE_BITS``.
 FILTER_BITS, PIECE_BITS = 25, 15
 #: Words kept with their token in each Python worker.
-WORDS_KEPT = 100_000
+WORDS_KEPT = 300_000
 
 UNITS = frozenset(
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g gram grams kg kilogram kilograms lb lbs pound pounds ounce ounces ton tons "
@@ -43,6 +43,7 @@ NUMBER_WORDS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _NUMBER_UNIT = re.compile(r"[+-]?[$€£]?\d[\d.,]*([^\W\d_]+)")
+_BEFORE_NUMBER = "+-$€£"
 _OUTER = "\"'“”‘’«»()[]{}<>.,;:!?*#%&$…-–—_/\\|"
 NUM, NAME, UNIT = 1, 2, 3
 _FIRST_WORD = 4
@@ -62,7 +63,8 @@ def pack(word: str) -> int:
     low = bare.lower()
     if not bare:
         return _word(word) | ends
-    if _NUMBER.fullmatch(bare) or low in NUMBER_WORDS or (m := _NUMBER_UNIT.fullmatch(bare)) and m[1].lower() in UNITS:
+    may_count = bare[0].isdigit() or bare[0] in _BEFORE_NUMBER
+    if low in NUMBER_WORDS or may_count and (_NUMBER.fullmatch(bare) or (m := _NUMBER_UNIT.fullmatch(bare)) and m[1].lower() in UNITS):
         return NUM | ends | _IS_NUM
     named = bare[0].isupper() and len(bare) > 1 and not bare.isupper()
     return _word(low) | ends | (_NAMED if named else 0) | (_MAY_UNIT if low in UNITS else 0)
@@ -92,15 +94,17 @@ class Templates:
 
 class _Words(dict):
     def __init__(self, known: np.ndarray | None):
-        self.known = known
+        self.known = None if known is None else known.tobytes()
 
     def __missing__(self, word: str) -> int:
         if len(self) >= WORDS_KEPT:
             self.clear()
         packed = pack(word)
         own = packed & _OWN
-        if self.known is not None and own >= _FIRST_WORD and not _in_map(self.known, np.array([own << 8], np.uint64))[0]:
-            packed -= own
+        if self.known is not None and own >= _FIRST_WORD:
+            at = own >> 56 - FILTER_BITS
+            if not self.known[at >> 3] >> 7 - (at & 7) & 1:
+                packed -= own
         self[word] = packed
         return packed
 
@@ -124,21 +128,16 @@ def readings(tokens: np.ndarray, may_name: np.ndarray) -> tuple[np.ndarray, np.n
     bits = np.zeros(len(enough), np.int64)
     for k in range(WINDOW):
         bits |= may_name[enough + k].astype(np.int64) << k
-    found = []
-    for named in range(1 << WINDOW):
-        at = enough[bits & named == named] if named else enough
-        if len(at):
-            h, known = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
-            for k in range(WINDOW):
-                t = np.full(len(at), NAME, tokens.dtype) if named >> k & 1 else tokens[at + k]
-                h, known = _mix(h, t), known & (t > 0)
-            found.append((at[known], h[known], np.full(int(known.sum()), named)))
-        if not named and not bits.any():
-            break
-    if not found:
+    choices = sorted({m for b in set(bits.tolist()) for m in range(b + 1) if m & b == m})  # that some window has
+    if not choices:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at, hashes, named = (np.concatenate(x) for x in zip(*found, strict=True))
-    return at, hashes, named
+    each = [enough[bits & m == m] if m else enough for m in choices]
+    at, named = np.concatenate(each), np.repeat(choices, [len(x) for x in each])
+    h, known = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
+    for k in range(WINDOW):
+        t = np.where(named >> k & 1, NAME, tokens[at + k])
+        h, known = _mix(h, t), known & (t > 0)
+    return at[known], h[known], named[known]
 
 
 def whole(tokens: np.ndarray) -> np.uint64:
