@@ -229,6 +229,52 @@ def test_leaks_against_plain_search(spark, sf_dir):
     assert want <= got and len(got - want) <= 2
 
 
+def plain_leaks(texts, items, least=0.8):
+    """Each text against each item, window by window, without hashes, bit maps or joins."""
+    templates = decontaminate.Templates()
+
+    def read(text):
+        words = (text or "").split()
+        tokens, may_name = (x.tolist() for x in templates.read(words))
+        out = []
+        for j in range(len(words) - decontaminate.WINDOW + 1):
+            place = range(j, j + decontaminate.WINDOW)
+            if sum(tokens[k] >= 4 or may_name[k] for k in place) < decontaminate.WORDS:
+                continue
+            for named in range(1 << decontaminate.WINDOW):
+                if all(may_name[k] for b, k in enumerate(place) if named >> b & 1):
+                    out.append((j, named, tuple(decontaminate.NAME if named >> b & 1 else tokens[k] for b, k in enumerate(place))))
+        return words, tokens, out
+
+    found = set()
+    asked = [(key, text, *read(text)) for key, text in items if text]
+    for d, text in texts:
+        words, tokens, windows = read(text)
+        places = {}
+        for j, _, w in windows:
+            places.setdefault(w, set()).add(j)
+        for key, item, _, item_tokens, item_windows in asked:
+            n = len({i for i, _, _ in item_windows})
+            pairs = [(j, i, m, " ".join(words[j : j + decontaminate.WINDOW])) for i, m, w in item_windows for j in places.get(w, ())]
+            if not n and item_tokens and tokens == item_tokens:
+                n, pairs = 1, [(-1, -1, 0, " ".join(words))]
+            if n and len({p[1] for p in pairs}) >= least * n - 1e-9 and (got := decontaminate.judged(pairs, item, n, least, templates)):
+                found.add((d, key, round(got[0], 9), got[1], got[2]))
+    return found
+
+
+def test_leaks_against_each_pair(spark, sf_dir):
+    r = random.Random(33)
+    docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    items = [(x["item_id"], x["text"]) for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    docs += [(10**6 + k, " ".join(w if r.random() > 0.03 else str(r.randint(1, 99)) for w in f"So. {t} And {items[k - 1][1]}".split())) for k, (_, t) in enumerate(items[:60])] + [(5, None), (6, "")]
+    items += [(None, None), (900, "Ann has 3 pears."), (901, "1 2 3")]
+    docs += [(10**7, "Ann has 3 pears."), (10**7 + 1, "ann has 4 pears"), (10**7 + 2, "1 2 3"), (10**7 + 3, "1 2 4")]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"], round(x["coverage"], 9), x["n_windows"], x["changed"]) for x in got} == plain_leaks(docs, items)
+    assert len(got) >= 60
+
+
 # --- 5
 
 
