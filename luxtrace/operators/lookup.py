@@ -5,14 +5,14 @@ Ids are lower-cased before they are compared; every ``limit`` comes with an orde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from luxtrace.functions import labels, words
 from luxtrace.operators import event_fold
 
-#: Rows of nested lists and of index scans.
-NESTED, SCANNED = 1000, 1000
+#: Rows of index scans, as in the read API.
+SCANNED = 1000
 
 
 def _equal(column: str, value: str) -> Column:
@@ -42,18 +42,25 @@ def bodies_by_key(bodies: DataFrame, keys: DataFrame) -> DataFrame:
     return out.select("key", F.coalesce("__id", "__of").alias("body_id"), F.when(F.col("__id").isNotNull(), "id").when(F.col("__of").isNotNull(), "commitment").otherwise("none").alias("found_by"))
 
 
-def with_images(bodies: DataFrame, images: DataFrame) -> DataFrame:
-    """Each body with its number of images and the first NESTED of them by time of registration."""
+def with_images(bodies: DataFrame, images: DataFrame, limit: int | None = None) -> DataFrame:
+    """Each body with its number of images and its images by time of registration: all, or the first ``limit``.
+
+    They are counted natively; with a limit, they are ranked and cut before any list is made.
+    """
     kept = ["registered_at", "image_hash", "level", "pce"]
-    nested = images.join(bodies.select("body_id"), "body_id", "left_semi").groupBy("body_id").agg(F.count(F.lit(1)).alias("n_images"), F.slice(F.array_sort(F.collect_list(F.struct(*kept))), 1, NESTED).alias("images"))
-    return bodies.join(nested, "body_id", "left").withColumn("n_images", F.coalesce("n_images", F.lit(0)))
+    of = images.join(bodies.select("body_id"), "body_id", "left_semi").select("body_id", *kept)
+    count = of.groupBy("body_id").agg(F.count(F.lit(1)).alias("n_images"))
+    first = of if limit is None else of.withColumn("__r", F.row_number().over(Window.partitionBy("body_id").orderBy(*kept))).where(F.col("__r") <= limit)
+    nested = first.groupBy("body_id").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("images"))
+    out = bodies.join(count, "body_id", "left").join(nested, "body_id", "left")
+    return out.withColumn("n_images", F.coalesce("n_images", F.lit(0)))
 
 
-def bodies_of(bodies: DataFrame, images: DataFrame, owner: str) -> DataFrame:
-    """An owner's bodies by time of registration, each with its images in that order."""
+def bodies_of(bodies: DataFrame, images: DataFrame, owner: str, limit: int | None = None) -> DataFrame:
+    """An owner's bodies by time of registration, each with its images (the first ``limit``, if given) in that order."""
     if not _is_address(owner):
         raise ValueError("not an address")
-    return with_images(bodies.where(F.lower("owner") == owner.lower()), images).orderBy("registered_at", "body_id")
+    return with_images(bodies.where(F.lower("owner") == owner.lower()), images, limit).orderBy("registered_at", "body_id")
 
 
 def nested_images(images: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -81,9 +88,10 @@ def index_scan(images: DataFrame, limit: int | None = SCANNED) -> DataFrame:
     return two if limit is None else two.orderBy("image_hash").limit(limit)
 
 
-def images_of(images: DataFrame, body_ids: DataFrame, limit: int | None = SCANNED) -> DataFrame:
-    """The images of some bodies: as in the read API the first ``limit`` by hash, or all for None."""
-    of = images.join(body_ids.select(F.lower("body_id").alias("body_id")).distinct(), "body_id", "left_semi")
+def images_of(images: DataFrame, bodies: DataFrame, limit: int | None = SCANNED, *, by: tuple[str, ...] = ("body_id",)) -> DataFrame:
+    """The images of some bodies, matched ``by`` these columns: as in the read API the first ``limit`` by hash, or all for None."""
+    keys = bodies.select(*[F.lower(c).alias(c) if c == "body_id" else c for c in by]).distinct()
+    of = images.join(keys, list(by), "left_semi")
     return of if limit is None else of.orderBy("image_hash").limit(limit)
 
 

@@ -114,18 +114,18 @@ def streaming_fold(spark, d):
     """The same fold with the log arriving as a stream of files."""
     from luxtrace.streaming.fold import bodies_from_state
 
-    return bodies_from_state(spark, _streamed(spark, d)).select(*_BODY.split(", "))
+    return bodies_from_state(spark, f"{_streamed(spark, d)}/checkpoint").select(*_BODY.split(", "))
 
 
 def _streamed(spark: SparkSession, d: str) -> str:
-    """The state after the log came as a stream of four files."""
+    """The folder of a stream that has followed the log in four files; its state is in ``checkpoint``."""
     from luxtrace.shared import shared_dir
     from luxtrace.streaming.fold import stream_registry
 
     base = shared_dir(spark, "stream")
     generated_log(spark, d).repartitionByRange(4, "block_number").write.parquet(f"{base}/log")
-    stream_registry(spark, f"{base}/log", f"{base}/state", f"{base}/checkpoint", files_per_batch=1).awaitTermination()
-    return f"{base}/state"
+    stream_registry(spark, f"{base}/log", f"{base}/checkpoint", files_per_batch=2).awaitTermination()
+    return base
 
 
 _IMAGE = "image_hash, body_id, registered_at, level, pce, parent"
@@ -140,14 +140,24 @@ def images_current(spark, d):
 def streaming_images(spark, d):
     from luxtrace.streaming.fold import images_from_state
 
-    return images_from_state(spark, _streamed(spark, d)).select(*_IMAGE.split(", "))
+    return images_from_state(spark, f"{_streamed(spark, d)}/checkpoint").select(*_IMAGE.split(", "))
 
 
 @query(EV + f"SELECT epoch, {_W('k')} AS session_id, arg_min({_W('u + 1')}, event_id) AS merkle_root, arg_min(k::bigint, event_id) AS frame_count, arg_min(sec, event_id) AS committed_at FROM ev JOIN cur USING (epoch) WHERE kind = 'SessionCommitted' GROUP BY epoch, k")
 def streaming_sessions(spark, d):
     from luxtrace.streaming.fold import sessions_from_state
 
-    return sessions_from_state(spark, _streamed(spark, d))
+    return sessions_from_state(spark, f"{_streamed(spark, d)}/checkpoint")
+
+
+@query(EV + "SELECT event_id AS block_number, epoch, commit_index, asset_cid, image FROM com")
+def streaming_commits(spark, d):
+    """Commits that came as a stream, with epochs from the resets in the keyed state."""
+    from luxtrace.streaming.fold import commits_from_stream, stream_records
+
+    base = _streamed(spark, d)
+    stream_records(spark, f"{base}/log", f"{base}/records", f"{base}/records-checkpoint").awaitTermination()
+    return commits_from_stream(spark, f"{base}/checkpoint", f"{base}/records").select("block_number", "epoch", "commit_index", "asset_cid", "image")
 
 
 @query(EV + "SELECT b.owner, b.body_id, b.registered_at, count(i.image_hash) AS n_images, coalesce(string_agg(i.image_hash, ',' ORDER BY i.registered_at, i.image_hash), '') AS images FROM body b JOIN cur USING (epoch) LEFT JOIN image i ON i.epoch = b.epoch AND i.body_id = b.body_id GROUP BY ALL")
@@ -689,10 +699,11 @@ def index_scan(spark, d):
     return lookup.index_scan(event_fold.images_current(folded(spark, d))).select("image_hash")
 
 
-@query(EV + "SELECT i.image_hash, i.body_id FROM image i JOIN cur USING (epoch) JOIN body b ON b.epoch = i.epoch AND b.body_id = i.body_id WHERE b.revoked")
+@query(EV + "SELECT i.epoch, i.image_hash, i.body_id FROM image i JOIN body b ON b.epoch = i.epoch AND b.body_id = i.body_id WHERE b.revoked")
 def images_of_revoked(spark, d):
+    """What revoked cameras have registered, in every epoch."""
     f = folded(spark, d)
-    return lookup.images_of(event_fold.images_current(f), event_fold.bodies_current(f).where("revoked"), None).select("image_hash", "body_id")
+    return lookup.images_of(event_fold.images(f), event_fold.bodies(f).where("revoked"), None, by=("epoch", "body_id")).select("epoch", "image_hash", "body_id")
 
 
 @query(EV + "SELECT image_hash, CASE WHEN level % 2 = 0 THEN '0x' || sha256(event_id::varchar) ELSE '0x0' END AS tx_hash, level % 2 = 0 AS confirmed FROM image JOIN cur USING (epoch)")

@@ -1,98 +1,150 @@
-"""The registry fold over a stream of event files, with a state that is bounded by the entities.
+"""The registry fold over a stream of event files, in Spark's own keyed state.
 
-The state is a small log: of each body of the current epoch the first registration, the last change of owner and the last
-revocation, of each image and session the first event, and the resets. Folding is taking the least or the largest position by
-entity, so events may come late or twice. Each batch makes a new version of the state from the one before, so a batch that is
-replayed writes the same version again. Only a reset that comes after later events were folded needs more than the state: then
-it is made anew from the whole log.
+Every body, image and session has a state of its own (``transformWithState``): its registrations by position, and of a body
+the last change of owner and the last revocation. A batch reads and writes the states of the entities it names and no others.
+A reset isn't written into them: resets are an entity too, and which events count is decided when the state is read, by the
+same fold that reads a whole log. So events and resets may come in any order, late or twice. Commits, attestations and
+challenges are never changed by later events; they go to a Parquet table by Spark's own file sink.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from luxtrace.operators.event_fold import bodies_current, images_current, positioned, sessions, with_epoch
+from luxtrace.operators.event_fold import attestations, bodies_current, challenges, commits, images_current, of_last_epoch, positioned, sessions, with_epoch
 from luxtrace.schema import EVENTS
-from luxtrace.sources.events import read_events
 
-_FIRST = ("registered", "image", "session", "reset")
+_NAMES = [f.name for f in EVENTS]
+_EVENT = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in EVENTS)
+#: Kinds with a state, and the column that names the entity; a reset's entity is the registry.
+KEYED = {"BodyRegistered": "body_id", "BodyTransferred": "body_id", "BodyRevoked": "body_id", "ImageRegistered": "image_hash", "SessionCommitted": "session_id"}
+RECORDS = ("Commit", "Attested", "Challenged")
+#: Of these only the last of each body can matter, wherever resets are.
+_LAST = {"BodyTransferred": "moved", "BodyRevoked": "revoked"}
+
+
+class _Entity(StatefulProcessor):
+    """``kept``: registrations (or resets) by position. ``moved``, ``revoked``: the last event of its kind."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("kept", "pos long", _EVENT)
+        self.last = {name: handle.getValueState(name, f"pos long, event struct<{_EVENT.replace('` ', '`:')}>") for name in _LAST.values()}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, newest = 0, {}
+        for b in rows:
+            n += len(b)
+            plain = b[_NAMES].astype(object).where(b[_NAMES].notna(), None)
+            for pos, kind, event in zip(b["pos"].tolist(), b["kind"].tolist(), plain.itertuples(index=False, name=None), strict=True):
+                if kind in _LAST:
+                    newest[kind] = max(newest.get(kind, (-1, ())), (pos, event), key=lambda x: x[0])
+                else:
+                    self.kept.updateValue((pos,), _typed(event))
+        for kind, (pos, event) in newest.items():
+            state = self.last[_LAST[kind]]
+            if not state.exists() or state.get()[0] < pos:
+                state.update((pos, _typed(event)))
+        yield pd.DataFrame({"family": [key[0]], "entity": [key[1]], "n_events": [n]})
+
+    def close(self) -> None:
+        pass
+
 
+def _typed(event: tuple) -> tuple:
+    """Whole numbers as such; pandas makes floats of columns with gaps."""
+    return tuple(None if v is None else int(v) if f.dataType.typeName() in ("long", "integer") else v for v, f in zip(event, EVENTS, strict=True))
 
-def reduced(events: DataFrame) -> DataFrame:
-    """The events (in the log's shape) that still matter to the current tables; ``reduced`` of parts is ``reduced`` of all."""
-    rows = positioned(events.select(*[f.name for f in EVENTS]))
-    last = rows.agg(F.max(F.when(F.col("kind") == "RegistryReset", F.col("pos"))).alias("__reset"))  # one row
-    live = rows.crossJoin(F.broadcast(last)).where("kind = 'RegistryReset' OR __reset IS NULL OR pos > __reset").drop("__reset")
+
+def _entity(kind: Column) -> Column:
+    out = F.when(kind == "RegistryReset", F.lit(""))
+    for name, column in KEYED.items():
+        out = out.when(kind == name, F.coalesce(F.col(column), F.lit("")))
+    return out
+
+
+def _with_rocksdb(spark: SparkSession) -> SparkSession:
+    """A session of its own for the stream, so that the caller's settings stay as they are."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return own
+
+
+def keyed_updates(events: DataFrame) -> DataFrame:
+    """``family, entity, n_events`` of the entities that a stream of events touches; folding them is the side effect."""
     kind = F.col("kind")
-    role = (
-        F.when(kind == "BodyRegistered", F.array(F.lit("registered"), F.lit("owner"))).when(kind == "BodyTransferred", F.array(F.lit("owner"))).when(kind == "BodyRevoked", F.array(F.lit("revoked")))
-        .when(kind == "ImageRegistered", F.array(F.lit("image"))).when(kind == "SessionCommitted", F.array(F.lit("session"))).when(kind == "RegistryReset", F.array(F.lit("reset")))
-    )
-    entity = F.when(kind == "ImageRegistered", F.col("image_hash")).when(kind == "SessionCommitted", F.col("session_id")).when(kind == "RegistryReset", F.col("pos").cast("string")).otherwise(F.col("body_id"))
-    of = live.select("*", F.explode(role).alias("__role"), entity.alias("__entity"))
-    order = F.when(F.col("__role").isin(*_FIRST), -F.col("pos")).otherwise(F.col("pos"))
-    one = of.groupBy("__role", "__entity").agg(F.max_by(F.struct(*[f.name for f in EVENTS]), order).alias("e"))
-    return one.select("e.*").dropDuplicates(["block_number", "log_index"])
-
-
-def _versions(spark: SparkSession, state: str) -> list[int]:
-    """The numbers of the whole versions of a state, in order."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    folder = path(state)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and system.exists(path(f"{state}/{n}/_SUCCESS")))
-
-
-def _version(spark: SparkSession, state: str, n: int) -> DataFrame:
-    return spark.read.schema(EVENTS).parquet(f"{state}/v{n}")
-
-
-def _comes_late(old: DataFrame, batch: DataFrame) -> bool:
-    """Whether a reset of the batch is new and below an event that is folded already."""
-    resets = positioned(batch).where("kind = 'RegistryReset'").join(positioned(old).where("kind = 'RegistryReset'").select("pos"), "pos", "left_anti")
-    return not resets.join(F.broadcast(positioned(old).agg(F.max("pos").alias("__last"))), F.col("pos") < F.col("__last"), "left_semi").isEmpty()
-
-
-def fold_batch(spark: SparkSession, source: str, state: str, batch: DataFrame, n: int) -> None:
-    """Version ``n`` of the state; versions that no replay needs any more are deleted."""
-    before = [v for v in _versions(spark, state) if v < n]
-    if not before:
-        new = batch
-    elif _comes_late(old := _version(spark, state, before[-1]), batch):
-        new = read_events(spark, source)
-    else:
-        new = old.unionByName(batch.select(*[f.name for f in EVENTS]))
-    reduced(new).write.mode("overwrite").parquet(f"{state}/v{n}")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    for v in before[:-1]:
-        path(state).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(f"{state}/v{v}"), True)
-
-
-def stream_registry(spark: SparkSession, source: str, state: str, checkpoint: str, *, files_per_batch: int = 4, available_now: bool = True):
-    """Follow a folder of Parquet event files; returns the query. ``state`` holds the last two versions."""
-    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    writer = events.writeStream.foreachBatch(lambda batch, n: fold_batch(spark, source, state, batch, n)).option("checkpointLocation", checkpoint)
+    family = F.when(kind.startswith("Body"), "body").when(kind == "ImageRegistered", "image").when(kind == "SessionCommitted", "session").otherwise("registry")
+    rows = positioned(events).where(kind.isin(*KEYED, "RegistryReset")).withColumn("family", family).withColumn("entity", _entity(kind))
+    return rows.groupBy("family", "entity").transformWithStateInPandas(_Entity(), "family string, entity string, n_events long", outputMode="Update", timeMode="None")
+
+
+def stream_registry(spark: SparkSession, source: str, checkpoint: str, *, files_per_batch: int = 4, available_now: bool = True, touched=None):
+    """Follow a folder of Parquet event files; returns the query. The state is in ``checkpoint``.
+
+    ``touched(batch, number)``, if given, gets the entities of each batch.
+    """
+    events = _with_rocksdb(spark).readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    writer = keyed_updates(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(touched) if touched else writer.format("noop")
+    return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime="3 seconds").start()
+
+
+def stream_records(spark: SparkSession, source: str, table: str, checkpoint: str, *, files_per_batch: int = 4, available_now: bool = True):
+    """Follow the same folder and write commits, attestations and challenges to the Parquet table ``table``, each once."""
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(source).where(F.col("kind").isin(*RECORDS))
+    writer = events.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime="3 seconds").start()
 
 
-def current_log(spark: SparkSession, state: str) -> DataFrame:
-    """The last version of the state as a folded log; without a version, an empty one."""
-    found = _versions(spark, state)
-    rows = _version(spark, state, found[-1]) if found else spark.createDataFrame([], EVENTS)
+def _has_batch(spark: SparkSession, checkpoint: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(path) and len(system.listStatus(path)) > 0
+
+
+def current_log(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state after the last batch as a folded log, read by Spark's state reader; before the first batch an empty one."""
+    if not _has_batch(spark, checkpoint):
+        return with_epoch(positioned(spark.createDataFrame([], EVENTS)))
+    read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    rows = read("kept").select("user_map_value.*")
+    for name in _LAST.values():
+        rows = rows.unionByName(read(name).select("value.event.*"))
     return with_epoch(positioned(rows))
 
 
-def bodies_from_state(spark: SparkSession, state: str) -> DataFrame:
+def bodies_from_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The current bodies after the batches so far."""
-    return bodies_current(current_log(spark, state))
+    return bodies_current(current_log(spark, checkpoint))
+
+
+def images_from_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    return images_current(current_log(spark, checkpoint))
+
+
+def sessions_from_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    return sessions(of_last_epoch(current_log(spark, checkpoint)))
+
+
+def records_log(spark: SparkSession, checkpoint: str, table: str) -> DataFrame:
+    """Commits, attestations and challenges so far as a folded log; their epochs come from the resets in the state."""
+    rows = spark.read.schema(EVENTS).parquet(table).dropDuplicates(["block_number", "log_index"])
+    resets = current_log(spark, checkpoint).where("kind = 'RegistryReset'").select(*_NAMES)
+    return with_epoch(positioned(rows.unionByName(resets)))
+
+
+def commits_from_stream(spark: SparkSession, checkpoint: str, table: str) -> DataFrame:
+    return commits(records_log(spark, checkpoint, table))
 
 
-def images_from_state(spark: SparkSession, state: str) -> DataFrame:
-    return images_current(current_log(spark, state))
+def attestations_from_stream(spark: SparkSession, checkpoint: str, table: str) -> DataFrame:
+    return attestations(records_log(spark, checkpoint, table))
 
 
-def sessions_from_state(spark: SparkSession, state: str) -> DataFrame:
-    log = current_log(spark, state)
-    return sessions(log.where(F.col("epoch") == F.col("last_epoch")))
+def challenges_from_stream(spark: SparkSession, checkpoint: str, table: str) -> DataFrame:
+    return challenges(records_log(spark, checkpoint, table))

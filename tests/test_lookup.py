@@ -40,6 +40,16 @@ def test_points(spark, log):
     assert sorted(r["confirmed"] for r in lookup.registration_transactions(log, claims).collect()) == [False, True]
 
 
+def test_more_than_a_thousand_images(spark):
+    e = [event(1, "BodyRegistered", body_id=H(1), owner=OWNER)] + [event(2 + k, "ImageRegistered", body_id=H(1), image_hash=H(5000 - k), level=0, pce=150) for k in range(1001)]
+    f = fold(spark, e)
+    bodies, images = bodies_current(f), images_current(f)
+    all_of_them = lookup.bodies_of(bodies, images, OWNER).first()
+    assert all_of_them["n_images"] == 1001 and [x["image_hash"] for x in all_of_them["images"]] == [H(5000 - k) for k in range(1001)]
+    some = lookup.with_images(bodies, images, 3).first()
+    assert some["n_images"] == 1001 and [x["image_hash"] for x in some["images"]] == [H(5000), H(4999), H(4998)]
+
+
 def test_read_api(spark, log):
     asked = spark.createDataFrame([(H(10),), (H(11),), (H(99),), ("0xABC",), (None,)], "image_hash string")
     got = {r["image_hash"]: r for r in lookup.record_view(log, asked, chain_id=1, registry="0xr", page="https://p", page_chain=1, page_registry="0xR").collect()}

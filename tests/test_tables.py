@@ -113,31 +113,71 @@ def test_chain_takes_few_rounds(spark):
 
 @pytest.mark.parametrize("late", [False, True])
 def test_stream_equals_batch(spark, tmp_path, sf_dir, late):
-    """In order, and with files that come in another order than their blocks, resets among them; then a batch again."""
+    """In order, and with files that come in another order than their blocks, resets among them; one file comes twice."""
     import os
+    import shutil
 
     from luxtrace.operators import event_fold
     from luxtrace.sources.events import generated_log
     from luxtrace.streaming import fold
 
     log = generated_log(spark, sf_dir)
-    log.repartitionByRange(4, "block_number").write.parquet(str(tmp_path / "log"))
+    source, cp = str(tmp_path / "log"), str(tmp_path / "cp")
+    log.repartitionByRange(3, "block_number").write.parquet(source)
     files = sorted((tmp_path / "log").glob("*.parquet"))
+    shutil.copy(files[1], tmp_path / "log" / "again.parquet")
     for k, f in enumerate(files):
         os.utime(f, (1_700_000_000 + (-k if late else k),) * 2)
-    state = str(tmp_path / "state")
-    fold.stream_registry(spark, str(tmp_path / "log"), state, str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
-    fold.fold_batch(spark, str(tmp_path / "log"), state, spark.read.parquet(str(files[-1])), len(files) - 1)
+    fold.stream_registry(spark, source, cp, files_per_batch=1).awaitTermination()
+    fold.stream_records(spark, source, str(tmp_path / "records"), str(tmp_path / "cp2"), files_per_batch=1).awaitTermination()
     folded = event_fold.with_epoch(event_fold.positioned(log))
     plain = lambda df, like: sorted((tuple(map(str, r)) for r in df.select(like.columns).collect()))
-    for got, want in ((fold.bodies_from_state(spark, state), event_fold.bodies_current(folded)), (fold.images_from_state(spark, state), event_fold.images_current(folded)), (fold.sessions_from_state(spark, state), event_fold.sessions(event_fold.of_last_epoch(folded)))):
+    records = str(tmp_path / "records")
+    pairs = (
+        (fold.bodies_from_state(spark, cp), event_fold.bodies_current(folded)), (fold.images_from_state(spark, cp), event_fold.images_current(folded)), (fold.sessions_from_state(spark, cp), event_fold.sessions(event_fold.of_last_epoch(folded))),
+        (fold.commits_from_stream(spark, cp, records), event_fold.commits(folded)), (fold.attestations_from_stream(spark, cp, records), event_fold.attestations(folded)), (fold.challenges_from_stream(spark, cp, records), event_fold.challenges(folded)),
+    )
+    for got, want in pairs:
         assert plain(got, want) == plain(want, want)
-    rows = fold.current_log(spark, state).count()
-    assert rows <= 3 * want.count() + 3 * event_fold.bodies_current(folded).count() + 3 * log.where("kind = 'BodyTransferred' OR kind = 'BodyRevoked'").select("body_id").distinct().count() + event_fold.images_current(folded).count() + log.where("kind = 'RegistryReset'").count()
-    assert len(list((tmp_path / "state").glob("v*"))) <= 2
     assert fold.bodies_from_state(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_reset_that_comes_late(spark, tmp_path):
+    """An image and a session are registered at 40 and 60, a body at 41 and 61; the reset at 50 comes after all of them. A batch touches the entities it names."""
+    from test_registry import event
+
+    from luxtrace.schema import EVENTS
+    from luxtrace.streaming import fold
+
+    def put(name, events):
+        spark.createDataFrame([tuple(e[f.name] for f in EVENTS) for e in events], EVENTS).coalesce(1).write.parquet(str(tmp_path / name))
+        (file,) = (tmp_path / name).glob("*.parquet")
+        (tmp_path / "log").mkdir(exist_ok=True)
+        file.rename(tmp_path / "log" / f"{name}.parquet")
+
+    def follow():
+        counted = []
+        fold.stream_registry(spark, str(tmp_path / "log"), str(tmp_path / "cp"), touched=lambda batch, n: counted.append(batch.count())).awaitTermination()
+        return counted
+
+    many = [event(k, "ImageRegistered", image_hash=f"0x{k}", level=0, pce=k) for k in range(100, 160)]
+    put("a", [event(40, "ImageRegistered", image_hash="0xa", level=0, pce=200), event(60, "ImageRegistered", image_hash="0xa", level=1, pce=300), event(42, "SessionCommitted", session_id="s", merkle_root="old", frame_count=1), event(62, "SessionCommitted", session_id="s", merkle_root="new", frame_count=2), *many])
+    assert follow() == [62]
+    put("b", [event(61, "BodyRegistered", body_id="b", owner="second"), event(41, "BodyRegistered", body_id="b", owner="first"), event(45, "BodyTransferred", body_id="b", to_address="third"), event(46, "BodyRevoked", body_id="b")])
+    assert follow() == [1]
+    before = fold.bodies_from_state(spark, str(tmp_path / "cp")).first()
+    assert (before["owner"], before["first_owner"], before["revoked"]) == ("second", "first", True)
+    put("c", [event(50, "RegistryReset")])
+    assert follow() == [1]
+    image = fold.images_from_state(spark, str(tmp_path / "cp")).where("image_hash = '0xa'").collect()
+    assert [(r["level"], r["pce"]) for r in image] == [(1, 300)]
+    body, session = fold.bodies_from_state(spark, str(tmp_path / "cp")).first(), fold.sessions_from_state(spark, str(tmp_path / "cp")).first()
+    assert (body["owner"], body["first_owner"], body["revoked"]) == ("second", "second", False) and (session["merkle_root"], session["frame_count"]) == ("new", 2)
+    put("d", [event(170, "RegistryReset")])
+    follow()
+    assert fold.images_from_state(spark, str(tmp_path / "cp")).count() == fold.bodies_from_state(spark, str(tmp_path / "cp")).count() == 0
+
+
 def png(rgb):
     h, w = rgb.shape[:2]
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
