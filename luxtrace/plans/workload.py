@@ -865,3 +865,74 @@ def session_frames(spark, d):
     key = hashing.sha256(F.col("o_orderkey").cast("string").cast("binary"))
     frames = o.select(F.col("o_orderpriority").alias("session"), F.col("o_orderkey").alias("frame_id"), key.alias("image_hash"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") / 1000).alias("pce"), F.when(F.col("o_custkey") % 4 != 0, True).alias("body_registered"))
     return imports.judged(frames, o.where("o_orderkey % 5 = 0").select(key.alias("image_hash"))).select(F.col("frame_id").alias("o_orderkey"), "refused")
+
+
+# --- from files to verdicts (documents as little pictures)
+
+
+_GREY = "P5 32 32 255\n"
+
+
+def _picture_files(spark: SparkSession, d: str) -> DataFrame:
+    """``doc_id, file_id, content``: a grey picture of each text's digests, near copies of half of them, raw files and broken ones."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    pixels = F.concat(*[F.unhex(F.sha2(F.concat(text, F.lit(f"#{i}")).cast("binary"), 256)) for i in range(32)])
+    t = table(spark, d, "documents").select("doc_id", pixels.alias("p"))
+    whole = F.concat(F.lit(_GREY).cast("binary"), F.col("p"))
+    copy = F.concat(F.lit(_GREY).cast("binary"), F.unhex(F.lit("80")), F.substring("p", 2, 1023))
+    kinds = (("photo", ".pgm", F.lit(True), whole), ("copy", ".pgm", k % 2 == 0, copy), ("raw", ".CR3", k % 10 == 0, whole), ("bad", ".pgm", k % 13 == 0, F.substring(whole, 1, 500)))
+    made = F.array(*[F.when(on, F.struct(F.concat(F.lit(f"{name} "), k.cast("string"), F.lit(end)).alias("file_id"), content.alias("content"))) for name, end, on, content in kinds])
+    return t.select("doc_id", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.*")
+
+
+def _picture_log(spark: SparkSession, d: str, files: DataFrame) -> DataFrame:
+    """A log in which every third document's picture is registered, by five cameras, the last of them revoked."""
+    from luxtrace.operators.verify import hashed
+    from luxtrace.schema import EVENTS
+    from luxtrace.sources.rasters import decode_files
+
+    own = files.where("doc_id % 3 = 0 AND file_id LIKE 'photo%'")
+    seen = hashed(decode_files(own)).join(own.select("doc_id", "file_id"), "file_id")
+    k = F.col("doc_id")
+    images = seen.select((k * 10 + 100).alias("block_number"), F.lit("ImageRegistered").alias("kind"), word(k % 5).alias("body_id"), "image_hash", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("perceptual_hash")), 16, "0")).alias("perceptual_hash"), (k % 4).cast("int").alias("level"), k.alias("pce"), (F.lit(1_700_000_000) + k * 7919 % 100_003).alias("block_timestamp"))
+    cameras = spark.range(5).select(F.col("id").alias("block_number"), F.lit("BodyRegistered").alias("kind"), word(F.col("id")).alias("body_id"), word(F.col("id") + 10, 40).alias("owner"), F.lit(1_600_000_000).cast("long").alias("block_timestamp"))
+    revoked = cameras.where("block_number = 4").select(F.lit(50).cast("long").alias("block_number"), F.lit("BodyRevoked").alias("kind"), "body_id", "block_timestamp")
+    parts = [df.select(*[F.col(f.name) if f.name in df.columns else F.lit(0 if f.name == "log_index" else None).cast(f.dataType).alias(f.name) for f in EVENTS]) for df in (images, cameras, revoked)]
+    return event_fold.with_epoch(event_fold.positioned(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+
+
+_BASIS = "cos(pi() * (2 * {1} + 1) * {0} / 64) * sqrt(2.0 / 32) / CASE WHEN {0} = 0 THEN sqrt(2.0) ELSE 1 END"
+_HEX1024 = " || ".join(f"sha256(coalesce(text, '') || '#{i}')" for i in range(32))
+PICTURES = f"""WITH doc AS (SELECT doc_id, {_HEX1024} AS hx FROM documents),
+file AS (SELECT doc_id, 'photo ' || doc_id || '.pgm' AS file_id, hx, NULL AS reason FROM doc UNION ALL SELECT doc_id, 'copy ' || doc_id || '.pgm', '80' || substr(hx, 3), NULL FROM doc WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 'raw ' || doc_id || '.CR3', NULL, 'raw file' FROM doc WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 'bad ' || doc_id || '.pgm', NULL, 'cannot be decoded' FROM doc WHERE doc_id % 13 = 0),
+pic AS (SELECT DISTINCT hx, '0x' || sha256(unhex('{PIXEL_TAG.hex()}000000200000002000000003' || regexp_replace(hx, '(..)', '\\1\\1\\1', 'g'))) AS image_hash FROM file WHERE hx IS NOT NULL),
+px AS (SELECT hx, i // 32 AS y, i % 32 AS x, ('0x' || substr(hx, 2 * i::int + 1, 2))::int AS v FROM (SELECT hx, unnest(range(1024)) AS i FROM pic)),
+side AS (SELECT u, n, {_BASIS.format('u', 'n')} AS b FROM range(8) a(u), range(32) c(n)),
+half AS (SELECT hx, u, x, sum(v * b) AS t FROM px JOIN side ON n = y GROUP BY ALL),
+coef AS (SELECT hx, list(t ORDER BY u, w) AS c FROM (SELECT hx, h.u, s.u AS w, sum(t * b) AS t FROM half h JOIN side s ON s.n = h.x GROUP BY ALL) GROUP BY hx),
+med AS (SELECT hx, c, list_sort(c[2:64])[32] AS m FROM coef),
+ph AS (SELECT hx, list_sum([CASE WHEN c[i] > m THEN (1::bigint << (32 - i)::int) ELSE 0 END FOR i IN range(1, 33)])::bigint AS hi, list_sum([CASE WHEN c[i] > m THEN (1::bigint << (64 - i)::int) ELSE 0 END FOR i IN range(33, 65)])::bigint AS lo FROM med),
+rec AS (SELECT image_hash, hi, lo, arg_min(doc_id, doc_id) AS doc_id FROM file JOIN pic USING (hx) JOIN ph USING (hx) WHERE doc_id % 3 = 0 AND file_id LIKE 'photo%' GROUP BY ALL),
+reg AS (SELECT *, 1700000000 + doc_id * 7919 % 100003 AS registered_at, doc_id % 5 AS cam FROM rec),
+near AS (SELECT p.image_hash AS probe, r.image_hash, r.registered_at, bit_count(xor(q.hi, r.hi)) + bit_count(xor(q.lo, r.lo)) AS distance FROM pic p JOIN ph q USING (hx) JOIN reg r ON r.image_hash <> p.image_hash AND bit_count(xor(q.hi, r.hi)) + bit_count(xor(q.lo, r.lo)) <= 10),
+conf AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY distance, image_hash) AS rank FROM near QUALIFY rank <= 10),
+first AS (SELECT * FROM conf QUALIFY row_number() OVER (PARTITION BY probe ORDER BY registered_at, rank) = 1),
+ver AS (SELECT f.file_id, f.reason, p.image_hash, coalesce(x.image_hash, n.image_hash) AS reported, CASE WHEN f.hx IS NULL THEN 'refused' WHEN x.image_hash IS NOT NULL THEN 'registered' WHEN n.image_hash IS NOT NULL THEN 'derived' ELSE 'no-record' END AS verdict, n.distance
+  FROM file f LEFT JOIN pic p USING (hx) LEFT JOIN reg x ON x.image_hash = p.image_hash LEFT JOIN first n ON n.probe = p.image_hash)
+"""
+
+
+@query(PICTURES + f"""SELECT v.file_id, v.verdict, CASE v.verdict WHEN 'refused' THEN 'decode' WHEN 'registered' THEN 'registry' ELSE 'index' END AS stage, v.image_hash, v.reported, CASE WHEN v.verdict = 'derived' THEN v.distance::int END AS distance, v.reason,
+  CASE WHEN r.cam IS NOT NULL THEN {_W('r.cam')} END AS body_id, CASE WHEN r.cam IS NOT NULL THEN {_W('r.cam + 10', 40)} END AS owner, r.cam = 4 AS revoked, r.registered_at, CASE WHEN r.cam IS NOT NULL THEN false END AS resettable,
+  count(c.image_hash) AS n_competing, count(c.image_hash) FILTER (WHERE c.registered_at < r.registered_at) AS n_earlier
+FROM ver v LEFT JOIN reg r ON r.image_hash = v.reported LEFT JOIN conf c ON v.reported IS NOT NULL AND c.probe = v.image_hash AND c.image_hash <> v.reported GROUP BY ALL""")
+def file_verdicts(spark, d):
+    """Files to verdicts in stages: decoded, hashed, looked up in the registry, then in the index."""
+    from luxtrace.operators.verify import verify_files
+    from luxtrace.sources.rasters import decode_files
+
+    files = _picture_files(spark, d)
+    out = verify_files(decode_files(files), _picture_log(spark, d, files))
+    competing = F.coalesce("competing", F.array().cast(dict(out.dtypes)["competing"]))
+    return out.select("file_id", "verdict", "stage", "image_hash", "reported", "distance", "reason", "body_id", "owner", "revoked", "registered_at", "resettable", F.size(competing).cast("long").alias("n_competing"), F.size(F.filter(competing, lambda m: m["earlier"])).cast("long").alias("n_earlier"))

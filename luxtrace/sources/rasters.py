@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -46,6 +47,39 @@ def read_images(spark: SparkSession, path: str, *, glob: str = "*", lossless_onl
     return both.select("path", "refused", "height", "width", "nChannels", "data").mapInPandas(rgb, RGB)
 
 
+_NETPBM = re.compile(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d{1,9})\s+(?:#[^\n]*\n\s*)*(\d{1,9})\s+(?:#[^\n]*\n\s*)*255\s")
+
+
+def decode_netpbm(content: bytes | None) -> np.ndarray | None:
+    """RGB of a binary PGM or PPM with 8 bits a sample; None for anything else, and for a file that ends early."""
+    head = _NETPBM.match(content or b"")
+    if not head:
+        return None
+    channels, w, h = 1 if head[1] == b"5" else 3, int(head[2]), int(head[3])
+    if not w or not h or len(content) - head.end() < w * h * channels:
+        return None
+    a = np.frombuffer(content, np.uint8, w * h * channels, head.end()).reshape(h, w, channels)
+    return np.repeat(a, 3, axis=2) if channels == 1 else a
+
+
+def decode_files(files: DataFrame) -> DataFrame:
+    """``file_id, h, w, data (RGB rows), error`` of ``file_id, content``: Netpbm files, decoded where their bytes were read.
+
+    Raw files are refused by name and JPEG files by content, as in ``read_images``, which reads other lossless formats.
+    """
+    refused = F.when(is_raw("file_id"), "raw file").when(is_jpeg("content"), "jpeg is not lossless")
+
+    def rgb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, content, error in b.itertuples(index=False):
+                a = None if error else decode_netpbm(content)
+                out.append((name, None, None, None, error or "cannot be decoded") if a is None else (name, *a.shape[:2], a.tobytes(), None))
+            yield pd.DataFrame(out, columns=["file_id", "h", "w", "data", "error"])
+
+    return files.select("file_id", "content", refused.alias("refused")).mapInPandas(rgb, RGB.replace("image_id", "file_id"))
+
+
 def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """``body_id, plane, h, w, data, meta`` from ``.npz`` files; the body is the file's name; a file without planes gives no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
