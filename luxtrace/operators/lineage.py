@@ -1,4 +1,4 @@
-"""Closure of a parent relation."""
+"""Closure of a parent relation, and the connected parts of any relation."""
 
 from __future__ import annotations
 
@@ -26,3 +26,27 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         done.append(moved.where("__done").drop("__done"))
         left = moved.where("NOT __done").drop("__done")
     return reduce(DataFrame.unionByName, done).select("node", F.col("up").alias("root"), "depth")
+
+
+def connected_parts(edges: DataFrame) -> DataFrame:
+    """``node, part``: of each node in ``edges`` (``a, b``) the least node that it is connected with.
+
+    Large stars and small stars in turn: every node hands its larger neighbours, then its smaller ones, to the least node it
+    knows. The number of rounds grows with the logarithm of the longest chain. Minima are added up before they are shuffled
+    and handed out by joins that can be split, so a node with very many neighbours is shared out; each round is written.
+    """
+    fold = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    now = cut(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    loops = now.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("part"))
+    now, before = now.where("a != b"), None
+    while (state := fold(now)) != before:
+        before = state
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
+        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("m < n").select("n", "m"))
+        large = cut(large.where("a != b").distinct())
+        down = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        small = large.join(down, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("n", "m"))
+        now = cut(small.where("a != b").distinct())
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("part")).union(now.select(F.col("b").alias("node"), F.col("b").alias("part"))).union(loops)
+    return found.groupBy("node").agg(F.min("part").alias("part"))

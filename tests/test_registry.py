@@ -2,8 +2,11 @@
 
 import random
 
-from luxtrace.operators import event_fold
-from luxtrace.operators.registry import CALLS, ZERO_ADDRESS, replay
+import pytest
+
+from luxtrace.operators import event_fold, registry
+from luxtrace.operators.lineage import connected_parts
+from luxtrace.operators.registry import CALLS, ZERO_ADDRESS, body_calls, replay, with_epochs
 from luxtrace.schema import CID_PREFIX, EVENTS, ZERO_WORD
 
 ADMIN = "0x" + "ad" * 20
@@ -76,6 +79,83 @@ def test_replay_is_sequential(spark):
         assert len(set(want.values())) > 12
 
 
+def as_table(spark, calls, parts=5):
+    return spark.createDataFrame([tuple(c[f.name] for f in CALLS) for c in calls], CALLS).repartition(parts)
+
+
+def test_one_body_with_all_calls_is_shared_out(spark):
+    """Owners take turns, strangers call as well, most of the body's ranges begin in the middle of it."""
+    r = random.Random(5)
+    body, who = "0x" + "b" * 64, [f"0x{k:040x}" for k in range(1, 7)]
+    calls, owner = [], None
+    for i in range(3000):
+        f = "registerBody" if owner is None or r.random() < 0.02 else "revokeBody" if i == 2800 or r.random() < 0.0005 else "transferBody"
+        sender = owner if owner and r.random() < 0.6 else r.choice(who)
+        to = r.choice([*who, ZERO_ADDRESS])
+        owner = sender if owner is None and i > 20 else to if f == "transferBody" and sender == owner and to != ZERO_ADDRESS else owner
+        calls.append(dict.fromkeys(c.name for c in CALLS) | {"call_id": i, "function": f, "sender": sender, "body_id": body, "commitment": body if i > 20 else None, "derived_id": body, "to_address": to})
+    for k in range(3):
+        calls.append(dict.fromkeys(c.name for c in CALLS) | {"call_id": 5000 + k, "function": "registerBody", "sender": who[0], "body_id": f"0x{k}", "commitment": "x", "derived_id": f"0x{k}"})
+    timed = with_epochs(as_table(spark, calls), admin=ADMIN)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folded = body_calls(timed)
+        got = {x["call_id"]: x["error"] for x in folded.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sequential(calls)
+    assert got == want and len(set(want.values())) >= 5
+
+
+def test_maps_of_runs_compose():
+    """What a run does, from every beginning, is what its calls do one by one."""
+    r = random.Random(6)
+    for _ in range(300):
+        who = [f"s{k}" for k in range(4)]
+        calls = [(r.choice(["registerBody", "revokeBody", "transferBody", "transferBody", "transferBody"]), r.choice(who), r.choice([*who, ZERO_ADDRESS]), r.random() < 0.2, r.random() < 0.9) for _ in range(r.randint(0, 12))]
+        run = registry._Run()
+        for c in calls:
+            run.call(*c)
+        named = dict(run.mapping())
+        for begin in ["", *("o" + s for s in [*who, "other"]), "rs0"]:
+            state = begin
+            for c in calls:
+                state, _ = registry._step(state, *c)
+            assert named.get(begin, begin) == state
+
+
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_chain_of_a_thousand_edits(spark, most, monkeypatch):
+    """By passes in few jobs; a short chain also by rounds."""
+    n = 1000 if most > 3 else 12
+    body, who = "0x" + "b" * 64, "0x" + "1" * 40
+    good = [(0, f"h{k}", f"h{k - 1}" if k else None, 10 + k) for k in range(n)] + [(0, "h5", "h0", 7), (0, "late", "h9", 12), (0, "late", "h9", 50), (0, "alone", None, 3), (1, "h1", "h0", 4), (0, "twice", "never", 60), (0, "h6", "h6", 1)]
+    df = spark.createDataFrame(good, "epoch long, h string, parent string, call_id long")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    got = {(x["epoch"], x["h"]): x["at"] for x in registry.first_acceptable(df, most).collect()}
+    jobs = len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before))
+    assert got == {(0, f"h{k}"): 10 + k for k in range(n)} | {(0, "late"): 50, (0, "alone"): 3}
+    assert most == 3 or jobs < 150
+    assert registry.first_acceptable(df.limit(0)).count() == 0
+
+
+def test_connected_parts(spark):
+    r = random.Random(7)
+    edges = [(f"n{r.randint(0, 150):03d}", f"n{r.randint(0, 150):03d}") for _ in range(120)] + [("star", f"n{k:03d}") for k in range(40)] + [("self", "self"), (None, "n000")]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a and b:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    got = {x["node"]: x["part"] for x in connected_parts(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {x: root(x) for x in list(up)}
+
+
 def event(block, kind, **values):
     return {f.name: None for f in EVENTS} | {"block_number": block, "log_index": 0, "tx_hash": "0x" + f"{block:064x}", "block_timestamp": 100 + block, "kind": kind} | values
 
