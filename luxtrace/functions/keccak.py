@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from luxtrace.schema import RECORD_TAG
+from luxtrace.shared import cut
 
 _RATE = 136  # bytes taken in between permutations
 
@@ -112,20 +113,12 @@ def merkle_levels(leaves: list[bytes]) -> list[list[bytes]]:
     """All levels, the sorted leaves first."""
     if not leaves:
         raise ValueError("a session needs at least one frame")
-    levels = [sorted(leaves)]
-    while len(levels[-1]) > 1:
-        levels.append(_parents(levels[-1]))
-    return levels
+    return _climb(sorted(leaves))
 
 
 def inclusion_proof(levels: list[list[bytes]], leaf: bytes) -> list[bytes]:
     """The neighbours on the way up from the first place of ``leaf``."""
-    at, proof = levels[0].index(leaf), []
-    for nodes in levels[:-1]:
-        if at ^ 1 < len(nodes):
-            proof.append(nodes[at ^ 1])
-        at //= 2
-    return proof
+    return _path(levels, levels[0].index(leaf))
 
 
 def verify_proof(leaf: bytes, proof: list[bytes], root: bytes) -> bool:
@@ -138,42 +131,83 @@ def verify_proof(leaf: bytes, proof: list[bytes], root: bytes) -> bool:
 CHUNK = 1 << 14
 
 
-def merkle_roots(frames: DataFrame, session: str = "session_id", leaf: str = "leaf") -> DataFrame:
-    """``session, merkle_root, frame_count``, of whatever many frames a session has.
+def _ranked(frames: DataFrame, session: str, leaf: str) -> DataFrame:
+    """``s, l, c, first``: each leaf with the number of its run of CHUNK ranks, and whether it is the first of its value.
 
-    Leaves get their rank within the session (by their first two bytes, then within those, so that a large session is shared
-    out); runs of ``CHUNK`` ranks, a power of two, become subtrees in parallel, and the level above them is small. Equal to
-    one tree over all leaves, since a run below it is a whole subtree, and the last, shorter run goes up as an odd node does.
+    Leaves get their rank within the session by their first two bytes, then within those, so that a large session is shared out.
     """
     from pyspark.sql import Window
 
     ordered = frames.where(F.col(leaf).isNotNull()).select(F.col(session).alias("s"), F.col(leaf).alias("l"))
     ordered = ordered.withColumn("b", F.conv(F.rpad(F.hex(F.substring("l", 1, 2)), 4, "0"), 16, 10).cast("int"))
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows a session
-    sizes = ordered.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n")).select("s", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("s", "b").orderBy("l")) - 1
-    ranked = ordered.join(sizes, ["s", "b"]).withColumn("c", F.floor((F.col("base") + within) / CHUNK)).select("s", "l", "c")
+    sizes = ordered.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n")).select(F.col("s").alias("__s"), F.col("b").alias("__b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("s", "b").orderBy("l")
+    placed = ordered.withColumn("w", F.row_number().over(within) - 1).withColumn("first", ~F.lag("l").over(within).eqNullSafe(F.col("l")))
+    ranked = placed.join(sizes, F.col("s").eqNullSafe(F.col("__s")) & (F.col("b") == F.col("__b")))
+    return ranked.select("s", "l", F.floor((F.col("base") + F.col("w")) / CHUNK).alias("c"), "first")
+
+
+def _climb(nodes: list[bytes]) -> list[list[bytes]]:
+    """All levels from these nodes to one, in the order given."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append(_parents(levels[-1]))
+    return levels
+
+
+def _path(levels: list[list[bytes]], at: int) -> list[bytes]:
+    """The neighbours on the way up from a place; an odd node has none."""
+    return [level[at >> k ^ 1] for k, level in enumerate(levels) if at >> k ^ 1 < len(level)]
+
+
+def merkle_roots(frames: DataFrame, session: str = "session_id", leaf: str = "leaf") -> DataFrame:
+    """``session, merkle_root, frame_count``, of whatever many frames a session has.
+
+    Runs of ``CHUNK`` ranks, a power of two, become subtrees in parallel, and the level above them is small. Equal to one tree
+    over all leaves, since a run below it is a whole subtree, and the last, shorter run goes up as an odd node does.
+    """
 
     def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(map(bytes, pdf["l"]))
-        height = 0
-        while len(nodes) > 1 or height < CHUNK.bit_length() - 1 and len(pdf) == CHUNK:
-            nodes = _parents(nodes)
-            height += 1
-        return pd.DataFrame({"s": [pdf["s"].iloc[0]], "c": [pdf["c"].iloc[0]], "node": [nodes[0]], "n": [len(pdf)]})
+        root = _climb(sorted(map(bytes, pdf["l"])))[-1][0]
+        return pd.DataFrame({"s": [pdf["s"].iloc[0]], "c": [pdf["c"].iloc[0]], "node": [root], "n": [len(pdf)]})
 
     kind = dict(frames.dtypes)[session]
-    subtrees = ranked.groupBy("s", "c").applyInPandas(subtree, f"s {kind}, c long, node binary, n long")
+    subtrees = _ranked(frames, session, leaf).groupBy("s", "c").applyInPandas(subtree, f"s {kind}, c long, node binary, n long")
 
     def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = [bytes(x) for x in pdf.sort_values("c")["node"]]
-        while len(nodes) > 1:
-            nodes = _parents(nodes)
-        return pd.DataFrame({session: [pdf["s"].iloc[0]], "merkle_root": [nodes[0]], "frame_count": [int(pdf["n"].sum())]})
+        root = _climb([bytes(x) for x in pdf.sort_values("c")["node"]])[-1][0]
+        return pd.DataFrame({session: [pdf["s"].iloc[0]], "merkle_root": [root], "frame_count": [int(pdf["n"].sum())]})
 
     return subtrees.groupBy("s").applyInPandas(top, f"`{session}` {kind}, merkle_root binary, frame_count long")
 
 
+def inclusion_proofs(frames: DataFrame, session: str = "session_id", leaf: str = "leaf") -> DataFrame:
+    """``session, leaf, proof, root`` of each different leaf of a session, from its first place in the tree.
+
+    Each run of ``CHUNK`` ranks gives its leaves the neighbours within its subtree; the small tree over the runs gives each
+    run the rest of the way; both are joined by run. So no task has more of a session than one run, or a node for each run.
+    """
+    kind = dict(frames.dtypes)[session]
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(l=[bytes(x) for x in pdf["l"]]).sort_values(["l", "first"], ascending=[True, False])
+        levels = _climb(pdf["l"].tolist())
+        places = [i for i, first in enumerate(pdf["first"]) if first]
+        out = pd.DataFrame({"l": [levels[0][i] for i in places] + [None], "path": [*(_path(levels, i) for i in places), None], "node": [None] * len(places) + [levels[-1][0]]})
+        return out.assign(s=pdf["s"].iloc[0], c=pdf["c"].iloc[0])[["s", "c", "l", "path", "node"]]
+
+    def above(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c")
+        levels = _climb([bytes(x) for x in pdf["node"]])
+        return pd.DataFrame({"s2": pdf["s"], "c2": pdf["c"], "rest": [_path(levels, i) for i in range(len(pdf))], "root": [levels[-1][0]] * len(pdf)})
+
+    parts = cut(_ranked(frames, session, leaf).groupBy("s", "c").applyInPandas(within, f"s {kind}, c long, l binary, path array<binary>, node binary"))
+    tops = parts.where("l IS NULL").groupBy("s").applyInPandas(above, f"s2 {kind}, c2 long, rest array<binary>, root binary")
+    joined = parts.where("l IS NOT NULL").join(tops, F.col("s").eqNullSafe(F.col("s2")) & (F.col("c") == F.col("c2")))
+    return joined.select(F.col("s").alias(session), F.col("l").alias(leaf), F.concat("path", "rest").alias("proof"), "root")
+
+
 def verify_inclusion(proofs: DataFrame) -> DataFrame:
     """``proofs`` (``leaf binary, proof array<binary>, root binary``) with ``included``; a zero or null root includes nothing."""
 

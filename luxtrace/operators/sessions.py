@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from luxtrace.functions.hashing import clamp_score, session_id
-from luxtrace.functions.keccak import inclusion_proof, merkle_levels, merkle_roots
+from luxtrace.functions.keccak import inclusion_proofs, merkle_roots
 from luxtrace.schema import PCE_THRESHOLD
 
 
@@ -31,11 +30,11 @@ def roots(judged_frames: DataFrame) -> DataFrame:
 
 
 def proofs(judged_frames: DataFrame) -> DataFrame:
-    """``session, image_hash, proof`` of each accepted frame. A session is one import of a photographer and fits in a task."""
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaves = [bytes(x) for x in pdf["image_hash"]]
-        levels = merkle_levels(leaves)
-        return pd.DataFrame({"session": pdf["session"], "image_hash": pdf["image_hash"], "proof": [inclusion_proof(levels, x) for x in leaves]})
-
-    kind = dict(judged_frames.dtypes)["session"]
-    return judged_frames.where("refused IS NULL").groupBy("session").applyInPandas(of, f"session {kind}, image_hash binary, proof array<binary>")
+    """``session, image_hash, proof, root`` of each accepted image, however many a session has."""
+    return inclusion_proofs(judged_frames.where("refused IS NULL"), "session", "image_hash")
+
+
+def registered(judged_frames: DataFrame) -> DataFrame:
+    """What an import hands back: each accepted image with its session's id and size, the root and its proof."""
+    own = roots(judged_frames).select(F.col("session").alias("__s"), "session_id", "frame_count")
+    return proofs(judged_frames).join(own, F.col("session").eqNullSafe(F.col("__s"))).select("session", "session_id", "frame_count", "image_hash", "proof", F.col("root").alias("merkle_root"))

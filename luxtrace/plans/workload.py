@@ -936,3 +936,50 @@ def file_verdicts(spark, d):
     out = verify_files(decode_files(files), _picture_log(spark, d, files))
     competing = F.coalesce("competing", F.array().cast(dict(out.dtypes)["competing"]))
     return out.select("file_id", "verdict", "stage", "image_hash", "reported", "distance", "reason", "body_id", "owner", "revoked", "registered_at", "resettable", F.size(competing).cast("long").alias("n_competing"), F.size(F.filter(competing, lambda m: m["earlier"])).cast("long").alias("n_earlier"))
+
+
+# --- replay and proofs with SQL
+
+
+REC = EV.replace("WITH raw", "WITH RECURSIVE raw", 1)
+_ZERO = "0x" + "0" * 64
+
+
+@query(REC + f""", call AS (SELECT event_id AS call_id, epoch, body_id, kind, own AS sender, dest, row_number() OVER (PARTITION BY epoch, body_id ORDER BY event_id) AS n FROM ev WHERE kind IN ('BodyRegistered', 'BodyRevoked', 'BodyTransferred')),
+step AS (SELECT NULL::bigint AS call_id, epoch, body_id, 0::bigint AS n, NULL::varchar AS owner, false AS revoked, NULL::varchar AS error FROM (SELECT DISTINCT epoch, body_id FROM call)
+  UNION ALL SELECT call_id, epoch, body_id, n, CASE WHEN error IS NOT NULL THEN owner WHEN kind = 'BodyRegistered' THEN sender WHEN kind = 'BodyTransferred' THEN dest ELSE owner END, revoked OR (error IS NULL AND kind = 'BodyRevoked'), error
+  FROM (SELECT c.call_id, c.epoch, c.body_id, c.n, c.kind, c.sender, c.dest, s.owner, s.revoked, CASE WHEN c.kind = 'BodyRegistered' THEN CASE WHEN c.body_id = '{_ZERO}' THEN 'empty commitment' WHEN s.owner IS NOT NULL THEN 'body already registered' END
+    WHEN s.owner IS NULL THEN 'unknown body' WHEN s.owner <> c.sender THEN 'not the body owner' WHEN s.revoked THEN CASE WHEN c.kind = 'BodyRevoked' THEN 'already revoked' ELSE 'body revoked' END WHEN c.kind = 'BodyTransferred' AND c.dest = '{_ZERO[:42]}' THEN 'zero owner' END AS error
+    FROM step s JOIN call c ON c.epoch = s.epoch AND c.body_id = s.body_id AND c.n = s.n + 1))
+SELECT call_id, epoch, body_id, error, owner, revoked FROM step WHERE n > 0""")
+def replay_bodies(spark, d):
+    """Registrations, transfers and revocations of bodies as untrusted calls, each with the body's state after it."""
+    from luxtrace.operators.registry import body_calls, with_epochs
+
+    return body_calls(with_epochs(generated_calls(spark, d), admin=_ZERO[:42]))
+
+
+@query(EV + """SELECT event_id AS call_id, CASE kind WHEN 'SessionCommitted' THEN CASE WHEN k = 0 THEN 'empty session' WHEN row_number() OVER (PARTITION BY kind, epoch, k ORDER BY event_id) > 1 THEN 'session already committed' END END AS error
+FROM ev WHERE kind IN ('SessionCommitted', 'Commit', 'Attested', 'Challenged', 'RegistryReset')""")
+def replay_others(spark, d):
+    """Sessions, commits, attestations, challenges and resets as untrusted calls."""
+    from luxtrace.operators.registry import other_calls, with_epochs
+
+    return other_calls(with_epochs(generated_calls(spark, d), admin=_ZERO[:42]), admin=_ZERO[:42])
+
+
+_STEPS = " + ".join(f"((((n + {2**k - 1}) // {2**k}) > 1 AND xor(i // {2**k}, 1) < (n + {2**k - 1}) // {2**k})::int)" for k in range(26))
+
+
+@query(f"""WITH leaf AS (SELECT coalesce(source, '') AS source, sha256(text) AS leaf, row_number() OVER (PARTITION BY source ORDER BY sha256(text)) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE text IS NOT NULL),
+own AS (SELECT source, leaf, min(place)::bigint AS i, n FROM leaf GROUP BY ALL)
+SELECT source, leaf, n AS frame_count, ({_STEPS})::int AS steps, true AS included FROM own""")
+def session_proofs(spark, d):
+    """Each source's documents as an import: proofs of all of them, verified against the session's root."""
+    from luxtrace.functions.keccak import verify_inclusion
+    from luxtrace.operators import sessions as imports
+
+    frames = table(spark, d, "documents").where("text IS NOT NULL").select(F.coalesce("source", F.lit("")).alias("session"), hashing.sha256(F.col("text").cast("binary")).alias("image_hash"), F.lit(None).cast("string").alias("refused"))
+    got = imports.registered(frames).withColumnRenamed("image_hash", "leaf").withColumnRenamed("merkle_root", "root")
+    checked = verify_inclusion(got.select("session", "leaf", "proof", "root", "frame_count"))
+    return checked.select(F.col("session").alias("source"), F.lower(F.hex("leaf")).alias("leaf"), "frame_count", F.size("proof").alias("steps"), "included")

@@ -29,6 +29,22 @@ def test_merkle_proofs(n):
         merkle_levels([])
 
 
+def test_proofs_in_chunks(spark, monkeypatch):
+    """Put together from runs of four leaves, equal to those of one tree; leaves repeat within runs and across them."""
+    from luxtrace.functions import keccak as module
+
+    monkeypatch.setattr(module, "CHUNK", 4)
+    own = lambda s, n: [hashlib.sha256(f"{s}{i}".encode()).digest() for i in range(n)]
+    leaves = {s: own(s, n) for s, n in ((None, 3), ("a", 1), ("b", 4), ("c", 11), ("d", 8), ("e", 33))}
+    leaves["f"] = own("f", 5) + own("f", 2) * 9
+    rows = [(s, x) for s, of in leaves.items() for x in of]
+    got = module.inclusion_proofs(spark.createDataFrame(rows, "session_id string, leaf binary").repartition(3)).collect()
+    assert len(got) == len(set(rows))
+    for r in got:
+        levels = merkle_levels(leaves[r["session_id"]])
+        assert (r["root"], r["proof"]) == (levels[-1][0], inclusion_proof(levels, bytes(r["leaf"])))
+
+
 def test_merkle_roots_in_chunks(spark, monkeypatch):
     from luxtrace.functions import keccak as module
 
