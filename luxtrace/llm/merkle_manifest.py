@@ -10,7 +10,7 @@ source with a third of all documents is spread like the others; the siblings of
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +26,8 @@ NODES_A_TASK = 4000
 _ROW_BITS = 33
 #: The tree of sources among the trees.
 _TOP = -1
+#: Kinds of messages.
+_FAMILY, _WAY = 0, 1
 
 
 def _hash(digests: bytes) -> bytes:
@@ -93,15 +95,9 @@ def _families(nodes: RDD, parts: int) -> RDD:
 
 
 def _hashed(families: RDD) -> RDD:
-    return families.mapValues(lambda f: (-(-f[0] // FAN_OUT), _hash(b"".join(c[0] for c in f[1]))))
-
-
-def _children(item: tuple) -> Iterator[tuple]:
-    """One superstep downwards: a node hands each child the child's siblings and its own way to the root."""
-    (tree, place), ((_, children), (way, ends)) = item
-    for k, value in enumerate(children):
-        before, after = b"".join(c[0] for c in children[:k]), b"".join(c[0] for c in children[k + 1 :])
-        yield (tree, place * FAN_OUT + k), value, ((before, after), *way), ends
+    """What parents hash and forward; a tree of one node has no parent."""
+    parents = families.filter(lambda x: x[1][0] > 1)
+    return parents.mapValues(lambda f: (-(-f[0] // FAN_OUT), _hash(b"".join(c[0] for c in f[1]))))
 
 
 def _levels(n: int) -> int:
@@ -112,33 +108,51 @@ def _levels(n: int) -> int:
     return k
 
 
-def _grown(spark: SparkSession, nodes: RDD, total: int, most: int, trees: int) -> tuple[list[RDD], list[RDD]]:
-    """All upward supersteps: families of each level, and of each level the last nodes of trees."""
+def _grown(spark: SparkSession, nodes: RDD, total: int, most: int, trees: int) -> tuple[list[RDD], RDD]:
+    """All supersteps upwards: the families of each level, and ``tree, (level, digest)`` of the trees' last nodes."""
     families, last = [], []
-    for _ in range(_levels(most)):
-        last.append(nodes.filter(lambda x: x[1][0] == 1))
+    for level in range(max(1, _levels(most))):
         total = -(-total // FAN_OUT) + trees
-        families.append(_families(nodes.filter(lambda x: x[1][0] > 1), _parts(spark, total)))
+        families.append(_families(nodes, _parts(spark, total)))
+        if not level:  # a tree of one leaf has that leaf as its end
+            last.append(families[0].filter(lambda x: x[1][0] == 1).map(lambda x: (x[0][0], (0, x[1][1][0][0]))))
         nodes = _hashed(families[-1])
-    return families, [*last, nodes]
-
+        last.append(nodes.filter(lambda x: x[1][0] == 1).map(lambda x, k=level + 1: (x[0][0], (k, x[1][1]))))
+        nodes = nodes.filter(lambda x: x[1][0] > 1)
+    return families, spark.sparkContext.union(last)
 
-def _ways(families: list[RDD], last: list[RDD], begins: RDD) -> RDD:
-    """All downward supersteps, from the top level on; ``key, value, way, ends`` of each leaf.
 
-    ``begins``: ``(tree, (way, ends))`` of the trees' last nodes.
-    """
-
-    def begun(nodes: RDD) -> RDD:
-        met = nodes.map(lambda x: (x[0][0], x[1][1:])).join(begins, begins.getNumPartitions())
-        return met.map(lambda x: ((x[0], 0), x[1][0], *x[1][1]))
+def _told(level: int) -> Callable[[tuple], Iterator[tuple]]:
+    """One superstep downwards: a node that has been told its way tells each child the child's; a message to a lower level waits."""
 
-    at = begun(last[-1])
+    def run(item: tuple) -> Iterator[tuple]:
+        (tree, place), got = item
+        got = list(got)
+        family = next((v for kind, v in got if kind == _FAMILY), None)
+        for kind, v in got:
+            if kind == _FAMILY:
+                continue
+            at, way, ends = v
+            if family and at == level + (family[0] > 1):
+                alone = family[0] == 1
+                digests = [c[0] for c in family[1]]
+                for k, value in enumerate(family[1]):
+                    own = way if alone else ((b"".join(digests[:k]), b"".join(digests[k + 1 :])), *way)
+                    yield (tree, place * FAN_OUT + k), (_WAY, (level, own, ends)) if level else (value, own, ends)
+            elif at <= level:
+                yield (tree, place), (_WAY, v)
+
+    return run
+
+
+def _ways(families: list[RDD], begins: RDD) -> RDD:
+    """All supersteps downwards: ``key, (leaf's value, way, ends)``. ``begins``: ``(tree, 0), (_WAY, (level, way, ends))`` of the trees' last nodes."""
+    inbox = begins
     for level in range(len(families) - 1, -1, -1):
         parts = families[level].getNumPartitions()
-        ways = at.map(lambda x: (x[0], (x[2], x[3]))).partitionBy(parts)
-        at = families[level].join(ways, parts).flatMap(_children).union(begun(last[level]))
-    return at
+        met = families[level].mapValues(lambda f: (_FAMILY, f)).union(inbox.partitionBy(parts)).groupByKey(parts)  # a family and its message
+        inbox = met.flatMap(_told(level))
+    return inbox
 
 
 def proofs(docs: DataFrame, *, changed: Column | None = None) -> RDD:
@@ -155,13 +169,10 @@ def proofs(docs: DataFrame, *, changed: Column | None = None) -> RDD:
     packed = ordered.select("tree", "place", "size", F.unhex("leaf"), "doc_id", F.unhex("now"))
     nodes = packed.rdd.map(lambda r: ((r[0], r[1]), (r[2], bytes(r[3]), r[4], r[5] and bytes(r[5]))))
     families, last = _grown(spark, nodes, total, most, n_trees)
-    subroots = spark.sparkContext.union([x.map(lambda x: ((_TOP, x[0][0]), (n_trees, x[1][1]))) for x in last])
-    above, top = _grown(spark, subroots, n_trees, n_trees, 1)
-    root = top[-1].map(lambda x: (_TOP, ((), (x[1][1],))))
-    begins = _ways(above, top, root)
-    parts = _parts(spark, n_trees)
-    begins = begins.map(lambda x: (x[0][1], (x[2], (x[1][0], *x[3])))).partitionBy(parts)  # a tree's way, its subroot and the root
-    return _ways(families, last, begins).map(lambda x: (x[1][1], x[1][0], x[1][2], x[2], *x[3]))
+    above, root = _grown(spark, last.map(lambda x: ((_TOP, x[0]), (n_trees, x[1][1], x[1][0]))), n_trees, n_trees, 1)
+    ways = _ways(above, root.map(lambda x: ((_TOP, 0), (_WAY, (x[1][0], (), (x[1][1],))))))
+    begins = ways.map(lambda x: ((x[0][1], 0), (_WAY, (x[1][0][1], x[1][1], (x[1][0][0], *x[1][2])))))  # with the subroot and the root
+    return _ways(families, begins).map(lambda x: (x[1][0][1], x[1][0][0], x[1][0][2], x[1][1], *x[1][2]))
 
 
 def _fold(leaf: bytes, way: tuple) -> bytes:
