@@ -110,12 +110,15 @@ def needs_attention(enrolled: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def import_name(existing: DataFrame, stem: str) -> str:
-    """``stem``, or the first of ``stem-2``, ``stem-3`` … that no file in ``existing`` (``name``) has."""
-    pattern = "^" + "".join("\\" + c if not c.isalnum() else c for c in stem) + r"(?:-([0-9]+))?$"
-    taken = {r[0] or "1" for r in existing.where(F.col("name").rlike(pattern)).select(F.regexp_extract("name", pattern, 1)).distinct().collect()}
-    k = 1
-    while str(k) in taken:
-        k += 1
+    """``stem``, or the first of ``stem-2``, ``stem-3`` … that no file in ``existing`` (``name``) has.
+
+    The first free number follows 0 or a number that is taken, so it is the least of those that aren't taken themselves.
+    """
+    pattern = "^" + "".join("\\" + c if not c.isalnum() else c for c in stem) + r"(?:-([1-9][0-9]{0,17}))?$"
+    number = F.coalesce(F.nullif(F.regexp_extract("name", pattern, 1), F.lit("")).cast("long"), F.lit(1).cast("long"))
+    taken = existing.where(F.col("name").rlike(pattern)).select(number.alias("k")).distinct()
+    next_to = taken.select((F.col("k") + 1).alias("k")).union(existing.sparkSession.range(1, 2).toDF("k"))
+    k = next_to.join(taken, "k", "left_anti").agg(F.min("k")).first()[0]
     return stem if k == 1 else f"{stem}-{k}"
 
 

@@ -29,10 +29,12 @@ def running_sum(df: DataFrame, pos: str, value: Column, name: str, *, inclusive:
 
 
 def _range_of(pos: Column, cuts: list[float]) -> Column:
-    """How many cuts are at or below ``pos``."""
+    """How many cuts are at or below ``pos``, by halving: as many steps for each row as the number of cuts has digits."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.lit([float(c) for c in cuts]), lambda c: c <= pos.cast("double")))
+    held = F.expr(f"array({', '.join(f'{float(c)!r}D' for c in cuts)})")
+    steps = F.expr(f"array({', '.join(str(1 << k) for k in reversed(range(len(cuts).bit_length())))})")
+    return F.aggregate(steps, F.lit(0), lambda below, k: F.when(F.get(held, below + k - 1) <= pos.cast("double"), below + k).otherwise(below))
 
 
 def as_of(events: DataFrame, changes: DataFrame, key: str, pos: str, *, change_pos: str, values: dict[str, str]) -> DataFrame:

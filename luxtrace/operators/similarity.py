@@ -1,13 +1,18 @@
 """Pairs of 64-bit perceptual hashes within a Hamming distance.
 
-Two ways with equal results. ``near_by_scan`` compares each probe with each row and is for an index that is small enough to
+Three ways with equal results. ``near_by_scan`` compares each probe with each row and is for an index that is small enough to
 send to every task. ``near_by_bands`` cuts the 64 bits into six bands: two hashes within ten bits agree in some band up to one
-bit, so each probe asks for its band values with at most one bit flipped, an equality join that Spark deals out by value.
+bit, so each probe asks for its band values with at most one bit flipped, an equality join that Spark deals out by value; some
+4.5 % of the index are compared. ``near_by_wide_bands`` has three bands of 23, 22 and 19 bits and up to three flips. Two
+hashes of different parity are an odd number of bits apart, so nine at most, and the second band needs a flip less there; the
+parity is part of the key. A probe asks for some 6,500 values and is compared with less than 0.1 % of a large index.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from luxtrace.functions.hashing import hamming
@@ -15,12 +20,23 @@ from luxtrace.schema import HAMMING_RADIUS
 
 #: First bit and width of each band.
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: An index of at most so many rows goes to every task.
-SCAN_ROWS = 50_000
+#: First bit and width of each wide band, and most flips between hashes of equal and of different parity.
+WIDE = ((0, 23, 3, 3), (23, 22, 3, 2), (45, 19, 2, 2))
+#: An index of at most so many rows goes to every task; one of more than ``BAND_ROWS`` is asked by wide bands.
+SCAN_ROWS, BAND_ROWS = 50_000, 1_000_000
 
 
 def near_by_scan(probes: DataFrame, index: DataFrame, radius: int = HAMMING_RADIUS) -> DataFrame:
-    """``probes`` (``probe_id, probe_hash``) × ``index`` (``image_id, image_hash64``) within ``radius``; null hashes match nothing."""
+    """``probes`` (``probe_id, probe_hash``) × ``index`` (``image_id, image_hash64``) within ``radius``; null hashes match nothing.
+
+    The index has at most ``SCAN_ROWS`` rows; a larger one is an error.
+    """
+    if index.limit(SCAN_ROWS + 1).count() > SCAN_ROWS:
+        raise ValueError("the index is too large to go to every task")
+    return _scan(probes, index, radius)
+
+
+def _scan(probes: DataFrame, index: DataFrame, radius: int) -> DataFrame:
     return probes.join(F.broadcast(index), hamming("probe_hash", "image_hash64") <= radius).select("probe_id", "image_id", hamming("probe_hash", "image_hash64").alias("distance"))
 
 
@@ -43,10 +59,55 @@ def near_by_bands(probes: DataFrame, index: DataFrame, radius: int = HAMMING_RAD
     return close.where(first == F.col("band")).select("probe_id", "image_id", hamming("probe_hash", "image_hash64").alias("distance"))
 
 
+def _key(band: int, value: Column, parity: Column) -> Column:
+    return (value.cast("int") + parity * F.lit(1 << 23) + F.lit(band << 24)).cast("int")
+
+
+def _band(hash64: str, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(F.col(hash64), at).bitwiseAND((1 << width) - 1).cast("int")
+
+
+def _wide_pairs(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """``probe_id, probe_hash, image_id, image_hash64, band`` of all pairs that are compared."""
+    asked, held = [], []
+    own = (F.bit_count(F.col("probe_hash")) % 2).cast("int")
+    for band, (at, width, same, other) in enumerate(WIDE):
+        for flips, parity in ((same, own), (other, 1 - own)):
+            masks = F.expr("array(" + ", ".join(str(sum(1 << k for k in c)) for n in range(flips + 1) for c in combinations(range(width), n)) + ")")
+            value, base = _band("probe_hash", at, width), _key(band, F.lit(0), parity)
+            asked.append(F.transform(masks, lambda m: value.bitwiseXOR(m) + base))  # noqa: B023  evaluated at once
+        held.append(_key(band, _band("image_hash64", at, width), (F.bit_count(F.col("image_hash64")) % 2).cast("int")))
+    left = probes.where("probe_hash IS NOT NULL").select("probe_id", "probe_hash", F.explode(F.concat(*asked)).alias("key"))
+    right = index.where("image_hash64 IS NOT NULL").select("image_id", "image_hash64", F.explode(F.array(*held)).alias("key"))
+    return left.join(right, "key").withColumn("band", F.shiftright("key", 24)).drop("key")
+
+
+def near_by_wide_bands(probes: DataFrame, index: DataFrame, radius: int = HAMMING_RADIUS) -> DataFrame:
+    """As ``near_by_scan``; for a radius of at most ten."""
+    if radius > 10:
+        raise ValueError("the wide bands find pairs within ten bits")
+    differ = F.col("probe_hash").bitwiseXOR(F.col("image_hash64"))
+    close = _wide_pairs(probes, index).where(F.bit_count(differ) <= radius)
+    # A pair is kept in the first band that asks for it, so no pair comes twice.
+    most = lambda same, other: F.when(F.bit_count(differ) % 2 == 0, F.lit(same)).otherwise(F.lit(other))
+    first = F.coalesce(*[F.when(F.bit_count(F.shiftrightunsigned(differ, at).bitwiseAND((1 << n) - 1)) <= most(same, other), F.lit(i)) for i, (at, n, same, other) in enumerate(WIDE)])
+    return close.where(first == F.col("band")).select("probe_id", "image_id", hamming("probe_hash", "image_hash64").alias("distance"))
+
+
+def compared(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: ``compared`` pairs of the wide bands, and ``possible`` pairs."""
+    pairs = _wide_pairs(probes, index).agg(F.count(F.lit(1)).alias("compared"))
+    n = lambda df, c, name: df.agg(F.count(c).alias(name))
+    sizes = n(probes, "probe_hash", "__p").crossJoin(n(index, "image_hash64", "__i"))  # one row each
+    return pairs.crossJoin(sizes).select("compared", (F.col("__p") * F.col("__i")).alias("possible"))
+
+
 def near_matches(probes: DataFrame, index: DataFrame, radius: int = HAMMING_RADIUS) -> DataFrame:
-    """By scan if the index has at most ``SCAN_ROWS`` rows, else by bands."""
-    small = index.limit(SCAN_ROWS + 1).count() <= SCAN_ROWS
-    return near_by_scan(probes, index, radius) if small else near_by_bands(probes, index, radius)
+    """By scan if the index has at most ``SCAN_ROWS`` rows, by bands up to ``BAND_ROWS``, else by wide bands."""
+    n = index.limit(BAND_ROWS + 1).count()
+    if n <= SCAN_ROWS:
+        return _scan(probes, index, radius)
+    return near_by_bands(probes, index, radius) if n <= BAND_ROWS or radius > 10 else near_by_wide_bands(probes, index, radius)
 
 
 def ranked(matches: DataFrame, most: int | None = None) -> DataFrame:

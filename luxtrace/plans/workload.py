@@ -498,6 +498,22 @@ def near_matches_scan(spark, d):
     return similarity.near_matches(probes, index).select("probe_id", "image_id", F.col("distance").cast("int"))
 
 
+@query(NEAR + "SELECT * FROM near")
+def near_matches_wide(spark, d):
+    """By the plan for a large index."""
+    return similarity.near_by_wide_bands(*_near(spark, d)).select("probe_id", "image_id", F.col("distance").cast("int"))
+
+
+_WIDE_X = "xor(p.hi, i.hi) * 4294967296::hugeint + xor(p.lo, i.lo)"
+_WIDE_SUM = " + ".join(f"(bit_count(((x >> {at}) & {(1 << n) - 1})::bigint) <= CASE WHEN odd THEN {other} ELSE {same} END)::bigint" for at, n, same, other in similarity.WIDE)
+
+
+@query(NEAR + f", pair AS (SELECT {_WIDE_X} AS x, (bit_count(xor(p.hi, i.hi)) + bit_count(xor(p.lo, i.lo))) % 2 = 1 AS odd FROM probes p, ph i) SELECT sum({_WIDE_SUM})::bigint AS compared, count(*) AS possible FROM pair")
+def near_compared(spark, d):
+    """How many pairs the plan for a large index compares, of how many."""
+    return similarity.compared(*_near(spark, d))
+
+
 @query(NEAR + "SELECT probe_id, arg_min(image_id, (distance, image_id)) AS image_id, min(distance) AS distance FROM near GROUP BY 1")
 def nearest_match(spark, d):
     return similarity.nearest(similarity.near_by_bands(*_near(spark, d))).select("probe_id", "image_id", F.col("distance").cast("int"))

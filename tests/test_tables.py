@@ -30,7 +30,26 @@ def test_bands_find_what_a_scan_finds(spark):
     a, b = (sorted(map(tuple, f(probes, index).collect())) for f in (similarity.near_by_bands, similarity.near_by_scan))
     want = sorted((i, j, (x ^ y).bit_count()) for i, x in enumerate(base) for j, y in enumerate(near) if (x ^ y).bit_count() <= 10)
     assert a == b == want
-    assert similarity.near_by_bands(probes.limit(0), index).count() == 0
+    assert sorted(map(tuple, similarity.near_by_wide_bands(probes, index).collect())) == want
+    assert similarity.near_by_bands(probes.limit(0), index).count() == similarity.near_by_wide_bands(probes, index.limit(0)).count() == 0
+
+
+def test_wide_bands_compare_few(spark):
+    """Random hashes: less than a thousandth of all pairs."""
+    from pyspark.sql import functions as F
+
+    probes = spark.range(100).select(F.col("id").alias("probe_id"), F.xxhash64("id").alias("probe_hash"))
+    index = spark.range(60_000).select(F.col("id").alias("image_id"), F.xxhash64(F.lit("x"), "id").alias("image_hash64"))
+    n = similarity.compared(probes, index).first()
+    assert n["possible"] == 6_000_000 and n["compared"] < n["possible"] / 1000
+    with pytest.raises(ValueError):
+        similarity.near_by_scan(probes, index)
+
+
+def test_range_by_halving(spark):
+    cuts = sorted({float(random.Random(2).randint(-1000, 1000)) for _ in range(77)} | {-5.5, 2.0**53, 1e-300})
+    df = spark.range(-1200, 1200).select(F.col("id").alias("p"), ordered._range_of(F.col("id"), cuts).alias("r"))
+    assert all(x["r"] == sum(c <= x["p"] for c in cuts) for x in df.collect())
 
 
 def test_verdict_order(spark):
@@ -67,7 +86,8 @@ def test_catalogue_merges(spark):
     assert {r["image_hash"]: r["description"] for r in catalogue.describe(old, captions).collect()}["a"] == "x"
     assert {r["image_hash"]: r["found"] for r in catalogue.known(old, captions).collect()} == {"a": True, "zz": False}
     assert catalogue.clear(old)[1].first()[0] == 3
-    names = spark.createDataFrame([("cam",), ("cam-2",), ("camera",)], "name string")
+    names = spark.createDataFrame([("cam",), ("cam-2",), ("camera",), ("cam-4",), ("cam-03",), ("gap-2",), ("gap-1",)], "name string")
+    assert catalogue.import_name(names, "gap") == "gap-3" and catalogue.import_name(names.limit(0), "cam") == "cam"
     assert catalogue.import_name(names, "cam") == "cam-3" and catalogue.import_name(names, "new") == "new"
     checks = spark.createDataFrame([("a", True), ("b", None)], "name string, go boolean")
     assert tuple(catalogue.ready(checks).first()) == (False, ["b"])
