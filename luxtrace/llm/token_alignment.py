@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import zstandard
@@ -30,7 +31,7 @@ BLOCK_CHARS = 1 << 20
 BLOCK_DOCS = 4096
 LINKS_AT_ONCE = 1 << 21
 #: Segments kept with their ids in each Python worker; longer ones are encoded each time.
-SEGMENTS_KEPT = 300_000
+SEGMENTS_KEPT = 500_000
 SEGMENT_CHARS = 64
 #: The first shuffle spreads each pair over so many keys.
 SALTS = 16
@@ -48,20 +49,26 @@ class _Side:
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.sizes = np.array([len(t) for t in tokens], "i8")
-        self.inner = np.array([f"{k}," for k in range(len(tokens))], object)
+        self.spelled = {end: np.array([f"{k}{end}" for k in range(len(tokens))], object) for end in ",|;"}
         self.clear()
 
     def clear(self) -> None:
         self.flat, self.used, self.starts, self.counts = np.empty(1 << 16, "i4"), 0, array("q"), array("q")
 
-    def add(self, ids: list[int]) -> None:
-        end = self.used + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), "i4")])
-        self.flat[self.used : end] = ids
-        self.starts.append(self.used)
-        self.counts.append(len(ids))
-        self.used = end
+    def add(self, encoded: list[list[int]]) -> None:
+        counts = np.fromiter(map(len, encoded), "i8", len(encoded))
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), total), "i4")])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), "i4", total)
+        self.starts.frombytes((self.used + ends - counts).tobytes())
+        self.counts.frombytes(counts.tobytes())
+        self.used += total
+
+    def spell(self, encoded: list[list[int]]) -> list[bytes]:
+        tokens = self.tokens
+        return [b"".join([tokens[k] for k in ids]) for ids in encoded]
 
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of segments ``which`` in order, and how many each has."""
@@ -101,11 +108,11 @@ class TwoTokenizers:
         self.a.clear()
         self.b.clear()
 
-    def _encode_b(self, segment: str) -> list[int]:
-        """B puts a space in front, which replaces the segment's own or, before a line feed, is a token of its own."""
-        if segment == " ":
-            return [self.space]
-        return self.b_library.encode(segment[1:]) if segment[0] == " " else self.b_library.encode(segment)[1:]
+    def _encode_b(self, segments: list[str]) -> list[list[int]]:
+        """B puts a space in front, which replaces a segment's own or, before a line feed, is a token of its own."""
+        spaced = [s[0] == " " for s in segments]
+        ids = self.b_library.encode([s[1:] if own else s for s, own in zip(segments, spaced, strict=True)], num_threads=1)
+        return [([self.space] if s == " " else x) if own else x[1:] for s, own, x in zip(segments, spaced, ids, strict=True)]
 
     def segments(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the segments of space + text, text after text, and how many each text has."""
@@ -113,18 +120,18 @@ class TwoTokenizers:
             self.clear()
         cut_up = [_SEGMENTS.findall(" " + t) if t else [] for t in texts]
         known = self.known
-        new = list(dict.fromkeys(s for found in cut_up for s in found if s not in known))
-        for s, encoding in zip(new, self.a_library.encode_batch(new, add_special_tokens=False), strict=True):
-            known[s] = len(self.sound)
-            raw, in_b = s.encode(), self._encode_b(s)
-            self.a.add(encoding.ids)
+        new = list(set(chain.from_iterable(cut_up)).difference(known))
+        if new:
+            in_a, in_b = [e.ids for e in self.a_library.encode_batch(new, add_special_tokens=False)], self._encode_b(new)
+            known.update(zip(new, range(len(self.sound), len(self.sound) + len(new)), strict=True))
+            self.a.add(in_a)
             self.b.add(in_b)
-            self.sound.append(all(raw == b"".join(map(side.tokens.__getitem__, ids)) for side, ids in ((self.a, encoding.ids), (self.b, in_b))))
-        which = np.fromiter((known[s] for found in cut_up for s in found), "i8")
+            self.sound.extend(s.encode() == x == y for s, x, y in zip(new, self.a.spell(in_a), self.b.spell(in_b), strict=True))
+        which = np.fromiter(map(known.__getitem__, chain.from_iterable(cut_up)), "i8")
         for s in new:
             if len(s) > SEGMENT_CHARS:
                 del known[s]
-        return which, np.array([len(found) for found in cut_up], "i8")
+        return which, np.fromiter(map(len, cut_up), "i8", len(cut_up))
 
     def aligned(self, texts: list[str | None]) -> Aligned:
         return Aligned(self, texts)
@@ -167,10 +174,8 @@ class Aligned:
         return ["".join(out[start:end])[:-1] for start, end in zip([0, *ends], ends, strict=False)]
 
     def _spelled(self, side: int, ids: np.ndarray, group: np.ndarray, end: str) -> np.ndarray:
-        words = self.sides[side].inner[ids]
-        last = np.flatnonzero(np.diff(group, append=-1))
-        words[last] = [w[:-1] + end for w in words[last]]
-        return words
+        spelled = self.sides[side].spelled
+        return np.where(np.diff(group, append=-1) != 0, spelled[end][ids], spelled[","][ids])
 
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """``doc, a, b`` of all links, in slices of bounded size: each token of A meets every token of B in its group."""
