@@ -7,16 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from types import SimpleNamespace
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
+from pyarrow import parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from luxtrace.operators.raster import kernels as K
 from luxtrace.schema import SATURATION_LEVEL
+from luxtrace.shared import shared_dir
 
 #: Samples of one plane that are added up in one row.
 CHUNK = 1 << 18
@@ -111,6 +115,68 @@ def residuals(planes: DataFrame, key: str = "frame_id") -> DataFrame:
     return _map(planes.select(F.col(key).alias("k"), "plane", "h", "w", "data"), lambda r: {key: r.k, "plane": r.plane, "h": r.h, "w": r.w, "data": K.noise_residual(plane_of(r)).ravel()}, f"`{key}` {kind}, plane int, h int, w int, data array<float>")
 
 
+# --- residuals of planes in tiles
+
+
+#: Edge of a tile; a multiple of the wavelet's largest step.
+TILE = 2048
+_STEP = 1 << K.LEVELS
+TILES = "plane int, h int, w int, y int, x int, th int, tw int, data array<float>"
+
+
+def to_tiles(planes: DataFrame, key: str = "frame_id", edge: int = TILE) -> DataFrame:
+    """Planes cut into tiles of ``edge``: ``key, plane, h, w`` (of the plane), ``y, x`` (the tile's corner), ``th, tw, data``."""
+    if edge % _STEP:
+        raise ValueError(f"the edge of a tile is a multiple of {_STEP}")
+
+    def cut_up(r):
+        p = plane_of(r)
+        for y in range(0, r.h, edge):
+            for x in range(0, r.w, edge):
+                t = p[y : y + edge, x : x + edge]
+                yield {key: r.k, "plane": r.plane, "h": r.h, "w": r.w, "y": y, "x": x, "th": t.shape[0], "tw": t.shape[1], "data": t.ravel()}
+
+    return _map(planes.select(F.col(key).alias("k"), "plane", "h", "w", "data"), lambda r: list(cut_up(r)), f"`{key}` {dict(planes.dtypes)[key]}, {TILES}")
+
+
+def residual_tiles(tiles: DataFrame, key: str = "frame_id", edge: int = TILE) -> DataFrame:
+    """The tiles with their noise residuals in place of samples, as of the whole plane.
+
+    Each tile hands its neighbours the strips that they need: what is further away than the filters and windows reach can't
+    bear on a residual. Strips begin at whole steps of the wavelet, so its samples fall as in the plane, and where a tile's
+    surroundings end at the plane's border they end as the plane does. A task has one tile and its surroundings.
+    """
+    kind = dict(tiles.dtypes)[key]
+
+    def halo_of(h: int, w: int) -> int:
+        return -(-K.reach(K.levels_for((h, w))) // _STEP) * _STEP
+
+    def hand_out(r):
+        halo, t = halo_of(r.h, r.w), np.asarray(r.data, np.float32).reshape(r.th, r.tw)
+        near = -(-halo // edge)
+        for ty in range(max(0, r.y - near * edge), min(r.h, r.y + (near + 1) * edge), edge):
+            for tx in range(max(0, r.x - near * edge), min(r.w, r.x + (near + 1) * edge), edge):
+                (top, bottom), (left, right) = ((max(a, c - halo), min(a + n, c + edge + halo)) for a, n, c in ((r.y, r.th, ty), (r.x, r.tw, tx)))
+                if top < bottom and left < right:
+                    part = t[top - r.y : bottom - r.y, left - r.x : right - r.x]
+                    yield {key: r.k, "plane": r.plane, "h": r.h, "w": r.w, "y": ty, "x": tx, "top": top, "left": left, "ph": part.shape[0], "pw": part.shape[1], "data": part.ravel()}
+
+    strips = _map(tiles.select(F.col(key).alias("k"), "plane", "h", "w", "y", "x", "th", "tw", "data"), lambda r: list(hand_out(r)), f"`{key}` {kind}, plane int, h int, w int, y int, x int, top int, left int, ph int, pw int, data array<float>")
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        h, w, y, x = (int(first[c]) for c in ("h", "w", "y", "x"))
+        halo = halo_of(h, w)
+        top, left, bottom, right = max(0, y - halo), max(0, x - halo), min(h, y + edge + halo), min(w, x + edge + halo)
+        a = np.zeros((bottom - top, right - left), np.float32)
+        for r in pdf.itertuples(index=False):
+            a[r.top - top : r.top - top + r.ph, r.left - left : r.left - left + r.pw] = np.asarray(r.data, np.float32).reshape(r.ph, r.pw)
+        got = K.noise_residual(a, levels=K.levels_for((h, w)))[y - top : y - top + edge, x - left : x - left + edge]
+        return pd.DataFrame({key: [first[key]], "plane": [first["plane"]], "h": [h], "w": [w], "y": [y], "x": [x], "th": [got.shape[0]], "tw": [got.shape[1]], "data": [got.ravel()]})
+
+    return strips.groupBy(key, "plane", "h", "w", "y", "x").applyInPandas(tile, f"`{key}` {kind}, {TILES}")
+
+
 def saturation(planes: DataFrame, key: str = "frame_id") -> DataFrame:
     """The largest share of saturated samples over each frame's planes, natively."""
     share = F.size(F.filter("data", lambda x: x >= SATURATION_LEVEL)) / F.size("data")
@@ -199,73 +265,73 @@ def _unpacked(row, prefix: str) -> dict[int, np.ndarray]:
 _RESULT = "image_id string, body_id string, pce double, path string, orientation string, scale double, stripped boolean, error string"
 
 
-#: Fingerprints that a task holds at once, about.
-BODIES = 8
+#: Fingerprints in a file, which a task holds at once, and samples of prepared images that it holds meanwhile, about.
+BODIES, PREPARED = 8, 32 << 20
 
 
-def _against_bodies(images: DataFrame, columns: list[str], fingerprints: DataFrame, score: Callable[[SimpleNamespace, dict[int, np.ndarray]], dict]) -> DataFrame:
-    """``score`` of each image with each body's planes.
+def _against_bodies(images: DataFrame, fingerprints: DataFrame, prepare: Callable[[SimpleNamespace], Any], size: Callable[[SimpleNamespace], int], score: Callable[[Any, dict[int, np.ndarray]], dict]) -> DataFrame:
+    """``score`` of each image, prepared once by ``prepare``, with each body's planes.
 
-    Every image meets every enrolled body, which is what the question asks. Bodies are dealt to blocks of about BODIES, images
-    are copied to each block, and a block is dealt to tasks by image if there are more tasks than blocks. A task reads a block's
-    bodies first and then its images one by one, so a fingerprint is loaded once a task and no pair of rasters is a row.
+    Every image meets every enrolled body, which is what the question asks. Images stay where they are: each is prepared (its
+    residuals, the dear part) once, by the task that has it. Fingerprints are written to the shared folder, BODIES in a file,
+    and a task reads file after file for each of its loads of images, so no raster is copied or shuffled for a comparison.
     """
     spark = images.sparkSession
-    bodies = packed(fingerprints, "body_id", "k").withColumn("body_id", F.col("body_id").cast("string"))
-    n = fingerprints.select("body_id").distinct().count()
-    blocks = max(1, -(-n // BODIES))
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
-    of = F.sequence(F.lit(0), F.lit(slices - 1))
-    held = bodies.select(F.pmod(F.xxhash64("body_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(of).alias("slice"), F.lit(0).alias("turn"), F.struct(*bodies.columns).alias("body"), F.lit(None).alias("image"))
-    given = images.select(F.col("image_id").cast("string").alias("image_id"), *columns)
-    asked = given.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("image_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("turn"), F.lit(None).alias("body"), F.struct(*given.columns).alias("image"))
-    both = held.withColumn("image", F.col("image").cast(asked.schema["image"].dataType)).unionByName(asked.withColumn("body", F.col("body").cast(held.schema["body"].dataType)))
-    dealt = both.repartition(blocks * slices, "block", "slice").sortWithinPartitions("block", "slice", "turn")
+    path = shared_dir(spark, "bodies")
+    packed(fingerprints, "body_id", "k").withColumn("body_id", F.col("body_id").cast("string")).write.option("maxRecordsPerFile", BODIES).parquet(path)
+    files = sorted(spark.read.parquet(path).inputFiles())
     out = spark.createDataFrame([], _RESULT).schema
     arrow = to_arrow_schema(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mine = None, []
-        for b in batches:
-            body, image = (dict(zip((f.name for f in b.schema.field(c).type), map(_values, b.column(c).flatten()), strict=True)) for c in ("body", "image"))
-            found = []
-            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in ("block", "slice", "turn")), strict=True)):
-                if key[:2] != at:
-                    at, mine = key[:2], []
-                if key[2] == 0:
-                    one = SimpleNamespace(**{c: v[i] for c, v in body.items()})
-                    mine.append((one.body_id, {c: np.array(p) for c, p in _unpacked(one, "k").items()}))
-                    continue
-                probe = SimpleNamespace(**{c: v[i] for c, v in image.items()})
-                for body_id, planes in mine:
-                    found.append({"image_id": probe.image_id, "body_id": body_id} | score(probe, planes))
+    def bodies(file: str) -> Iterator[tuple[str, dict[int, np.ndarray]]]:
+        system, at = arrow_fs.FileSystem.from_uri(file)
+        with system.open_input_file(at) as f:
+            for b in parquet.ParquetFile(f).iter_batches(batch_size=1):
+                one = SimpleNamespace(**{c: _values(b.column(c))[0] for c in b.schema.names})
+                yield one.body_id, _unpacked(one, "k")
+
+    def met(load: list[tuple[str, Any]]) -> Iterator[pa.RecordBatch]:
+        for file in files:
+            found = [{"image_id": image_id, "body_id": body_id} | score(probe, planes) for body_id, planes in bodies(file) for image_id, probe in load]
             if found:
                 yield pa.RecordBatch.from_arrays([_column([g.get(f.name) for g in found], f.type) for f in arrow], schema=arrow)
 
-    return dealt.mapInArrow(run, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load, held = [], 0
+        for b in batches:
+            for values in zip(*map(_values, b.columns), strict=True):
+                row = SimpleNamespace(**dict(zip(b.schema.names, values, strict=True)))
+                load.append((row.image_id, prepare(row)))
+                held += size(row)
+                if held >= PREPARED:
+                    yield from met(load)
+                    load, held = [], 0
+        if load:
+            yield from met(load)
+
+    return images.withColumn("image_id", F.col("image_id").cast("string")).mapInArrow(run, out)
 
 
 def score_planes(planes: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """Score of each frame's planes (``image_id, plane, h, w, data``) against each body, on the mosaic."""
 
-    def one(r: SimpleNamespace, k: dict[int, np.ndarray]) -> dict:
+    def one(probe: K.Probe, k: dict[int, np.ndarray]) -> dict:
         try:
-            return {"pce": K.score(_unpacked(r, "i"), k), "path": "aligned", "orientation": "0 deg"}
+            return {"pce": probe.score(k), "path": "aligned", "orientation": "0 deg"}
         except ValueError as e:
             return {"error": str(e)}
 
-    images = packed(planes, "image_id", "i")
-    return _against_bodies(images, [c for c in images.columns if c != "image_id"], fingerprints, one)
+    return _against_bodies(packed(planes, "image_id", "i"), fingerprints, lambda r: K.Probe({c: np.array(p) for c, p in _unpacked(r, "i").items()}), lambda r: sum(map(len, r.i_data)), one)
 
 
 def score_images(images: DataFrame, fingerprints: DataFrame, pattern: list[list[int]]) -> DataFrame:
     """Score of each delivered image (``image_id, h, w, data binary``) against each body, by the first way that fits."""
 
-    def one(r: SimpleNamespace, k: dict[int, np.ndarray]) -> dict:
-        got = K.score_image(pixels_of(r), k, pattern)
+    def one(probe: K.ImageProbe, k: dict[int, np.ndarray]) -> dict:
+        got = probe.score(k)
         return {"pce": got["pce"], "path": got["path"], "orientation": got["orientation"], "scale": got.get("scale"), "stripped": got.get("stripped", False)}
 
-    return _against_bodies(images, ["h", "w", "data"], fingerprints, one)
+    return _against_bodies(images.select("image_id", "h", "w", "data"), fingerprints, lambda r: K.ImageProbe(np.array(pixels_of(r)), pattern), lambda r: len(r.data), one)
 
 
 def search_attempts(probes: DataFrame, *, exhaustive: bool = False) -> DataFrame:

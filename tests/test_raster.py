@@ -174,3 +174,42 @@ def test_whitening_against_plain_windows():
             means = [power[max(0, i - r) : i + r + 1, max(0, j - r) : j + r + 1].sum() / (2 * r + 1) ** 2 for r in (1, 2, 3, 4)]
             want[i, j] = np.sqrt(max(min(means) - level, 0))
     assert np.allclose(K.whiten(k), np.fft.ifft2(waves * want / np.maximum(np.sqrt(power), 1e-30)).real, atol=1e-5)
+
+
+@pytest.mark.parametrize(("shape", "edge"), [((64, 48), 32), ((700, 650), 64), ((1300, 900), 512), ((33, 1500), 256)])
+def test_residuals_in_tiles(spark, shape, edge):
+    """As of the whole plane, also where a tile's surroundings are wider than the tiles next to it."""
+    p = np.clip(np.random.default_rng(edge).normal(0.5, 0.1, shape).cumsum(axis=1) % 1, 0, 1).astype(np.float32)
+    planes = spark.createDataFrame([("f", 2, *shape, p.ravel().tolist())], "frame_id string, plane int, h int, w int, data array<float>")
+    tiles = frames.to_tiles(planes, edge=edge)
+    got = np.full(shape, np.nan, np.float32)
+    for r in frames.residual_tiles(tiles, edge=edge).collect():
+        got[r["y"] : r["y"] + r["th"], r["x"] : r["x"] + r["tw"]] = np.array(r["data"], np.float32).reshape(r["th"], r["tw"])
+    assert np.allclose(got, K.noise_residual(p), rtol=0, atol=2e-7)
+
+
+def test_each_residual_is_made_once(spark, monkeypatch):
+    """Images times planes, whatever the number of bodies: counted in the kernels, and by an accumulator in the tasks."""
+    made = []
+    monkeypatch.setattr(K, "noise_residual", lambda p, f=K.noise_residual, **k: made.append(p.shape) or f(p, **k))
+    rgb = delivered()
+    planes, portrait = K.delivered_planes(rgb, PATTERN), K.ImageProbe(np.rot90(rgb), PATTERN)
+    others = [{c: fixed_sensor((96, 128), s + c) for c in range(4)} for s in (10, 20)]
+    probe = K.Probe(planes)
+    assert [probe.score(k) for k in (BODY, *others)] == [K.score(planes, k) for k in (BODY, *others)] and len(made) == 4 + 12
+    made.clear()
+    assert [portrait.score(k)["path"] for k in (*others, BODY)] == ["scale search", "scale search", "aligned"] and len(made) == 4 + 4 + 1
+    monkeypatch.undo()
+    counter = spark.sparkContext.accumulator(0)
+
+    def prepare(r):
+        counter.add(len(r.i_plane))
+        return K.Probe({c: np.array(p) for c, p in frames._unpacked(r, "i").items()})
+
+    rows = [(f"i{n}", c, *p.shape, p.ravel().tolist()) for n in range(5) for c, p in planes.items()]
+    bodies = [(f"b{n:02d}", c, *p.shape, p.ravel().tolist()) for n in range(11) for c, p in (BODY if n == 3 else others[n % 2]).items()]
+    images = frames.packed(spark.createDataFrame(rows, "image_id string, plane int, h int, w int, data array<float>"), "image_id", "i")
+    enrolled = spark.createDataFrame(bodies, "body_id string, plane int, h int, w int, data array<float>")
+    got = frames._against_bodies(images, enrolled, prepare, lambda r: 1 << 30, lambda probe, k: {"pce": probe.score(k)}).collect()
+    assert counter.value == 5 * 4 and len(got) == 55
+    assert all(r["pce"] == pytest.approx(20620.247107, rel=1e-4) if r["body_id"] == "b03" else abs(r["pce"]) < 100 for r in got)
