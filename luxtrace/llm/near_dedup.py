@@ -11,14 +11,20 @@ In a bucket (the texts that share a sketch) every text is compared with the firs
 text that isn't in the first one's part meets all others of the bucket that are in another part than its own, so no pair of a
 bucket stays unseen. Pairs whose lengths or words differ too much for the similarity asked for, and pairs that other
 links have joined already, are not aligned.
+
+A large bucket in which several parts are left is that of a passage which unlike texts share. Its texts meet by their rarest
+words instead: texts of n words that are similar enough share all but a fifth of them, so whatever order the words are put in,
+they share one of the first n / 5 + 1. In an order by rarity those are words that few texts have, not those of the passage.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +36,9 @@ LEAST = 0.8
 ADJACENT, SPACED = (0, 1, 2, 3, 4), (0, 1, 2, 5, 6)
 ORDERS, SAMPLED = 72, 2
 #: Texts of at most BAG words have sketches of their least words too: orders and words in a sketch.
-BAG, WORD_ORDERS, WORD_SAMPLED = 40, 32, 3
+BAG, WORD_ORDERS, WORD_SAMPLED = 80, 32, 3
+#: Buckets of more texts, in several parts, are asked by rare words; counters of words, and slices in which they are added up.
+LARGE, CELLS, SLICES = 64, 1 << 18, 64
 #: Members of a large bucket in a part of it, and most such parts; bits in the parity of words.
 SALT, MOST_SALT = 32768, 64
 PARITY = 512
@@ -213,7 +221,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float | No
     longest = max(len(a), len(b))
     if not longest:
         return 1.0
-    most = int((1 - least) * longest + 1e-9)
+    most = _most(longest, least)
     if abs(len(a) - len(b)) > most:
         return None
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -293,29 +301,98 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.where(_near("nx", "ny", least)).where(_words_may_agree(least)).select("x", "y")
 
 
-def _rest(members: DataFrame, texts: DataFrame, labels: DataFrame | None, least: float) -> DataFrame:
-    """``x, y``: the pairs of buckets that are in different parts and whose lengths and words may agree.
-
-    Texts outside the first one's part meet the bucket's others. Both sides are dealt out by bucket, by length (classes of
-    similar texts differ by one at most) and, where a bucket is very large, by a hash; only pairs that pass leave the join.
-    """
+def _with_parts(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``key, v, size, part, led``: the part that each member is in, and whether the bucket's first text is in it as well."""
     part, lead_part = F.col("v"), F.col("lead")
     if labels is not None:
         members = members.join(labels.toDF("v", "label"), "v", "left").join(labels.toDF("lead", "lead_label"), "lead", "left")
         part, lead_part = F.coalesce("label", "v"), F.coalesce("lead_label", "lead")
-    parts = cut(members.select("key", "v", "size", part.alias("part"), (part == lead_part).alias("led")), "parts")
-    mixed = parts.where("NOT led").select("key").distinct()
+    return cut(members.select("key", "v", "size", part.alias("part"), (part == lead_part).alias("led")), "parts")
+
+
+def _most(n: int, least: float) -> int:
+    """Edits that a text of ``n`` words may be away from a shorter or equally long one."""
+    return int((1 - least) * n + 1e-9)
+
+
+def _counters(words: DataFrame, chosen: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How many of the ``chosen`` marks of all texts fall into each of CELLS counters: an array of fixed size."""
+
+    def partial(it: Iterable[tuple]) -> Iterator[tuple]:
+        total = np.zeros(CELLS, np.int64)
+        for _, w in it:
+            total += np.bincount((chosen(_marks(w)) % _U(CELLS)).astype(np.int64), minlength=CELLS)
+        yield from ((k, part.tobytes()) for k, part in enumerate(np.split(total, SLICES)) if part.any())
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"])
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    rows = map_rows(words.select("v", "w"), partial, "slice long, counts binary").groupBy("slice").applyInArrow(added, "slice long, counts binary").collect()
+    out = np.zeros((SLICES, CELLS // SLICES), np.int64)
+    for k, counts in rows:
+        out[k] = np.frombuffer(counts, np.int64)
+    return out.ravel()
+
+
+def _marks(w: bytes) -> np.ndarray:
+    return labelled(np.frombuffer(w, np.uint32).astype(_U))
+
+
+def _rarest(marks: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first marks, by rarity and then by value, of which texts that are similar enough share one."""
+    return marks[np.lexsort((marks, counts[(marks % _U(CELLS)).astype(np.int64)]))[: _most(len(marks), least) + 1]]
+
+
+def _by_rare_words(docs: DataFrame, texts: DataFrame, ids: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
+    """``key, v, size, lead``: of the texts ``ids``, those that share one of their rarest words."""
+    words = words_of(docs, texts, ids, id_col=id_col, text_col=text_col)
+    counts = _counters(words, lambda marks: marks)
+    first = _counters(words, lambda marks: _rarest(marks, counts, least))
+
+    def rows(it: Iterable[tuple]) -> Iterator[tuple]:
+        for v, w in it:
+            marks = _rarest(_marks(w), counts, least)
+            yield from ((v, m) for m in marks[first[(marks % _U(CELLS)).astype(np.int64)] > 1].view(np.int64).tolist())
+
+    shared = cut(map_rows(words, rows, "v long, key long"), "rare-words")
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("lead")).where("size > 1")
+    out = cut(shared.join(sizes, "key").select("key", "v", "size", "lead"), "members")
+    drop(words, shared)
+    return out
+
+
+def _rest(docs: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFrame | None, least: float, id_col: str, text_col: str) -> DataFrame:
+    """``x, y``: the pairs of buckets that are in different parts and whose lengths and words may agree."""
+    parts = _with_parts(members, labels)
+    mixed = parts.where("NOT led").select("key", (F.col("size") > LARGE).alias("large")).distinct()
+    large = parts.join(mixed.where("large"), "key", "left_semi").select("v").distinct()
+    found = [_pairs(parts.join(mixed.where("NOT large"), "key", "left_semi"), texts, least)]
+    if not large.isEmpty():
+        rare = _by_rare_words(docs, texts, cut(large, "large"), least, id_col, text_col)
+        by_word = _with_parts(rare, labels)
+        words = by_word.where("NOT led").select("key").distinct()
+        found.append(_pairs(by_word.join(words, "key", "left_semi"), texts, least))
+    out = cut(reduce(DataFrame.union, found).distinct(), "pairs")
+    drop(parts)
+    return out
+
+
+def _pairs(parts: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``x, y`` of these buckets: texts outside the first one's part meet the bucket's others.
+
+    Both sides are dealt out by bucket, by length (classes of similar texts differ by one at most) and, where a bucket is very
+    large, by a hash; only pairs that pass leave the join.
+    """
     width = max(-math.log(least), 0.01) * 1.0001
     length = F.floor(F.log("n") / width)
     salts = F.least(F.ceil(F.col("size") / SALT), F.lit(MOST_SALT)).cast("int")
-    found = parts.join(mixed, "key", "left_semi").join(texts.select("v", "n", "odd"), "v")
+    found = parts.join(texts.select("v", "n", "odd"), "v")
     few = found.where("NOT led").select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).select("*", F.explode(F.array(length - 1, length, length + 1)).alias("length"))
     few = few.select("key", "length", "salt", F.col("part").alias("part_x"), *_odds("x"))
     all_ = found.select("key", length.alias("length"), F.pmod(F.xxhash64("v"), salts).cast("int").alias("salt"), F.col("part").alias("part_y"), "led", *_odds("y"))
     both = few.join(all_, ["key", "length", "salt"]).where("part_x != part_y AND (led OR x < y)").where(_near("nx", "ny", least)).where(_words_may_agree(least))
-    out = cut(both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    drop(parts)
-    return out
+    return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None, x: str, y: str) -> DataFrame:
@@ -327,12 +404,11 @@ def _apart(pairs: DataFrame, labels: DataFrame | None, x: str, y: str) -> DataFr
     return pairs.where(F.col(f"__{x}") != F.col(f"__{y}")).drop(f"__{x}", f"__{y}")
 
 
-def words_of(docs: DataFrame, texts: DataFrame, pairs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``v, w``: the words of the texts in ``pairs``, as hashes of 32 bits, written to the shared folder.
+def words_of(docs: DataFrame, texts: DataFrame, ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``v, w``: the words of the texts ``ids`` (``v``), as hashes of 32 bits, written to the shared folder.
 
     Each text is found once: by its smallest id and, as rows of one id can differ, its fingerprint.
     """
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("v")).distinct()
     wanted = texts.select("v", "d", "f1", "f2").join(ids, "v", "left_semi")
 
     def hashed(it: Iterable[tuple]) -> Iterator[tuple]:
@@ -368,13 +444,15 @@ def classes_of(docs: DataFrame, texts: DataFrame, *, least: float = LEAST, id_co
     members = _members(texts)
     release(spark)
     for step in ("stars", "rest"):
-        candidates = cut(_alike(_stars(members), texts, least), "pairs") if step == "stars" else _rest(members, texts, labels, least)
+        candidates = cut(_alike(_stars(members), texts, least), "pairs") if step == "stars" else _rest(docs, members, texts, labels, least, id_col, text_col)
         words = None
         first = candidates.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")  # joins most copies at once
         for todo in (first, candidates):
             todo = cut(_apart(todo, labels, "x", "y"), "todo")
             if not todo.isEmpty():
-                words = words_of(docs, texts, candidates, id_col=id_col, text_col=text_col) if words is None else words
+                if words is None:
+                    ids = candidates.select(F.explode(F.array("x", "y")).alias("v")).distinct()
+                    words = words_of(docs, texts, ids, id_col=id_col, text_col=text_col)
                 links = verify(words, todo, least=least)
                 labels = _joined(labels, links.select("x", "y"))
                 drop(links)

@@ -999,3 +999,34 @@ def session_proofs(spark, d):
     got = imports.registered(frames).withColumnRenamed("image_hash", "leaf").withColumnRenamed("merkle_root", "root")
     checked = verify_inclusion(got.select("session", "leaf", "proof", "root", "frame_count"))
     return checked.select(F.col("session").alias("source"), F.lower(F.hex("leaf")).alias("leaf"), "frame_count", F.size("proof").alias("steps"), "included")
+
+
+# --- the triangle test on small frames
+
+
+_TRI_K = "sin({0} * 1.7) * 0.4"
+
+
+@query(f"""WITH px AS (SELECT vec_id AS f, i, i // 8 // 4 * 2 + i % 8 // 4 AS blk, embedding[i + 1]::double * 0.5 + 0.5 AS l, {_TRI_K.format('i')} AS k, 0.3 * ({_TRI_K.format('i')}) * (embedding[i + 1]::double * 0.5 + 0.5) + 0.05 * embedding[(i * 7) % 64 + 1]::double AS n FROM embeddings, (SELECT unnest(range(64)) AS i) u),
+blk AS (SELECT f, blk, avg(l) AS m, sqrt(sum(n * n)) / greatest(sqrt(avg(l * l)) * sqrt(sum(k * k)), 1e-30) * (covar_pop(n, l * k) * count(*) / sqrt(greatest(var_pop(n) * count(*) * var_pop(l * k) * count(*), 1e-30))) AS att FROM px GROUP BY ALL),
+own AS (SELECT f, corr(n, k) AS c FROM px GROUP BY 1),
+pair AS (SELECT f AS a, f + g AS b, f % 3 = 0 AS innocent FROM (SELECT DISTINCT f FROM px), (VALUES (1), (2)) t(g) WHERE f + g IN (SELECT f FROM px)),
+mut AS (SELECT p.a, p.b, x.blk, avg(x.l * y.l) AS mutual FROM pair p JOIN px x ON x.f = p.a JOIN px y ON y.f = p.b AND y.i = x.i GROUP BY ALL),
+obs AS (SELECT p.a, p.b, corr(x.n, y.n) AS observed FROM pair p JOIN px x ON x.f = p.a JOIN px y ON y.f = p.b AND y.i = x.i GROUP BY ALL),
+pre AS (SELECT t.a, t.b, ca.c * cb.c * sum(x.att * y.att * t.mutual) * count(*) / (sum(x.att * x.m) * sum(y.att * y.m)) AS predicted FROM mut t JOIN blk x ON x.f = t.a AND x.blk = t.blk JOIN blk y ON y.f = t.b AND y.blk = t.blk JOIN own ca ON ca.f = t.a JOIN own cb ON cb.f = t.b GROUP BY t.a, t.b, ca.c, cb.c),
+tri AS (SELECT p.*, predicted, observed FROM pair p JOIN pre USING (a, b) JOIN obs USING (a, b)),
+line AS (SELECT regr_slope(observed, predicted) AS s, regr_intercept(observed, predicted) AS t, sqrt(var_pop(observed) * (1 - corr(observed, predicted) ^ 2)) AS sd, corr(observed, predicted) AS r FROM tri WHERE innocent)
+SELECT a, b, round(predicted, 7) AS predicted, round(observed, 7) AS observed, round((observed - (s * predicted + t)) / sd, 5) AS d, round(r, 6) AS pearson FROM tri, line""")
+def triangle_test(spark, d):
+    """Pairs of small frames made from embeddings: predicted and observed correlation, calibration and distance in one plan."""
+    from luxtrace.operators.raster.triangle import triangle_test as test
+
+    e, at = F.col("embedding"), F.sequence(F.lit(0), F.lit(63))
+    k = F.transform(at, lambda i: F.sin(i * 1.7) * 0.4)
+    light = F.transform(at, lambda i: F.get(e, i).cast("double") * 0.5 + 0.5)
+    noise = F.transform(at, lambda i: 0.3 * (F.sin(i * 1.7) * 0.4) * (F.get(e, i).cast("double") * 0.5 + 0.5) + 0.05 * F.get(e, (i * 7 % 64).cast("int")).cast("double"))
+    frames = table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), light.alias("light"), noise.alias("noise"), k.alias("k"))
+    ids = frames.select(F.col("frame_id").alias("a"))
+    pairs = ids.select("a", F.explode(F.array(F.col("a") + 1, F.col("a") + 2)).alias("b"), (F.col("a") % 3 == 0).alias("innocent")).join(ids.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b", "innocent")
+    out = test(frames, pairs, 4)
+    return out.select("a", "b", F.round("predicted", 7).alias("predicted"), F.round("observed", 7).alias("observed"), F.round("d", 5).alias("d"), F.round("pearson", 6).alias("pearson"))

@@ -2,13 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_registry import event, fold
 
 from luxtrace.functions import signing
 from luxtrace.functions.keccak import verify_proof
 from luxtrace.operators import lookup, sessions
 from luxtrace.operators.event_fold import bodies_current, images_current
-from luxtrace.operators.raster import evaluation
+from luxtrace.operators.raster import evaluation, triangle
 from luxtrace.operators.raster import kernels as K
 from luxtrace.schema import CID_PREFIX
 
@@ -102,5 +103,10 @@ def test_evaluation(spark):
     top = sum(p * q * (u * v).mean() for p, q, u, v in zip(*att, cut(i[0]), cut(i[1]), strict=True))
     bottom = np.prod([sum(p * u.mean() for p, u in zip(att[f], cut(i[f]), strict=True)) for f in (0, 1)])
     assert got["observed"] == pytest.approx(corr(w[0], w[1])) and got["predicted"] == pytest.approx(corr(w[0], kk) * corr(w[1], kk) * top * 4 / bottom)
+    planes = spark.createDataFrame([(f, 9, 8, i[f].ravel().tolist(), w[f].ravel().tolist(), kk.ravel().tolist()) for f in (0, 1)], "frame_id int, h int, w int, light array<double>, noise array<double>, k array<double>")
+    by_blocks = triangle.pair_correlations(triangle.frame_blocks(planes, 4), pairs).first()
+    assert by_blocks["observed"] == pytest.approx(got["observed"]) and by_blocks["predicted"] == pytest.approx(got["predicted"])
+    alone = triangle.triangle_test(planes, pairs.withColumn("innocent", F.lit(False)), 4).first()
+    assert alone["d"] == 0 and alone["pearson"] is None
     assert evaluation.synthetic_carrier((20, 30)).shape == (20, 30, 3)
     assert len(np.unique(evaluation.degrade(k[0], bits=1))) == 2 and np.count_nonzero(evaluation.degrade(k[0], crop=0.5)) <= 32 * 32
