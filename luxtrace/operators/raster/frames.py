@@ -5,6 +5,7 @@ Planes have ``h int, w int, data array<float>`` (row by row). A fingerprint is a
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 from typing import Any
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from luxtrace.operators.raster import kernels as K
-from luxtrace.schema import SATURATION_LEVEL
+from luxtrace.schema import SATURATION_LEVEL, SATURATION_WARN
 from luxtrace.shared import shared_dir
 
 #: Samples of one plane that are added up in one row.
@@ -232,6 +233,18 @@ def estimate_fingerprints(frames: DataFrame) -> DataFrame:
     return _map(whole, clean, f"body_id {kind}, plane int, h int, w int, data array<float>")
 
 
+def enrol(frames: DataFrame) -> DataFrame:
+    """``estimate_fingerprints`` that fails aloud: frames of several sizes are an error that names their planes, and bodies whose
+    frames are saturated beyond a share that spoils fingerprints are warned of."""
+    uneven = uneven_planes(frames).orderBy("body_id", "plane").limit(20).collect()
+    if uneven:
+        raise ValueError("frames differ in size: " + ", ".join(f"plane {r['plane']} of {r['body_id']}" for r in uneven))
+    share = F.size(F.filter("data", lambda x: x >= SATURATION_LEVEL)) / F.size("data")
+    for r in frames.groupBy("body_id").agg(F.max(share).alias("most")).where(F.col("most") > SATURATION_WARN).orderBy(F.desc("most")).limit(20).collect():
+        warnings.warn(f"{r['most']:.1%} of a frame of {r['body_id']} is saturated", stacklevel=2)
+    return estimate_fingerprints(frames)
+
+
 def commitments(fingerprints: DataFrame) -> DataFrame:
     """``body_id, commitment`` of each fingerprint."""
 
