@@ -18,6 +18,12 @@ CALL_MESSAGES = (
 )
 
 
+def forbidden_word(value: Column | str) -> Column:
+    """The first of the FORBIDDEN words, in their order, that a text says in any case; null if none."""
+    text = F.lower(_c(value))
+    return F.coalesce(*[F.when(text.contains(w), F.lit(w)) for w in FORBIDDEN])
+
+
 def short_hash(value: Column | str, head: int = 6, tail: int = 4) -> Column:
     c = _c(value)
     return F.when(F.length(c) <= head + tail + 1, c).otherwise(F.concat(F.substring(c, 1, head), F.lit("…"), F.right(c, F.lit(tail))))

@@ -109,17 +109,24 @@ def needs_attention(enrolled: DataFrame, bodies: DataFrame) -> DataFrame:
     return enrolled.join(alive, key("body_id") == F.col("__k"), "left_anti")
 
 
-def import_name(existing: DataFrame, stem: str) -> str:
-    """``stem``, or the first of ``stem-2``, ``stem-3`` … that no file in ``existing`` (``name``) has.
+def import_names(existing: DataFrame, stems: DataFrame) -> DataFrame:
+    """``stem, name`` of each ``stem``: the stem itself, or the first of ``stem-2``, ``stem-3`` … that no file in ``existing`` (``name``) has.
 
-    The first free number follows 0 or a number that is taken, so it is the least of those that aren't taken themselves.
+    A name is taken apart at its last number, so names meet stems by equality. The first free number is 1 or follows one that
+    is taken, so it is the least of those that aren't taken themselves.
     """
-    pattern = "^" + "".join("\\" + c if not c.isalnum() else c for c in stem) + r"(?:-([1-9][0-9]{0,17}))?$"
-    number = F.coalesce(F.nullif(F.regexp_extract("name", pattern, 1), F.lit("")).cast("long"), F.lit(1).cast("long"))
-    taken = existing.where(F.col("name").rlike(pattern)).select(number.alias("k")).distinct()
-    next_to = taken.select((F.col("k") + 1).alias("k")).union(existing.sparkSession.range(1, 2).toDF("k"))
-    k = next_to.join(taken, "k", "left_anti").agg(F.min("k")).first()[0]
-    return stem if k == 1 else f"{stem}-{k}"
+    ending = r"^(.*)-([1-9][0-9]{0,17})$"
+    numbered = existing.where(F.col("name").rlike(ending)).select(F.regexp_extract("name", ending, 1).alias("stem"), F.regexp_extract("name", ending, 2).cast("long").alias("k"))
+    own = stems.select("stem").distinct()
+    taken = existing.select(F.col("name").alias("stem"), F.lit(1).cast("long").alias("k")).union(numbered).join(own, "stem", "left_semi").distinct()
+    next_to = taken.select("stem", F.col("k") + 1).union(own.select("stem", F.lit(1).cast("long"))).toDF("stem", "k")
+    free = next_to.join(taken, ["stem", "k"], "left_anti").groupBy("stem").agg(F.min("k").alias("k"))
+    return free.select("stem", F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("k").cast("string"))).alias("name"))
+
+
+def import_name(existing: DataFrame, stem: str) -> str:
+    """The same for one import."""
+    return import_names(existing, existing.sparkSession.createDataFrame([(stem,)], "stem string")).first()["name"]
 
 
 def serials_disagree(frames: DataFrame) -> DataFrame:

@@ -385,6 +385,18 @@ def signals(images: DataFrame, *, raw: bool = False) -> DataFrame:
     return _map(images.select("image_id", "h", "w", "data"), one, "image_id string, resamplingPeak double, detail double")
 
 
+def area_resized(planes: DataFrame, width: int, height: int, key: str = "frame_id") -> DataFrame:
+    """The planes at another size, each sample the mean of the area that it covers."""
+    resize = lambda r: {key: r.k, "plane": r.plane, "h": height, "w": width, "data": K.area_resize(plane_of(r), width, height).ravel()}
+    return _map(planes.select(F.col(key).alias("k"), "plane", "h", "w", "data"), resize, f"`{key}` {dict(planes.dtypes)[key]}, plane int, h int, w int, data array<float>")
+
+
+def structural_similarity(pairs: DataFrame) -> DataFrame:
+    """``pair_id, ssim`` of two grey images of one size (``pair_id, h, w, a, b``)."""
+    one = lambda r: {"pair_id": r.pair_id, "ssim": K.ssim(*(np.asarray(x, np.float64).reshape(r.h, r.w) for x in (r.a, r.b)))}
+    return _map(pairs.select("pair_id", "h", "w", "a", "b"), one, f"pair_id {dict(pairs.dtypes)['pair_id']}, ssim double")
+
+
 def pair_scores(frames: DataFrame) -> DataFrame:
     """Score between the residuals of each two frames of a body that were chosen for comparison (``pair_id, plane, h, w, data`` and ``other``)."""
     def one(r):

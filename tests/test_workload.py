@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from luxtrace.plans import workload
+from luxtrace.plans import rasters, workload  # noqa: F401  the raster queries register themselves
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
