@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from luxtrace.shared import cut
+from luxtrace.shared import cut, drop
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def connected_parts(edges: DataFrame) -> DataFrame:
     fold = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = cut(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     loops = now.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("part"))
-    now, before = now.where("a != b"), None
+    now, before, old = now.where("a != b"), None, []
     while (state := fold(now)) != before:
         before = state
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -48,5 +48,7 @@ def connected_parts(edges: DataFrame) -> DataFrame:
         down = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         small = large.join(down, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("n", "m"))
         now = cut(small.where("a != b").distinct())
+        drop(large, *old)
+        old = [now]
     found = now.select(F.col("a").alias("node"), F.col("b").alias("part")).union(now.select(F.col("b").alias("node"), F.col("b").alias("part"))).union(loops)
     return found.groupBy("node").agg(F.min("part").alias("part"))

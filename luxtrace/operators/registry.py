@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from luxtrace.operators.lineage import connected_parts
 from luxtrace.operators.ordered import as_of, running_sum
 from luxtrace.schema import ZERO_WORD
-from luxtrace.shared import cut
+from luxtrace.shared import cut, drop
 
 ZERO_ADDRESS = "0x" + "0" * 40
 #: Calls of a connected part of images that one task replays in order; more are solved by rounds.
@@ -162,8 +162,9 @@ def _entries(runs: DataFrame, first: DataFrame, span: int) -> DataFrame:
         before = whole.select("epoch", "body_id", (F.col("part") + d).alias("part"), "begin", F.col("end").alias("between"), "first").join(here.select(*keys).distinct(), keys)
         composed = before.join(here, [*keys, "between"], "left").select(*keys, "begin", F.coalesce("end", "between").alias("end"), "first")
         only_here = whole.join(before.select(*keys, "begin"), [*keys, "begin"], "left_anti").select(*composed.columns)
-        whole = cut(composed.union(only_here).where(f"part - {2 * d - 1} > first OR begin = '{_NONE}'"))
-        d *= 2
+        wider = cut(composed.union(only_here).where(f"part - {2 * d - 1} > first OR begin = '{_NONE}'"))
+        drop(whole)
+        whole, d = wider, 2 * d
     return whole.where(f"begin = '{_NONE}'").select("epoch", "body_id", (F.col("part") + 1).alias("part"), F.col("end").alias("state"))
 
 
@@ -206,7 +207,9 @@ def _by_rounds(good: DataFrame) -> DataFrame:
         known = first.select(F.col("epoch").alias("__e"), F.col("h").alias("__h"), F.col("at").alias("__at"))
         fitting = good.join(known, (F.col("epoch") == F.col("__e")) & (F.col("parent") == F.col("__h")), "left").where("parent IS NULL OR __at < call_id")
         new = cut(fitting.groupBy("epoch", "h").agg(F.min("call_id").alias("at")))
-        if new.join(first, ["epoch", "h", "at"], "left_anti").isEmpty():
+        done = new.join(first, ["epoch", "h", "at"], "left_anti").isEmpty()
+        drop(first)
+        if done:
             return new
         first = new
 

@@ -26,9 +26,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete what ``cut`` wrote."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def drop(*done: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``done``, once nothing that is still to run reads it."""
+    for df in done:
+        spark = df.sparkSession
+        for f in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
