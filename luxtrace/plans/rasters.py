@@ -45,11 +45,11 @@ def mosaic_planes(spark, d):
     return frames.split_mosaics(rows, 20).select(F.col("frame_id").cast("long").alias("doc_id"), "plane", "h", _total("data", 240.0 - 2 * F.col("plane")).alias("total"))
 
 
-@query(PX + """, g AS (SELECT doc_id, i // 32 AS y, i % 32 AS x, v FROM px), l AS (SELECT doc_id, coalesce(lag(v) OVER r, v) + coalesce(lead(v) OVER r, v) + coalesce(lag(v) OVER c, v) + coalesce(lead(v) OVER c, v) - 4 * v AS l FROM g WINDOW r AS (PARTITION BY doc_id, y ORDER BY x), c AS (PARTITION BY doc_id, x ORDER BY y))
+@query(PX + """, g AS (SELECT doc_id, i // 31 AS y, i % 31 AS x, v FROM px WHERE i < 961), l AS (SELECT doc_id, coalesce(lag(v) OVER r, v) + coalesce(lead(v) OVER r, v) + coalesce(lag(v) OVER c, v) + coalesce(lead(v) OVER c, v) - 4 * v AS l FROM g WINDOW r AS (PARTITION BY doc_id, y ORDER BY x), c AS (PARTITION BY doc_id, x ORDER BY y))
 SELECT doc_id, round(var_pop(l), 1) AS detail FROM l GROUP BY 1""")
 def picture_detail(spark, d):
     """How much detail small grey images have: the variance of their Laplacian, edges repeated."""
-    grey = _digests(spark, d).select(F.col("doc_id").cast("string").alias("image_id"), F.lit(32).alias("h"), F.lit(32).alias("w"), F.unhex(F.regexp_replace(F.hex("p"), "(..)", "$1$1$1")).alias("data"))
+    grey = _digests(spark, d).select(F.col("doc_id").cast("string").alias("image_id"), F.lit(31).alias("h"), F.lit(31).alias("w"), F.unhex(F.regexp_replace(F.hex(F.substring("p", 1, 961)), "(..)", "$1$1$1")).alias("data"))
     return frames.signals(grey).select(F.col("image_id").cast("long").alias("doc_id"), "detail")
 
 
