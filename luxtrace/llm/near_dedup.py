@@ -26,6 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,10 @@ ADJACENT, SPACED = (0, 1, 2, 3, 4), (0, 1, 2, 5, 6)
 ORDERS, SAMPLED = 72, 2
 #: Texts of at most BAG words have sketches of their least words too: orders and words in a sketch.
 BAG, WORD_ORDERS, WORD_SAMPLED = 80, 32, 3
-#: Buckets of more texts, in several parts, are asked by rare words; counters of words, and slices in which they are added up.
-LARGE, CELLS, SLICES = 64, 1 << 18, 64
+#: Buckets of more texts, in several parts, are asked by rare words. Counters of words; cells of a table that tells whether
+#: texts of several parts have a word among their rarest; slices in which both are put together.
+LARGE, CELLS, PART_CELLS, SLICES = 64, 1 << 18, 1 << 22, 64
+_MIXED = np.uint32(1)
 #: Members of a large bucket in a part of it, and most such parts; bits in the parity of words.
 SALT, MOST_SALT = 32768, 64
 PARITY = 512
@@ -315,26 +318,83 @@ def _most(n: int, least: float) -> int:
     return int((1 - least) * n + 1e-9)
 
 
-def _counters(words: DataFrame, chosen: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """How many of the ``chosen`` marks of all texts fall into each of CELLS counters: an array of fixed size."""
+def _table(words: DataFrame, size: int, kind: type, fill: Callable[[np.ndarray, tuple], None], merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """An array of fixed size over all rows: each task ``fill``s one, and the slices of all tasks are ``merge``d by slice."""
 
     def partial(it: Iterable[tuple]) -> Iterator[tuple]:
-        total = np.zeros(CELLS, np.int64)
-        for _, w in it:
-            total += np.bincount((chosen(_marks(w)) % _U(CELLS)).astype(np.int64), minlength=CELLS)
-        yield from ((k, part.tobytes()) for k, part in enumerate(np.split(total, SLICES)) if part.any())
-
-    def added(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"])
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    rows = map_rows(words.select("v", "w"), partial, "slice long, counts binary").groupBy("slice").applyInArrow(added, "slice long, counts binary").collect()
-    out = np.zeros((SLICES, CELLS // SLICES), np.int64)
-    for k, counts in rows:
-        out[k] = np.frombuffer(counts, np.int64)
+        own = np.zeros(size, kind)
+        for r in it:
+            fill(own, r)
+        yield from ((k, zstandard.compress(part.tobytes(), 1)) for k, part in enumerate(np.split(own, SLICES)) if part.any())
+
+    read = lambda x: np.frombuffer(zstandard.decompress(x.as_py()), kind)
+
+    def merged(key: tuple, table: pa.Table) -> pa.Table:
+        whole = reduce(merge, map(read, table["part"]))
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([zstandard.compress(whole.tobytes(), 1)], pa.binary())})
+
+    rows = map_rows(words, partial, "slice long, part binary").groupBy("slice").applyInArrow(merged, "slice long, part binary").collect()
+    out = np.zeros((SLICES, size // SLICES), kind)
+    for k, part in rows:
+        out[k] = np.frombuffer(zstandard.decompress(part), kind)
     return out.ravel()
 
 
+def _counters(words: DataFrame) -> np.ndarray:
+    """How many of the words of all texts fall into each of CELLS counters."""
+
+    def fill(own: np.ndarray, row: tuple) -> None:
+        own += np.bincount((_marks(row[0]) % _U(CELLS)).astype(np.int64), minlength=CELLS)
+
+    return _table(words.select("w"), CELLS, np.int64, fill, np.add)
+
+
+def _several_parts(words: DataFrame, counts: np.ndarray, least: float) -> np.ndarray:
+    """Two tables of cells by word and class of length: 0, _MIXED, or a hash of the one part that has the word among the rarest."""
+
+    def fill(own: np.ndarray, row: tuple) -> None:
+        part, w = row
+        marks = _marks(w)
+        mine = _part_hash(part)
+        for at in _cells(_rarest(marks, counts, least), _length_class(len(marks), least)):
+            held = own[at]
+            own[at] = np.where((held == 0) | (held == mine), mine, _MIXED)
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(a == 0, b, np.where((b == 0) | (a == b), a, _MIXED)).astype(np.uint32)
+
+    return _table(words.select("part", "w"), 2 * PART_CELLS, np.uint32, fill, merge)
+
+
+def _part_hash(part: int) -> np.uint32:
+    return np.uint32(int(_mixed(np.array([part], np.int64).view(_U))[0]) & 0xFFFFFFFF | 2)
+
+
+def _length_class(n: int, least: float) -> int:
+    """Classes of a quarter of the range in which lengths may differ: similar texts are at most four apart."""
+    return math.floor(4 * math.log(max(n, 1)) / _width(least))
+
+
+def _width(least: float) -> float:
+    return max(-math.log(least), 0.01) * 1.0001
+
+
+def _cells(marks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of words in both tables."""
+    h = _mixed(marks + _U((length + 1) * _BASE % (1 << 64)))
+    return (h >> _U(40)).astype(np.int64) % PART_CELLS, PART_CELLS + (h % _U(PART_CELLS)).astype(np.int64)
+
+
+def _elsewhere(marks: np.ndarray, length: int, part: int, cells: np.ndarray) -> np.ndarray:
+    """The marks that a text of another part and fitting length may have among its rarest; none that one has is missed."""
+    mine, found = _part_hash(part), np.zeros(len(marks), bool)
+    for near in range(length - 4, length + 5):
+        if near >= 0:
+            a, b = (cells[at] for at in _cells(marks, near))
+            found |= (a != 0) & (a != mine) & (b != 0) & (b != mine)
+    return marks[found]
+
+
 def _marks(w: bytes) -> np.ndarray:
     return labelled(np.frombuffer(w, np.uint32).astype(_U))
 
@@ -345,17 +405,18 @@ def _rarest(marks: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
 
 
 def _by_rare_words(docs: DataFrame, texts: DataFrame, ids: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
-    """``key, v, size, lead``: of the texts ``ids``, those that share one of their rarest words."""
+    """``key, v, size, lead``: of the texts ``ids`` (``v, part``), those that share one of their rarest words with another part's of fitting length."""
     words = words_of(docs, texts, ids, id_col=id_col, text_col=text_col)
-    counts = _counters(words, lambda marks: marks)
-    first = _counters(words, lambda marks: _rarest(marks, counts, least))
+    counts = _counters(words)
+    cells = _several_parts(words, counts, least)
 
     def rows(it: Iterable[tuple]) -> Iterator[tuple]:
-        for v, w in it:
-            marks = _rarest(_marks(w), counts, least)
-            yield from ((v, m) for m in marks[first[(marks % _U(CELLS)).astype(np.int64)] > 1].view(np.int64).tolist())
+        for v, part, w in it:
+            marks = _marks(w)
+            found = _elsewhere(_rarest(marks, counts, least), _length_class(len(marks), least), part, cells)
+            yield from ((v, m) for m in found.view(np.int64).tolist())
 
-    shared = cut(map_rows(words, rows, "v long, key long"), "rare-words")
+    shared = cut(map_rows(words.select("v", "part", "w"), rows, "v long, key long"), "rare-words")
     sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("lead")).where("size > 1")
     out = cut(shared.join(sizes, "key").select("key", "v", "size", "lead"), "members")
     drop(words, shared)
@@ -365,27 +426,29 @@ def _by_rare_words(docs: DataFrame, texts: DataFrame, ids: DataFrame, least: flo
 def _rest(docs: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFrame | None, least: float, id_col: str, text_col: str) -> DataFrame:
     """``x, y``: the pairs of buckets that are in different parts and whose lengths and words may agree."""
     parts = _with_parts(members, labels)
-    mixed = parts.where("NOT led").select("key", (F.col("size") > LARGE).alias("large")).distinct()
-    large = parts.join(mixed.where("large"), "key", "left_semi").select("v").distinct()
-    found = [_pairs(parts.join(mixed.where("NOT large"), "key", "left_semi"), texts, least)]
+    large = _mixed_buckets(parts.where(F.col("size") > LARGE)).select("v", "part").distinct()
+    found = [_pairs(_mixed_buckets(parts.where(F.col("size") <= LARGE)), texts, least)]
     if not large.isEmpty():
         rare = _by_rare_words(docs, texts, cut(large, "large"), least, id_col, text_col)
-        by_word = _with_parts(rare, labels)
-        words = by_word.where("NOT led").select("key").distinct()
-        found.append(_pairs(by_word.join(words, "key", "left_semi"), texts, least))
+        found.append(_pairs(_mixed_buckets(_with_parts(rare, labels)), texts, least))
     out = cut(reduce(DataFrame.union, found).distinct(), "pairs")
     drop(parts)
     return out
 
 
+def _mixed_buckets(parts: DataFrame) -> DataFrame:
+    """The members of buckets in which some text isn't in the first one's part; those texts themselves need no join."""
+    apart = parts.where("NOT led")
+    return apart.union(parts.where("led").join(apart.select("key").distinct(), "key", "left_semi").select(*parts.columns))
+
+
 def _pairs(parts: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``x, y`` of these buckets: texts outside the first one's part meet the bucket's others.
 
     Both sides are dealt out by bucket, by length (classes of similar texts differ by one at most) and, where a bucket is very
     large, by a hash; only pairs that pass leave the join.
     """
-    width = max(-math.log(least), 0.01) * 1.0001
-    length = F.floor(F.log("n") / width)
+    length = F.floor(F.log("n") / _width(least))
     salts = F.least(F.ceil(F.col("size") / SALT), F.lit(MOST_SALT)).cast("int")
     found = parts.join(texts.select("v", "n", "odd"), "v")
     few = found.where("NOT led").select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).select("*", F.explode(F.array(length - 1, length, length + 1)).alias("length"))
@@ -405,20 +468,23 @@ def _apart(pairs: DataFrame, labels: DataFrame | None, x: str, y: str) -> DataFr
 
 
 def words_of(docs: DataFrame, texts: DataFrame, ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``v, w``: the words of the texts ``ids`` (``v``), as hashes of 32 bits, written to the shared folder.
+    """``v, w``: the words of the texts ``ids`` (``v``, each once), as hashes of 32 bits, written to the shared folder.
+
+    More columns of ``ids`` (whole numbers) are kept.
 
     Each text is found once: by its smallest id and, as rows of one id can differ, its fingerprint.
     """
-    wanted = texts.select("v", "d", "f1", "f2").join(ids, "v", "left_semi")
+    more = [c for c in ids.columns if c != "v"]
+    wanted = texts.select("v", "d", "f1", "f2").join(ids, "v")
 
     def hashed(it: Iterable[tuple]) -> Iterator[tuple]:
-        for v, f1, f2, text in it:
+        for v, f1, f2, *kept, text in it:
             words = word_hashes(text)
             if fingerprint(words) == (f1, f2):
-                yield v, words.astype(np.uint32).tobytes()
+                yield v, *kept, words.astype(np.uint32).tobytes()
 
-    joined = _given(docs, id_col, text_col).join(wanted.hint("shuffle_hash"), "d").select("v", "f1", "f2", "t")
-    return cut(map_rows(joined, hashed, "v long, w binary"), "words")
+    joined = _given(docs, id_col, text_col).join(wanted.hint("shuffle_hash"), "d").select("v", "f1", "f2", *more, "t")
+    return cut(map_rows(joined, hashed, ", ".join(["v long", *(f"{c} long" for c in more), "w binary"])), "words")
 
 
 def verify(words: DataFrame, pairs: DataFrame, *, least: float = LEAST) -> DataFrame:

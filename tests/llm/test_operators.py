@@ -434,6 +434,7 @@ def test_near_duplicates(spark, monkeypatch):
     kept = near_dedup.keep_one(make(spark, texts, ids))
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(got.values())) and kept.columns[-1] == "a.b"
     monkeypatch.setattr(near_dedup, "SALT", 3)
+    monkeypatch.setattr(near_dedup, "LARGE", 2)  # nearly all by rare words
     assert {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(make(spark, texts, ids)).collect()} == got
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None)], "doc_id long, text string")
@@ -566,7 +567,7 @@ def test_minimal_perfect_hash():
 def test_registered_queries_have_no_limits():
     from luxtrace.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
@@ -615,8 +616,10 @@ def test_pipeline(spark, tmp_path, sf_dir):
     assert len(cp.STAGES) == 5
 
 
-def test_links_among_texts_that_differ_from_the_first_of_a_large_bucket(spark):
-    """All that two near texts share stands in many longer texts of smaller ids too."""
+@pytest.mark.parametrize("large", [64, 20])
+def test_links_among_texts_that_differ_from_the_first_of_a_large_bucket(spark, monkeypatch, large):
+    """All that two near texts share stands in many longer texts of smaller ids too; by pairs of the bucket and by rare words."""
+    monkeypatch.setattr(near_dedup, "LARGE", large)
     r = random.Random(9)
     fresh = lambda n: [r.choice(WORDS) + str(r.randint(0, 10**6)) for _ in range(n)]
     texts = []
@@ -628,6 +631,50 @@ def test_links_among_texts_that_differ_from_the_first_of_a_large_bucket(spark):
     assert got == plain_classes(texts, list(range(len(texts)))) and sum(k != v for k, v in got.items()) == 6
 
 
+def test_rarest_words_of_similar_texts_meet():
+    """Whatever the counters say, texts of similarity 0.8 or more share one of their rarest words."""
+    r = random.Random(4)
+    for _ in range(400):
+        a = [r.randint(0, r.choice([5, 40, 10**6])) for _ in range(r.randint(1, 120))]
+        b, n = list(a), r.randint(0, 30)
+        for _ in range(n):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 1)] = [r.randint(0, 40)] * r.randint(0, 1)
+        if b and near_dedup.similarity(*(np.array(t, np.uint32) for t in (a, b))) is not None:
+            counts = np.random.default_rng(n).integers(0, 9, near_dedup.CELLS)
+            first = [set(near_dedup._rarest(near_dedup._marks(np.array(t, np.uint32).tobytes()), counts, 0.8).tolist()) for t in (a, b)]
+            assert first[0] & first[1]
+            # whatever else is in the tables, what both have is found from either side, unless they are of one part
+            cells = np.zeros(2 * near_dedup.PART_CELLS, np.uint32)
+            length = [near_dedup._length_class(len(t), 0.8) for t in (a, b)]
+            for part, k in ((5, 0), (6, 1)):
+                for at in near_dedup._cells(np.array(sorted(first[k]), np.uint64), length[k]):
+                    held, mine = cells[at], near_dedup._part_hash(part)
+                    cells[at] = np.where((held == 0) | (held == mine), mine, 1)
+            for part, k in ((5, 0), (6, 1)):
+                assert first[0] & first[1] <= set(near_dedup._elsewhere(np.array(sorted(first[k]), np.uint64), length[k], part, cells).tolist())
+
+
+@pytest.mark.parametrize("words", [30, 41, 45, 55, 65, 80, 81, 100])
+@pytest.mark.parametrize("kind", ["deleted", "inserted", "replaced"])
+def test_share_of_least_similar_pairs_by_kind_of_edit(words, kind):
+    """Pairs of similarity 0.80, of which one has words deleted, inserted or replaced."""
+    r, met, n = np.random.default_rng(words), 0, 200
+    for _ in range(n):
+        a = r.integers(0, 2**63, words).astype(np.uint64)
+        most = int(0.2 * words + 1e-9)
+        at = np.sort(r.choice(words, most, replace=False))
+        if kind == "replaced":
+            b = a.copy()
+            b[at] = r.integers(0, 2**63, most).astype(np.uint64)
+        elif kind == "deleted":
+            b = np.delete(a, at)
+        else:
+            b, a = a, np.delete(a, at)
+        met += bool(set(near_dedup.sketches(a).tolist()) & set(near_dedup.sketches(b).tolist()))
+    assert met >= 0.95 * n, met
+
+
 @pytest.mark.parametrize(("words", "apart"), [(5, False), (9, False), (12, False), (20, False), (100, False), (300, False), (20, True), (100, True)])
 def test_share_of_least_similar_pairs_that_meet(words, apart):
     """Pairs of similarity 0.80 share a sketch wherever the edits stand, also if no run of five words is left."""
