@@ -442,7 +442,9 @@ def commit_data(spark, d):
 def record_numbers(spark, d):
     """Scores as the record holds them, thresholds, the score rail and times."""
     o = table(spark, d, "orders")
-    return o.select("o_orderkey", hashing.clamp_score(F.col("o_totalprice") - 1000).alias("score"), (F.bround("o_totalprice") >= 100).alias("registers"), (F.col("o_totalprice") >= 100).alias("verifies"), F.round(labels.score_rail("o_totalprice"), 6).alias("rail"), labels.iso_time(F.col("o_orderkey") * 86399).alias("iso"))
+    # SQL's to_timestamp takes seconds as a double: from 2**59 microseconds on (year 20237) it holds every second one exactly.
+    seconds = F.unix_seconds(F.timestamp_seconds((F.col("o_orderkey") * 86399).cast("double")))
+    return o.select("o_orderkey", hashing.clamp_score(F.col("o_totalprice") - 1000).alias("score"), (F.bround("o_totalprice") >= 100).alias("registers"), (F.col("o_totalprice") >= 100).alias("verifies"), F.round(labels.score_rail("o_totalprice"), 6).alias("rail"), labels.iso_time(seconds).alias("iso"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'unedited raw' WHEN 1 THEN 'adjusted' WHEN 2 THEN 'generative edit' ELSE '3' END AS level, substr(sha256(p_name), 1, 6) || '…' || right(sha256(p_name), 4) AS short, regexp_matches('0x' || sha256(p_name), '^0x[0-9a-f]{64}$') AS is_hash, lower(p_name) LIKE '%.cr3' AS is_raw FROM part")
