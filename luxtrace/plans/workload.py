@@ -118,13 +118,14 @@ def streaming_fold(spark, d):
 
 
 def _streamed(spark: SparkSession, d: str) -> str:
-    """The folder of a stream that has followed the log in four files; its state is in ``checkpoint``."""
+    """The folder of a stream that has followed the log in two batches of files; its state is in ``checkpoint``."""
     from luxtrace.shared import shared_dir
     from luxtrace.streaming.fold import stream_registry
 
     base = shared_dir(spark, "stream")
-    generated_log(spark, d).repartitionByRange(4, "block_number").write.parquet(f"{base}/log")
-    stream_registry(spark, f"{base}/log", f"{base}/checkpoint", files_per_batch=2).awaitTermination()
+    half = max(2, -(-table(spark, d, "events").count() // 200_000))  # files of a batch
+    generated_log(spark, d).repartitionByRange(2 * half, "block_number").write.parquet(f"{base}/log")
+    stream_registry(spark, f"{base}/log", f"{base}/checkpoint", files_per_batch=half).awaitTermination()
     return base
 
 
@@ -156,7 +157,7 @@ def streaming_commits(spark, d):
     from luxtrace.streaming.fold import commits_from_stream, stream_records
 
     base = _streamed(spark, d)
-    stream_records(spark, f"{base}/log", f"{base}/records", f"{base}/records-checkpoint").awaitTermination()
+    stream_records(spark, f"{base}/log", f"{base}/records", f"{base}/records-checkpoint", files_per_batch=64).awaitTermination()
     return commits_from_stream(spark, f"{base}/checkpoint", f"{base}/records").select("block_number", "epoch", "commit_index", "asset_cid", "image")
 
 

@@ -1,63 +1,28 @@
 """The registry fold over a stream of event files, in Spark's own keyed state.
 
-Every body, image and session has a state of its own (``transformWithState``): its registrations by position, and of a body
-the last change of owner and the last revocation. A batch reads and writes the states of the entities it names and no others.
-A reset isn't written into them: resets are an entity too, and which events count is decided when the state is read, by the
-same fold that reads a whole log. So events and resets may come in any order, late or twice. Commits, attestations and
-challenges are never changed by later events; they go to a Parquet table by Spark's own file sink.
+The state is a streaming aggregate in RocksDB, a row for each body, image or session and slot: its registrations have a slot
+each, by position, and of a body the last change of owner and the last revocation have one. A batch reads and writes the slots
+that its events name and no others, without leaving the JVM. A reset isn't written into them: resets are an entity too, and
+which events count is decided when the state is read, by the same fold that reads a whole log. So events and resets may come
+in any order, late or twice. Commits, attestations and challenges are never changed by later events; they go to a Parquet
+table by Spark's own file sink.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from luxtrace.operators.event_fold import attestations, bodies_current, challenges, commits, images_current, of_last_epoch, positioned, sessions, with_epoch
 from luxtrace.schema import EVENTS
+from luxtrace.shared import cut
 
 _NAMES = [f.name for f in EVENTS]
-_EVENT = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in EVENTS)
 #: Kinds with a state, and the column that names the entity; a reset's entity is the registry.
 KEYED = {"BodyRegistered": "body_id", "BodyTransferred": "body_id", "BodyRevoked": "body_id", "ImageRegistered": "image_hash", "SessionCommitted": "session_id"}
 RECORDS = ("Commit", "Attested", "Challenged")
-#: Of these only the last of each body can matter, wherever resets are.
-_LAST = {"BodyTransferred": "moved", "BodyRevoked": "revoked"}
-
-
-class _Entity(StatefulProcessor):
-    """``kept``: registrations (or resets) by position. ``moved``, ``revoked``: the last event of its kind."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getMapState("kept", "pos long", _EVENT)
-        self.last = {name: handle.getValueState(name, f"pos long, event struct<{_EVENT.replace('` ', '`:')}>") for name in _LAST.values()}
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, newest = 0, {}
-        for b in rows:
-            n += len(b)
-            plain = b[_NAMES].astype(object).where(b[_NAMES].notna(), None)
-            for pos, kind, event in zip(b["pos"].tolist(), b["kind"].tolist(), plain.itertuples(index=False, name=None), strict=True):
-                if kind in _LAST:
-                    newest[kind] = max(newest.get(kind, (-1, ())), (pos, event), key=lambda x: x[0])
-                else:
-                    self.kept.updateValue((pos,), _typed(event))
-        for kind, (pos, event) in newest.items():
-            state = self.last[_LAST[kind]]
-            if not state.exists() or state.get()[0] < pos:
-                state.update((pos, _typed(event)))
-        yield pd.DataFrame({"family": [key[0]], "entity": [key[1]], "n_events": [n]})
-
-    def close(self) -> None:
-        pass
-
-
-def _typed(event: tuple) -> tuple:
-    """Whole numbers as such; pandas makes floats of columns with gaps."""
-    return tuple(None if v is None else int(v) if f.dataType.typeName() in ("long", "integer") else v for v, f in zip(event, EVENTS, strict=True))
+#: Of these only the last of each body can matter, wherever resets are: each has one slot. All others have their position.
+_LAST = {"BodyTransferred": -1, "BodyRevoked": -2}
 
 
 def _entity(kind: Column) -> Column:
@@ -75,22 +40,30 @@ def _with_rocksdb(spark: SparkSession) -> SparkSession:
     return own
 
 
+def _slot(kind: Column) -> Column:
+    out = F.col("pos")
+    for name, slot in _LAST.items():
+        out = F.when(kind == name, F.lit(slot).cast("long")).otherwise(out)
+    return out
+
+
 def keyed_updates(events: DataFrame) -> DataFrame:
-    """``family, entity, n_events`` of the entities that a stream of events touches; folding them is the side effect."""
+    """``family, entity, slot, event`` of the slots that a stream of events touches: the last event of each by position."""
     kind = F.col("kind")
     family = F.when(kind.startswith("Body"), "body").when(kind == "ImageRegistered", "image").when(kind == "SessionCommitted", "session").otherwise("registry")
-    rows = positioned(events).where(kind.isin(*KEYED, "RegistryReset")).withColumn("family", family).withColumn("entity", _entity(kind))
-    return rows.groupBy("family", "entity").transformWithStateInPandas(_Entity(), "family string, entity string, n_events long", outputMode="Update", timeMode="None")
+    rows = positioned(events).where(kind.isin(*KEYED, "RegistryReset")).withColumn("family", family).withColumn("entity", _entity(kind)).withColumn("slot", _slot(kind))
+    return rows.groupBy("family", "entity", "slot").agg(F.max(F.struct("pos", *_NAMES)).alias("event"))
 
 
 def stream_registry(spark: SparkSession, source: str, checkpoint: str, *, files_per_batch: int = 4, available_now: bool = True, touched=None):
     """Follow a folder of Parquet event files; returns the query. The state is in ``checkpoint``.
 
-    ``touched(batch, number)``, if given, gets the entities of each batch.
+    ``touched(batch, number)``, if given, gets the entities of each batch (``family, entity, n_slots``).
     """
     events = _with_rocksdb(spark).readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     writer = keyed_updates(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    writer = writer.foreachBatch(touched) if touched else writer.format("noop")
+    entities = lambda batch, n: touched(batch.groupBy("family", "entity").agg(F.count(F.lit(1)).alias("n_slots")), n)
+    writer = writer.foreachBatch(entities) if touched else writer.format("noop")
     return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime="3 seconds").start()
 
 
@@ -107,39 +80,41 @@ def _has_batch(spark: SparkSession, checkpoint: str) -> bool:
     return system.exists(path) and len(system.listStatus(path)) > 0
 
 
-def current_log(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The state after the last batch as a folded log, read by Spark's state reader; before the first batch an empty one."""
+def _state_rows(spark: SparkSession, checkpoint: str, families: tuple[str, ...]) -> DataFrame:
+    """The events in the state after the last batch, of ``families`` and the resets; none before the first batch."""
     if not _has_batch(spark, checkpoint):
-        return with_epoch(positioned(spark.createDataFrame([], EVENTS)))
-    read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
-    rows = read("kept").select("user_map_value.*")
-    for name in _LAST.values():
-        rows = rows.unionByName(read(name).select("value.event.*"))
-    return with_epoch(positioned(rows))
+        return spark.createDataFrame([], EVENTS)
+    state = spark.read.format("statestore").load(checkpoint).where(F.col("key.family").isin(*families, "registry"))
+    (last,) = state.schema["value"].dataType.names  # the aggregate's own state: the last event
+    return state.select(F.col("value")[last].alias("event")).select(*[F.col("event")[n].alias(n) for n in _NAMES])
+
+
+def current_log(spark: SparkSession, checkpoint: str, families: tuple[str, ...] = ("body", "image", "session")) -> DataFrame:
+    """The state after the last batch as a folded log, read once by Spark's state reader; before the first batch an empty one."""
+    return with_epoch(positioned(cut(_state_rows(spark, checkpoint, families))))
 
 
 def bodies_from_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The current bodies after the batches so far."""
-    return bodies_current(current_log(spark, checkpoint))
+    return bodies_current(current_log(spark, checkpoint, ("body",)))
 
 
 def images_from_state(spark: SparkSession, checkpoint: str) -> DataFrame:
-    return images_current(current_log(spark, checkpoint))
+    return images_current(current_log(spark, checkpoint, ("image",)))
 
 
 def sessions_from_state(spark: SparkSession, checkpoint: str) -> DataFrame:
-    return sessions(of_last_epoch(current_log(spark, checkpoint)))
+    return sessions(of_last_epoch(current_log(spark, checkpoint, ("session",))))
 
 
 def records_log(spark: SparkSession, checkpoint: str, table: str) -> DataFrame:
     """Commits, attestations and challenges so far as a folded log; their epochs come from the resets in the state."""
     rows = spark.read.schema(EVENTS).parquet(table).dropDuplicates(["block_number", "log_index"])
-    resets = current_log(spark, checkpoint).where("kind = 'RegistryReset'").select(*_NAMES)
-    return with_epoch(positioned(rows.unionByName(resets)))
+    return with_epoch(positioned(cut(rows.unionByName(_state_rows(spark, checkpoint, ())))))
 
 
 def commits_from_stream(spark: SparkSession, checkpoint: str, table: str) -> DataFrame:
-    return commits(records_log(spark, checkpoint, table))
+    return commits(cut(records_log(spark, checkpoint, table)))  # folded once; the index reads it several times
 
 
 def attestations_from_stream(spark: SparkSession, checkpoint: str, table: str) -> DataFrame:

@@ -36,3 +36,12 @@ def test_record_numbers_of_large_keys(spark, tmp_path):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     want = con.execute(workload.ORACLES["record_numbers"]).fetchall()
     assert sorted(map(tuple, workload.record_numbers(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_stream_state_stays_in_the_jvm(spark):
+    """The keyed state is an aggregate of Spark's own: no Python for each entity."""
+    from luxtrace.schema import EVENTS
+    from luxtrace.streaming.fold import keyed_updates
+
+    plan = keyed_updates(spark.createDataFrame([], EVENTS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "Python" not in plan and "Pandas" not in plan
