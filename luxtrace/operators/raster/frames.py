@@ -82,6 +82,13 @@ def _map(df: DataFrame, fn: Callable[[SimpleNamespace], dict | list[dict] | None
     return df.mapInArrow(run, out)
 
 
+def samples(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the bytes of ``column`` as an ``array<float>`` named ``name`` in its place; null stays null."""
+    schema = ", ".join(f"`{c}` {t}" if c != column else f"`{name}` array<float>" for c, t in df.dtypes)
+    wide = lambda v: None if v is None else np.frombuffer(v, np.uint8).astype(np.float32)
+    return _map(df, lambda r: {name if c == column else c: wide(v) if c == column else v for c, v in vars(r).items()}, schema)
+
+
 def split_mosaics(mosaics: DataFrame, crop: int | None = None) -> DataFrame:
     """``frame_id, plane, h, w, data, error`` from ``frame_id, h, w, data array<float>, colours array<int>, black array<double>, white``.
 
@@ -278,7 +285,7 @@ def _unpacked(row, prefix: str) -> dict[int, np.ndarray]:
 _RESULT = "image_id string, body_id string, pce double, path string, orientation string, scale double, stripped boolean, error string"
 
 
-#: Fingerprints in a file, which a task holds at once, and samples of prepared images that it holds meanwhile, about.
+#: Fingerprints in a file, which a task holds at once, and samples of prepared images that it holds meanwhile, about (some 20 bytes each).
 BODIES, PREPARED = 8, 32 << 20
 
 

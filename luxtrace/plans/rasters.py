@@ -39,9 +39,9 @@ def delivered_planes(spark, d):
 SELECT doc_id, plane, 10 AS h, sum(greatest(0, least(240 - 2 * plane, v - (10 + 2 * plane))))::bigint AS total FROM p GROUP BY ALL""")
 def mosaic_planes(spark, d):
     """Small mosaics, cropped at the centre and split by colour, as shares of the range."""
-    image = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.conv(F.substring(F.col("hx"), i * 2 + 1, F.lit(2)), 16, 10).cast("float"))
-    colours = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.when(F.floor(i / 32) % 2 == 0, i % 2).otherwise(3 - i % 2).cast("int"))
-    rows = _digests(spark, d).select("doc_id", F.hex("p").alias("hx")).select(F.col("doc_id").cast("string").alias("frame_id"), F.lit(32).alias("h"), F.lit(32).alias("w"), image.alias("data"), colours.alias("colours"), F.array(*map(F.lit, (10.0, 12.0, 14.0, 16.0))).alias("black"), F.lit(250.0).alias("white"))
+    colours = F.flatten(F.array_repeat(F.array(*[F.lit(c) for row in PATTERN for c in row * 16]), 16))
+    image = frames.samples(_digests(spark, d).select(F.col("doc_id").cast("string").alias("frame_id"), "p"), "p", "data")
+    rows = image.select("frame_id", F.lit(32).alias("h"), F.lit(32).alias("w"), "data", colours.alias("colours"), F.array(*map(F.lit, (10.0, 12.0, 14.0, 16.0))).alias("black"), F.lit(250.0).alias("white"))
     return frames.split_mosaics(rows, 20).select(F.col("frame_id").cast("long").alias("doc_id"), "plane", "h", _total("data", 240.0 - 2 * F.col("plane")).alias("total"))
 
 

@@ -1,5 +1,6 @@
 """What larger tables bring: late years, ids that meet twice, plans that must not grow faster than their input."""
 
+import math
 import random
 
 import numpy as np
@@ -45,3 +46,60 @@ def test_stream_state_stays_in_the_jvm(spark):
 
     plan = keyed_updates(spark.createDataFrame([], EVENTS))._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_split_flips_ask_few_values_and_lose_no_pair(spark):
+    from luxtrace.operators import similarity
+
+    r = random.Random(8)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [r.getrandbits(64) for _ in range(40)]
+    near = [b ^ sum(1 << k for k in r.sample(range(64), n)) for b in base for n in (0, 1, 2, 3, 7, 9, 10, 10, 10, 11)] + [b ^ (m << at) for b in base for at in (0, 20, 40, 54) for m in (7, 0x3FF)]
+    probes = spark.createDataFrame([(i, signed(b)) for i, b in enumerate(base)], "probe_id long, probe_hash long")
+    index = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(near)], "image_id long, image_hash64 long")
+    want = sorted((i, k, bin(b ^ x).count("1")) for i, b in enumerate(base) for k, x in enumerate(near) if bin(b ^ x).count("1") <= 10)
+    for plan in (similarity.WIDE, similarity.MIDDLE):
+        assert sorted(map(tuple, similarity.near_by_wide_bands(probes, index, plan=plan).collect())) == want
+        pairs = similarity._wide_pairs(probes, index, plan)
+        allowed = sum(bin((b ^ x) >> at & (1 << n) - 1).count("1") <= (other if bin(b ^ x).count("1") % 2 else same) for b in base for x in near for at, n, same, other in plan)
+        assert pairs.count() == allowed
+    assert sum(sum(math.comb(n, k) for k in range(most)) for _, n, same, other in similarity.WIDE for most in (same, other)) == 871
+    masks = similarity._masks(23, 2)
+    assert spark.range(1).select(F.size(masks)).first()[0] == 277  # of the first band, 2,048 before
+
+
+@pytest.mark.parametrize("ragged", [False, True])
+def test_consistency_equals_that_of_all_pairs(spark, ragged):
+    from luxtrace.operators import statistics
+
+    r = np.random.default_rng(2)
+    rows = lambda kind: [(f"{kind}{i}", i % 3, k, None if r.random() < 0.05 else float(r.normal()) * (i != 4)) for i in range(12) for k in range(8) if not ragged or (i + k) % 5]
+    p, q = rows("p"), rows("r")
+    got = {x["probe_id"]: x["consistency"] for x in statistics.body_consistency(spark.createDataFrame(p, "probe_id string, body_id int, pos int, v double"), spark.createDataFrame(q, "ref_id string, body_id int, pos int, v double")).collect()}
+    vectors = lambda rows: {i: {k: v or 0.0 for j, _, k, v in rows if j == i} for i in {x[0] for x in rows}}
+    body, a, b = {x[0]: x[1] for x in p + q}, vectors(p), vectors(q)
+    for i, x in a.items():
+        found = []
+        for j, y in b.items():
+            at = x.keys() & y.keys()
+            if body[i] == body[j] and at:
+                size = (sum(x[k] ** 2 for k in at) * sum(y[k] ** 2 for k in at)) ** 0.5
+                found.append(sum(x[k] * y[k] for k in at) / size if size else 0.0)
+        assert got.pop(i) == pytest.approx(sum(found) / len(found), abs=1e-12)
+    assert not got
+
+
+def test_tiles_of_a_small_image_are_measured_once(monkeypatch):
+    from luxtrace.operators.raster import kernels as K
+
+    made = []
+    monkeypatch.setattr(K.np, "var", lambda x, f=np.var: made.append(1) or f(x))
+    grey = np.random.default_rng(1).integers(0, 256, (31, 31))
+    assert K.detail(grey) > 0 and len(made) == 1
+
+
+def test_samples_of_bytes(spark):
+    from luxtrace.operators.raster import frames
+
+    got = frames.samples(spark.createDataFrame([("a", bytearray([0, 7, 255])), ("b", None)], "k string, p binary"), "p", "data").collect()
+    assert [(r["k"], r["data"]) for r in got] == [("a", [0.0, 7.0, 255.0]), ("b", None)]
