@@ -5,7 +5,8 @@ send to every task. ``near_by_bands`` cuts the 64 bits into six bands: two hashe
 bit, so each probe asks for its band values with at most one bit flipped, an equality join that Spark deals out by value; some
 4.5 % of the index are compared. ``near_by_wide_bands`` has three bands of 23, 22 and 19 bits and up to three flips. Two
 hashes of different parity are an odd number of bits apart, so nine at most, and the second band needs a flip less there; the
-parity is part of the key. A probe asks for some 6,500 values and is compared with less than 0.1 % of a large index.
+parity is part of the key. One of the flips is the index's, so a probe asks for 871 values, an index row has 67, and a probe is
+compared with less than 0.1 % of a large index. Four bands of 16 bits (``MIDDLE``) ask for 88 and compare some 0.6 %.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from luxtrace.schema import HAMMING_RADIUS
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: First bit and width of each wide band, and most flips between hashes of equal and of different parity.
 WIDE = ((0, 23, 3, 3), (23, 22, 3, 2), (45, 19, 2, 2))
-#: An index of at most so many rows goes to every task; one of more than ``BAND_ROWS`` is asked by wide bands.
-SCAN_ROWS, BAND_ROWS = 50_000, 1_000_000
+#: The same for an index of middle size.
+MIDDLE = ((0, 16, 2, 2), (16, 16, 2, 2), (32, 16, 2, 1), (48, 16, 1, 1))
+#: Most rows of an index that may go to every task; rows up to which ``near_matches`` scans and asks by middle bands.
+SCAN_ROWS, FEW_ROWS, BAND_ROWS = 50_000, 2_000, 2_000_000
 
 
 def near_by_scan(probes: DataFrame, index: DataFrame, radius: int = HAMMING_RADIUS) -> DataFrame:
@@ -67,30 +70,49 @@ def _band(hash64: str, at: int, width: int) -> Column:
     return F.shiftrightunsigned(F.col(hash64), at).bitwiseAND((1 << width) - 1).cast("int")
 
 
-def _wide_pairs(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """``probe_id, probe_hash, image_id, image_hash64, band`` of all pairs that are compared."""
+def _masks(width: int, most: int) -> Column:
+    return F.expr("array(" + ", ".join(str(sum(1 << k for k in c)) for n in range(most + 1) for c in combinations(range(width), n)) + ")")
+
+
+def _wide_pairs(probes: DataFrame, index: DataFrame, plan: tuple[tuple[int, int, int, int], ...] = WIDE) -> DataFrame:
+    """``probe_id, probe_hash, image_id, image_hash64, band`` of all pairs that are compared, once for each band.
+
+    Flips are shared out: the index holds each value with at most one flip, and a probe asks with one flip less than the plan
+    allows. Of the ways in which a pair then meets in a band one counts: the index's flip is the lowest bit of the difference
+    if that has as many bits as the plan allows, else none. So a probe asks for some hundred values, not thousands.
+    """
     asked, held = [], []
-    own = (F.bit_count(F.col("probe_hash")) % 2).cast("int")
-    for band, (at, width, same, other) in enumerate(WIDE):
+    own, its = ((F.bit_count(F.col(c)) % 2).cast("int") for c in ("probe_hash", "image_hash64"))
+    for band, (at, width, same, other) in enumerate(plan):
+        value, held_value = _band("probe_hash", at, width), _band("image_hash64", at, width)
         for flips, parity in ((same, own), (other, 1 - own)):
-            masks = F.expr("array(" + ", ".join(str(sum(1 << k for k in c)) for n in range(flips + 1) for c in combinations(range(width), n)) + ")")
-            value, base = _band("probe_hash", at, width), _key(band, F.lit(0), parity)
-            asked.append(F.transform(masks, lambda m: value.bitwiseXOR(m) + base))  # noqa: B023  evaluated at once
-        held.append(_key(band, _band("image_hash64", at, width), (F.bit_count(F.col("image_hash64")) % 2).cast("int")))
-    left = probes.where("probe_hash IS NOT NULL").select("probe_id", "probe_hash", F.explode(F.concat(*asked)).alias("key"))
-    right = index.where("image_hash64 IS NOT NULL").select("image_id", "image_hash64", F.explode(F.array(*held)).alias("key"))
-    return left.join(right, "key").withColumn("band", F.shiftright("key", 24)).drop("key")
+            base = _key(band, F.lit(0), parity)
+            asked.append(F.transform(_masks(width, flips - 1), lambda m: value.bitwiseXOR(m) + base))  # noqa: B023  evaluated at once
+        key = _key(band, F.lit(0), its)
+        held.append(F.transform(_masks(width, 1), lambda m: F.struct((held_value.bitwiseXOR(m) + key).alias("held"), m.alias("flip"))))  # noqa: B023
+    spark = probes.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = probes.where("probe_hash IS NOT NULL").select("probe_id", "probe_hash").repartition(tasks, "probe_id")  # a few small files are dealt out before they become hundreds of rows each
+    left = dealt.select("probe_id", "probe_hash", F.explode(F.concat(*asked)).alias("key"))
+    right = index.where("image_hash64 IS NOT NULL").select("image_id", "image_hash64", F.explode(F.concat(*held)).alias("h")).select("image_id", "image_hash64", "h.held", "h.flip")
+    differ = F.col("probe_hash").bitwiseXOR(F.col("image_hash64"))
+    flip = F.lit(None).cast("int")
+    for band, (at, width, same, other) in enumerate(plan):
+        own_bits = F.shiftrightunsigned(differ, at).bitwiseAND((1 << width) - 1).cast("int")
+        most = F.when(F.bit_count(differ) % 2 == 0, F.lit(same)).otherwise(F.lit(other))
+        flip = F.when(F.shiftright("key", 24) == band, F.when(F.bit_count(own_bits) < most, 0).otherwise(own_bits.bitwiseAND(-own_bits))).otherwise(flip)
+    return left.join(right, (F.col("key") == F.col("held")) & (F.col("flip") == flip)).withColumn("band", F.shiftright("key", 24)).drop("key", "held", "flip")
 
 
-def near_by_wide_bands(probes: DataFrame, index: DataFrame, radius: int = HAMMING_RADIUS) -> DataFrame:
-    """As ``near_by_scan``; for a radius of at most ten."""
+def near_by_wide_bands(probes: DataFrame, index: DataFrame, radius: int = HAMMING_RADIUS, plan: tuple[tuple[int, int, int, int], ...] = WIDE) -> DataFrame:
+    """As ``near_by_scan``; for a radius of at most ten. ``plan`` is WIDE or MIDDLE."""
     if radius > 10:
         raise ValueError("the wide bands find pairs within ten bits")
     differ = F.col("probe_hash").bitwiseXOR(F.col("image_hash64"))
-    close = _wide_pairs(probes, index).where(F.bit_count(differ) <= radius)
+    close = _wide_pairs(probes, index, plan).where(F.bit_count(differ) <= radius)
     # A pair is kept in the first band that asks for it, so no pair comes twice.
     most = lambda same, other: F.when(F.bit_count(differ) % 2 == 0, F.lit(same)).otherwise(F.lit(other))
-    first = F.coalesce(*[F.when(F.bit_count(F.shiftrightunsigned(differ, at).bitwiseAND((1 << n) - 1)) <= most(same, other), F.lit(i)) for i, (at, n, same, other) in enumerate(WIDE)])
+    first = F.coalesce(*[F.when(F.bit_count(F.shiftrightunsigned(differ, at).bitwiseAND((1 << n) - 1)) <= most(same, other), F.lit(i)) for i, (at, n, same, other) in enumerate(plan)])
     return close.where(first == F.col("band")).select("probe_id", "image_id", hamming("probe_hash", "image_hash64").alias("distance"))
 
 
@@ -103,11 +125,13 @@ def compared(probes: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def near_matches(probes: DataFrame, index: DataFrame, radius: int = HAMMING_RADIUS) -> DataFrame:
-    """By scan if the index has at most ``SCAN_ROWS`` rows, by bands up to ``BAND_ROWS``, else by wide bands."""
+    """By scan if the index has at most ``FEW_ROWS`` rows, by middle bands up to ``BAND_ROWS``, else by wide bands."""
     n = index.limit(BAND_ROWS + 1).count()
-    if n <= SCAN_ROWS:
+    if n <= FEW_ROWS:
         return _scan(probes, index, radius)
-    return near_by_bands(probes, index, radius) if n <= BAND_ROWS or radius > 10 else near_by_wide_bands(probes, index, radius)
+    if radius > 10:
+        return near_by_bands(probes, index, radius)
+    return near_by_wide_bands(probes, index, radius, MIDDLE if n <= BAND_ROWS else WIDE)
 
 
 def ranked(matches: DataFrame, most: int | None = None) -> DataFrame:
