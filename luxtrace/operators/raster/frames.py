@@ -286,7 +286,7 @@ _RESULT = "image_id string, body_id string, pce double, path string, orientation
 
 
 #: Fingerprints in a file, which a task holds at once, and samples of prepared images that it holds meanwhile, about (some 20 bytes each).
-BODIES, PREPARED = 8, 32 << 20
+BODIES, PREPARED = 8, 8 << 20
 
 
 def _against_bodies(images: DataFrame, fingerprints: DataFrame, prepare: Callable[[SimpleNamespace], Any], size: Callable[[SimpleNamespace], int], score: Callable[[Any, dict[int, np.ndarray]], dict]) -> DataFrame:
