@@ -92,9 +92,10 @@ def _wide_pairs(probes: DataFrame, index: DataFrame, plan: tuple[tuple[int, int,
         held.append(F.transform(_masks(width, 1), lambda m: F.struct((held_value.bitwiseXOR(m) + key).alias("held"), m.alias("flip"))))  # noqa: B023
     spark = probes.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = probes.where("probe_hash IS NOT NULL").select("probe_id", "probe_hash").repartition(tasks, "probe_id")  # a few small files are dealt out before they become hundreds of rows each
-    left = dealt.select("probe_id", "probe_hash", F.explode(F.concat(*asked)).alias("key"))
-    right = index.where("image_hash64 IS NOT NULL").select("image_id", "image_hash64", F.explode(F.concat(*held)).alias("h")).select("image_id", "image_hash64", "h.held", "h.flip")
+    # A few small files are dealt out before they become hundreds of rows each.
+    dealt = lambda df, i, h: df.where(F.col(h).isNotNull()).select(i, h).repartition(tasks, i)
+    left = dealt(probes, "probe_id", "probe_hash").select("probe_id", "probe_hash", F.explode(F.concat(*asked)).alias("key"))
+    right = dealt(index, "image_id", "image_hash64").select("image_id", "image_hash64", F.explode(F.concat(*held)).alias("h")).select("image_id", "image_hash64", "h.held", "h.flip")
     differ = F.col("probe_hash").bitwiseXOR(F.col("image_hash64"))
     flip = F.lit(None).cast("int")
     for band, (at, width, same, other) in enumerate(plan):
