@@ -285,7 +285,7 @@ def _unpacked(row, prefix: str) -> dict[int, np.ndarray]:
 _RESULT = "image_id string, body_id string, pce double, path string, orientation string, scale double, stripped boolean, error string"
 
 
-#: Fingerprints in a file, which a task holds at once, and samples of prepared images that it holds meanwhile, about (some 20 bytes each).
+#: Fingerprints in a file, which a task holds at once, and samples of prepared images that it holds meanwhile, about (some 12 bytes each).
 BODIES, PREPARED = 8, 8 << 20
 
 
