@@ -15,6 +15,10 @@ links have joined already, are not aligned.
 A large bucket in which several parts are left is that of a passage which unlike texts share. Its texts meet by their rarest
 words instead: texts of n words that are similar enough share all but a fifth of them, so whatever order the words are put in,
 they share one of the first n / 5 + 1. In an order by rarity those are words that few texts have, not those of the passage.
+Where the first one that both have stands says how many words they can share at most.
+
+Each text has its keys in one order, and a pair is made at the first key that both texts have: at a later one it is seen that
+they share one of the keys before it.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from luxtrace.llm.common import bounded_batches, columns, cut, drop, map_rows, read_table, release
@@ -44,6 +48,8 @@ LARGE, CELLS, PART_CELLS, SLICES = 64, 1 << 18, 1 << 22, 64
 _MIXED = np.uint32(1)
 #: Members of a large bucket in a part of it, and most such parts; bits in the parity of words.
 SALT, MOST_SALT = 32768, 64
+#: Keys before a key that a text takes along, so that pairs which share one of them are not made again.
+BEFORE = 32
 PARITY = 512
 #: Columns aligned before the match masks are made anew; shingles ordered at a time.
 BLOCK, AT_A_TIME = 1024, 1 << 12
@@ -305,12 +311,12 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _with_parts(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``key, v, size, part, led``: the part that each member is in, and whether the bucket's first text is in it as well."""
+    """``key, v, size, part, led`` and ``place``, if there is one: the part that each member is in, and whether the bucket's first text is in it as well."""
     part, lead_part = F.col("v"), F.col("lead")
     if labels is not None:
         members = members.join(labels.toDF("v", "label"), "v", "left").join(labels.toDF("lead", "lead_label"), "lead", "left")
         part, lead_part = F.coalesce("label", "v"), F.coalesce("lead_label", "lead")
-    return cut(members.select("key", "v", "size", part.alias("part"), (part == lead_part).alias("led")), "parts")
+    return cut(members.select("key", "v", "size", *({"place"} & {*members.columns}), part.alias("part"), (part == lead_part).alias("led")), "parts")
 
 
 def _most(n: int, least: float) -> int:
@@ -405,7 +411,10 @@ def _rarest(marks: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
 
 
 def _by_rare_words(docs: DataFrame, texts: DataFrame, ids: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
-    """``key, v, size, lead``: of the texts ``ids`` (``v, part``), those that share one of their rarest words with another part's of fitting length."""
+    """``key, v, place, size, lead``: of the texts ``ids`` (``v, part``), those that share one of their rarest words with another part's of fitting length.
+
+    ``place`` counts the text's words that come before the key in the order by rarity.
+    """
     words = words_of(docs, texts, ids, id_col=id_col, text_col=text_col)
     counts = _counters(words)
     cells = _several_parts(words, counts, least)
@@ -413,12 +422,13 @@ def _by_rare_words(docs: DataFrame, texts: DataFrame, ids: DataFrame, least: flo
     def rows(it: Iterable[tuple]) -> Iterator[tuple]:
         for v, part, w in it:
             marks = _marks(w)
-            found = _elsewhere(_rarest(marks, counts, least), _length_class(len(marks), least), part, cells)
-            yield from ((v, m) for m in found.view(np.int64).tolist())
+            rarest = _rarest(marks, counts, least)
+            found = _elsewhere(rarest, _length_class(len(marks), least), part, cells)
+            yield from ((v, m, k) for m, k in zip(found.view(np.int64).tolist(), np.flatnonzero(np.isin(rarest, found)).tolist(), strict=True))
 
-    shared = cut(map_rows(words.select("v", "part", "w"), rows, "v long, key long"), "rare-words")
+    shared = cut(map_rows(words.select("v", "part", "w"), rows, "v long, key long, place long"), "rare-words")
     sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("lead")).where("size > 1")
-    out = cut(shared.join(sizes, "key").select("key", "v", "size", "lead"), "members")
+    out = cut(shared.join(sizes, "key").select("key", "v", "place", "size", "lead"), "members")
     drop(words, shared)
     return out
 
@@ -446,15 +456,22 @@ def _pairs(parts: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``x, y`` of these buckets: texts outside the first one's part meet the bucket's others.
 
     Both sides are dealt out by bucket, by length (classes of similar texts differ by one at most) and, where a bucket is very
-    large, by a hash; only pairs that pass leave the join.
+    large, by a hash; only pairs that pass leave the join. A pair passes at the first of its keys (by ``place``, or by value),
+    and again only where more than BEFORE other keys of one of the texts stand between two that both have.
     """
     length = F.floor(F.log("n") / _width(least))
     salts = F.least(F.ceil(F.col("size") / SALT), F.lit(MOST_SALT)).cast("int")
-    found = parts.join(texts.select("v", "n", "odd"), "v")
+    placed = "place" in parts.columns
+    before = Window.partitionBy("v").orderBy("place" if placed else "key").rowsBetween(-BEFORE, -1)
+    found = parts.withColumn("before", F.collect_list("key").over(before)).join(texts.select("v", "n", "odd"), "v")
+    at = ["place", "before"] if placed else ["before"]
     few = found.where("NOT led").select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).select("*", F.explode(F.array(length - 1, length, length + 1)).alias("length"))
-    few = few.select("key", "length", "salt", F.col("part").alias("part_x"), *_odds("x"))
-    all_ = found.select("key", length.alias("length"), F.pmod(F.xxhash64("v"), salts).cast("int").alias("salt"), F.col("part").alias("part_y"), "led", *_odds("y"))
+    few = few.select("key", "length", "salt", F.col("part").alias("part_x"), *_odds("x"), *[F.col(c).alias(f"{c}_x") for c in at])
+    all_ = found.select("key", length.alias("length"), F.pmod(F.xxhash64("v"), salts).cast("int").alias("salt"), F.col("part").alias("part_y"), "led", *_odds("y"), *[F.col(c).alias(f"{c}_y") for c in at])
     both = few.join(all_, ["key", "length", "salt"]).where("part_x != part_y AND (led OR x < y)").where(_near("nx", "ny", least)).where(_words_may_agree(least))
+    if placed:  # the first key of both: no word before it is shared
+        both = both.where(F.least(F.col("nx") - F.col("place_x"), F.col("ny") - F.col("place_y")) >= F.greatest("nx", "ny") - F.floor(F.greatest("nx", "ny") * (1 - least) + 1e-9))
+    both = both.where(~F.arrays_overlap("before_x", "before_y"))
     return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 

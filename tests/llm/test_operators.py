@@ -747,3 +747,43 @@ def test_operators_on_odd_tables(spark):
     texts = {r["text"] for r in docs.collect()}
     kept = {hashlib.sha256(r["kept"]).hexdigest() for r in passages.remove_repeats(docs).collect()}
     assert kept == {want[3] for want in passages.brute_force([t for t in texts if t is None or len(t) < 1000])} | {hashlib.sha256(max((t or "" for t in texts), key=len).encode()).hexdigest()}
+
+
+def test_pairs_of_texts_that_share_many_keys_are_made_once(spark, monkeypatch):
+    """Once for all sketches, or rarest words, that two texts share; with fewer keys taken along again, but none is lost."""
+    r = random.Random(21)
+    fresh = lambda n: [r.choice(WORDS) + str(r.randint(0, 10**6)) for _ in range(n)]
+    shared = fresh(90)
+    texts = [" ".join(shared + fresh(20 + k % 3)) for k in range(30)]
+    docs = make(spark, texts)
+    rows = near_dedup.sketch_documents(docs)
+    rows = near_dedup.cut(rows.join(near_dedup.distinct_texts(rows), ["f1", "f2", "d"]), "texts")
+    ids = near_dedup.cut(rows.select("v", F.col("v").alias("part")), "ids")
+    rare = near_dedup._by_rare_words(docs, rows, ids, 0.8, "doc_id", "text")
+    everything = {(a, b) for a in range(30) for b in range(30) if a < b}
+    links = {(a, b) for a, b in everything if near_dedup.similarity(near_dedup.word_hashes(texts[a]), near_dedup.word_hashes(texts[b])) is not None}
+    for members in (near_dedup._members(rows), rare):
+        parts = near_dedup._mixed_buckets(near_dedup._with_parts(members, None))
+        made = {}
+        for taken in (200, 2):
+            monkeypatch.setattr(near_dedup, "BEFORE", taken)
+            got = [tuple(x) for x in near_dedup._pairs(parts, rows, 0.8).collect()]
+            made[taken] = set(got)
+            assert links <= made[taken] and len(links) > 100
+            assert taken == 2 or len(got) == len(made[taken])
+        assert made[200] == made[2]
+
+
+def test_a_word_of_which_two_texts_share_too_few_more_makes_no_pair(spark):
+    """The texts share the passage alone, which is less than 0.8 of them, and their first common word shows it."""
+    r = random.Random(22)
+    fresh = lambda n: [r.choice(WORDS) + str(r.randint(0, 10**6)) for _ in range(n)]
+    shared = fresh(700)
+    texts = [" ".join(shared + fresh(150 if k < 10 else 250)) for k in range(20)]
+    docs = make(spark, texts)
+    rows = near_dedup.sketch_documents(docs)
+    rows = near_dedup.cut(rows.join(near_dedup.distinct_texts(rows), ["f1", "f2", "d"]), "texts")
+    ids = near_dedup.cut(rows.select("v", F.col("v").alias("part")), "ids")
+    rare = near_dedup._with_parts(near_dedup._by_rare_words(docs, rows, ids, 0.8, "doc_id", "text"), None)
+    got = {tuple(x) for x in near_dedup._pairs(rare, rows, 0.8).collect()}
+    assert got == {(a, b) for a in range(10) for b in range(a + 1, 10)}  # 700 of 850 words; those of 950 fall below
