@@ -279,19 +279,19 @@ def _near(a: str, b: str, least: float) -> F.Column:
 
 
 def _members(texts: DataFrame) -> DataFrame:
-    """``key, v, size, lead``: the buckets of two texts or more, with their size and the first text."""
-    buckets = texts.select("v", F.explode(F.array_distinct("keys")).alias("key"))
+    """``key, v, n, size, lead, lead_n``: the buckets of two texts or more, with their size, the first text and its number of words."""
+    buckets = texts.select("v", F.col("n").cast("int").alias("n"), F.explode(F.array_distinct("keys")).alias("key"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = cut(buckets.join(sizes, "key"), "buckets")  # few rows of many, so the first text is looked for afterwards
     release(texts.sparkSession)
-    out = cut(shared.join(shared.groupBy("key").agg(F.min("v").alias("lead")), "key"), "members")
+    out = cut(shared.join(shared.groupBy("key").agg(F.min("v").alias("lead"), F.min_by("n", "v").alias("lead_n")), "key"), "members")
     drop(shared)
     return out
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """``x, y`` (x below y, each once): the first member of each bucket with the others."""
-    return members.where("lead < v").select(F.col("lead").alias("x"), F.col("v").alias("y")).distinct()
+def _stars(members: DataFrame, least: float) -> DataFrame:
+    """``x, y`` (x below y, each once): the first member of each bucket with the others of fitting length."""
+    return members.where("lead < v").where(_near("lead_n", "n", least)).select(F.col("lead").alias("x"), F.col("v").alias("y")).distinct()
 
 
 def _words_may_agree(least: float) -> F.Column:
@@ -527,7 +527,7 @@ def classes_of(docs: DataFrame, texts: DataFrame, *, least: float = LEAST, id_co
     members = _members(texts)
     release(spark)
     for step in ("stars", "rest"):
-        candidates = cut(_alike(_stars(members), texts, least), "pairs") if step == "stars" else _rest(docs, members, texts, labels, least, id_col, text_col)
+        candidates = cut(_alike(_stars(members, least), texts, least), "pairs") if step == "stars" else _rest(docs, members, texts, labels, least, id_col, text_col)
         words = None
         first = candidates.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")  # joins most copies at once
         for todo in (first, candidates):

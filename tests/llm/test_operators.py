@@ -787,3 +787,15 @@ def test_a_word_of_which_two_texts_share_too_few_more_makes_no_pair(spark):
     rare = near_dedup._with_parts(near_dedup._by_rare_words(docs, rows, ids, 0.8, "doc_id", "text"), None)
     got = {tuple(x) for x in near_dedup._pairs(rare, rows, 0.8).collect()}
     assert got == {(a, b) for a in range(10) for b in range(a + 1, 10)}  # 700 of 850 words; those of 950 fall below
+
+
+def test_first_texts_of_other_lengths_make_no_star(spark):
+    """A text meets the first one of a bucket only if their lengths fit; all that may be links are there."""
+    r = random.Random(23)
+    fresh = lambda n: [r.choice(WORDS) + str(r.randint(0, 10**6)) for _ in range(n)]
+    shared = fresh(90)
+    texts = [" ".join(shared + fresh(10 if k < 8 else 100)) for k in range(16)]
+    rows = near_dedup.sketch_documents(make(spark, texts))
+    rows = near_dedup.cut(rows.join(near_dedup.distinct_texts(rows), ["f1", "f2", "d"]), "texts")
+    got = {tuple(x) for x in near_dedup._stars(near_dedup._members(rows), 0.8).collect()}
+    assert {(0, k) for k in range(1, 8)} <= got and all((a < 8) == (b < 8) for a, b in got)
