@@ -775,18 +775,19 @@ def test_pairs_of_texts_that_share_many_keys_are_made_once(spark, monkeypatch):
 
 
 def test_a_word_of_which_two_texts_share_too_few_more_makes_no_pair(spark):
-    """The texts share the passage alone, which is less than 0.8 of them, and their first common word shows it."""
+    """Texts of 800 and of 950 words share 700, of 760 that a link needs; the place of their first common word shows it."""
     r = random.Random(22)
     fresh = lambda n: [r.choice(WORDS) + str(r.randint(0, 10**6)) for _ in range(n)]
     shared = fresh(700)
-    texts = [" ".join(shared + fresh(150 if k < 10 else 250)) for k in range(20)]
+    often = fresh(100)  # comes after the shared words in the order by rarity
+    texts = [" ".join(shared + (fresh(100) if k < 10 else fresh(150) + often)) for k in range(20)] + [" ".join(fresh(900) + often) for _ in range(30)]
     docs = make(spark, texts)
     rows = near_dedup.sketch_documents(docs)
     rows = near_dedup.cut(rows.join(near_dedup.distinct_texts(rows), ["f1", "f2", "d"]), "texts")
     ids = near_dedup.cut(rows.select("v", F.col("v").alias("part")), "ids")
     rare = near_dedup._with_parts(near_dedup._by_rare_words(docs, rows, ids, 0.8, "doc_id", "text"), None)
     got = {tuple(x) for x in near_dedup._pairs(rare, rows, 0.8).collect()}
-    assert got == {(a, b) for a in range(10) for b in range(a + 1, 10)}  # 700 of 850 words; those of 950 fall below
+    assert {(a, b) for a in range(10) for b in range(a + 1, 10)} <= got and all((a < 10) == (b < 10) for a, b in got)
 
 
 def test_first_texts_of_other_lengths_make_no_star(spark):
