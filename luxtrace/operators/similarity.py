@@ -7,6 +7,9 @@ bit, so each probe asks for its band values with at most one bit flipped, an equ
 hashes of different parity are an odd number of bits apart, so nine at most, and the second band needs a flip less there; the
 parity is part of the key. One of the flips is the index's, so a probe asks for 871 values, an index row has 67, and a probe is
 compared with less than 0.1 % of a large index. Four bands of 16 bits (``MIDDLE``) ask for 88 and compare some 0.6 %.
+
+Values meet in a sort-merge join, always: Spark takes the rows for as small as they are before they become hundreds, and would
+send them to every task by way of the driver.
 """
 
 from __future__ import annotations
@@ -55,7 +58,7 @@ def near_by_bands(probes: DataFrame, index: DataFrame, radius: int = HAMMING_RAD
     flips = F.concat(F.array(F.col("__b.value")), F.transform(F.sequence(F.lit(0), F.col("__b.bits") - 1), lambda i: F.col("__b.value").bitwiseXOR(F.call_function("shiftleft", F.lit(1), i))))
     asked = _bands(probes.where("probe_hash IS NOT NULL"), "probe_hash").select("probe_id", "probe_hash", F.col("__b.band").alias("band"), F.explode(flips).alias("value"))
     held = _bands(index.where("image_hash64 IS NOT NULL"), "image_hash64").select("image_id", "image_hash64", F.col("__b.band").alias("band"), F.col("__b.value").alias("value"))
-    close = asked.join(held, ["band", "value"]).where(hamming("probe_hash", "image_hash64") <= radius)
+    close = asked.hint("merge").join(held, ["band", "value"]).where(hamming("probe_hash", "image_hash64") <= radius)
     # A pair is kept in the first band in which it agrees up to one bit, so no pair comes twice.
     differ = F.col("probe_hash").bitwiseXOR(F.col("image_hash64"))
     first = F.coalesce(*[F.when(F.bit_count(F.shiftrightunsigned(differ, at).bitwiseAND((1 << n) - 1)) <= 1, F.lit(i)) for i, (at, n) in enumerate(BANDS)])
@@ -102,7 +105,7 @@ def _wide_pairs(probes: DataFrame, index: DataFrame, plan: tuple[tuple[int, int,
         own_bits = F.shiftrightunsigned(differ, at).bitwiseAND((1 << width) - 1).cast("int")
         most = F.when(F.bit_count(differ) % 2 == 0, F.lit(same)).otherwise(F.lit(other))
         flip = F.when(F.shiftright("key", 24) == band, F.when(F.bit_count(own_bits) < most, 0).otherwise(own_bits.bitwiseAND(-own_bits))).otherwise(flip)
-    return left.join(right, (F.col("key") == F.col("held")) & (F.col("flip") == flip)).withColumn("band", F.shiftright("key", 24)).drop("key", "held", "flip")
+    return left.hint("merge").join(right, (F.col("key") == F.col("held")) & (F.col("flip") == flip)).withColumn("band", F.shiftright("key", 24)).drop("key", "held", "flip")
 
 
 def near_by_wide_bands(probes: DataFrame, index: DataFrame, radius: int = HAMMING_RADIUS, plan: tuple[tuple[int, int, int, int], ...] = WIDE) -> DataFrame:

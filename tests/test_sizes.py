@@ -68,6 +68,19 @@ def test_split_flips_ask_few_values_and_lose_no_pair(spark):
     assert spark.range(1).select(F.size(masks)).first()[0] == 277  # of the first band, 2,048 before
 
 
+def test_flipped_values_are_never_broadcast(spark):
+    """An id and its hash are small, the hundreds of values they become are not, which Spark's sizes don't tell."""
+    from luxtrace.operators import similarity
+
+    probes = spark.range(50).selectExpr("id AS probe_id", "xxhash64(id) AS probe_hash")
+    index = spark.range(50).selectExpr("id AS image_id", "xxhash64(id) AS image_hash64")
+    found = [similarity.near_by_wide_bands(probes, index, plan=plan) for plan in (similarity.WIDE, similarity.MIDDLE)]
+    for df in (*found, similarity.near_by_bands(probes, index), similarity._wide_pairs(probes, index)):
+        assert df.count() >= 50
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 @pytest.mark.parametrize("ragged", [False, True])
 def test_consistency_equals_that_of_all_pairs(spark, ragged):
     from luxtrace.operators import statistics
