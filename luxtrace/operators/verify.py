@@ -8,7 +8,8 @@
 
 Files of equal pixels are one row from stage 3 on, so a picture that a third of all files show is looked up once. Each
 stage's rows are written before the next, so no picture is decoded or looked up twice; the rasters themselves are read again
-only for the files that reach stage 5.
+only for the files that reach stage 5. What was written is joined by sorting: Spark goes by the size of the files, a fraction
+of what their hashes take in memory, and would send them to every task by way of the driver.
 """
 
 from __future__ import annotations
@@ -66,8 +67,8 @@ def verify_files(rasters: DataFrame, folded: DataFrame, *, fingerprints: DataFra
     pictures = good.groupBy("image_hash").agg(F.min("perceptual_hash").alias("probe_hash"))
     probes = cut(pictures.select(F.col("image_hash").alias("probe_id"), F.col("image_hash").alias("image_id"), "probe_hash"))
     near = cut(confirmed(probes, records.select("image_id", "image_hash64") if index is None else index, records))
-    exact = records.join(probes.select("image_id"), "image_id", "left_semi").select("image_id", F.lit("registered").alias("verdict"), F.lit("registry").alias("stage"), F.col("image_id").alias("reported"), F.lit(None).cast("int").alias("distance"))
-    first = earliest(near).join(exact.select(F.col("image_id").alias("probe_id")), "probe_id", "left_anti")
+    exact = records.hint("merge").join(probes.select("image_id"), "image_id", "left_semi").select("image_id", F.lit("registered").alias("verdict"), F.lit("registry").alias("stage"), F.col("image_id").alias("reported"), F.lit(None).cast("int").alias("distance"))
+    first = earliest(near).hint("merge").join(exact.select(F.col("image_id").alias("probe_id")), "probe_id", "left_anti")
     derived = first.select(F.col("probe_id").alias("image_id"), F.lit("derived").alias("verdict"), F.lit("index").alias("stage"), F.col("image_id").alias("reported"), F.col("distance").cast("int"))
     claims = exact.union(derived)
     of = records.select(F.col("image_id").alias("reported"), "body_id", "registered_at", "level", F.col("pce").alias("pce_at_registration"))
@@ -75,12 +76,12 @@ def verify_files(rasters: DataFrame, folded: DataFrame, *, fingerprints: DataFra
     others = near.select(F.col("probe_id").alias("image_id"), F.struct("rank", F.col("image_id").alias("other"), "body_id", F.col("distance").cast("int").alias("distance"), "registered_at").alias("m")).groupBy("image_id").agg(F.array_sort(F.collect_list("m")).alias("found"))  # MOST_CONFIRMED at most
     competing = F.transform(F.filter(F.coalesce("found", F.array()), lambda m: m["other"] != F.col("reported")), lambda m: F.struct(m["other"].alias("image_id"), m["body_id"].alias("body_id"), m["distance"].alias("distance"), m["registered_at"].alias("registered_at"), (m["registered_at"] < F.col("registered_at")).alias("earlier")))
     state = F.broadcast(event_fold.current_epoch(folded).select("resettable"))  # one row
-    resolved = claims.join(of, "reported").join(bodies, "body_id", "left").join(others, "image_id", "left").withColumn("competing", competing).crossJoin(state)
+    resolved = claims.hint("merge").join(of, "reported").join(bodies, "body_id", "left").join(others, "image_id", "left").withColumn("competing", competing).crossJoin(state)
     if local is not None:
         resolved = resolved.join(local.select(bare("body_id").alias("__k"), F.col("name").alias("body_name")), bare("body_id") == F.col("__k"), "left")
     resolved = cut(resolved.withColumnRenamed("image_id", "image_hash").drop("found"))
-    out = [refused, _as_result(good.join(resolved, "image_hash"))]
-    left = cut(good.join(resolved.select("image_hash"), "image_hash", "left_anti"))
+    out = [refused, _as_result(good.hint("merge").join(resolved, "image_hash"))]
+    left = cut(good.hint("merge").join(resolved.select("image_hash"), "image_hash", "left_anti"))
     if fingerprints is None:
         out.append(_as_result(left.withColumn("verdict", F.lit("no-record")).withColumn("stage", F.lit("index"))))
     else:

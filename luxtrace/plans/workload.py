@@ -908,12 +908,14 @@ def _picture_log(spark: SparkSession, d: str, files: DataFrame) -> DataFrame:
     """A log in which every third document's picture is registered, by five cameras, the last of them revoked."""
     from luxtrace.operators.verify import hashed
     from luxtrace.schema import EVENTS
+    from luxtrace.shared import cut
     from luxtrace.sources.rasters import decode_files
 
     own = files.where("doc_id % 3 = 0 AND file_id LIKE 'photo%'")
     seen = hashed(decode_files(own)).join(own.select("doc_id", "file_id"), "file_id")
     k = F.col("doc_id")
-    images = seen.select((k * 10 + 100).alias("block_number"), F.lit("ImageRegistered").alias("kind"), word(k % 5).alias("body_id"), "image_hash", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("perceptual_hash")), 16, "0")).alias("perceptual_hash"), (k % 4).cast("int").alias("level"), k.alias("pce"), (F.lit(1_700_000_000) + k * 7919 % 100_003).alias("block_timestamp"))
+    # Written once: the log is folded three times, and each would decode the pictures again.
+    images = cut(seen.select((k * 10 + 100).alias("block_number"), F.lit("ImageRegistered").alias("kind"), word(k % 5).alias("body_id"), "image_hash", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("perceptual_hash")), 16, "0")).alias("perceptual_hash"), (k % 4).cast("int").alias("level"), k.alias("pce"), (F.lit(1_700_000_000) + k * 7919 % 100_003).alias("block_timestamp")))
     cameras = spark.range(5).select(F.col("id").alias("block_number"), F.lit("BodyRegistered").alias("kind"), word(F.col("id")).alias("body_id"), word(F.col("id") + 10, 40).alias("owner"), F.lit(1_600_000_000).cast("long").alias("block_timestamp"))
     revoked = cameras.where("block_number = 4").select(F.lit(50).cast("long").alias("block_number"), F.lit("BodyRevoked").alias("kind"), "body_id", "block_timestamp")
     parts = [df.select(*[F.col(f.name) if f.name in df.columns else F.lit(0 if f.name == "log_index" else None).cast(f.dataType).alias(f.name) for f in EVENTS]) for df in (images, cameras, revoked)]

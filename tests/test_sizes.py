@@ -81,6 +81,21 @@ def test_flipped_values_are_never_broadcast(spark):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_confirmed_matches_are_never_broadcast(spark):
+    """Neither the registry's records nor the probes: written hashes are smaller than their rows."""
+    probes = spark.range(50).selectExpr("id AS probe_id", "id AS image_id", "id AS probe_hash")
+    records = spark.range(50).selectExpr("id AS image_id", "'a' AS body_id", "id AS registered_at", "id AS image_hash64")
+    found = verdict.confirmed(probes, records.select("image_id", "image_hash64"), records)
+    assert found.count() == 500 and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_picture_log_is_written_once(spark, sf_dir):
+    from luxtrace.plans import workload
+
+    log = workload._picture_log(spark, sf_dir, workload._picture_files(spark, sf_dir))
+    assert log.count() > 6 and "MapIn" not in log._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("ragged", [False, True])
 def test_consistency_equals_that_of_all_pairs(spark, ragged):
     from luxtrace.operators import statistics
