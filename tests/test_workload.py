@@ -76,3 +76,23 @@ def test_scores_of_all_pairs_against_the_kernels(spark, sf_dir):
     given = [spark.createDataFrame(rows(of), f"{key} string, plane int, h int, w int, data array<float>").repartition(3) for of, key in ((images, "image_id"), (bodies, "body_id"))]
     got = {(r["image_id"], r["body_id"]): r["pce"] for r in frames.score_planes(*given).collect()}
     assert got == {(i, b): pytest.approx(K.score(p, k), rel=1e-6) for i, p in images.items() for b, k in bodies.items()}
+
+
+def test_scores_are_of_four_planes_with_a_fingerprint(spark, tmp_path):
+    """Planes of equal rows left no fingerprint, and a single plane no sum of surfaces."""
+    import numpy as np
+
+    from luxtrace.operators.raster import kernels as K
+    from luxtrace.plans import workload
+
+    v = np.random.default_rng(5).normal(0, 0.125, (30, 64)).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist(), i % 10) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    mosaics = [(np.outer(x.astype(float), x) * 0.5 + 0.5).astype(np.float32) for x in v]
+    images = [{0: m[::2, ::2], 1: m[::2, 1::2], 2: m[1::2, 1::2], 3: m[1::2, ::2]} for m in mosaics]
+    bodies = {}
+    for b in (0, 1):
+        own = images[b::2]
+        bodies[str(b)] = {c: K.postprocess(sum(K.noise_residual(i[c]) * i[c].astype(float) for i in own) / sum(i[c].astype(float) ** 2 for i in own)) for c in range(4)}
+    assert all(k.std() > 1e-4 for planes in bodies.values() for k in planes.values())
+    got = {(int(r["image_id"]), r["body_id"]): r["pce"] for r in workload.pce_scores(spark, str(tmp_path)).collect()}
+    assert got == {(i, b): pytest.approx(K.score(p, k), rel=1e-3, abs=1e-3) for i, p in enumerate(images) for b, k in bodies.items()}
