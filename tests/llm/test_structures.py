@@ -1,5 +1,6 @@
 """Token alignment, Merkle manifest and fingerprints against plain programs, and on nulls, ties, repeated rows and odd tables."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -234,6 +235,21 @@ def test_fingerprints_tell_edits_from_others():
     assert 0.4 < np.mean(halves) < 0.6 and min(halves) > 0.15 and max(others) < 0.05 and np.mean(inserted) > 0.8 and np.mean(swapped) < 0.35
 
 
+def test_all_anchors_count():
+    """Long texts too: the fingerprint has each anchor, and the likeness is that of all of them, counted pair by pair."""
+    r = random.Random(9)
+    of = fingerprints.Fingerprint.of
+    a = words(r, 300)
+    for b in (fingerprints.edited(a, words(r, 300)), a[900:] + a[:900], words(r, 80) + a[:700] + words(r, 90), words(r, 40), ""):
+        first = [dict(reversed([*zip(*(x.tolist() for x in fingerprints.anchors(t)), strict=True)])) for t in (a, b)]
+        assert [len(base64.b64decode(str(of(t)))) for t in (a, b)] == [10 * len(x) for x in first] and len(first[0]) > 200
+        shared = sorted((first[0][h], first[1][h]) for h in first[0].keys() & first[1].keys())
+        best = []
+        for k, (_, p) in enumerate(shared):
+            best.append(1 + max((best[j] for j in range(k) if shared[j][1] < p), default=0))
+        assert of(a).likeness(of(b)) == of(b).likeness(of(a)) == 2 * max(best, default=0) / (len(first[0]) + len(first[1]))
+
+
 def plain_next(rows):
     rows = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[2]))
     for k, (d, t, _) in enumerate(rows):
